@@ -27,12 +27,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, cut, mix, shingles, table, text_slices, word_hashes
+from .shared import components, cut, key_runs, long_lists, mix, shingles, table, text_slices, word_hashes
 
 SLOTS, ROWS, BANDS = 512, 8, 32
 BITS = 1024
@@ -104,25 +103,25 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
 
-def _in_buckets(least: float):
+def _in_buckets(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Pairs of classes of two components whose sketches agree, of the rows of two blocks of a bucket."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["side", "rep"])
-        one, two = rows[rows.side == 0], rows[rows.side == 1]
-        if key[1] == key[2]:
-            two = one
-        a, b = [], []
-        if len(one) and len(two):
-            right = np.stack(two.sketch.to_numpy()).view(np.uint64)
-            right_comp, right_rep = two.comp.to_numpy(), two.rep.to_numpy()
-            for sketch, comp, rep in zip(one.sketch, one.comp, one.rep, strict=True):
-                ones = np.bitwise_count(right ^ np.asarray(sketch).view(np.uint64)).sum(1)
-                good = (estimate(ones) >= least) & (right_comp != comp)
-                b.append(np.maximum(right_rep[good], rep))
-                a.append(np.minimum(right_rep[good], rep))
-        empty = [np.zeros(0, np.int64)]
-        return pd.DataFrame({"a": np.concatenate(a or empty), "b": np.concatenate(b or empty)}).drop_duplicates()
+    def run(batches):
+        for rows in key_runs(batches, 3):
+            i, j, side, rep, comp = (rows.column(k).to_numpy() for k in range(1, 6))
+            sketch = long_lists(rows.column(6)).view(np.uint64)
+            left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if i[0] != j[0] else (np.arange(len(rep)),) * 2
+            a, b = [], []
+            for at in range(0, len(left), 64):
+                part = left[at : at + 64]
+                ones = np.bitwise_count(sketch[part, None] ^ sketch[None, right]).sum(2, dtype=np.int64)
+                x, y = np.nonzero((estimate(ones) >= least) & (comp[part, None] != comp[None, right]))
+                a.append(rep[part[x]])
+                b.append(rep[right[y]])
+            if a and sum(map(len, a)):
+                a, b = np.concatenate(a), np.concatenate(b)
+                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     return run
 
@@ -163,7 +162,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str
     sided = other.select(
         "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp", "sketch"
     )
-    more = sided.groupBy("bucket", "i", "j").applyInPandas(_in_buckets(percent / 100 - MARGIN), "a long, b long").distinct()
+    together = sided.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    more = together.mapInArrow(_in_buckets(percent / 100 - MARGIN), "a long, b long").distinct()
     second = verified(docs, cut(more.join(pairs, ["a", "b"], "left_anti")), k, percent)
 
     found = components(first.union(second)).toDF("rep", "component_id")

@@ -61,11 +61,10 @@ def components(edges: DataFrame) -> DataFrame:
         )
     if not steps:
         return level.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    found = steps[0]
-    for step in steps[1:]:
-        up = step.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        found = found.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
-    found = cut(found)
+    found = steps.pop()
+    while steps:  # from the last level back, so that every join is as small as its level
+        up = found.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        found = cut(steps.pop().join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")))
     least = found.groupBy("root").agg(F.min("node").alias("low"))
     return found.join(least, "root").select("node", F.col("low").alias("component"))
 
@@ -168,5 +167,30 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(mix(out))
 
 
+def key_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each run of equal values in the first `keys` columns (integers, not null), over batch borders."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = np.stack([batch.column(i).to_numpy() for i in range(keys)])
+        at = np.concatenate(([0], np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(0)) + 1, [batch.num_rows]))
+        for lo, hi in zip(at[:-1], at[1:], strict=True):
+            now = tuple(columns[:, lo])
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(int(lo), int(hi - lo)))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def long_lists(column: pa.ChunkedArray, dtype=np.int64) -> np.ndarray:
+    """A column of lists of one length, as rows of a matrix."""
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).astype(dtype, copy=False).reshape(len(column), -1)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
