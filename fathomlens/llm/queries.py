@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op9_bpe_encode_decode
+from .chat_format import op10_chat_format
 from .near_dedup import op4_minhash_near_dedup
+from .token_counts import op6_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op4_minhash_near_dedup,
+        op6_token_counts,
+        op9_bpe_encode_decode,
+        op10_chat_format,
     )
 }
 
