@@ -1,8 +1,7 @@
 """Operator 10: chat formatting of reply trees, in DataFrame functions only.
 
 Messages form trees by their parent. Root-to-leaf paths are enumerated by iterative
-self-joins that double the known reach: after round r each message knows
-its ancestor 2^r steps up, and the messages between. Only ids and scores travel through the
+self-joins that double their reach each round. Only ids and scores travel through these
 joins; texts are joined once, at the end. Branches of a tree are ranked by
 score, and each chosen path becomes one conversation in the template
 
@@ -35,6 +34,21 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def _heights(own: DataFrame) -> DataFrame:
+    """(tree, node, parent, score, height) of the nodes that reach a root; a root has height 1.
+
+    Pointer doubling: each round joins every node with the node that its pointer has reached, which doubles
+    the distance. Nodes on a parent cycle, or below one, never end and are left out."""
+    going = cut(own.select("tree", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("height")))
+    nodes, reach = going.count(), 1
+    while reach <= nodes and not going.where("up is not null").isEmpty():
+        above = going.select("tree", F.col("node").alias("up"), F.col("up").alias("further"), F.col("height").alias("more"))
+        ended = going.where("up is null")
+        grown = going.where("up is not null").join(above, ["tree", "up"]).select("tree", "node", F.col("further").alias("up"), (F.col("height") + F.col("more")).alias("height"))
+        going, reach = cut(grown.unionByName(ended)), 2 * reach
+    return own.join(going.where("up is null").select("tree", "node", "height"), ["tree", "node"])
+
+
 def reply_paths(messages: DataFrame, top: int | None = None) -> DataFrame:
     """Root-to-leaf paths of the trees in `messages` (tree, node, parent, score).
 
@@ -42,39 +56,37 @@ def reply_paths(messages: DataFrame, top: int | None = None) -> DataFrame:
     the mean of its nodes' scores (null scores count 0), rank 1 the best, ties by leaf.
     A node whose parent is null or absent from its tree is a root. Nodes on a parent cycle
     reach no root and are on no path. `top` keeps that many branches of each tree (the feature);
-    None keeps all. (tree, node) must be unique; trees may be of any depth: the number of
-    rounds is the logarithm of the depth."""
+    None keeps all. (tree, node) must be unique. The number of rounds is the logarithm of the
+    depth: in round r only nodes of a height divisible by 2^r hold the 2^r nodes up from
+    them, and a path takes such a piece where its height has bit r, so all pieces together
+    are no larger than the messages and the paths."""
     own = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = own.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
+    own = cut(own.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("parent"), "score"))
+    high = cut(_heights(own))
     inner = own.select("tree", F.col("parent").alias("node")).distinct()
-    state = cut(
-        own.join(known, ["tree", "parent"], "left")
-        .select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.array("node").alias("path"), F.col("score").alias("total"))
-    )
-    leaves = cut(state.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "up", "path", "total"))
-    done = []
-    while True:
-        done.append(leaves.where("up is null").select("tree", "leaf", "path", "total"))
-        leaves = leaves.where("up is not null")
-        if leaves.isEmpty():
-            break
-        above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("further"), F.col("path").alias("upper"), F.col("total").alias("more"))
-        grow = lambda df, *cols: df.join(above, ["tree", "up"]).select(
-            "tree", *cols, F.col("further").alias("up"), F.concat("upper", "path").alias("path"), (F.col("total") + F.col("more")).alias("total")
-        )
-        size = F.size("path")
-        before = leaves.agg(F.max(size)).first()[0]
-        leaves = cut(grow(leaves, "leaf"))
-        ended = state.where("up is null")
-        state = cut(grow(state.where("up is not null"), "node").unionByName(ended))
-        if before > 2 * messages.count():  # only a cycle makes a path longer than its tree
-            break
-    found = done[0]
-    for part in done[1:]:
-        found = found.union(part)
-    found = found.select("tree", "leaf", (F.col("total") / F.size("path")).alias("score"), "path")
+    leaf = F.struct("height", F.lit(0.0).alias("total"), F.expr("cast(array() as array<bigint>)").alias("path"))
+    open_ = cut(high.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), F.col("node").alias("at"), leaf.alias("p")))
+    pieces = high.select("tree", F.col("node").alias("at"), F.col("parent").alias("up"), "height", F.col("score").alias("sum"), F.array(F.col("node").cast("long")).alias("piece"))
+    most = high.agg(F.max("height")).first()[0] or 0
+    bit = 1
+    while bit <= most:
+        here = F.col("p.height").bitwiseAND(F.lit(bit)) > 0
+        grown = F.struct(F.col("p.height").alias("height"), (F.col("p.total") + F.col("sum")).alias("total"), F.concat("piece", "p.path").alias("path"))
+        taken = open_.where(here).join(pieces.select("tree", "at", "up", "sum", "piece"), ["tree", "at"]).select("tree", "leaf", F.col("up").alias("at"), grown.alias("p"))
+        open_ = cut(taken.unionByName(open_.where(~here)))
+        bit *= 2
+        if bit <= most:
+            above = pieces.select("tree", F.col("at").alias("up"), F.col("up").alias("further"), F.col("sum").alias("more"), F.col("piece").alias("upper"))
+            pieces = cut(
+                pieces.where(F.pmod("height", F.lit(bit)) == 0)
+                .join(above, ["tree", "up"])
+                .select("tree", "at", F.col("further").alias("up"), "height", (F.col("sum") + F.col("more")).alias("sum"), F.concat("upper", "piece").alias("piece"))
+            )
+    found = open_.select("tree", "leaf", (F.col("p.total") / F.col("p.height")).alias("score"), F.col("p.path").alias("path"))
     order = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-    ranked = found.withColumn("rank", F.row_number().over(order))
+    rank = found.select("tree", "leaf", F.row_number().over(order).alias("rank"))
+    ranked = found.join(rank, ["tree", "leaf"])
     return (ranked if top is None else ranked.where(F.col("rank") <= top)).select("tree", "leaf", "rank", "score", "path")
 
 

@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op9_bpe_encode_decode
 from .chat_format import op10_chat_format
+from .language_id import op2_language_id
 from .near_dedup import op4_minhash_near_dedup
+from .quality import op1_quality_classifier
 from .token_counts import op6_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_quality_classifier,
+        op2_language_id,
         op4_minhash_near_dedup,
         op6_token_counts,
         op9_bpe_encode_decode,
