@@ -4,6 +4,7 @@ components, splitting rows by a stable hash, and word hashes over Arrow buffers.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,14 +14,18 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once and stored in the folder of ``spark.checkpoint.dir``.
-
-    A lost executor does not lose it. Only where no folder is configured (tests
-    on one machine) does this set one of its own."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    """`df`, computed once and read again from a table in the folder of ``spark.checkpoint.dir``.
+
+    Later work neither repeats it nor loses it with an executor, and plans start anew, which
+    a checkpoint's don't: it hands on the constraints of the plan that made it, and in
+    loops those grow without end. Only where no folder is configured (tests on one machine) does this set one of
+    its own. The tables stay, like checkpoints, until the folder is cleared."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    path = f"{context.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def held_out(doc_id: Column) -> Column:
