@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op9_bpe_encode_decode
 from .chat_format import op10_chat_format
+from .decontaminate import op3_benchmark_decontamination
 from .language_id import op2_language_id
 from .near_dedup import op4_minhash_near_dedup
 from .quality import op1_quality_classifier
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_classifier,
         op2_language_id,
+        op3_benchmark_decontamination,
         op4_minhash_near_dedup,
         op6_token_counts,
         op9_bpe_encode_decode,
