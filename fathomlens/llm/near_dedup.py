@@ -17,9 +17,8 @@ documents differ:
    all by sketch in blocks of bounded size, but only across components, and what
    the sketches keep is again compared on full sets.
 
-Both rounds end in one connected-components run. A pair at the threshold of 0.85
-shares no band with a probability of 4e-5, and is lost by the sketch with less
-than 1e-6.
+Both rounds end in one connected-components run. A pair at the threshold shares no
+band with a probability of MISS at most, and is lost by the sketch with less than 1e-6.
 """
 
 from __future__ import annotations
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .shared import components, cut, key_runs, long_lists, mix, shingles, table, text_slices, word_hashes
 
-SLOTS, ROWS, BANDS = 512, 8, 32
+SLOTS, MISS = 512, 1e-4
 BITS = 1024
 MARGIN = 0.10
 BLOCK = 1024
@@ -41,8 +40,14 @@ _TRIES = 64
 _PROBE = np.random.default_rng(4).integers(0, SLOTS, (SLOTS, _TRIES))
 _EDGES = (np.arange(SLOTS, dtype=np.uint64) << np.uint64(55)).astype(np.uint64)
 _SLOT_KEY = mix(np.arange(SLOTS, dtype=np.uint64) + np.uint64(977))
-_ROW_KEY = mix(np.arange(ROWS, dtype=np.uint64) + np.uint64(31)) | np.uint64(1)
-_BAND_KEY = mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(7919))
+_ROW_KEY = mix(np.arange(SLOTS, dtype=np.uint64) + np.uint64(31)) | np.uint64(1)
+_BAND_KEY = mix(np.arange(SLOTS, dtype=np.uint64) + np.uint64(7919))
+
+
+def band_rows(similarity: float) -> int:
+    """The longest bands of half the samples that a pair of this similarity misses with a probability of MISS at most."""
+    miss = lambda rows: (1 - similarity**rows) ** (SLOTS // 2 // rows)
+    return max(rows for rows in range(1, 33) if rows == 1 or miss(rows) <= MISS)
 
 
 def minhash(shingle_set: np.ndarray) -> np.ndarray:
@@ -62,10 +67,11 @@ def minhash(shingle_set: np.ndarray) -> np.ndarray:
     return out
 
 
-def signature(shingle_set: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(band values, odd sketch as BITS / 64 words) of a sorted, not empty set."""
+def signature(shingle_set: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(band values, odd sketch as BITS / 64 words) of a sorted, not empty set, for bands of `rows` samples."""
     samples = minhash(shingle_set)
-    bands = mix((mix(samples[::2]).reshape(BANDS, ROWS) * _ROW_KEY).sum(1, dtype=np.uint64) ^ _BAND_KEY)
+    count = SLOTS // 2 // rows
+    bands = mix((mix(samples[::2][: count * rows]).reshape(count, rows) * _ROW_KEY[:rows]).sum(1, dtype=np.uint64) ^ _BAND_KEY[:count])
     bit = mix(samples ^ _SLOT_KEY) % np.uint64(BITS)
     odd = np.bincount(bit.astype(np.int64), minlength=BITS) & 1
     return bands.view(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)
@@ -76,7 +82,9 @@ def estimate(ones):
     return 1 + BITS / (4 * SLOTS) * np.log(np.maximum(1 - 2 * np.asarray(ones) / BITS, 1e-9))
 
 
-def _sets(k: int, full: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _sets(k: int, rows: int = 0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of (id, text): with `rows`, signatures for bands of so many samples, without, the full sets."""
+
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
@@ -84,10 +92,10 @@ def _sets(k: int, full: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 hashes, bounds = word_hashes(texts.slice(lo, hi - lo))
                 sets = [shingles(hashes[a:b], k) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 sizes = pa.array([len(s) for s in sets], pa.int64())
-                if full:
+                if not rows:
                     yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), sizes, _lists([s.view(np.int64) for s in sets])], ["id", "size", "shingles"])
                     continue
-                signed = [signature(s) if len(s) else (np.zeros(0, np.int64), np.zeros(0, np.int64)) for s in sets]
+                signed = [signature(s, rows) if len(s) else (np.zeros(0, np.int64), np.zeros(0, np.int64)) for s in sets]
                 digest = [(mix(s).sum(dtype=np.uint64), mix(s ^ _SLOT_KEY[0]).sum(dtype=np.uint64)) for s in sets]
                 keys = pa.array([f"{len(s):x}-{int(x):016x}{int(y):016x}" for s, (x, y) in zip(sets, digest, strict=True)])
                 yield pa.RecordBatch.from_arrays(
@@ -136,7 +144,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str
     Rows that repeat an id are judged by their own text. Other columns of
     `docs` are not looked at. No rows give no rows."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(docs.mapInArrow(_sets(k, False), "doc_id long, n_shingles long, set_key string, bands array<long>, sketch array<long>"))
+    signed = cut(docs.mapInArrow(_sets(k, band_rows(percent / 100)), "doc_id long, n_shingles long, set_key string, bands array<long>, sketch array<long>"))
     able = signed.where("n_shingles > 0 and doc_id is not null")
     classes = cut(able.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
 
@@ -180,7 +188,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     """The pairs (a, b) of ids whose full shingle sets reach `percent`; sets are made of the needed texts only."""
     need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = docs.join(need, "doc_id", "left_semi")
-    sets = cut(texts.mapInArrow(_sets(k, True), "id long, size long, shingles array<long>"))
+    sets = cut(texts.mapInArrow(_sets(k), "id long, size long, shingles array<long>"))
     a, b = sets.toDF("a", "na", "wa"), sets.toDF("b", "nb", "wb")
     # |A and B| >= p / (100 + p) * (|A| + |B|) is the same as 100 |A and B| >= p |A or B|
     both = F.size(F.array_intersect("wa", "wb"))

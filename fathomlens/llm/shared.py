@@ -84,6 +84,8 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Separators where only letters and digits make words: all other ASCII characters.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 SLICE = 1 << 20
 
 
@@ -105,9 +107,9 @@ def text_slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]
         at = min(to, len(column))
 
 
-def _hash_run(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_run(data: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the words in `data`, which neither starts nor ends inside a word."""
-    word = ~_SPACE[data]
+    word = ~space[data]
     edge = np.diff(np.concatenate(([False], word, [False])).view(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
@@ -123,10 +125,10 @@ def _hash_run(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix(np.add.reduceat(value, starts) + length.astype(np.uint64))
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, row bounds into them) of a string column.
 
-    Words are runs of bytes other than ASCII white space, A-Z as a-z. A null text
+    Words are runs of bytes other than ASCII white space (or than those marked in `space`), A-Z as a-z. A null text
     has no words. Work memory is bounded by SLICE, whatever the length of a text."""
     column = column.cast(pa.large_string())
     n = len(column)
@@ -142,14 +144,14 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         while a < z:
             b = z
             if z - a > 2 * SLICE:  # one long text: cut it after white space
-                space = np.flatnonzero(_SPACE[data[a + SLICE : min(z, a + 9 * SLICE)]])
-                b = a + SLICE + int(space[0]) + 1 if len(space) else z
+                gaps = np.flatnonzero(space[data[a + SLICE : min(z, a + 9 * SLICE)]])
+                b = a + SLICE + int(gaps[0]) + 1 if len(gaps) else z
             run = data[a:b]
             inner = ends[lo + 1 : hi] - a
             inner = inner[(inner > 0) & (inner < b - a)]
             if len(inner):  # a gap at every row's end keeps words of two rows apart
                 run = np.insert(run, inner, 32)
-            starts, found = _hash_run(run)
+            starts, found = _hash_run(run, space)
             row_starts = np.clip(ends[lo : hi + 1] - a, 0, b - a)
             row_starts = row_starts + np.searchsorted(inner, row_starts, "left")
             row_starts[0] = 0
