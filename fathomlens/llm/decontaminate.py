@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import table, text_slices
 
@@ -163,38 +164,51 @@ def _parts(data: bytes) -> Iterator[tuple[int, bytes]]:
         yield at, data[at : at + PART]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Matches of benchmark passages: (doc_id, item_id, n_patterns, edits, place), one row for each document and item.
+_MATCH = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("item_id", "pattern", "edits", "place")]))
+
+
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """`docs` with a column matches: array<struct<item_id, pattern, edits, place>> of the patterns that the text holds.
 
-    n_patterns counts the item's patterns that the document holds, edits and place (in bytes of the
-    normalised text) are those of the closest. Rows that repeat an id give one row with the
-    best of them. Documents or items that are null, empty or shorter than LEAST bytes match nothing, rows without
-    an id are left out. The benchmark is read in blocks of BLOCK_BYTES, each broadcast and searched for in all
-    documents, so it may be of any size; no pair of a document and an item is formed unless they share a band."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    out = None
+    place is in bytes of the normalised text. Null and empty documents, and items that are null, empty or shorter than
+    LEAST bytes, match nothing. A column of that name is replaced; all others and repeated rows stay.
+    The benchmark is read in blocks of BLOCK_BYTES, each broadcast and searched for in all documents, so it may
+    be of any size; no pair of a document and an item is formed unless they share a band."""
+    docs = docs.drop("matches")
+    schema = T.StructType([*docs.schema.fields, T.StructField("matches", _MATCH)])
+    at = docs.columns.index(text_col)
+    out = docs.withColumn("matches", F.array().cast(_MATCH))
     for block in _blocks(benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text"))):
-        sent = spark.sparkContext.broadcast(Patterns.of(block))  # at most BLOCK_BYTES of text
+        sent = docs.sparkSession.sparkContext.broadcast(Patterns.of(block))  # at most BLOCK_BYTES of text
 
         def run(batches, sent=sent):
             patterns = sent.value
             for batch in batches:
-                found = []
-                for lo, hi in text_slices(batch.column(1)):
-                    ids, texts = batch.column(0).slice(lo, hi - lo).to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist()
-                    for doc, text in zip(ids, texts, strict=True):
-                        for at, part in _parts(normalise(text)):
-                            found += [(doc, patterns.items[p], p, edits, at + place) for p, edits, place in search(part, patterns)]
-                columns = zip(*found, strict=True) if found else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "pattern", "edits", "place"])
-
-        hits = rows.mapInArrow(run, "doc_id long, item_id long, pattern long, edits long, place long")
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        out = spark.createDataFrame([], "doc_id long, item_id long, pattern long, edits long, place long")
+                for lo, hi in text_slices(batch.column(at)):
+                    part, found = batch.slice(lo, hi - lo), []
+                    before = part.column("matches").to_pylist()
+                    for old, text in zip(before, part.column(at).to_pylist(), strict=True):
+                        own = {}
+                        for start, data in _parts(normalise(text)) if text else ():
+                            for p, edits, place in search(data, patterns):
+                                own[p] = min(own.get(p, (edits, start + place)), (edits, start + place))
+                        found.append(old + [dict(item_id=patterns.items[p], pattern=p, edits=e, place=x) for p, (e, x) in own.items()])
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, part.column("matches").type)], part.schema.names)
+
+        out = out.mapInArrow(run, schema)
+    return out
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **names: str) -> DataFrame:
+    """Matches of benchmark passages: (doc_id, item_id, n_patterns, edits, place), one row for each document and item.
+
+    n_patterns counts the item's patterns that the document holds, edits and place are those of the closest.
+    Rows that repeat an id give one row with the best of them; rows without an id are left out."""
+    ids = [F.col(id_col).cast("long").alias("doc_id"), F.col(names.get("text_col", "text")).alias("text")]
+    found = benchmark_matches(docs.select(*ids).where("doc_id is not null"), benchmark, **names | {"text_col": "text"})
+    each = found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
     best = F.min(F.struct("edits", "place"))
-    return out.groupBy("doc_id", "item_id").agg(F.count_distinct("pattern").alias("n_patterns"), best.alias("best")).select("doc_id", "item_id", "n_patterns", F.col("best.edits").alias("edits"), F.col("best.place").alias("place"))
+    return each.groupBy("doc_id", "item_id").agg(F.count_distinct("pattern").alias("n_patterns"), best.alias("best")).select("doc_id", "item_id", "n_patterns", F.col("best.edits").alias("edits"), F.col("best.place").alias("place"))
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:

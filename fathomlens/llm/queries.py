@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op9_bpe_encode_decode
 from .chat_format import op10_chat_format
 from .decontaminate import op3_benchmark_decontamination
+from .embedding_dedup import op5_embedding_near_dedup
 from .language_id import op2_language_id
+from .license_scan import op7_license_scan
 from .near_dedup import op4_minhash_near_dedup
 from .quality import op1_quality_classifier
 from .token_counts import op6_token_counts
+from .url_filter import op8_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -21,7 +24,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_language_id,
         op3_benchmark_decontamination,
         op4_minhash_near_dedup,
+        op5_embedding_near_dedup,
         op6_token_counts,
+        op7_license_scan,
+        op8_url_filter,
         op9_bpe_encode_decode,
         op10_chat_format,
     )
