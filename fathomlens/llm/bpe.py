@@ -64,31 +64,34 @@ class MergeAutomaton:
         self.target = [0] * len(base)
         self.gone: dict[int, dict[int, int]] = {0: {}}
         self.row: dict[int, dict[int, int]] = {}
+        never: set[str] = set()  # labels whose pair never meets
         for time, (a, b) in enumerate(merges, 1):
-            self._gadget(self.number[a], self.number[b], time)
+            if a + b in self.number or a + b in never:
+                raise ValueError(f"two merges make {a + b!r}")
+            if a in never or b in never or not self._gadget(self.number[a], self.number[b], time):
+                never.add(a + b)
         self.reach: dict[str, int] = {}  # the longest label with these first three characters
         for label in self.label:
             if len(label) > 2:
                 self.reach[label[:3]] = max(self.reach.get(label[:3], 0), len(label))
         self.gone = {0: {}}
 
-    def _gadget(self, a: int, b: int, time: int) -> None:
-        label = self.label[a] + self.label[b]
+    def _gadget(self, a: int, b: int, time: int) -> bool:
+        """Apply one merge; False, and no change, where the pair never meets."""
         before, ahead = self.target[a], self.target[b]
-        if label in self.number or not self._has(before, b):
-            # The pair never meets, or the label exists: the merge changes no encoding of a vocabulary with one merge a token.
-            if label in self.number:
-                raise ValueError(f"two merges make {label!r}")
-            return
+        if not self._has(before, b):
+            return False
         self.parent.append(before)
         self.removed.append(b)
         self.time.append(time)
         self.target[a] = len(self.parent) - 1
+        label = self.label[a] + self.label[b]
         self.number[label] = len(self.label)
         self.label.append(label)
         self.left.append(a)
         self.made.append(time)
         self.target.append(ahead)
+        return True
 
     def _removals(self, state: int) -> dict[int, int]:
         """label -> first merge that took it away, over the state and those it was copied from."""

@@ -27,7 +27,7 @@ from .shared import held_out, mix, table, text_slices
 #: Bounds of the sample that the model is fitted on.
 TRAIN_DOCS, TRAIN_BYTES = 6000, 1 << 15
 BUCKETS, DIM, NGRAMS = 1 << 17, 8, (1, 2, 3)
-EPOCHS, RATE = 4, 0.3
+STEPS, EPOCHS, RATE = 24_000, 40, 0.3  # as many epochs as make STEPS steps, EPOCHS at most
 ACCEPT = 0.7
 REMEMBERED = 400_000
 
@@ -84,8 +84,9 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> QualityModel:
             rows.append((np.append(ids, BUCKETS).astype(np.int32), np.append(weight, repeats(words) / len(words)).astype(np.float32)))
         else:
             rows.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
-    steps = EPOCHS * len(rows)
-    for step, i in enumerate(i for _ in range(EPOCHS) for i in rng.permutation(len(rows))):
+    epochs = min(EPOCHS, -(-STEPS // max(1, len(rows))))
+    steps = epochs * len(rows)
+    for step, i in enumerate(i for _ in range(epochs) for i in rng.permutation(len(rows))):
         ids, weight = rows[i]
         own = vectors[ids]
         mean = weight @ own

@@ -19,7 +19,7 @@ from .shared import table, text_slices
 
 BATCH_BYTES = 1 << 19
 PIECE = 1 << 16
-_SINGLE_SPACE = re.compile(r"(?<=[^ ]) (?=[^ ])")
+_SINGLE_SPACE = re.compile("(?<=[^ ▁]) (?=[^ ▁])")
 _loaded: dict[str, tuple[Callable[[list[str]], list[int]], bool]] = {}
 
 
@@ -52,7 +52,7 @@ def _counter(name: str) -> tuple[Callable[[list[str]], list[int]], bool]:
 def pieces(text: str, most: int = PIECE) -> Iterator[str]:
     """Parts of about `most` characters whose token counts add up to the text's.
 
-    The cut is at a single space between other characters, and the space is dropped. A
+    The cut is at a single space (not beside the mark that stands for it), and the space is dropped. A
     text without such a place stays whole."""
     at = 0
     while len(text) - at > most:
