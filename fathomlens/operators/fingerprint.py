@@ -21,10 +21,18 @@ def grams(docs: DataFrame, doc: str, text: str, longest: int = 4) -> DataFrame:
     """(doc, gram, at): n-grams of lower-cased words of letters and digits, with the place of their first word, from 1."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("([a-z0-9]+)"), 1)
     rows = docs.select(F.col(doc).alias("doc"), words.alias("w"))
-    at = F.posexplode(F.transform("w", lambda x, i: i))
-    each = rows.select("doc", "w", at.alias("i", "_x"))
-    every = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("i"))), lambda n: F.array_join(F.slice("w", F.col("i") + 1, n), " ")))
-    return each.select("doc", every.alias("gram"), (F.col("i") + 1).cast("long").alias("at"))
+    # All grams of one length are zipped from shifted arrays inside the row, so no row carries its words along.
+    each = []
+    for n in range(1, longest + 1):
+        count = F.greatest(F.size("w") - (n - 1), F.lit(0))
+        shifted = F.arrays_zip(*[F.slice("w", F.lit(i + 1), count).alias(f"w{i}") for i in range(n)])
+        each.append(F.transform(shifted, _joined(n)))
+    found = rows.select("doc", F.explode(F.concat(*each)).alias("g"))
+    return found.select("doc", "g.gram", "g.at")
+
+
+def _joined(n: int):
+    return lambda x, i: F.struct(F.concat_ws(" ", *[x[f"w{k}"] for k in range(n)]).alias("gram"), (i + 1).cast("long").alias("at"))
 
 
 def phrase_hits(docs: DataFrame, vocabulary: DataFrame, doc: str, text: str, longest: int = 4) -> DataFrame:
@@ -37,15 +45,16 @@ def negated(docs: DataFrame, doc: str, text: str, cues: list[str], reach: int =
     """(doc, start, end) in words: spans of `reach` words after a negating cue, cut at the sentence's end."""
     spaced = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[.!?;\n]", " | ")
     words = F.regexp_extract_all(spaced, F.lit(r"([a-z0-9]+|\|)"), 1)
-    rows = docs.select(F.col(doc).alias("doc"), words.alias("w"))
-    each = rows.select("doc", "w", F.posexplode("w").alias("i", "word")).where(F.col("word").isin(cues))
-    ahead = F.slice("w", F.col("i") + 2, reach)
-    stop = F.array_position(ahead, F.lit("|"))
-    length = F.when(stop > 0, stop - 1).otherwise(F.size(ahead))
+    rows = docs.select(F.col(doc).alias("doc"), F.posexplode(words).alias("i", "word"))
+    order = Window.partitionBy("doc").orderBy("i")
+    ahead = order.rowsBetween(1, reach)
+    stop = F.col("word") == "|"
+    rows = rows.withColumn("stops", F.count_if(stop).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("next", F.min(F.when(stop, F.col("i"))).over(ahead)).withColumn("length", F.coalesce(F.col("next") - F.col("i") - 1, F.count("*").over(ahead)))
     # Stops are no words in a text's count of places.
-    stops = F.size(F.filter(F.slice("w", F.lit(1), F.col("i") + 1), lambda x: x == "|"))
-    start = F.col("i") + 2 - stops
-    return each.select("doc", start.cast("long").alias("start"), (start + length).cast("long").alias("end")).where("end > start")
+    start = F.col("i") + 2 - F.col("stops")
+    cue = rows.where(F.col("word").isin(cues)).select("doc", start.cast("long").alias("start"), (start + F.col("length")).cast("long").alias("end"))
+    return cue.where("end > start")
 
 
 def affirmed(hits: DataFrame, spans: DataFrame) -> DataFrame:

@@ -10,13 +10,13 @@ from ..operators import memory, resemblance, tabletop
 from .registry import query, table
 
 # Each incident whose id ends in 1 asks; its matches are the next four incidents, less similar one by one.
-_MATCHES = "m AS (SELECT q.incident_id AS query, i.incident_id, 1 - (i.incident_id - q.incident_id) * 0.125::DOUBLE AS similarity, i.incident_id - q.incident_id AS place FROM incidents q JOIN (SELECT incident_id FROM incidents) i ON i.incident_id BETWEEN q.incident_id + 1 AND q.incident_id + 4 WHERE q.incident_id % 10 = 1)"
+_MATCHES = "m AS (SELECT q.incident_id AS query, i.incident_id, 1 / (1 + (i.incident_id - q.incident_id) * 0.37::DOUBLE) AS similarity, i.incident_id - q.incident_id AS place FROM incidents q JOIN (SELECT incident_id FROM incidents) i ON i.incident_id BETWEEN q.incident_id + 1 AND q.incident_id + 4 WHERE q.incident_id % 10 = 1)"
 
 
 def _matches(spark, d):
     asked = table(spark, d, "incidents").where("incident_id % 10 = 1").select(F.col("incident_id").alias("query"))
     near = asked.select("query", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("place"))
-    near = near.select("query", (F.col("query") + F.col("place")).alias("incident_id"), (1 - F.col("place") * 0.125).alias("similarity"), F.col("place").cast("long").alias("place"))
+    near = near.select("query", (F.col("query") + F.col("place")).alias("incident_id"), (1 / (1 + F.col("place") * 0.37)).alias("similarity"), F.col("place").cast("long").alias("place"))
     return near.join(table(spark, d, "incidents").select("incident_id"), "incident_id", "left_semi")
 
 
@@ -93,17 +93,17 @@ def phase_then_score(spark, d):
     return rows.select("query", "key", F.row_number().over(Window.partitionBy("query").orderBy("phase_no", F.desc("score"), "key")).cast("long").alias("place"))
 
 
-@query("rnk16_what_worked", f"WITH {_ROLL}, a AS (SELECT query, action, score, place % 2 = 0 AND query % 20 = 1 AS recalled FROM top), b AS (SELECT *, bool_or(recalled) OVER (PARTITION BY query) AS some FROM a) SELECT query, action, score, recalled, row_number() OVER (PARTITION BY query ORDER BY score DESC, action) AS place FROM b WHERE recalled OR NOT some QUALIFY place <= 5")
+@query("rnk16_what_worked", f"WITH {_ROLL}, a AS (SELECT query, action, score, place % 2 = 0 AND query % 20 = 1 AS recalled FROM top), b AS (SELECT *, bool_or(recalled) OVER (PARTITION BY query) AS any_recalled FROM a) SELECT query, action, score, recalled, row_number() OVER (PARTITION BY query ORDER BY score DESC, action) AS place FROM b WHERE recalled OR NOT any_recalled QUALIFY place <= 5")
 def what_worked(spark, d):
     rows = _rolled(spark, d).select("query", "action", "score", ((F.col("place") % 2 == 0) & (F.col("query") % 20 == 1)).alias("recalled"))
     return act.what_worked(rows)
 
 
-@query("rnk17_same_entry", f"WITH {_MATCHES}, v AS (SELECT incident_id, initial_vector FROM incidents) SELECT m.query, m.incident_id, a.initial_vector, m.similarity, row_number() OVER (PARTITION BY m.query ORDER BY m.similarity DESC, m.incident_id) AS place FROM m JOIN v a ON a.incident_id = m.incident_id JOIN v b ON b.incident_id = m.query AND b.initial_vector = a.initial_vector AND b.initial_vector <> 'unknown' QUALIFY place <= 3")
+@query("rnk17_same_entry", f"WITH {_MATCHES}, v AS (SELECT incident_id, initial_vector FROM incidents) SELECT query, incident_id, initial_vector, round(similarity, 6) AS similarity, n AS place FROM (SELECT m.query, m.incident_id, a.initial_vector, m.similarity, row_number() OVER (PARTITION BY m.query ORDER BY m.similarity DESC, m.incident_id) AS n FROM m JOIN v a ON a.incident_id = m.incident_id JOIN v b ON b.incident_id = m.query AND b.initial_vector = a.initial_vector AND b.initial_vector <> 'unknown') WHERE n <= 3")
 def same_entry(spark, d):
     vectors = table(spark, d, "incidents").select("incident_id", "initial_vector")
     matches = _matches(spark, d).drop("place").join(vectors, "incident_id")
-    return act.same_entry(vectors.withColumnRenamed("incident_id", "query"), matches).select("query", "incident_id", "initial_vector", "similarity", "place")
+    return act.same_entry(vectors.withColumnRenamed("incident_id", "query"), matches).select("query", "incident_id", "initial_vector", F.round("similarity", 6).alias("similarity"), "place")
 
 
 @query("rnk18_top_two_actions", "SELECT incident_id, position, row_number() OVER (PARTITION BY incident_id ORDER BY coalesce(effectiveness, 0) DESC, position) AS place FROM actions QUALIFY place <= 2")
@@ -200,7 +200,7 @@ def answers(spark, d):
     return tabletop.answers(asked, memory.top_k(_scores(spark, d), 6), titles)
 
 
-@query("qa03_citation_check", "SELECT incident_id, array_to_string(list_sort(list(DISTINCT technique) FILTER (WHERE ord <= 3 AND technique IN (SELECT technique FROM facts WHERE ord > 3))), ',') AS verified, CAST(len(list(DISTINCT technique) FILTER (WHERE ord <= 3 AND technique NOT IN (SELECT technique FROM facts WHERE ord > 3))) AS BIGINT) AS unsupported FROM facts WHERE ord <= 3 GROUP BY 1")
+@query("qa03_citation_check", "SELECT incident_id, coalesce(array_to_string(list_sort(list(DISTINCT technique) FILTER (WHERE ord <= 3 AND technique IN (SELECT technique FROM facts WHERE ord > 3))), ','), '') AS verified, CAST(coalesce(len(list(DISTINCT technique) FILTER (WHERE ord <= 3 AND technique NOT IN (SELECT technique FROM facts WHERE ord > 3))), 0) AS BIGINT) AS unsupported FROM facts WHERE ord <= 3 GROUP BY 1")
 def citation_check(spark, d):
     facts = table(spark, d, "facts")
     known = facts.where("ord > 3").agg(F.collect_set("technique").alias("known"))  # a closed vocabulary of technique ids

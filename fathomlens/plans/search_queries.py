@@ -139,7 +139,7 @@ TERMS = [(1, "licensing", "license", 3), (2, "licensing", "mit license", 4), (3,
 CUES = ["not", "no", "without", "of"]
 _TERMS_SQL = ", ".join(f"({o}, '{a}', '{t}', {w})" for o, a, t, w in TERMS)
 _WORDS = "words AS (SELECT doc_id AS doc, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)"
-_HITS = f"vocab(ordinal, label, term, weight) AS (VALUES {_TERMS_SQL}), {_WORDS}, pos AS (SELECT doc, w, unnest(range(1, len(w) + 1)) AS spot FROM words), grams AS (SELECT doc, spot, unnest([array_to_string(w[spot:spot+n], ' ') FOR n IN range(0, 4) IF spot + n <= len(w)]) AS gram FROM pos), hits AS (SELECT doc, spot, ordinal, label, term, weight FROM grams JOIN vocab ON gram IN (term, term || 's', term || 'es'))"
+_HITS = f"vocab(ordinal, label, term, weight) AS (VALUES {_TERMS_SQL}), {_WORDS}, wp AS (SELECT doc, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS spot FROM words), pos AS (SELECT doc, spot, word AS w1, lead(word) OVER o AS w2, lead(word, 2) OVER o AS w3, lead(word, 3) OVER o AS w4 FROM wp WINDOW o AS (PARTITION BY doc ORDER BY spot)), grams AS (SELECT doc, spot, w1 AS gram FROM pos UNION ALL SELECT doc, spot, w1 || ' ' || w2 FROM pos WHERE w2 IS NOT NULL UNION ALL SELECT doc, spot, w1 || ' ' || w2 || ' ' || w3 FROM pos WHERE w3 IS NOT NULL UNION ALL SELECT doc, spot, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM pos WHERE w4 IS NOT NULL), hits AS (SELECT doc, spot, ordinal, label, term, weight FROM grams JOIN vocab ON gram IN (term, term || 's', term || 'es'))"
 _SPANS = f"cw AS (SELECT doc_id AS doc, regexp_extract_all(regexp_replace(lower(text), '[.!?;\\n]', ' | ', 'g'), '[a-z0-9]+|\\|') AS w FROM documents), cpos AS (SELECT doc, w, unnest(range(1, len(w) + 1)) AS i FROM cw), cues AS (SELECT doc, w[i + 1:i + 8] AS ahead, i + 1 - len(list_filter(w[1:i], lambda x: x = '|')) AS start FROM cpos WHERE w[i] IN ({', '.join(repr(c) for c in CUES)})), spans AS (SELECT doc, start, start + coalesce(list_position(ahead, '|') - 1, len(ahead)) AS stop FROM cues WHERE coalesce(list_position(ahead, '|') - 1, len(ahead)) > 0)"
 _AFFIRMED = f"{_HITS}, {_SPANS}, good AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc = h.doc AND h.spot >= s.start AND h.spot < s.stop))"
 _LABELS = f"{_AFFIRMED}, once AS (SELECT doc, label, term, max(weight) AS weight, min(ordinal) AS ordinal FROM good GROUP BY 1, 2, 3), labels_ AS (SELECT doc, label, CAST(sum(weight) AS BIGINT) AS score, count(*) AS terms, min(ordinal) AS ordinal FROM once GROUP BY 1, 2)"
@@ -299,7 +299,7 @@ def _pairs(spark, d):
 def _structure(pairs):
     none = F.array().cast("array<string>")
     score = memory.structural_score((F.col("ta"), F.col("tb")), (F.col("ka"), F.col("kb")), (F.col("aa"), F.col("ab")), (F.col("va"), F.col("vb")), (none, none))
-    return pairs.withColumn("structure", F.round(score, 4))
+    return pairs.withColumn("structure", F.round(score, 6))
 
 
 @query("rnk07_jaccard", f"WITH {_SETS} SELECT query, doc, round({_J.format('ta', 'tb')}, 4) AS jaccard FROM pairs")
@@ -307,7 +307,7 @@ def jaccard(spark, d):
     return _pairs(spark, d).select("query", "doc", F.round(memory.jaccard(F.col("ta"), F.col("tb")), 4).alias("jaccard"))
 
 
-_STRUCT = f"round(0.45::DOUBLE * ({_J.format('ta', 'tb')}) + 0.20::DOUBLE * ({_J.format('ka', 'kb')}) + 0.18::DOUBLE + CASE WHEN va = vb AND va <> 'unknown' THEN 0.10::DOUBLE ELSE 0.0::DOUBLE END, 4)"
+_STRUCT = f"round(0.45::DOUBLE * ({_J.format('ta', 'tb')}) + 0.20::DOUBLE * ({_J.format('ka', 'kb')}) + 0.18::DOUBLE + CASE WHEN va = vb AND va <> 'unknown' THEN 0.10::DOUBLE ELSE 0.0::DOUBLE END, 6)"
 
 
 @query("rnk08_structural_score", f"WITH {_SETS} SELECT query, doc, {_STRUCT} AS structure, array_to_string(list_filter([CASE WHEN len(s) > 0 THEN 'shared techniques: ' || array_to_string(s[1:4], ', ') || CASE WHEN len(s) > 4 THEN ' (+' || (len(s) - 4) || ' more)' ELSE '' END END, 'same type: ' || aa, CASE WHEN va = vb AND va <> 'unknown' THEN 'same entry: ' || va END], lambda x: x IS NOT NULL), '; ') AS reasons FROM (SELECT *, list_sort(list_intersect(ta, tb)) AS s FROM pairs)")
