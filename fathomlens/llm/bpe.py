@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 import unicodedata
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from .shared import table, text_slices
 
 #: Words whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: Longer texts are encoded in parts of about so many characters, cut at white space.
 PART = 1 << 19
 _END = "\x00"  # stands for the end-of-word mark inside the automaton
@@ -187,13 +188,12 @@ class Encoder:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.flat: list[int] = []
-        self.bounds: list[int] = [0]
+        self.flat, self.bounds = array("i"), array("q", [0])
         for text, i in self.special.items():
             self._keep(_END + text, [i])
 
     def _keep(self, word: str, ids: list[int]) -> int:
-        self.flat += ids
+        self.flat.extend(ids)
         self.bounds.append(len(self.flat))
         self.index[word] = at = len(self.index)
         return at
@@ -237,9 +237,9 @@ class Encoder:
             counts.append(sum(map(len, found)))
             places += found
         words = np.concatenate(places) if places else np.zeros(0, np.int64)
-        bounds, flat = np.array(self.bounds), np.array(self.flat, np.int32)
+        bounds, flat = np.frombuffer(self.bounds, np.int64), np.frombuffer(self.flat, np.int32)
         if len(self.index) > REMEMBERED:
-            self.forget()
+            self.forget()  # the views keep what they show
         lengths = bounds[words + 1] - bounds[words]
         ends = np.concatenate(([0], np.cumsum(lengths)))
         ids = flat[np.arange(ends[-1]) + np.repeat(bounds[words] - ends[:-1], lengths)]

@@ -25,7 +25,7 @@ from .shared import held_out, table, text_slices
 TRAIN_DOCS, TRAIN_BYTES, TRAIN_LANGUAGES = 1500, 1 << 16, 1000
 PENALTY, ROUNDS, SMOOTH = 3.0, 12, 0.5
 UNKNOWN = "und"
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 

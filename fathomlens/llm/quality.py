@@ -25,11 +25,11 @@ from pyspark.sql import types as T
 from .shared import held_out, mix, table, text_slices
 
 #: Bounds of the sample that the model is fitted on.
-TRAIN_DOCS, TRAIN_BYTES = 6000, 1 << 15
+TRAIN_DOCS, TRAIN_BYTES = 3000, 1 << 14
 BUCKETS, DIM, NGRAMS = 1 << 17, 8, (1, 2, 3)
 STEPS, EPOCHS, RATE = 24_000, 40, 0.3  # as many epochs as make STEPS steps, EPOCHS at most
 ACCEPT = 0.7
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 @dataclass
