@@ -248,4 +248,4 @@ def _fit(classes: DataFrame, size: int, least: float) -> tuple[MultiIndex, int,
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_embeddings(table(spark, sf_dir, "embeddings"))
+    return near_embeddings(table(spark, sf_dir, "embeddings")).drop("recall")

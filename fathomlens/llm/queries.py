@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op9_bpe_encode_decode
-from .chat_format import op10_chat_format
+from .chat_format import END, ESCAPES, TEXT, TURN, op10_chat_format
 from .decontaminate import op3_benchmark_decontamination
 from .embedding_dedup import op5_embedding_near_dedup
 from .language_id import op2_language_id
@@ -33,4 +33,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_REACH = """reach AS (SELECT a AS node, b AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other)"""
+
+_OP4 = f"""WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), links AS (
+    SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id
+    GROUP BY x.doc_id, y.doc_id, nx.n, ny.n HAVING 100 * count(*) >= 85 * (nx.n + ny.n - count(*))
+), {_REACH}
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.low, d.doc_id)) AS component_id, d.doc_id <= coalesce(c.low, d.doc_id) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT node, min(other) AS low FROM reach GROUP BY 1) c ON c.node = d.doc_id"""
+
+_OP5 = f"""WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), links AS (
+    SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.9
+), {_REACH}
+SELECT v.vec_id, coalesce(l.n, 0) AS n_links, least(v.vec_id, coalesce(c.low, v.vec_id)) AS component_id, v.vec_id <= coalesce(c.low, v.vec_id) AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY 1) l ON l.a = v.vec_id LEFT JOIN (SELECT node, min(other) AS low FROM reach GROUP BY 1) c ON c.node = v.vec_id"""
+
+
+def _escaped(column: str) -> str:
+    for plain, safe in ESCAPES:
+        column = f"replace({column}, '{plain}', '{safe}')"
+    return column
+
+
+_OP10 = f"""WITH t AS (
+    SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), a AS (
+    SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS every,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+        CAST(sum({len(TURN) + len(TEXT) + len(END)} + length({_escaped("role")}) + length({_escaped("text")})) AS BIGINT) AS formatted_chars
+    FROM t GROUP BY 1
+)
+SELECT conv_id, n_turns, sha256(every) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a"""
+
+ORACLE_SQL: dict[str, str] = {"op4_minhash_near_dedup": _OP4, "op5_embedding_near_dedup": _OP5, "op10_chat_format": _OP10}
