@@ -43,26 +43,46 @@ def _found(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
 
 
-def _rewrite(text: Column, pattern: str, token) -> Column:
-    """The text with the n-th match replaced by token(match), by position, so that no equal text elsewhere is touched."""
-    gaps, found = F.split(text, pattern, -1), _found(text, pattern)
-    return F.array_join(F.zip_with(gaps, F.transform(found, token), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+def _let(value: Column, body) -> Column:
+    """body(value), with `value` written and computed once however often the body names it.
 
+    Steps that name their input several times would otherwise grow without bound when the optimiser merges them."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-def _numbering(label: str, values: Column):
-    """Functions that give a value's number and its token: numbered by place in `values`, bare if it is the only one."""
 
-    def number(x: Column) -> Column:
-        return F.array_position(values, x)
+def _join(gaps: Column, found: Column) -> Column:
+    """gap, found, gap, … as one text."""
+    return F.array_join(F.zip_with(gaps, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
-    def token(x: Column) -> Column:
-        return F.when(F.size(values) == 1, F.lit(f"[{label}_REDACTED]")).otherwise(F.concat(F.lit(f"[{label}_REDACTED_"), number(x).cast("string"), F.lit("]")))
 
-    return number, token
+def _step(shape: Shape):
+    """From (t, entities) to (t, entities) with one shape's values taken out of t, by position."""
 
+    def rewritten(state: Column, found: Column, values: Column) -> Column:
+        def token(x: Column) -> Column:
+            numbered = F.concat(F.lit(f"[{shape.label}_REDACTED_"), F.array_position(values, x).cast("string"), F.lit("]"))
+            return F.when(F.size(values) == 1, F.lit(f"[{shape.label}_REDACTED]")).otherwise(numbered)
 
-def _entity(label: str, number, token):
-    return lambda x: F.struct(F.lit(label).alias("label"), x.alias("value"), number(x).cast("long").alias("number"), token(x).alias("token"))
+        def entity(x: Column) -> Column:
+            return F.struct(F.lit(shape.label).alias("label"), x.alias("value"), F.array_position(values, x).cast("long").alias("number"), token(x).alias("token"))
+
+        text = _join(F.split(state["t"], shape.pattern, -1), F.transform(found, token))
+        return F.struct(text.alias("t"), F.concat(state["entities"], F.transform(values, entity)).alias("entities"))
+
+    return lambda state: _let(_found(state["t"], shape.pattern), lambda found: _let(F.array_distinct(found), lambda values: rewritten(state, found, values)))
+
+
+def redacted(text: Column, shapes: list[Shape] = SHAPES) -> Column:
+    """struct<t, entities>: the text with all shapes taken out, protected ones kept."""
+
+    def of(t: Column) -> Column:
+        none = F.array().cast("array<struct<label:string,value:string,number:bigint,token:string>>")
+        state = F.struct(F.array_join(F.split(t, PROTECTED, -1), HOLD).alias("t"), none.alias("entities"))
+        for s in shapes:
+            state = _let(state, _step(s))
+        return _let(state, lambda x: F.struct(_join(F.split(x["t"], HOLD, -1), _found(t, PROTECTED)).alias("t"), x["entities"].alias("entities")))
+
+    return _let(F.coalesce(text, F.lit("")), of)
 
 
 def redact(docs: DataFrame, text: str = "text", shapes: list[Shape] = SHAPES) -> DataFrame:
@@ -70,17 +90,9 @@ def redact(docs: DataFrame, text: str = "text", shapes: list[Shape] = SHAPES) ->
 
     A value always gets the same token. Tokens of a label are numbered in order of first place, unless there is only
     one, which stays bare. Protected shapes survive. Null texts give null and no entities. Idempotent."""
-    kept = _found(F.col(text), PROTECTED)
-    df = docs.withColumn("_kept", kept).withColumn("_t", F.array_join(F.split(F.col(text), PROTECTED, -1), HOLD))
-    df = df.withColumn("_t", F.when(F.col(text).isNotNull(), F.col("_t")))
-    for i, s in enumerate(shapes):
-        df = df.withColumn(f"_v{i}", F.array_distinct(_found(F.coalesce("_t", F.lit("")), s.pattern)))
-        number, token = _numbering(s.label, F.col(f"_v{i}"))
-        df = df.withColumn("_t", _rewrite(F.col("_t"), s.pattern, token)).withColumn(f"_e{i}", F.transform(f"_v{i}", _entity(s.label, number, token)))
-    held = F.split(F.col("_t"), HOLD, -1)
-    restored = F.array_join(F.zip_with(held, "_kept", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    own = [c for c in docs.columns if c not in ("sanitized", "entities")]
-    return df.select(*own, F.when(F.col(text).isNotNull(), restored).alias("sanitized"), F.flatten(F.array(*[f"_e{i}" for i in range(len(shapes))])).alias("entities"))
+    own = [F.col(c) for c in docs.columns if c not in ("sanitized", "entities")]
+    df = docs.withColumn("_r", redacted(F.col(text), shapes))
+    return df.select(*own, F.when(F.col(text).isNotNull(), F.col("_r.t")).alias("sanitized"), F.col("_r.entities").alias("entities"))
 
 
 def entity_counts(redacted: DataFrame, doc: str) -> DataFrame:
@@ -94,12 +106,9 @@ def audit_rows(redacted: DataFrame, doc: str) -> DataFrame:
     return rows.select(doc, F.col("e.token").alias("token"), F.col("e.label").alias("label"), mask_value(F.col("e.value")).alias("preview"))
 
 
-def self_check(redacted: DataFrame, shapes: list[Shape] = SHAPES) -> DataFrame:
-    """`redacted` with residuals: identifiers that a second run still finds in the sanitized text; clean means none."""
-    again = redact(redacted.withColumnRenamed("entities", "_first").withColumnRenamed("sanitized", "_once"), "_once", shapes)
-    rest = F.transform("entities", lambda e: e["value"])
-    kept = [c for c in redacted.columns if c not in ("sanitized", "entities")]
-    return again.select(*kept, F.col("_once").alias("sanitized"), F.col("_first").alias("entities"), rest.alias("residuals"))
+def self_check(sanitized: DataFrame, shapes: list[Shape] = SHAPES) -> DataFrame:
+    """`sanitized` with residuals: identifiers that a second run still finds in the sanitized text; clean means none."""
+    return sanitized.withColumn("residuals", F.transform(redacted(F.col("sanitized"), shapes)["entities"], lambda e: e["value"]))
 
 
 def gate(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

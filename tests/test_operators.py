@@ -1,0 +1,184 @@
+import hashlib
+import hmac
+import io
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from fathomlens.functions import text as tx
+from fathomlens.operators import actions, evaluation, fingerprint, indicators, memory, overview, privacy, resemblance, tabletop
+from fathomlens.plans import analyze
+from fathomlens.plans.pipeline_queries import knowledge
+from fathomlens.sources import corpora, reports, sinks
+from fathomlens.streaming.overview import first_seen, windowed_counts
+
+
+def redacted(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    return [(r.sanitized, [(e.label, e.value, e.number) for e in r.entities]) for r in privacy.redact(df).orderBy("id").collect()]
+
+
+def test_redaction(spark):
+    sample = "Mail ann@x.org and bob@y.org, then ann@x.org from 10.0.0.1. See CVE-2024-12345, T1059.001."
+    once, none, empty = redacted(spark, sample, None, "")
+    assert once[0] == "Mail [EMAIL_REDACTED_1] and [EMAIL_REDACTED_2], then [EMAIL_REDACTED_1] from [IP_REDACTED]. See CVE-2024-12345, T1059.001."
+    assert once[1] == [("EMAIL", "ann@x.org", 1), ("EMAIL", "bob@y.org", 2), ("IP", "10.0.0.1", 1)]
+    assert none == (None, []) and empty == ("", [])
+    assert redacted(spark, once[0])[0] == (once[0], [])  # idempotent
+    whole = redacted(spark, "ba@x.com then a@x.com")[0][0]
+    assert whole == "[EMAIL_REDACTED_1] then [EMAIL_REDACTED_2]"
+    sha = "ab" * 32
+    assert redacted(spark, f"file {sha} of 4111 1111 1111 1111")[0][0] == f"file {sha} of [CREDIT_CARD_REDACTED]"
+
+
+def test_self_check_gate_counts_audit(spark):
+    df = privacy.redact(spark.createDataFrame([(1, "a@b.org c@d.org a@b.org 1.2.3.4")], "id long, text string"))
+    accepted, refused = privacy.gate(privacy.self_check(df))
+    assert accepted.count() == 1 and refused.count() == 0
+    assert {(r.label, r.n) for r in privacy.entity_counts(df, "id").collect()} == {("EMAIL", 2), ("IP", 1)}
+    assert sorted(r.preview for r in privacy.audit_rows(df, "id").collect()) == ["1.***.4", "a@***rg", "c@***rg"]
+
+
+def test_pseudonym_is_hmac(spark):
+    got = spark.createDataFrame([("  Ann   Corp ",), ("ann corp",), (" ",), (None,)], "n string").select(privacy.pseudonym(F.col("n"), b"key").alias("p")).collect()
+    want = hmac.new(b"key", b"ann corp", hashlib.sha256).hexdigest()
+    assert [r.p for r in got] == [want, want, None, None]
+
+
+def test_names(spark):
+    docs = spark.createDataFrame([(1, "The attackers phoned Maria Lopez. Later Acme Bank paid. Nothing else."), (2, None)], "id long, text string")
+    ordinary = spark.createDataFrame([(w,) for w in "the attackers phoned later bank paid nothing else".split()], "word string")
+    assert {(r.name, r.words) for r in privacy.name_spans(docs, "id", "text", ordinary).collect()} == {("Maria Lopez", 2), ("Acme Bank", 2)}
+
+
+def test_search_is_metamorphic(spark):
+    memory_rows = [(1, "ransomware encrypted backups"), (2, "phishing mail with invoice"), (3, "stolen credentials on vpn")]
+    docs = spark.createDataFrame(memory_rows, "id long, text string")
+
+    def ask(text, rows=docs):
+        q = spark.createDataFrame([(9, text)], "id long, text string")
+        return [(r.doc, r.score) for r in memory.top_k(memory.tfidf_scores(q, rows, "id", "id"), 3).orderBy("place").collect()]
+
+    bare, padded = ask("ransomware"), ask("the ransomware was in the")
+    assert bare[0][0] == 1 and abs(bare[0][1] - padded[0][1]) < 0.05 * bare[0][1]
+    assert ask("quantum zebra") == []
+    assert ask("ransomware zebra quantum")[0][1] < bare[0][1]
+    grown = docs.union(spark.createDataFrame([(4, "ransomware again")], docs.schema))
+    assert dict(ask("ransomware", grown))[1] != bare[0][1] and ask("ransomware", grown.where("id <> 4")) == bare
+
+
+def test_actions_and_next_steps(spark):
+    acts = spark.createDataFrame([(1, 0, "Reset", "contain", 0.9), (2, 0, " reset ", "harden", 1.0), (2, 1, "Ask", "detect", None)], "incident_id long, position long, action string, category string, effectiveness double")
+    best = overview.action_effectiveness(acts).collect()
+    assert [(r.action, r["mean"], r.times_used) for r in best] == [("reset", 0.95, 2)]
+    matches = spark.createDataFrame([(7, 1, 0.5, 1), (7, 2, 0.4, 2)], "query long, incident_id long, similarity double, place long")
+    rolled = actions.roll_up(matches, acts).orderBy("place").collect()
+    assert [(r.action, r.category, r.score, r.sources) for r in rolled] == [("Reset", "contain", round((0.45 + 0.4) * 1.15, 4), 2), ("Ask", "detect", 0.24, 1)]
+    reached = spark.createDataFrame([(7, 2), (7, 3)], "query long, rank long")
+    stages = spark.createDataFrame([(7, 1, 9, "lateral"), (7, 1, 13, "impact"), (7, 2, 13, "impact"), (7, 2, 12, "exfil"), (7, 2, 2, "entry")], "query long, incident_id long, rank long, stage string")
+    assert [(r.stage, r.n) for r in actions.next_steps(reached, stages).orderBy("place").collect()] == [("lateral", 1), ("exfil", 1), ("impact", 2)]
+
+
+def test_severity_bands_with_zeros(spark):
+    rows = spark.createDataFrame([("high",), ("high",), (None,), ("odd",)], "severity string")
+    assert [(r.label, r.n) for r in overview.in_order(rows, "severity", overview.SEVERITIES).orderBy("place").collect()] == [("low", 0), ("medium", 0), ("high", 2), ("critical", 0)]
+
+
+def test_one_shared_technique_is_no_resemblance(spark):
+    profiles = spark.createDataFrame([("a", "T1"), ("a", "T2"), ("b", "T1"), ("b", "T9")], "profile string, technique string")
+    seen = spark.createDataFrame([(1, "T1"), (1, "T2"), (2, "T1"), (2, "T5")], "query long, technique string")
+    assert [(r.query, r.profile, r.band) for r in resemblance.resemblance(seen, profiles).collect()] == [(1, "a", "notable")]
+
+
+def test_indicators(spark):
+    sha = "0f" * 32
+    text = f"drop {sha.upper()} run.EXE via smb on port 445, tcp/0 and tcp/99999; HKLM\\Software\\Run, cve-2021-44228"
+    rows = indicators.profile(spark.createDataFrame([(1, text), (2, None)], "id long, text string"), "id", "text").collect()
+    assert {(r.kind, r.value) for r in rows} == {("sha256", sha), ("extension", "exe"), ("protocol", "SMB"), ("protocol", "TCP"), ("port", "445"), ("registry", "HKLM\\Software\\Run"), ("cve", "CVE-2021-44228")}
+
+
+def test_negation(spark):
+    docs = spark.createDataFrame([(1, "There was no ransomware here. Phishing was seen"), (2, "ransomware and phishings")], "id long, text string")
+    vocabulary = spark.createDataFrame([(1, "r", "ransomware", 5), (2, "p", "phishing", 3)], "ordinal int, label string, term string, weight int")
+    hits = fingerprint.affirmed(fingerprint.phrase_hits(docs, vocabulary, "id", "text"), fingerprint.negated(docs, "id", "text", ["no"]))
+    assert {(r.doc, r.label) for r in hits.collect()} == {(1, "p"), (2, "r"), (2, "p")}
+
+
+def test_text_functions(spark):
+    row = spark.range(1).select(
+        tx.search_tokens(F.lit("The CVE-2024-1. of x.y-")).alias("a"), tx.sentences(F.lit("One two three four. No.\nfive six seven eight nine")).alias("b"), tx.mask_value(F.lit("abcd")).alias("c"), tx.mask_value(F.lit("abcdef")).alias("d"),
+        tx.pretty(F.lit(None)).alias("e"), tx.extract_ids(F.lit("cve-2024-11111 CVE-2023-22222 CVE-2024-11111"), tx.CVE).alias("f"), tx.highlight_tokens(F.lit("a [IP_REDACTED_2]")).alias("g"),
+    ).first()
+    assert list(row) == [["cve-2024-1", "x.y"], ["One two three four.", "five six seven eight nine"], "****", "ab**ef", "Unknown", ["CVE-2024-11111", "CVE-2023-22222"], "a <mark>[IP_REDACTED_2]</mark>"]
+
+
+def test_evaluation(spark):
+    ranked = spark.createDataFrame([(1, 1, True), (1, 2, False), (2, 1, False), (2, 2, True), (3, 1, False)], "query long, place long, relevant boolean")
+    r = evaluation.ranking_metrics(ranked).first()
+    assert (r.queries, r.p_at_1, r.recall_at_k, r.p_at_k, r.mrr) == (3, 0.3333, 0.6667, 0.4, 0.5)
+    low, high = evaluation.wilson(F.lit(275), F.lit(279))
+    assert list(spark.range(1).select(low, high).first()) == [0.9637, 0.9944]
+
+
+def test_answers_refuse_honestly(spark):
+    asked = spark.createDataFrame([(1,), (2,)], "query long")
+    hits = spark.createDataFrame([(1, 5, 0.5, 1), (2, 5, 0.02, 1)], "query long, doc long, score double, place long")
+    titles = spark.createDataFrame([(5, "t")], "doc long, title string")
+    assert {r.query: (r.sources, r.answer) for r in tabletop.answers(asked, hits, titles).collect()} == {1: (1, "- t"), 2: (0, "The memory holds nothing on this.")}
+
+
+def test_report_files(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("﻿hällo".encode())
+    (tmp_path / "b.log").write_bytes("x".encode("utf-16"))
+    (tmp_path / "c.exe").write_bytes(b"MZ")
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    cell = lambda t: f"<w:tc><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+    body = f"<w:document {w}><w:body><w:p><w:r><w:t>Hello</w:t></w:r></w:p><w:tbl><w:tr>{cell('k')}{cell('v')}{cell('k')}</w:tr></w:tbl></w:body></w:document>"
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("word/document.xml", body)
+    (tmp_path / "d.docx").write_bytes(data.getvalue())
+    (tmp_path / "e.docx").write_bytes(b"broken")
+    got = {r.path.rsplit("/", 1)[-1]: (r.text, r.error) for r in reports.read_reports(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": ("hällo", None), "b.log": ("x", None), "c.exe": (None, "unreadable: .exe"), "d.docx": ("Hello\nk | v", None), "e.docx": (None, "unreadable: broken docx")}
+
+
+def test_layers_and_sinks(spark, tmp_path):
+    assert corpora.optional(spark, str(tmp_path / "absent"), "value string", "text").count() == 0
+    with pytest.raises(FileNotFoundError, match="load it"):
+        corpora.required(spark, str(tmp_path / "absent"), "a string", "load it")
+    examples = spark.createDataFrame([("T1", "s", "[X](http://x) used <code>cmd</code>  to run it(Citation: y)"), ("T1", "s", "too short")], "technique string, source string, description string")
+    assert [r.sentence for r in corpora.procedure_examples(examples).collect()] == ["X used cmd to run it"]
+    rows = spark.createDataFrame([(1, "public")], "incident_id long, provenance string")
+    for _ in range(2):
+        sinks.append_incidents(rows, rows.select("incident_id"), str(tmp_path / "store"))
+    assert spark.read.parquet(str(tmp_path / "store/incidents")).count() == 2
+
+
+def test_engine(spark):
+    texts = spark.createDataFrame([(1, "Released under the MIT License by a@b.org."), (2, "Released under the MIT License by c@d.org"), (3, "nothing here"), (4, "work of the MIT License")], "doc_id long, text string")
+    stored = analyze.fingerprints(texts, knowledge(spark)).cache()
+    acts = spark.createDataFrame([(1, 0, "Reset", "contain", 0.9)], "incident_id long, position long, action string, category string, effectiveness double")
+    engine = analyze.Engine(spark, knowledge(spark), stored, acts)
+    one = stored.where("doc = 1").first()
+    assert one.clean and "[EMAIL_REDACTED]" in one.sanitized and one.attack_type == "licensing" and "T1010" in one.techniques
+    assert stored.where("doc = 3").first().attack_type == "unknown"
+    near = engine.search(texts.where("doc_id = 2")).orderBy("place").collect()
+    assert near[0].doc == 1 and all(r.doc != 2 for r in near)
+    assert engine.respond(texts.where("doc_id = 2")).first().action == "Reset"
+    assert engine.contribute(texts)[0].count() == 0
+    engine.delete(spark.createDataFrame([(1,)], "incident_id long"))
+    assert engine.incidents.count() == 3 and engine.actions.count() == 0
+
+
+def test_streams(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", "2024-01-01 00:10:00"), (2, "a", "2024-01-01 00:50:00"), (2, "a", "2024-01-01 00:50:00"), (3, None, "2024-01-01 03:00:00")], "id long, label string, at string")
+    rows.write.parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    for name, df, mode in (("counts", windowed_counts(read(), "at", "label"), "complete"), ("firsts", first_seen(read(), "id", "at"), "append")):
+        query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).start()
+        query.processAllAvailable()
+        query.stop()
+    assert {(r.label, r.n) for r in spark.table("counts").collect()} == {("a", 3), ("unknown", 1)}
+    assert spark.table("firsts").count() == 3
