@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import search_tokens
 
+#: Queries that are broadcast at a time.
+BLOCK = 20_000
 FLOORS = {"sparse": 0.10, "dense": 0.73}
 
 
@@ -60,12 +62,16 @@ def top_k(scores: DataFrame, k: int, floor: float = 0.0, score: str = "score", t
 def dense_scores(queries: DataFrame, memory: DataFrame, dimension: int) -> DataFrame:
     """(query, doc, score) with score = (1 + cosine) / 2, rounded to 4 places; a query is not its own candidate.
 
-    queries (query, v) and memory (doc, v) hold vectors of one dimension; all pairs are scored (a stated query set against
-    all rows), by an expression that is unrolled over the dimension and compiled."""
+    queries (query, v) and memory (doc, v) hold vectors of one dimension. A stated query set meets all rows: queries are
+    broadcast in blocks of about BLOCK, however many there are, and a compiled expression, unrolled over the dimension, scores each pair."""
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    blocks = -(-queries.count() // BLOCK) or 1
     q = queries.select("query", F.col("v").alias("a"), norm("v").alias("na"))
     m = memory.select("doc", F.col("v").alias("b"), norm("v").alias("nb"))
-    pairs = m.join(q, F.col("query") != F.col("doc"))
+    pairs = None
+    for i in range(blocks):
+        block = m.join(F.broadcast(q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)), F.col("query") != F.col("doc"))
+        pairs = block if pairs is None else pairs.union(block)
     dot = sum((F.get("a", F.lit(i)).cast("double") * F.get("b", F.lit(i)).cast("double") for i in range(1, dimension)), F.get("a", F.lit(0)).cast("double") * F.get("b", F.lit(0)).cast("double"))
     return pairs.select("query", "doc", F.round((1 + dot / (F.col("na") * F.col("nb"))) / 2, 4).alias("score"))
 

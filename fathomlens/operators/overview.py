@@ -20,7 +20,8 @@ def ranked(df: DataFrame, label: Column, limit: int | None = None) -> DataFrame:
 def placed(df: DataFrame, order: list[Column], limit: int | None = None) -> DataFrame:
     """`df` with place, its number in a total order; `limit` keeps the first (a top-k report).
 
-    With a limit, only the first rows of each partition reach the last step."""
+    With a limit, only the first rows of each partition reach the last step. Without one, `df` must be as small as a
+    vocabulary, since one task numbers it."""
     if limit is not None:
         df = df.orderBy(*order).limit(limit)
     return df.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
