@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import actions, catalog, fingerprint, indicators, memory, overview, privacy
+from ..sources.sinks import staged
 
 
 @dataclass
@@ -27,11 +28,14 @@ def fingerprints(reports: DataFrame, knowledge: Knowledge, doc: str = "doc_id",
 
     Text is sanitised and checked first; everything else is taken from the sanitised text. A report without any hit
     has the type unknown, no techniques and severity low."""
-    checked = privacy.self_check(privacy.redact(reports.select(F.col(doc).alias("doc"), F.col(text).alias("text")))).drop("text")
+    checked = privacy.self_check(privacy.redact(reports.select(F.col(doc).alias("doc"), F.col(text).alias("text"))))
+    checked = staged(checked.select("doc", "sanitized", "residuals"))  # matching and assembly read it several times
     spans = fingerprint.negated(checked, "doc", "sanitized", list(knowledge.cues))
-    hits = fingerprint.affirmed(fingerprint.phrase_hits(checked, knowledge.vocabulary, "doc", "sanitized"), spans)
-    types = fingerprint.classify(fingerprint.label_scores(hits))
-    found = fingerprint.affirmed(fingerprint.phrase_hits(checked, knowledge.techniques, "doc", "sanitized"), spans)
+    columns = ["ordinal", "label", "term", "weight"]
+    both = knowledge.vocabulary.select(*columns, F.lit("type").alias("kind")).union(knowledge.techniques.select(*columns, F.lit("technique")))
+    hits = fingerprint.affirmed(fingerprint.phrase_hits(checked, both, "doc", "sanitized"), spans)
+    types = fingerprint.classify(fingerprint.label_scores(hits.where("kind = 'type'")))
+    found = hits.where("kind = 'technique'")
     facts = fingerprint.technique_facts(found.select("doc", F.col("label").alias("technique"), F.lit("phrase").alias("source"), F.col("term").alias("evidence"), F.col("at").alias("ord")))
     ranks = knowledge.techniques.groupBy(F.col("label").alias("technique")).agg(F.min("rank").alias("rank"))
     names = F.array(*map(F.lit, fingerprint.TACTICS))

@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """`df`, computed once and read again from a table in the folder of ``spark.checkpoint.dir``, for what several branches of a plan need.
+
+    Where no folder is configured (one machine), a temporary one is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    path = f"{context.getCheckpointDir()}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_incidents(incidents: DataFrame, actions: DataFrame, root: str) -> None:
     """Append incidents, then their actions, to two Parquet tables. The search memory is derived from them, so it is never written beside them."""
     incidents.write.mode("append").partitionBy("provenance").parquet(f"{root}/incidents")
