@@ -32,13 +32,17 @@ BLOCK_BYTES = 4 << 20
 #: Longer documents are searched in overlapping parts of this many bytes.
 PART = 1 << 20
 _FILTER_BITS = 22
+#: The usual marks; rarer ones are told by their class.
+_MARKS = re.compile("[\u0300-\u034e\u0350-\u036f]+")
 _JUNK = re.compile(rb"[^a-z0-9\x80-\xff]+")
 
 
 def normalise(text: str) -> bytes:
     """The text as it is compared: NFKD without marks, case folded, other characters as one space."""
     if not text.isascii():
-        text = "".join(c if c.isalnum() else " " for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text.casefold()))
+        if not text.isascii():
+            text = "".join(c if c.isalnum() else " " for c in text if not unicodedata.combining(c))
     return _JUNK.sub(b" ", text.lower().encode("utf-8", "ignore")).strip()
 
 
