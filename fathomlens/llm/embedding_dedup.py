@@ -5,7 +5,9 @@ a bounded sample), and the product of both is a grid of K * K cells in which eve
 filed. A query visits cells in the order of the sum of its squared distances to their two
 words (the multi-sequence order). How many cells it visits is measured: brute force over a sample of queries
 against all rows gives the rank of the cell of every true partner, and the
-visits are the least number that reaches TARGET of them.
+visits are the least number at which the mean recall of the queries that have partners reaches TARGET. Samples
+grow until ENOUGH queries have partners. Where even the largest has fewer, nothing is estimated: the grid is made coarser
+and a query visits every cell that can hold a partner at all (its half-spaces are near enough), which finds all.
 
 Visits and filed vectors meet by cell, in blocks of bounded size, so a cell with a third of all
 vectors is spread over many tasks. A task returns counts of links and, instead of all
@@ -19,14 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import components, cut, key_runs, long_lists, table
 
-#: Bounds of the sample that codebooks are fitted on and of the queries that recall is measured with.
-TRAIN, PROBES = 16_384, 256
-TARGET, MOST_VISITS = 0.995, 64
+#: Bound of the sample that codebooks are fitted on, sizes of the samples of queries that recall is measured with, and
+#: how many queries with partners are enough.
+TRAIN, PROBES, ENOUGH = 16_384, (256, 2048, 16_384), 100
+TARGET = 0.995
 CELL = 16
 BLOCK = 2048
 _SLACK = 1e-12
@@ -76,6 +79,20 @@ class MultiIndex:
         cells = near_a[:, i] * self.k + near_b[:, j]
         return np.take_along_axis(cells, np.argsort(sums, 1, kind="stable")[:, :count], 1)
 
+    def reaching(self, rows: np.ndarray, least: float) -> list[np.ndarray]:
+        """All cells of each row in which a vector of cosine `least` or more can be filed.
+
+        What is filed at word i lies on i's side of the plane between i and the row's nearest word, so its distance from
+        the row is that of the plane at least; both halves' squares add up to 2 - 2 * cosine."""
+        bounds = []
+        for near, words in zip(self.sides(rows), (self.one, self.two), strict=True):
+            first = near.argmin(1)
+            apart = np.sqrt(np.maximum(distances(words, words), 0))[first]
+            gap = near - near.min(1, keepdims=True)
+            bounds.append(np.where(apart > 1e-6, gap / (2 * np.maximum(apart, 1e-6)), 0) ** 2)
+        most = 2 - 2 * least + 1e-9
+        return [np.flatnonzero(a[:, None] + b[None, :] <= most) for a, b in zip(*bounds, strict=True)]
+
     def ranks(self, rows: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """Place of each of the `cells` in the order of the row beside it."""
         a, b = self.sides(rows)
@@ -123,14 +140,20 @@ def _meet(least: float, size: int):
                 continue
             rep, copies, home = (rows.column(c).to_numpy() for c in ("rep", "copies", "home"))
             unit = _unit(_matrix(rows.column("embedding")))
-            visits = long_lists(rows.column("visits"))
+            # The visits of the filed rows as sorted keys of (row, cell).
+            lists = rows.column("visits").combine_chunks()
+            lists = lists.take(pa.array(filed))
+            cells = lists.flatten().to_numpy()
+            span = int(max(cells.max(), home.max())) + 1
+            keys = np.sort(np.repeat(filed, np.diff(lists.offsets.to_numpy())) * span + cells)
             for at in range(0, len(asking), 512):
                 part = asking[at : at + 512]
                 x, y = np.nonzero(unit[part] @ unit[filed].T >= least - _SLACK)
                 x, y = part[x], filed[y]
                 good = rep[x] != rep[y]
                 # y's own visits reach x's home: then the task there sees the pair too, and the smaller id's visit counts.
-                good &= ~((visits[y] == home[x][:, None]).any(1) & (rep[y] < rep[x]))
+                wanted = y * span + home[x]
+                good &= ~((keys[np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)] == wanted) & (rep[y] < rep[x]))
                 x, y = x[good], y[good]
                 if not len(x):
                     continue
@@ -148,7 +171,7 @@ def _meet(least: float, size: int):
 
 
 def near_embeddings(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """One row for each row of `vectors`: vec_id, n_links, component_id, kept, and recall, the measured one of the index.
+    """One row for each row of `vectors`: vec_id, n_links, component_id, kept, and recall, the measured one of the index (1 where it finds all).
 
     Two vectors are linked if found and their cosine, in double precision, is `least` or more (exact but for
     rounding of 1e-12). n_links counts the other rows linked directly, copies included. Vectors that are null, empty, zero, or
@@ -175,12 +198,14 @@ def near_embeddings(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 unit = _unit(_matrix(part.column(0)))
-                visits = sent.value.visits(unit, count)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, visits.size + 1, visits.shape[1], dtype=np.int32)), pa.array(visits.ravel()))
+                visits = list(sent.value.visits(unit, count)) if count else sent.value.reaching(unit, least)
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in visits]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(visits)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sent.value.cell(unit)), lists], ["embedding", "rep", "copies", "home", "visits"])
 
     filed = cut(classes.mapInArrow(file, "embedding array<double>, rep long, copies long, home long, visits array<long>"))
-    asked = filed.withColumn("cell", F.explode("visits"))
+    # Only the filed side is asked for its visits.
+    asked = filed.withColumn("cell", F.explode("visits")).withColumn("visits", F.lit(None).cast("array<long>"))
     sizes = filed.groupBy(F.col("home").alias("cell")).agg(F.count("*").alias("n")).join(asked.groupBy("cell").agg(F.count("*").alias("m")), "cell")
     sizes = cut(sizes.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("x"), F.ceil(F.col("m") / BLOCK).cast("int").alias("y")))
     here = filed.withColumn("cell", F.col("home")).join(sizes, "cell").withColumn("bx", F.pmod(F.xxhash64("rep"), F.col("x")).cast("int")).withColumn("by", F.explode(F.sequence(F.lit(0), F.col("y") - 1)))
@@ -203,48 +228,73 @@ def near_embeddings(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
 
 
 def _fit(classes: DataFrame, size: int, least: float) -> tuple[MultiIndex, int, float]:
-    """(index, cells to visit, recall on the measured queries).
+    """(index, cells to visit or 0 for all that can hold a partner, recall on the measured queries).
 
-    Codebooks come from at most TRAIN vectors, the visits from at most PROBES queries compared with all rows by brute
-    force in the tasks, which return counts by rank."""
+    Codebooks come from at most TRAIN vectors, the visits from queries compared with all rows by brute
+    force in the tasks, which return counts by query and rank."""
     total = classes.count()
     rank = F.xxhash64(F.lit(5), "rep")
     ordered = lambda n: classes.where(F.pmod(rank, F.lit(1 << 20)) < math.ceil(2 * n / total * (1 << 20))).orderBy(rank).limit(n)
     sample = _unit(_matrix(ordered(TRAIN).select("embedding").toArrow().column(0)))
     k = int(np.clip(round(math.sqrt(total / CELL)), 2, max(2, len(sample) // 8)))
     index = MultiIndex(sample, k)
-    asked = ordered(PROBES).select("rep", "embedding").toArrow()
+    for probes in PROBES:
+        ranks, share = _measure(classes, index, ordered(probes).select("rep", "embedding").toArrow(), least)
+        if probes >= total or share.sum() >= ENOUGH - 0.5:
+            break
+    else:
+        # Cells of about a block, as a query may visit most of them.
+        return MultiIndex(sample, int(np.clip(round(math.sqrt(total / BLOCK)), 2, k))), 0, 1.0
+    if not len(ranks):  # every row was asked, and none has a partner
+        return index, 1, 1.0
+    order = np.argsort(ranks)
+    reached = share[order].cumsum() / share.sum()
+    # A few cells more than measured, as the queries are a sample.
+    need = int(ranks[order][min(np.searchsorted(reached, TARGET), len(order) - 1)]) + 1
+    count = min(max(4, need + need // 4), k * k)
+    return index, count, float(share[ranks < count].sum() / share.sum())
+
+
+def _measure(classes: DataFrame, index: MultiIndex, asked: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(ranks, for each the sum over queries of the share of their partners there); a query with partners sums to 1."""
     queries, ids = _unit(_matrix(asked.column(1))), asked.column(0).to_numpy()
     sent = classes.sparkSession.sparkContext.broadcast((index, queries, ids, index.cell(queries)))
 
     def run(batches):
         index, queries, ids, homes = sent.value
-        tally = np.zeros(index.k * index.k + 1, np.int64)
+        cells_all = index.k * index.k
+        found: dict[int, int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 unit, rep = _unit(_matrix(part.column(0))), part.column(1).to_numpy()
-                q, y = np.nonzero(queries @ unit.T >= least - _SLACK)
-                good = ids[q] != rep[y]
-                q, y = q[good], y[good]
                 cells = index.cell(unit)
-                for lo in range(0, len(q), 4096):
-                    qs, ys = q[lo : lo + 4096], y[lo : lo + 4096]
-                    ranks = np.minimum(index.ranks(queries[qs], cells[ys]), index.ranks(unit[ys], homes[qs]))
-                    np.add.at(tally, ranks, 1)
-        full = np.flatnonzero(tally)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(tally[full])], ["rank", "n"])
-
-    counts = classes.select("embedding", "rep").mapInArrow(run, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).toArrow()
-    ranks, n = counts.column("rank").to_numpy(), counts.column("n").to_numpy()
-    if not len(n):
-        return index, 8, 1.0
-    order = np.argsort(ranks)
-    share = n[order].cumsum() / n.sum()
-    # A few cells more than measured, as the queries are a sample; without pairs to measure, 8.
-    need = int(ranks[order][np.searchsorted(share, TARGET)]) + 1
-    count = min(max(4, need + need // 4), MOST_VISITS, k * k)
-    return index, count, float(n[ranks < count].sum() / n.sum())
+                for first in range(0, len(queries), 1024):
+                    q, y = np.nonzero(queries[first : first + 1024] @ unit.T >= least - _SLACK)
+                    q += first
+                    good = ids[q] != rep[y]
+                    q, y = q[good], y[good]
+                    if not len(q):
+                        continue
+                    # Rank of a cell for a query, and of a query's cell for a row: each combination once.
+                    there, back = q * cells_all + cells[y], y * cells_all + homes[q]
+                    ranks = np.minimum(_ranks_once(index, queries, there), _ranks_once(index, unit, back))
+                    names, n = np.unique(q * cells_all + ranks, return_counts=True)
+                    for name, m in zip(names.tolist(), n.tolist(), strict=True):
+                        found[name] = found.get(name, 0) + m
+        names = np.array(list(found), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(names // cells_all), pa.array(names % cells_all), pa.array(list(found.values()), pa.int64())], ["query", "rank", "n"])
+
+    counts = classes.select("embedding", "rep").mapInArrow(run, "query long, rank long, n long").groupBy("query", "rank").agg(F.sum("n").alias("n"))
+    counts = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("query"))).groupBy("rank").agg(F.sum("share").alias("share")).toArrow()
+    return counts.column("rank").to_numpy(), counts.column("share").to_numpy()
+
+
+def _ranks_once(index: MultiIndex, rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """index.ranks of keys (row * K * K + cell), each different key once."""
+    names, place = np.unique(keys, return_inverse=True)
+    cells = index.k * index.k
+    return np.concatenate([index.ranks(rows[part // cells], part % cells) for part in np.array_split(names, len(names) // 4096 + 1)])[place]
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

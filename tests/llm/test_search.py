@@ -111,6 +111,37 @@ def test_embeddings_against_brute_force(spark):
     assert near_embeddings(df.limit(0)).count() == 0
 
 
+def beside(rng, rows, cosine):
+    """Unit vectors at the given cosine from those of `rows`."""
+    rows = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    other = rng.normal(size=rows.shape)
+    other -= (other * rows).sum(1, keepdims=True) * rows
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    return cosine[:, None] * rows + np.sqrt(1 - cosine[:, None] ** 2) * other
+
+
+def embedding_links(spark, rows):
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(range(len(rows))), "embedding": pa.array(list(rows))}))
+    return {r.vec_id: r for r in near_embeddings(df.repartition(8)).collect()}
+
+
+def test_rare_embedding_pairs_are_all_found(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(24_000, 64))
+    got = embedding_links(spark, np.concatenate((base, beside(rng, base[:60], rng.uniform(0.901, 0.93, 60)))))
+    assert [i for i in range(60) if got[i].n_links != 1 or got[24_000 + i].component_id != i] == []
+    assert got[0].recall == 1.0 and sum(r.n_links for r in got.values()) == 120
+
+
+def test_a_dense_group_does_not_hide_the_misses_of_others(spark):
+    rng = np.random.default_rng(9)
+    dense = np.ones(64) + rng.normal(size=(3000, 64)) * 0.02
+    base = rng.normal(size=(9000, 64))
+    got = embedding_links(spark, np.concatenate((dense, base, beside(rng, base, rng.uniform(0.901, 0.93, 9000)))))
+    found = sum(got[3000 + i].n_links for i in range(9000)) / 9000
+    assert found >= 0.98 and abs(found - got[0].recall) < 0.015, (found, got[0].recall)
+
+
 def test_visits_are_the_nearest_cells():
     rng = np.random.default_rng(4)
     rows = rng.normal(size=(300, 10))
