@@ -2,7 +2,8 @@
 
 1. Rules: a rule (host, path prefix) fits its host and all subdomains; the longest rule that fits decides.
 2. Templates: the path's segments that look like values (numbers, hashes, dates, ids) become `*`. Level by level, a
-   node's children that are many and rare become `*` too. Children whose labelled shares of bad
+   node's children that are many and rare become `*` too, except those whose labelled share of bad pages differs
+   significantly from the others'; these become `*` with that share, in steps of 1 / STEPS. Children whose labelled shares of bad
    pages do not differ significantly are merged into one branch.
 3. A template whose smoothed labelled purity, (bad + STRENGTH * PRIOR) / (labelled + STRENGTH), reaches REJECT is rejected.
 
@@ -11,14 +12,15 @@ All of it is grouping and joining on (host, template) counts; no host is ever ga
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, table
 
-#: Levels of the tree; a longer path continues as one last segment.
-DEPTH = 4
+#: Steps of the shares by which rare children that differ from the others are pooled.
+STEPS = 20
 #: A node of more than FANOUT children makes `*` of those that hold less than RARE of its pages.
 FANOUT, RARE = 16, 0.02
 STRENGTH, PRIOR, REJECT = 4.0, 0.5, 0.75
@@ -65,26 +67,42 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def segments_of(path: Column) -> Column:
-    """The path as DEPTH segments at most, values as `*`; a trailing slash is no segment of its own."""
+    """The path's segments, values as `*`; a trailing slash is no segment of its own."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    parts = F.transform(parts, lambda x: F.regexp_replace(x, _VALUE, "$1*"))
-    return F.when(F.size(parts) <= DEPTH, parts).otherwise(F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.lit("**"))))
+    return F.transform(parts, lambda x: F.regexp_replace(x, _VALUE, "$1*"))
 
 
 def templates(urls: DataFrame) -> DataFrame:
     """Templates of the shapes in `urls` (host, shape array<string>, n, bad, good): (host, shape, template, n, bad, good), one row for each shape.
 
-    One pass for each level: children of a node (host, template so far) are generalised, then merged."""
+    One pass for each level, up to the last at which two shapes still share a node: children of a node (host,
+    template so far) are generalised, then merged. A shape alone at its node keeps its other segments as they are."""
+    node = ["host", "template"]
     tree = cut(urls.withColumn("template", F.lit("")))
-    for level in range(DEPTH):
+    level, finished = 0, []
+    while True:
         segment = F.get("shape", F.lit(level))
-        kids = tree.where(segment.isNotNull()).select("host", "template", segment.alias("segment"), "n", "bad", "good")
+        alone = tree.groupBy(*node).agg(F.count("*").alias("shapes")).where("shapes = 1")
+        rows = cut(tree.join(alone, node, "left"))
+        done = (F.size("shape") <= level) | F.col("shapes").isNotNull()
+        rest = F.concat(F.lit("/"), F.array_join(F.slice("shape", level + 1, F.size("shape")), "/"))
+        finished.append(rows.where(done).select("host", "shape", F.when(F.size("shape") > level, F.concat("template", rest)).otherwise(F.col("template")).alias("template"), "n", "bad", "good"))
+        tree = rows.where(~done).drop("shapes")
+        if tree.isEmpty():
+            break
+        kids = tree.select("host", "template", segment.alias("segment"), "n", "bad", "good")
         kids = kids.groupBy("host", "template", "segment").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        nodes = kids.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("n").alias("all"))
-        named = kids.join(nodes, ["host", "template"]).withColumn("name", F.when((F.col("kids") > FANOUT) & (F.col("n") < RARE * F.col("all")), "*").otherwise(F.col("segment")))
+        nodes = kids.groupBy("host", "template").agg(F.count("*").alias("kids"), F.sum("n").alias("all"), F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"))
+        rare = (F.col("kids") > FANOUT) & (F.col("n") < RARE * F.col("all"))
+        own, others = F.col("bad") + F.col("good"), F.col("all_bad") + F.col("all_good") - F.col("bad") - F.col("good")
+        share, beside = (F.col("bad") + 0.5) / (own + 1), (F.col("all_bad") - F.col("bad") + 0.5) / (others + 1)
+        # Where no other child is labelled, the labelled ones stay apart from those that nothing is known of.
+        differs = (own > 0) & ((others == 0) | (F.abs(share - beside) > SIMILAR * F.sqrt(share * (1 - share) / own + beside * (1 - beside) / F.greatest(others, F.lit(1)))))
+        pooled = F.when(differs, F.concat(F.lit("*"), F.format_number(F.round(share * STEPS) / STEPS, 2))).otherwise("*")
+        named = kids.join(nodes, node).withColumn("name", F.when(rare, pooled).otherwise(F.col("segment")))
         named = cut(named.select("host", "template", "segment", "name", "n", "bad", "good"))
         branch = named.groupBy("host", "template", "name").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        # After generalising, a node has at most FANOUT + 1 / RARE children: a bounded window.
+        # After generalising, a node has at most FANOUT + 1 / RARE + STEPS + 1 children: a bounded window.
         labelled = F.col("bad") + F.col("good")
         order = Window.partitionBy("host", "template").orderBy("share", "name")
         branch = branch.where(labelled > 0).withColumn("share", (F.col("bad") + 0.5) / (labelled + 1)).withColumn("labelled", labelled)
@@ -100,7 +118,8 @@ def templates(urls: DataFrame) -> DataFrame:
             .join(names, ["host", "template", "segment"], "left")
             .select("host", "shape", F.when(F.col("branch").isNotNull(), F.concat("template", F.lit("/"), "branch")).otherwise(F.col("template")).alias("template"), "n", "bad", "good")
         )
-    return tree
+        level += 1
+    return cut(reduce(DataFrame.union, finished))
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, bad_words: tuple[str, ...] = (), id_col: str = "page_id", url_col: str = "url") -> DataFrame:

@@ -176,3 +176,25 @@ def test_urls(spark):
     assert {got[i].verdict for i in range(9, 39)} == {"block"} and {got[i].verdict for i in range(39, 69)} == {"allow"}
     assert got[30].template == "/buy/*.html" and judge_urls(df.limit(0), rules).count() == 0
     assert judge_urls(df, rules).count() == len(rows)
+
+
+def test_url_templates_are_as_long_as_paths(spark):
+    urls = [f"http://a.org/x/y/z/{part}/s/t/{i}" for part in ("spam", "docs") for i in range(40)]
+    deep = "/".join(["q"] * 700)
+    urls += [f"http://b.org/{deep}", "http://b.org/r/q", "http://b.org/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(0, 80, 2)], "page_id long, bad int")
+    got = {r.page_id: r for r in judge_urls(df, [], labels).collect()}
+    assert {got[i].verdict for i in range(40)} == {"block"} and {got[i].verdict for i in range(40, 80)} == {"allow"}
+    assert got[1].template == "/x/y/z/spam/s/t/*" and got[41].template == "/x/y/z/docs/s/t/*"
+    assert [got[i].template for i in (80, 81, 82)] == ["/" + deep, "/r/q", ""]
+
+
+def test_rare_bad_sections_are_not_lost_among_many(spark):
+    name = lambda i: "".join(chr(97 + int(x)) for x in f"{i:03d}")
+    urls = [f"http://a.org/{name(i)}/{x}" for i in range(120) for x in range(10)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    bad = {7, 60, 99}
+    labels = spark.createDataFrame([(i, int(i // 10 in bad)) for i in range(len(urls)) if i % 10 < 6 and i // 10 != 50], "page_id long, bad int")
+    got = {r.page_id: r.verdict for r in judge_urls(df, [], labels).collect()}
+    assert {i // 10 for i in got if got[i] == "block"} == bad and sum(v == "block" for v in got.values()) == 30
