@@ -5,7 +5,9 @@
    node's children that are many and rare become `*` too, except those whose labelled share of bad pages differs
    significantly from the others'; these become `*` with that share, in steps of 1 / STEPS. Children whose labelled shares of bad
    pages do not differ significantly are merged into one branch.
-3. A template whose smoothed labelled purity, (bad + STRENGTH * PRIOR) / (labelled + STRENGTH), reaches REJECT is rejected.
+3. A template whose purity, (bad + STRENGTH * prior) / (labelled + STRENGTH), reaches REJECT is rejected. The prior is
+   that of its parent's other pages, smoothed alike by those of the parent's parent, up to the host, whose prior
+   is PRIOR; so a small template follows its section or host, and no page counts twice.
 
 All of it is grouping and joining on (host, template) counts; no host is ever gathered in one task."""
 
@@ -73,21 +75,29 @@ def segments_of(path: Column) -> Column:
 
 
 def templates(urls: DataFrame) -> DataFrame:
-    """Templates of the shapes in `urls` (host, shape array<string>, n, bad, good): (host, shape, template, n, bad, good), one row for each shape.
+    """Templates of the shapes in `urls` (host, shape array<string>, n, bad, good): (host, shape, template, n, bad, good, purity), one row for each shape.
 
     One pass for each level, up to the last at which two shapes still share a node: children of a node (host,
     template so far) are generalised, then merged. A shape alone at its node keeps its other segments as they are."""
     node = ["host", "template"]
-    tree = cut(urls.withColumn("template", F.lit("")))
+    smooth = lambda bad, labelled, prior: (bad + STRENGTH * prior) / (labelled + STRENGTH)
+    tree = cut(urls.withColumn("template", F.lit("")).withColumn("prior", F.lit(PRIOR)))
     level, finished = 0, []
     while True:
         segment = F.get("shape", F.lit(level))
-        alone = tree.groupBy(*node).agg(F.count("*").alias("shapes")).where("shapes = 1")
-        rows = cut(tree.join(alone, node, "left"))
-        done = (F.size("shape") <= level) | F.col("shapes").isNotNull()
+        ends = F.size("shape") <= level
+        # What ends at a node is one more child of it.
+        here = tree.groupBy(*node).agg(
+            F.count("*").alias("shapes"), F.sum("bad").alias("node_bad"), F.sum(F.col("bad") + F.col("good")).alias("node_labelled"),
+            F.sum(F.when(ends, F.col("bad")).otherwise(0)).alias("end_bad"), F.sum(F.when(ends, F.col("bad") + F.col("good")).otherwise(0)).alias("end_labelled"),
+        )
+        rows = cut(tree.join(here, node))
+        done = ends | (F.col("shapes") == 1)
+        before = smooth(F.col("node_bad") - F.col("end_bad"), F.col("node_labelled") - F.col("end_labelled"), F.col("prior"))
+        purity = F.when(F.col("shapes") == 1, smooth(F.col("bad"), F.col("bad") + F.col("good"), F.col("prior"))).otherwise(smooth(F.col("end_bad"), F.col("end_labelled"), before))
         rest = F.concat(F.lit("/"), F.array_join(F.slice("shape", level + 1, F.size("shape")), "/"))
-        finished.append(rows.where(done).select("host", "shape", F.when(F.size("shape") > level, F.concat("template", rest)).otherwise(F.col("template")).alias("template"), "n", "bad", "good"))
-        tree = rows.where(~done).drop("shapes")
+        finished.append(rows.where(done).select("host", "shape", F.when(F.size("shape") > level, F.concat("template", rest)).otherwise(F.col("template")).alias("template"), "n", "bad", "good", purity.alias("purity")))
+        tree = rows.where(~done).drop("shapes", "end_bad", "end_labelled")
         if tree.isEmpty():
             break
         kids = tree.select("host", "template", segment.alias("segment"), "n", "bad", "good")
@@ -101,7 +111,7 @@ def templates(urls: DataFrame) -> DataFrame:
         pooled = F.when(differs, F.concat(F.lit("*"), F.format_number(F.round(share * STEPS) / STEPS, 2))).otherwise("*")
         named = kids.join(nodes, node).withColumn("name", F.when(rare, pooled).otherwise(F.col("segment")))
         named = cut(named.select("host", "template", "segment", "name", "n", "bad", "good"))
-        branch = named.groupBy("host", "template", "name").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+        branch = cut(named.groupBy("host", "template", "name").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
         # After generalising, a node has at most FANOUT + 1 / RARE + STEPS + 1 children: a bounded window.
         labelled = F.col("bad") + F.col("good")
         order = Window.partitionBy("host", "template").orderBy("share", "name")
@@ -110,42 +120,40 @@ def templates(urls: DataFrame) -> DataFrame:
         error = F.sqrt(F.col("share") * (1 - F.col("share")) / F.col("labelled") + F.lag(F.col("share") * (1 - F.col("share")) / F.col("labelled")).over(order))
         branch = branch.withColumn("starts", F.coalesce(gap > SIMILAR * error, F.lit(True)).cast("int"))
         branch = branch.withColumn("group", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        merged = branch.groupBy("host", "template", "group").agg(F.array_sort(F.collect_list("name")).alias("names"))
-        merged = merged.select("host", "template", F.explode("names").alias("name"), F.when(F.size("names") > 1, F.concat(F.lit("{"), F.array_join("names", "|"), F.lit("}"))).otherwise(F.element_at("names", 1)).alias("branch"))
-        names = named.select("host", "template", "segment", "name").join(merged, ["host", "template", "name"], "left").select("host", "template", "segment", F.coalesce("branch", "name").alias("branch"))
+        merged = branch.groupBy("host", "template", "group").agg(F.array_sort(F.collect_list("name")).alias("names"), F.sum("bad").alias("branch_bad"), F.sum("labelled").alias("branch_labelled"))
+        merged = merged.select("host", "template", "branch_bad", "branch_labelled", F.explode("names").alias("name"), F.when(F.size("names") > 1, F.concat(F.lit("{"), F.array_join("names", "|"), F.lit("}"))).otherwise(F.element_at("names", 1)).alias("branch"))
+        names = named.select("host", "template", "segment", "name").join(merged, ["host", "template", "name"], "left").select("host", "template", "segment", F.coalesce("branch", "name").alias("branch"), F.coalesce("branch_bad", F.lit(0)).alias("branch_bad"), F.coalesce("branch_labelled", F.lit(0)).alias("branch_labelled"))
         tree = cut(
             tree.withColumn("segment", segment)
-            .join(names, ["host", "template", "segment"], "left")
-            .select("host", "shape", F.when(F.col("branch").isNotNull(), F.concat("template", F.lit("/"), "branch")).otherwise(F.col("template")).alias("template"), "n", "bad", "good")
+            .join(names, ["host", "template", "segment"])
+            .select("host", "shape", F.concat("template", F.lit("/"), "branch").alias("template"), "n", "bad", "good", smooth(F.col("node_bad") - F.col("branch_bad"), F.col("node_labelled") - F.col("branch_labelled"), F.col("prior")).alias("prior"))
         )
         level += 1
     return cut(reduce(DataFrame.union, finished))
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, bad_words: tuple[str, ...] = (), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, bad_words: tuple[str, ...] = (), id_col: str = "page_id", url_col: str = "url", sign: Column | None = None) -> DataFrame:
     """page_id, host, path, template, purity, rule and verdict of each row of `pages`.
 
     verdict is the rule's; without a rule, block where the template is rejected, else allow. Purity is learned from
     labelled pages: those in `labels` (id, bad 0 or 1), and, as weak labels, those that a rule allows (good) and those
-    whose host has a word of `bad_words` (bad). A block rule is a policy on a part of a site and says nothing on the
+    whose host has a word of `bad_words` (bad) and what `sign` says of the page itself (1 bad, 0 good, null nothing). A block rule is a policy on a part of a site and says nothing on the
     rest, so it labels none. A page labelled more than once counts as bad if one label says so. A null url, or one without
     ://, has an empty host and path and is allowed; repeated rows are judged alike; other columns are not looked at."""
     url = F.col(url_col)
-    rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), (F.lit(None) if sign is None else sign).cast("int").alias("sign"))
     rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("shape", segments_of(F.col("path")))
-    signs = [F.when(F.col("fit.verdict") == "allow", 0)]
+    signs = [F.when(F.col("fit.verdict") == "allow", 0), F.col("sign")]
     if bad_words:
         signs.append(F.when(F.arrays_overlap(F.split("host", r"[^a-z0-9]+"), F.array(*map(F.lit, bad_words))), 1))
     if labels is not None:
         known = labels.groupBy(F.col(id_col).alias("page_id")).agg(F.max("bad").cast("int").alias("label"))
         rows = rows.join(known, "page_id", "left")
         signs.append(F.col("label"))
-    sign = F.greatest(*signs) if len(signs) > 1 else signs[0]
-    rows = cut(rows.withColumn("bad", sign).select("page_id", "host", "path", "fit", "shape", "bad"))
+    rows = cut(rows.withColumn("bad", F.greatest(*signs)).select("page_id", "host", "path", "fit", "shape", "bad"))
     counts = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"), F.sum(F.coalesce(1 - F.col("bad"), F.lit(0))).alias("good"))
     tree = templates(counts)
-    purity = ((F.sum("bad") + STRENGTH * PRIOR) / (F.sum("bad") + F.sum("good") + STRENGTH)).alias("purity")
-    found = tree.join(tree.groupBy("host", "template").agg(purity), ["host", "template"]).select("host", "shape", "template", "purity")
+    found = tree.select("host", "shape", "template", "purity")
     verdict = F.coalesce(F.col("fit.verdict"), F.when((F.col("host") != "") & (F.col("purity") >= REJECT), "block").otherwise("allow"))
     return rows.join(found, ["host", "shape"], "left").select("page_id", "host", "path", "template", "purity", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))
 
@@ -153,7 +161,20 @@ def judge_urls(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = N
 RULES = [Rule.of("block", "com/en/"), Rule.of("allow", "example.com/en/7"), Rule.of("allow", "net/de/"), Rule.of("block", "example.net/de/8"), Rule.of("block", "org/es/")]
 #: Host words that mark a page as bad in the query's weak labels.
 BAD_WORDS = ("adult", "spam", "casino", "pills", "bets", "ads")
+#: A page of fewer words, or a smaller share of words with a letter, is bad.
+LEAST_WORDS, LEAST_LETTERS = 50, 0.8
+
+
+def page_sign(html: Column) -> Column:
+    """1 for a page with too little text or too few words among it, else 0; null without html.
+
+    The text is the first article's, or the whole page's without one, with tags as spaces."""
+    article = F.regexp_extract(html, r"(?si)<article\b[^>]*>(.*?)</article>", 1)
+    text = F.regexp_replace(F.when(article != "", article).otherwise(html), r"<[^>]*>", " ")
+    words = F.filter(F.split(text, r"\s+"), lambda x: x != "")
+    named = F.filter(words, lambda x: x.rlike(r"\p{L}"))
+    return F.when(html.isNotNull(), ((F.size(words) < LEAST_WORDS) | (F.size(named) < LEAST_LETTERS * F.size(words))).cast("int"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"), RULES, bad_words=BAD_WORDS)
+    return judge_urls(table(spark, sf_dir, "pages"), RULES, bad_words=BAD_WORDS, sign=page_sign(F.col("html")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fathomlens.llm.decontaminate import EDITS, LEAST, Patterns, benchmark_matches, contaminated, distance, normalise, search
 from fathomlens.llm.embedding_dedup import MultiIndex, near_embeddings
 from fathomlens.llm.license_scan import CONTAINED, NOT_ALNUM, TEMPLATES, LicenseIndex, scan_licenses, word_hashes
-from fathomlens.llm.url_filter import Rule, judge_urls
+from fathomlens.llm.url_filter import Rule, judge_urls, op8_url_filter
 
 
 def edits_in(pattern, text):
@@ -198,3 +198,15 @@ def test_rare_bad_sections_are_not_lost_among_many(spark):
     labels = spark.createDataFrame([(i, int(i // 10 in bad)) for i in range(len(urls)) if i % 10 < 6 and i // 10 != 50], "page_id long, bad int")
     got = {r.page_id: r.verdict for r in judge_urls(df, [], labels).collect()}
     assert {i // 10 for i in got if got[i] == "block"} == bad and sum(v == "block" for v in got.values()) == 30
+
+
+def test_the_url_query_judges_by_pages_and_pools_small_templates(spark, tmp_path):
+    good, bad = "<article><p>" + "some words of a page " * 20 + "</p></article>", "<article>1 2 3 ||</article>"
+    rows = [(f"http://fair.org/read/{i}", good) for i in range(30)] + [(f"http://fair.org/junk/{i}", bad) for i in range(30)]
+    rows += [(f"http://vile.org/{'abcdefghij'[i // 10]}/x{'abcdefghij'[i % 10]}", bad) for i in range(40)] + [("http://vile.org/new/one", None), ("http://lone.org/a/b/c/d", bad)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "page_id long, url string, html string")
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r for r in op8_url_filter(spark, str(tmp_path)).collect()}
+    assert {got[i].verdict for i in range(30)} == {"allow"} and {got[i].verdict for i in range(30, 60)} == {"block"}
+    assert {got[i].verdict for i in range(60, 101)} == {"block"}
+    assert got[101].verdict == "allow" and abs(got[101].purity - 0.6) < 1e-9  # one page counts once, however deep
