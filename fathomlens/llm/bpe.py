@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import table, text_slices
+from .shared import table, text_slices, tidy
 
 #: Words whose ids a worker remembers.
 REMEMBERED = 250_000
@@ -187,6 +187,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
+        """Drop the remembered words."""
         self.index: dict[str, int] = {}
         self.flat, self.bounds = array("i"), array("q", [0])
         for text, i in self.special.items():
@@ -286,8 +287,32 @@ def bpe_encode(docs: DataFrame, tokenizer_file: str, text_col: str = "text", out
             for lo, hi in text_slices(batch.column(at)):
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, encoder.encode(part.column(at).to_pylist())], [*part.schema.names, out_col])
+        encoder.forget()
 
-    return docs.mapInArrow(run, _with(docs, out_col, T.ArrayType(T.IntegerType())))
+    return docs.mapInArrow(tidy(run), _with(docs, out_col, T.ArrayType(T.IntegerType())))
+
+
+def bpe_round_trip(docs: DataFrame, tokenizer_file: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """`docs` without `text_col`, with the ids of its texts and the texts that these stand for, as bpe_encode and then bpe_decode give them, in one pass.
+
+    A null or empty text has no ids and an empty decoded text. Columns of the two names are replaced; all others, repeated rows
+    included, stay."""
+    name = _send(docs.sparkSession, tokenizer_file)
+    taken = {ids_col.lower(), out_col.lower()}
+    rest = [c for c in docs.columns if c.lower() != text_col.lower() and c.lower() not in taken]
+    docs = docs.select(*rest, F.col(text_col).alias(f"{text_col}_"))
+
+    def run(batches):
+        encoder = _encoder(name)
+        for batch in batches:
+            for lo, hi in text_slices(batch.column(len(rest))):
+                part = batch.slice(lo, hi - lo)
+                ids = encoder.encode(part.column(len(rest)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, encoder.decode(ids).cast(pa.string())], [*rest, ids_col, out_col])
+        encoder.forget()
+
+    schema = T.StructType([*docs.schema.fields[:-1], T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(out_col, T.StringType())])
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def bpe_decode(docs: DataFrame, tokenizer_file: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -312,7 +337,7 @@ def bpe_decode(docs: DataFrame, tokenizer_file: str, ids_col: str = "ids", out_c
                     text = pc.if_else(pc.is_null(ids), None, text)
                 yield pa.RecordBatch.from_arrays([*part.columns, text.cast(pa.string())], [*part.schema.names, out_col])
 
-    return docs.mapInArrow(run, _with(docs, out_col, T.StringType()))
+    return docs.mapInArrow(tidy(run), _with(docs, out_col, T.StringType()))
 
 
 def _with(docs: DataFrame, name: str, kind: T.DataType) -> T.StructType:
@@ -325,8 +350,7 @@ def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str, tokenizer_file: str
 
         tokenizer_file = public_tokenizers.path("word_bpe_49k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe_encode(docs, tokenizer_file).select("doc_id", "ids")
-    back = bpe_decode(coded, tokenizer_file)
+    back = bpe_round_trip(docs, tokenizer_file)
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

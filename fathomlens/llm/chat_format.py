@@ -12,6 +12,9 @@ conversation can be split at its marks and read back."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +37,13 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def _joined(left: DataFrame, right: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """Join on equal keys, of which "tree" may be null: messages without a tree belong to one tree of their own."""
+    other = right.withColumnsRenamed({k: f"other {k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"other {k}")) if k == "tree" else F.col(k) == F.col(f"other {k}") for k in keys]
+    return left.join(other, reduce(and_, same), how).drop(*[f"other {k}" for k in keys])
+
+
 def _heights(own: DataFrame) -> DataFrame:
     """(tree, node, parent, score, height) of the nodes that reach a root; a root has height 1.
 
@@ -44,9 +54,9 @@ def _heights(own: DataFrame) -> DataFrame:
     while reach <= nodes and not going.where("up is not null").isEmpty():
         above = going.select("tree", F.col("node").alias("up"), F.col("up").alias("further"), F.col("height").alias("more"))
         ended = going.where("up is null")
-        grown = going.where("up is not null").join(above, ["tree", "up"]).select("tree", "node", F.col("further").alias("up"), (F.col("height") + F.col("more")).alias("height"))
+        grown = _joined(going.where("up is not null"), above, "tree", "up").select("tree", "node", F.col("further").alias("up"), (F.col("height") + F.col("more")).alias("height"))
         going, reach = cut(grown.unionByName(ended)), 2 * reach
-    return own.join(going.where("up is null").select("tree", "node", "height"), ["tree", "node"])
+    return _joined(own, going.where("up is null").select("tree", "node", "height"), "tree", "node")
 
 
 def reply_paths(messages: DataFrame, top: int | None = None) -> DataFrame:
@@ -56,37 +66,36 @@ def reply_paths(messages: DataFrame, top: int | None = None) -> DataFrame:
     the mean of its nodes' scores (null scores count 0), rank 1 the best, ties by leaf.
     A node whose parent is null or absent from its tree is a root. Nodes on a parent cycle
     reach no root and are on no path. `top` keeps that many branches of each tree (the feature);
-    None keeps all. (tree, node) must be unique. The number of rounds is the logarithm of the
+    None keeps all. (tree, node) must be unique; a null tree is a tree like others, a null node is on no path. The number of rounds is the logarithm of the
     depth: in round r only nodes of a height divisible by 2^r hold the 2^r nodes up from
     them, and a path takes such a piece where its height has bit r, so all pieces together
     are no larger than the messages and the paths."""
     own = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = own.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
-    own = cut(own.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("parent"), "score"))
+    own = cut(_joined(own, known, "tree", "parent", how="left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("parent"), "score"))
     high = cut(_heights(own))
     inner = own.select("tree", F.col("parent").alias("node")).distinct()
     leaf = F.struct("height", F.lit(0.0).alias("total"), F.expr("cast(array() as array<bigint>)").alias("path"))
-    open_ = cut(high.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), F.col("node").alias("at"), leaf.alias("p")))
+    open_ = cut(_joined(high, inner, "tree", "node", how="left_anti").select("tree", F.col("node").alias("leaf"), F.col("node").alias("at"), leaf.alias("p")))
     pieces = high.select("tree", F.col("node").alias("at"), F.col("parent").alias("up"), "height", F.col("score").alias("sum"), F.array(F.col("node").cast("long")).alias("piece"))
     most = high.agg(F.max("height")).first()[0] or 0
     bit = 1
     while bit <= most:
         here = F.col("p.height").bitwiseAND(F.lit(bit)) > 0
         grown = F.struct(F.col("p.height").alias("height"), (F.col("p.total") + F.col("sum")).alias("total"), F.concat("piece", "p.path").alias("path"))
-        taken = open_.where(here).join(pieces.select("tree", "at", "up", "sum", "piece"), ["tree", "at"]).select("tree", "leaf", F.col("up").alias("at"), grown.alias("p"))
+        taken = _joined(open_.where(here), pieces.select("tree", "at", "up", "sum", "piece"), "tree", "at").select("tree", "leaf", F.col("up").alias("at"), grown.alias("p"))
         open_ = cut(taken.unionByName(open_.where(~here)))
         bit *= 2
         if bit <= most:
             above = pieces.select("tree", F.col("at").alias("up"), F.col("up").alias("further"), F.col("sum").alias("more"), F.col("piece").alias("upper"))
             pieces = cut(
-                pieces.where(F.pmod("height", F.lit(bit)) == 0)
-                .join(above, ["tree", "up"])
+                _joined(pieces.where(F.pmod("height", F.lit(bit)) == 0), above, "tree", "up")
                 .select("tree", "at", F.col("further").alias("up"), "height", (F.col("sum") + F.col("more")).alias("sum"), F.concat("upper", "piece").alias("piece"))
             )
     found = open_.select("tree", "leaf", (F.col("p.total") / F.col("p.height")).alias("score"), F.col("p.path").alias("path"))
     order = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
     rank = found.select("tree", "leaf", F.row_number().over(order).alias("rank"))
-    ranked = found.join(rank, ["tree", "leaf"])
+    ranked = _joined(found, rank, "tree", "leaf")
     return (ranked if top is None else ranked.where(F.col("rank") <= top)).select("tree", "leaf", "rank", "score", "path")
 
 
@@ -94,7 +103,7 @@ def format_chat(paths: DataFrame, messages: DataFrame) -> DataFrame:
     """One conversation for each row of `paths`: (tree, leaf, rank, formatted).
 
     `messages` (tree, node, role, text) gives the turns; null roles and texts count as empty."""
-    turns = paths.select("tree", "leaf", "rank", F.posexplode("path").alias("pos", "node")).join(messages.select("tree", "node", "role", "text"), ["tree", "node"])
+    turns = _joined(paths.select("tree", "leaf", "rank", F.posexplode("path").alias("pos", "node")), messages.select("tree", "node", "role", "text"), "tree", "node")
     turn = F.concat(F.lit(TURN), escape(F.coalesce("role", F.lit(""))), F.lit(TEXT), escape(F.coalesce("text", F.lit(""))), F.lit(END))
     rows = turns.select("tree", "leaf", "rank", F.struct("pos", turn.alias("turn")).alias("t"))
     joined = F.concat_ws("", F.transform(F.array_sort(F.collect_list("t")), lambda x: x["turn"]))
@@ -116,9 +125,9 @@ def read_back(formatted: Column) -> Column:
 def linear_messages(conversations: DataFrame) -> DataFrame:
     """Rows by turn (conv_id, turn, role, text) as messages of a tree in which each turn answers the one before.
 
-    Rows of one turn follow each other by role and text (nulls first); a repeated row is a turn of its own.
-    The window holds ids, turn numbers and hashes of one conversation."""
-    order = Window.partitionBy("tree").orderBy("turn", F.col("role"), F.col("text"))
+    Rows of one turn follow each other by role and text (nulls count as empty, a null turn comes first); a repeated row is a turn
+    of its own; rows without conv_id make one conversation with a null id. The window holds ids, turn numbers and hashes of one conversation."""
+    order = Window.partitionBy("tree").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
     rows = conversations.select(F.col("conv_id").alias("tree"), "turn", "role", "text").withColumn("node", F.row_number().over(order))
     return rows.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.lit(0.0))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import components, cut, key_runs, long_lists, table
+from .shared import components, cut, key_runs, long_lists, table, tidy
 
 #: Bound of the sample that codebooks are fitted on, sizes of the samples of queries that recall is measured with, and
 #: how many queries with partners are enough.
@@ -203,7 +203,7 @@ def near_embeddings(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(visits)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sent.value.cell(unit)), lists], ["embedding", "rep", "copies", "home", "visits"])
 
-    filed = cut(classes.mapInArrow(file, "embedding array<double>, rep long, copies long, home long, visits array<long>"))
+    filed = cut(classes.mapInArrow(tidy(file), "embedding array<double>, rep long, copies long, home long, visits array<long>"))
     # Only the filed side is asked for its visits.
     asked = filed.withColumn("cell", F.explode("visits")).withColumn("visits", F.lit(None).cast("array<long>"))
     sizes = filed.groupBy(F.col("home").alias("cell")).agg(F.count("*").alias("n")).join(asked.groupBy("cell").agg(F.count("*").alias("m")), "cell")
@@ -213,7 +213,7 @@ def near_embeddings(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     columns = ["cell", "bx", "by", "rep", "copies", "home", "embedding", "visits"]
     met = here.select(*columns, F.lit(0).alias("side")).union(there.select(*columns, F.lit(1).alias("side")))
     met = met.repartition("cell", "bx", "by").sortWithinPartitions("cell", "bx", "by")
-    found = cut(met.mapInArrow(_meet(least, size), "a long, links long, b long"))
+    found = cut(met.mapInArrow(tidy(_meet(least, size)), "a long, links long, b long"))
 
     links = found.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     groups = components(found.where("b is not null").select("a", "b")).toDF("rep", "component")
@@ -285,7 +285,7 @@ def _measure(classes: DataFrame, index: MultiIndex, asked: pa.Table, least: floa
         names = np.array(list(found), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(names // cells_all), pa.array(names % cells_all), pa.array(list(found.values()), pa.int64())], ["query", "rank", "n"])
 
-    counts = classes.select("embedding", "rep").mapInArrow(run, "query long, rank long, n long").groupBy("query", "rank").agg(F.sum("n").alias("n"))
+    counts = classes.select("embedding", "rep").mapInArrow(tidy(run), "query long, rank long, n long").groupBy("query", "rank").agg(F.sum("n").alias("n"))
     counts = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("query"))).groupBy("rank").agg(F.sum("share").alias("share")).toArrow()
     return counts.column("rank").to_numpy(), counts.column("share").to_numpy()
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import held_out, table, text_slices
+from .shared import held_out, table, text_slices, tidy
 
 #: Bounds of the sample that the model is fitted on: documents of each language, bytes of a document, languages.
 TRAIN_DOCS, TRAIN_BYTES, TRAIN_LANGUAGES = 1500, 1 << 16, 1000
@@ -68,7 +68,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(list(grams), pa.int64()), pa.array(list(grams.values()), pa.int64())], ["lang", "gram", "n"])
 
     sample = rows.where(drawn).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    found = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    found = sample.mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
     languages = sorted(set(found.column("lang").to_pylist()))
     if not languages:
         return LanguageModel([], np.zeros(0, np.uint64), np.zeros((1, 0)))
@@ -180,7 +180,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text_col: str = "te
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best), pa.array(score), maps], [*part.schema.names, "lang_pred", "score", "languages"])
 
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.MapType(T.StringType(), T.DoubleType()))]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *added]))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import NOT_ALNUM, mix, table, text_slices, word_hashes
+from .shared import NOT_ALNUM, mix, table, text_slices, tidy, word_hashes
 
 CONTAINED = 0.9
 SIMILARITY, COLLIDE, ROWS = 0.72, 0.999, 2
@@ -156,7 +156,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.float64(), pa.int64()), strict=True)], ["doc_id", "license", "containment", "word"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    hits = rows.mapInArrow(run, "doc_id long, license string, containment double, word long")
+    hits = rows.mapInArrow(tidy(run), "doc_id long, license string, containment double, word long")
     best = F.max(F.struct("containment", (-F.col("word")).alias("word"))).alias("best")
     return hits.groupBy("doc_id", "license").agg(best).select("doc_id", "license", F.col("best.containment").alias("containment"), (-F.col("best.word")).alias("word"))
 

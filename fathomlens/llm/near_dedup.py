@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, cut, key_runs, long_lists, mix, shingles, table, text_slices, word_hashes
+from .shared import components, cut, key_runs, long_lists, mix, shingles, table, text_slices, tidy, word_hashes
 
 SLOTS, BANDED, MISS = 2048, 256, 1e-4
 BITS = 4096
@@ -54,8 +54,12 @@ def band_rows(similarity: float) -> int:
 @functools.cache
 def _probes() -> tuple[np.ndarray, np.ndarray]:
     """For each slot, the order in which it asks the others for a sample: its first _TRIES, and the place of each."""
-    order = np.random.default_rng(4).random((SLOTS, SLOTS)).argsort(1)
-    return order[:, :_TRIES].copy(), order.argsort(1).astype(np.uint16)
+    draw = np.random.default_rng(4)
+    first, place = np.empty((SLOTS, _TRIES), np.int64), np.empty((SLOTS, SLOTS), np.uint16)
+    for at in range(0, SLOTS, 64):  # few rows at a time: whole, the ranks would be held three times in 8 bytes
+        order = draw.random((min(64, SLOTS - at), SLOTS)).argsort(1)
+        first[at : at + 64], place[at : at + 64] = order[:, :_TRIES], order.argsort(1)
+    return first, place
 
 
 def minhash(shingle_set: np.ndarray) -> np.ndarray:
@@ -155,7 +159,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str
     Rows that repeat an id are judged by their own text. Other columns of
     `docs` are not looked at. No rows give no rows."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(docs.mapInArrow(_sets(k, band_rows(percent / 100)), "doc_id long, n_shingles long, set_key string, bands array<long>, sketch array<long>"))
+    signed = cut(docs.mapInArrow(tidy(_sets(k, band_rows(percent / 100))), "doc_id long, n_shingles long, set_key string, bands array<long>, sketch array<long>"))
     able = signed.where("n_shingles > 0 and doc_id is not null")
     classes = cut(able.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
 
@@ -182,7 +186,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str
         "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "comp", "sketch"
     )
     together = sided.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = together.mapInArrow(_in_buckets(percent / 100 - MARGIN), "a long, b long").distinct()
+    more = together.mapInArrow(tidy(_in_buckets(percent / 100 - MARGIN)), "a long, b long").distinct()
     second = verified(docs, cut(more.join(pairs, ["a", "b"], "left_anti")), k, percent)
 
     found = components(first.union(second)).toDF("rep", "component_id")
@@ -199,7 +203,7 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     """The pairs (a, b) of ids whose full shingle sets reach `percent`; sets are made of the needed texts only."""
     need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = docs.join(need.hint("merge"), "doc_id", "left_semi")  # one plan at every size; ids are never broadcast
-    sets = cut(texts.mapInArrow(_sets(k), "id long, size long, shingles array<long>"))
+    sets = cut(texts.mapInArrow(tidy(_sets(k)), "id long, size long, shingles array<long>"))
     a, b = sets.toDF("a", "na", "wa"), sets.toDF("b", "nb", "wb")
     # |A and B| >= p / (100 + p) * (|A| + |B|) is the same as 100 |A and B| >= p |A or B|
     both = F.size(F.array_intersect("wa", "wb"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import held_out, mix, table, text_slices
+from .shared import held_out, mix, table, text_slices, tidy
 
 #: Bounds of the sample that the model is fitted on.
 TRAIN_DOCS, TRAIN_BYTES = 3000, 1 << 14
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         if len(rows):
             yield pd.DataFrame({"model": [pickle.dumps(train(rows.text.tolist(), rows.label.astype(int).tolist()))]})
 
-    found = sample.select("id", "label", "text").repartition(1).mapInPandas(run, "model binary").collect()
+    found = sample.select("id", "label", "text").repartition(1).mapInPandas(tidy(run), "model binary").collect()
     return pickle.loads(found[0].model) if found else None
 
 
@@ -152,7 +152,7 @@ def score_quality(docs: DataFrame, model: QualityModel | None, text_col: str = "
                         odds[i] += (sum(map(known.__getitem__, words)) + repeats(words) * weights[BUCKETS]) / len(words)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(odds, -500, 500))))], [*part.schema.names, "score"])
 
-    scored = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    scored = docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
     return scored.withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
 
 

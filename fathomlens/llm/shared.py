@@ -3,9 +3,12 @@ components, splitting rows by a stable hash, and word hashes over Arrow buffers.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,16 +21,45 @@ def cut(df: DataFrame) -> DataFrame:
 
     Later work neither repeats it nor loses it with an executor, and plans start anew, which
     a checkpoint's don't: it hands on the constraints of the plan that made it, and in
-    loops those grow without end. Only where no folder is configured (tests on one machine) does this set one of
-    its own. The tables stay, like checkpoints, until the folder is cleared."""
+    loops those grow without end. Only where no folder is configured and all runs on one machine (tests) does this set
+    one of its own; on a cluster a missing folder is an error. The tables stay, like checkpoints, until the folder is cleared."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith(("local[", "local*")) and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     path = f"{context.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@functools.cache
+def _libc():
+    try:
+        found = ctypes.CDLL("libc.so.6")
+        return found if hasattr(found, "malloc_trim") else None
+    except OSError:  # another C library has no such call
+        return None
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` for mapInArrow or mapInPandas, giving back to the system at the task's end what the worker has freed.
+
+    Workers serve many tasks, of later operators too, and would otherwise keep the most that any of them had in use."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if _libc():
+                _libc().malloc_trim(0)
+
+    return tidied
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows that no model may learn a label from."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))

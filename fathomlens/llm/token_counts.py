@@ -15,7 +15,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, text_slices
+from .shared import table, text_slices, tidy
 
 BATCH_BYTES = 1 << 19
 PIECE = 1 << 16
@@ -98,7 +98,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, text_col: str = "text", l
                 flush()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(totals)], [*batch.schema.names, "n_tokens"])
 
-    counted = docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias("n_tokens")).schema)
+    counted = docs.mapInArrow(tidy(run), docs.select("*", F.lit(0).cast("long").alias("n_tokens")).schema)
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     return counted.select(*docs.columns, size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

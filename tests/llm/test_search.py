@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from fathomlens.llm import decontaminate
 from fathomlens.llm.decontaminate import EDITS, LEAST, Patterns, benchmark_matches, contaminated, distance, normalise, search
 from fathomlens.llm.embedding_dedup import MultiIndex, near_embeddings
 from fathomlens.llm.license_scan import CONTAINED, NOT_ALNUM, TEMPLATES, LicenseIndex, scan_licenses, word_hashes
@@ -55,7 +56,7 @@ def test_no_match_within_the_budget_is_missed():
 
 def test_decontamination_rows(spark, odd_docs, no_docs):
     rnd = random.Random(3)
-    items = [(1, prose(rnd, 40)), (2, "too short"), (3, None), (None, prose(rnd, 9)), (4, "")]
+    items = [(1, prose(rnd, 40)), (2, "a word"), (3, None), (None, prose(rnd, 9)), (4, "")]
     bench = spark.createDataFrame([(*x, "z") for x in items], "item_id long, text string, doc_id string")
     copy = items[0][1].upper().replace(" ", ",\n")
     docs = odd_docs.union(spark.createDataFrame([(50, "Intro. " + copy, "en", "x", "y"), (51, prose(rnd, 300), "en", "x", "y"), (50, copy[:-3], "en", "x", "y")], odd_docs.schema))
@@ -63,7 +64,36 @@ def test_decontamination_rows(spark, odd_docs, no_docs):
     assert [(r.doc_id, r.item_id, r.edits) for r in got] == [(50, 1, 0)]
     assert [r.doc_id for r in benchmark_matches(docs, bench).where(F.size("matches") > 0).collect()] == [50, 50]
     assert contaminated(no_docs, bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
-    assert LEAST > len("too short")
+    assert LEAST > len("a word")
+    short = spark.createDataFrame([(5, "cat sat on", "z"), (6, "cat sat on a mat", "z")], bench.schema)
+    texts = spark.createDataFrame([(1, "The CAT, sat on!"), (2, "a bobcat sat on it"), (3, "cat sat once"), (4, "the cat sat on o mat")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.edits) for r in contaminated(texts, short).collect()} == {(1, 5, 0), (4, 5, 0), (4, 6, 1)}
+
+
+def test_blocks_of_a_benchmark_give_the_same_rows(spark, odd_docs, monkeypatch):
+    rnd = random.Random(12)
+    texts = [prose(rnd, 60) for _ in range(9)]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, prose(rnd, 50) + " " + t[20:240]) for i, t in enumerate(texts)], "doc_id long, text string")
+    once = sorted(map(tuple, contaminated(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 900)
+    assert sorted(map(tuple, contaminated(docs, bench).collect())) == once and {x[0] for x in once} == set(range(9))
+
+
+def test_phrases_that_many_items_share(monkeypatch):
+    rnd = random.Random(11)
+    for size in (6, 16, 22):  # below and above what may be left out
+        phrase = normalise(prose(rnd, size))
+        items = [(i, phrase + b" " + normalise(prose(rnd, 30))) for i in range(24)]
+        patterns = Patterns.of(items)
+        assert (patterns.left_out > 0).any() and (patterns.left_out < patterns.bound).all()
+        text = b" ".join([phrase] * 5 + [items[7][1][: len(phrase) + 90], phrase, items[11][1][40:150], normalise(prose(rnd, 40))])
+        found = {p: e for p, e, _ in search(text, patterns)}
+        want = {p: e for p, t in enumerate(patterns.texts) if (e := edits_in(t, text)) <= patterns.budget[p]}
+        assert found.keys() == want.keys() and all(e >= want[p] for p, e in found.items())
+        monkeypatch.setattr(decontaminate, "EXPANDED", 500)  # in halves, and a few patterns at a time
+        assert {p: e for p, e, _ in search(text, patterns)}.keys() == want.keys()
+        monkeypatch.undo()
 
 
 def test_license_windows_against_every_window(spark, odd_docs, no_docs):
