@@ -3,7 +3,8 @@
 Words are runs of letters and digits, lower-cased; sets are of two-word shingles. Templates of like length form a
 class, whose windows are as long as its longest template and start at every word. Windows and
 templates are MinHashed; the number of bands is set so that a window which holds a template, and hence has a
-similarity of SIMILARITY or more with it, shares a band with a probability of COLLIDE. What
+similarity of SIMILARITY or more with it, shares a band with a probability of COLLIDE: a template of CLASS of the window's shingles, CONTAINED
+of them in it, has CLASS * CONTAINED / (1 + CLASS - CLASS * CONTAINED). Long texts are searched in parts that overlap by a window. What
 shares a band is compared exactly: the share of the template's shingles in the window decides."""
 
 from __future__ import annotations
@@ -20,10 +21,13 @@ from pyspark.sql import functions as F
 from .shared import NOT_ALNUM, mix, table, text_slices, tidy, word_hashes
 
 CONTAINED = 0.9
-SIMILARITY, COLLIDE, ROWS = 0.72, 0.999, 2
-BANDS = math.ceil(math.log(1 - COLLIDE) / math.log(1 - SIMILARITY**ROWS))
-#: A class holds templates of at least this share of its window's words.
+#: A class holds templates of at least this share of its window's shingles.
 CLASS = 0.8
+SIMILARITY = CLASS * CONTAINED / (1 + CLASS - CLASS * CONTAINED)
+COLLIDE, ROWS = 0.999, 2
+BANDS = math.ceil(math.log(1 - COLLIDE) / math.log(1 - SIMILARITY**ROWS))
+#: Words that are searched at a time.
+PART = 1 << 15
 _MOST = np.uint64(2**64 - 1)
 _KEYS = mix(np.arange(ROWS * BANDS, dtype=np.uint64) + np.uint64(101))
 _ODD = mix(np.arange(ROWS * BANDS, dtype=np.uint64) + np.uint64(55)) | np.uint64(1)
@@ -43,6 +47,22 @@ TEMPLATES = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without "
+        "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+        "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
+        "Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice "
+        "appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION "
+        "OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
 ]
 
 
@@ -75,7 +95,7 @@ class LicenseIndex:
         classes = []
         while open_:
             window = len(words[open_[0]])
-            own = [i for i in open_ if len(words[i]) >= CLASS * window]
+            own = [i for i in open_ if len(words[i]) - 1 >= CLASS * (window - 1)]
             open_ = [i for i in open_ if i not in own]
             at: dict[int, list[int]] = {}
             for i in own:
@@ -87,6 +107,25 @@ class LicenseIndex:
             classes.append((window, at, bits))
         return LicenseIndex([n for n, _ in templates], sets, [len(w) for w in words], classes)
 
+    def search_parts(self, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """`search` of rows of any length: what is longer than two parts is searched part by part, with room for a window from each place."""
+        widest = max(w for w, _, _ in self.classes)
+        long = np.flatnonzero(np.diff(bounds) > 2 * PART)
+        if not len(long):
+            return self.search(words, bounds)
+        best: dict[tuple[int, int], tuple[float, int]] = {}
+        borders = sorted({0, len(bounds) - 1, *long.tolist(), *(long + 1).tolist()})
+        for lo, hi in zip(borders[:-1], borders[1:], strict=True):
+            first, last = int(bounds[lo]), int(bounds[hi])
+            parts = range(first, last, PART) if hi - lo == 1 and last - first > 2 * PART else [first]
+            for at in parts:
+                end = min(last, at + PART + widest) if len(parts) > 1 else last
+                inner = bounds[lo : hi + 1] - first if len(parts) == 1 else np.array([0, end - at])
+                for row, i, word, share in self.search(words[at:end], inner):
+                    found = (share, first - at - word)
+                    best[lo + row, i] = max(best.get((lo + row, i), found), found)
+        return [(row, i, -word, share) for (row, i), (share, word) in best.items()]
+
     def search(self, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(row, template, first word, containment) of the matches in the words of several rows."""
         widest = max(w for w, _, _ in self.classes)
@@ -117,7 +156,8 @@ class LicenseIndex:
         found: dict[tuple[int, int], tuple[float, int]] = {}
         for window, at, bits in self.classes:
             for values in _bands_iter(window_least.pop(window)):
-                for spot in np.flatnonzero(bits[(values >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]):
+                # A window starts at a word of its row: behind a row's end it would reach into the next row.
+                for spot in np.flatnonzero(bits[(values >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] & real[: len(values)]):
                     for i in at.get(int(values[spot]), ()):
                         row = int(np.searchsorted(starts, spot, "right")) - 1
                         own = both[spot : spot + window - 1]
@@ -148,8 +188,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     def run(batches):
         index = sent.value
         for batch in batches:
-            for lo, hi in text_slices(batch.column(1)):
-                hits = index.search(*word_hashes(batch.column(1).slice(lo, hi - lo), NOT_ALNUM))
+            for lo, hi in text_slices(batch.column(1), 8 * PART):
+                hits = index.search_parts(*word_hashes(batch.column(1).slice(lo, hi - lo), NOT_ALNUM))
                 ids = batch.column(0).slice(lo, hi - lo).to_pylist()
                 rows = [(ids[row], index.names[i], share, first) for row, i, first, share in hits]
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 4

@@ -49,11 +49,54 @@ def test_mixture_of_two_languages(spark, corpus):
 def test_em_reaches_the_maximum():
     rng = np.random.default_rng(3)
     logs = np.log(rng.uniform(0.01, 1, (50, 2)))
-    shares, like = language_id._mixture(np.exp(logs - logs.max(1, keepdims=True)), np.zeros(50, int), np.array([0, 50]), np.ones((1, 2)))
+    shares, like = language_id._mixture(np.exp(logs - logs.max(1, keepdims=True)), np.ones(50), np.array([0, 50]), np.ones((1, 2)))
     grid = [np.log(np.exp(logs) @ [a, 1 - a]).sum() for a in np.linspace(0, 1, 1001)]
     assert max(grid) - np.log(np.exp(logs) @ shares[0]).sum() < 0.05
 
 
+def test_chosen_sets_against_brute_force():
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(40):
+        logs = np.log(rng.dirichlet([0.3] * 4, rng.integers(3, 60)) + 1e-6)
+        for word in range(len(logs)):  # words of the first languages of the text
+            own = rng.integers(0, rng.integers(1, 4))
+            logs[word, own] += rng.uniform(0, 4)
+        texts.append((logs, rng.integers(1, 4, len(logs))))
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x, _ in texts])))
+    got = language_id.mixtures(np.concatenate([x for x, _ in texts]), np.concatenate([t for _, t in texts]).astype(float), bounds)
+    sizes = []
+    for (logs, times), shares in zip(texts, got):
+        like = np.exp(logs - logs.max(1, keepdims=True))
+        cost = language_id.PENALTY * np.log(times.sum() + 1)
+        value, full = {}, None
+        for subset in range(15, 0, -1):
+            allowed = np.array([subset >> i & 1 for i in range(4)], float)
+            part = allowed / allowed.sum()
+            for _ in range(400):
+                held = like * part
+                part = (held / held.sum(1, keepdims=True) * times[:, None]).sum(0) / times.sum()
+            full = part if full is None else full
+            value[subset] = (times * np.log((like * part).sum(1))).sum() - cost * (allowed.sum() - 1)
+        mine = sum(1 << i for i in range(4) if shares[i] > 0)
+        largest = np.argsort(-full)
+        tried = [1 << i for i in range(4)] + [sum(1 << int(i) for i in largest[:n]) for n in (2, 3, 4)]
+        assert mine in tried and value[mine] > max(value[x] for x in tried) - 0.1
+        sizes.append(bin(mine).count("1"))
+    assert {1, 2} <= set(sizes)
+
+
+def test_long_and_repeated_words_count_as_if_written_out(corpus):
+    model = language_id.fit(corpus)
+    rnd = random.Random(2)
+    text = prose(rnd, "en", 300) + " " + prose(rnd, "fr", 200)
+    whole = language_id._Predictor(model)([text])
+    language_id.PART, before = 200, language_id.PART
+    assert np.allclose(language_id._Predictor(model)([text])[2], whole[2])
+    language_id.PART = before
+    assert np.allclose(language_id._Predictor(model)([text + " " + text])[2], whole[2], atol=0.01)
+
+
 def test_odd_rows(spark, odd_docs, no_docs, corpus):
     for docs in (odd_docs, no_docs):
         for model in (language_id.fit(corpus), language_id.fit(no_docs)):

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from fathomlens.llm import decontaminate
+from fathomlens.llm import decontaminate, license_scan
 from fathomlens.llm.decontaminate import EDITS, LEAST, Patterns, benchmark_matches, contaminated, distance, normalise, search
 from fathomlens.llm.embedding_dedup import MultiIndex, near_embeddings
 from fathomlens.llm.license_scan import CONTAINED, NOT_ALNUM, TEMPLATES, LicenseIndex, scan_licenses, word_hashes
@@ -96,7 +96,7 @@ def test_phrases_that_many_items_share(monkeypatch):
         monkeypatch.undo()
 
 
-def test_license_windows_against_every_window(spark, odd_docs, no_docs):
+def test_license_windows_against_every_window(spark, odd_docs, no_docs, monkeypatch):
     rnd = random.Random(2)
     texts = [prose(rnd, rnd.randint(0, 90)) for _ in range(60)]
     for i in range(0, 60, 2):
@@ -116,8 +116,15 @@ def test_license_windows_against_every_window(spark, odd_docs, no_docs):
             if any(len(pairs & set(zip(words[s : s + len(own)], words[s + 1 : s + len(own)]))) >= CONTAINED * len(pairs) for s in range(len(words))):
                 want.add((r, i))
     assert want <= got and len(got - want) <= len(got) // 10  # a window is a little wider than a shorter template
+    # Long texts in parts give what they give whole.
+    joined = [" ".join(texts[:20]), texts[20], " ".join(texts[20:]), ""]
+    hashed = word_hashes(pa.array(joined), NOT_ALNUM)
+    monkeypatch.setattr(license_scan, "PART", 40)
+    assert sorted(index.search_parts(*hashed)) == sorted(index.search(*hashed))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {(r.doc_id, r.license) for r in scan_licenses(docs).collect()} == {(r, TEMPLATES[i][0]) for r, i in got}
+    beside = spark.createDataFrame([(1, "nothing here at all"), (2, TEMPLATES[4][1]), (3, "nor here")], "doc_id long, text string").coalesce(1)
+    assert [(r.doc_id, r.license, r.word) for r in scan_licenses(beside).collect()] == [(2, "GPL-3.0", 0)]
     assert scan_licenses(odd_docs).count() == 0 and scan_licenses(no_docs).count() == 0
 
 
