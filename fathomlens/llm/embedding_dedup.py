@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -175,22 +176,27 @@ def near_embeddings(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
 
     Two vectors are linked if found and their cosine, in double precision, is `least` or more (exact but for
     rounding of 1e-12). n_links counts the other rows linked directly, copies included. Vectors that are null, empty, zero, or
-    hold null or non-finite components link with nothing; so do those of another dimension than the most frequent one.
+    hold null or non-finite components link with nothing. Vectors of each size are compared with each other, by an index of their own.
     Copies of one vector are compared once. Rows without an id link with nothing and are kept. Repeated ids count as
     rows of their own. Other columns are not looked at; no rows give no rows."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     e = F.col("embedding")
     sound = F.coalesce(~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     rows = rows.withColumn("sound", sound)
-    dims = rows.where("sound").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if dims is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("recall"))
-    size = dims["d"]
-    rows = rows.withColumn("embedding", F.when(F.col("sound") & (F.size("embedding") == size), F.transform("embedding", lambda x: x + 0.0)))
-    classes = cut(rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    alone = rows.where(~F.col("sound")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("recall"))
+    size = F.size("embedding")
+    # Vectors of different sizes have no cosine; as a rule there is one size.
+    sizes = [r[0] for r in rows.where("sound").select(size.alias("size")).distinct().orderBy("size").collect()]
+    each = [_of_one_size(rows.where(F.col("sound") & (size == n)).select("vec_id", F.transform("embedding", lambda x: x + 0.0).alias("embedding")), n, least) for n in sizes]
+    return reduce(DataFrame.union, each, alone)
+
+
+def _of_one_size(rows: DataFrame, size: int, least: float) -> DataFrame:
+    """`near_embeddings` of sound vectors (vec_id, embedding) of one size."""
+    classes = cut(rows.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     index, count, recall = _fit(classes, size, least)
 
-    spark = vectors.sparkSession
+    spark = rows.sparkSession
     sent = spark.sparkContext.broadcast(index)  # 2 * K * dimension numbers, K bounded by the sample
 
     def file(batches):
@@ -219,9 +225,8 @@ def near_embeddings(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     groups = components(found.where("b is not null").select("a", "b")).toDF("rep", "component")
     named = classes.join(links, "rep", "left").join(groups, "rep", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     return (
-        rows.select("vec_id", "embedding")
-        .join(named, "embedding", "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+        rows.join(named, "embedding")
+        .select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("component").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
         .withColumn("recall", F.lit(float(recall)))
     )

@@ -148,6 +148,12 @@ def test_embeddings_against_brute_force(spark):
     assert near_embeddings(df.limit(0)).count() == 0
 
 
+def test_vectors_of_each_size_link_within_it(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.1, 0.0]), (6, [3.0]), (7, [5.0]), (8, [-1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 6), 8: (0, 8)}
+
+
 def beside(rng, rows, cosine):
     """Unit vectors at the given cosine from those of `rows`."""
     rows = rows / np.linalg.norm(rows, axis=1, keepdims=True)
