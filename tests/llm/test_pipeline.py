@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 import __spark_entry__ as entry
 
@@ -36,3 +38,36 @@ def test_no_documents(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def odd_stage_docs(spark):
+    """Columns that operators add, repeated rows and ids, nulls, blanks, a long text."""
+    text = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en' and length(text) > 1500").first().text
+    other = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'de' and length(text) > 1500").first().text
+    rows = [
+        (1, text, "en", "mine", "a"), (1, text, "en", "mine", "b"), (1, other, "de", "mine", "c"), (2, text + " more", "en", "mine", "d"), (3, (other + " ") * 400, "de", "mine", "e"),
+        (4, None, None, "mine", "f"), (5, "", "en", "mine", "g"), (6, " \n ", "en", "mine", "h"), (None, text, "en", "mine", "i"), (7, "", None, None, None),
+    ]
+    names = ["score", "Lang_Pred", "languages", "predicted", "matches", "gone", "N", "ids"]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tag string").select("*", *[F.lit("own").alias(n) for n in names])
+
+
+def test_stages_keep_the_callers_columns(spark):
+    docs = odd_stage_docs(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        kept = out.collect()
+        assert kept and all(r[n] == "own" for r in kept for n in docs.columns[5:]), name
+        assert {tuple(r) for r in kept} <= {tuple(r) for r in docs.collect()}, name
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert last.columns == [c for c in docs.columns if c not in ("text", "ids")] + ["n_tokens", "ids", "decoded"]
+    got = {r.tag: r for r in last.collect()}
+    assert len(got) == 10 and (got["f"].n_tokens, got["f"].ids, got["f"].decoded) == (0, [], "") and got["e"].n_tokens > 100_000
+
+
+def test_near_dedup_of_repeated_ids_and_blanks(spark):
+    docs = odd_stage_docs(spark)
+    kept = sorted(r.tag or "" for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect())
+    # One of the two equal rows of id 1, its other text, not the near copies 2, all that is blank or has no id.
+    assert kept == sorted(["a", "c", "e", "f", "g", "h", "i", ""])
