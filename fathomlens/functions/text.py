@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that a search ignores.
-STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with"]
+# Words that a search ignores, and the patterns of ids and sentence ends.
+STOP_WORDS = (
+    "a about after again against all also am an and any are as at be because been before being below between both but by can cannot could did do does doing "
+    "done down during each few for from further had has have having he her here hers him his how i if in into is it its just me more most my no nor not of "
+    "off on once only or other our ours out over own same she should so some such than that the their theirs them then there these they this those through "
+    "to too under until up us very was we were what when where which while who whom why will with would you your yours ever seen get got give take tell "
+    "show "
+).split()
 
 CVE = r"(?i)\bCVE-\d{4}-\d{4,7}\b"
 TECHNIQUE = r"\bT\d{4}(?:\.\d{3})?\b"

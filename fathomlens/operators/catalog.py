@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import privacy
+
 #: What leaves the store: neither raw text nor the contributor's pseudonym.
 WITHHELD = ("raw_text", "contributor_ref")
 
@@ -70,3 +72,11 @@ def migrate(old: DataFrame, new: DataFrame) -> DataFrame:
 def reindexable(incidents: DataFrame) -> DataFrame:
     """What a rebuilt memory holds: incidents with text to embed."""
     return incidents.where(F.coalesce("embedding_text", F.lit("")) != "").select("incident_id", "embedding_text")
+
+
+def shareable_actions(actions: DataFrame, texts: tuple[str, ...] = ("action", "notes")) -> DataFrame:
+    """Actions as they may be shared: their free texts trimmed and sanitised, those without an action left out."""
+    shared = actions.where(F.trim("action") != "")
+    for column in (c for c in texts if c in actions.columns):
+        shared = privacy.redact(shared.withColumn(column, F.trim(column)), column).drop("entities").drop(column).withColumnRenamed("sanitized", column)
+    return shared.select(actions.columns)

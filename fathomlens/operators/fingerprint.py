@@ -17,44 +17,71 @@ CONFIDENCE = {"phrase": 0.75, "name": 0.85, "explicit": 0.95}
 OTHER_SOURCE = 0.55
 
 
-def grams(docs: DataFrame, doc: str, text: str, longest: int = 4) -> DataFrame:
-    """(doc, gram, at): n-grams of lower-cased words of letters and digits, with the place of their first word, from 1."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("([a-z0-9]+)"), 1)
-    rows = docs.select(F.col(doc).alias("doc"), words.alias("w"))
-    # All grams of one length are zipped from shifted arrays inside the row, so no row carries its words along.
-    each = []
-    for n in range(1, longest + 1):
-        count = F.greatest(F.size("w") - (n - 1), F.lit(0))
-        shifted = F.arrays_zip(*[F.slice("w", F.lit(i + 1), count).alias(f"w{i}") for i in range(n)])
-        each.append(F.transform(shifted, _joined(n)))
-    found = rows.select("doc", F.explode(F.concat(*each)).alias("g"))
-    return found.select("doc", "g.gram", "g.at")
-
-
-def _joined(n: int):
-    return lambda x, i: F.struct(F.concat_ws(" ", *[x[f"w{k}"] for k in range(n)]).alias("gram"), (i + 1).cast("long").alias("at"))
-
-
-def phrase_hits(docs: DataFrame, vocabulary: DataFrame, doc: str, text: str, longest: int = 4) -> DataFrame:
-    """(doc, ordinal, label, term, weight, at): places where a term of the vocabulary, or its plural, is in the text."""
-    forms = vocabulary.select("*", F.explode(F.array(F.col("term"), F.concat("term", F.lit("s")), F.concat("term", F.lit("es")))).alias("gram"))
-    return grams(docs, doc, text, longest).join(forms, "gram").drop("gram")
-
-
-def negated(docs: DataFrame, doc: str, text: str, cues: list[str], reach: int = 8) -> DataFrame:
-    """(doc, start, end) in words: spans of `reach` words after a negating cue, cut at the sentence's end."""
-    spaced = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[.!?;\n]", " | ")
-    words = F.regexp_extract_all(spaced, F.lit(r"([a-z0-9]+|\|)"), 1)
-    rows = docs.select(F.col(doc).alias("doc"), F.posexplode(words).alias("i", "word"))
-    order = Window.partitionBy("doc").orderBy("i")
-    ahead = order.rowsBetween(1, reach)
-    stop = F.col("word") == "|"
-    rows = rows.withColumn("stops", F.count_if(stop).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("next", F.min(F.when(stop, F.col("i"))).over(ahead)).withColumn("length", F.coalesce(F.col("next") - F.col("i") - 1, F.count("*").over(ahead)))
-    # Stops are no words in a text's count of places.
-    start = F.col("i") + 2 - F.col("stops")
-    cue = rows.where(F.col("word").isin(cues)).select("doc", start.cast("long").alias("start"), (start + F.col("length")).cast("long").alias("end"))
-    return cue.where("end > start")
+# What denies a thing (its scope is the phrase that follows) or an action (the rest of the clause), and what ends a clause.
+NOUN_CUES = ["no evidence of", "no sign of", "no signs of", "no indication of", "absence of", "lack of", "before any", "rather than", "instead of", "without", "neither", "none", "no"]
+VERB_CUES = (
+    "did not|does not|do not|was not|were not|is not|are not|has not|have not|had not|could not|would not|cannot|can not|failed to|unable to|didn't|doesn't|don't|wasn't|weren't|isn't|aren't|hasn't|"
+    "haven't|hadn't|couldn't|wouldn't|can't|never|not|nor"
+).split("|")
+CLAUSE_ENDS = r"[.;:!?\n]|\b(?:but|however|although|while|whereas|until|whose|which|who|where|because)\b"
+NOUN_REACH, VERB_REACH = 8, 12
+WORD = "[a-z0-9]+"
+
+
+def negations(text: Column) -> Column:
+    """array<struct<start, end>>: spans of words (runs of letters a-z and digits of the lower-cased text, counted from 1; end exclusive) that the text denies.
+
+    A span begins after its cue and ends with the clause; after a denied action also at the word and; at a comma, unless the clause is a list with
+    or or nor; and after NOUN_REACH or VERB_REACH words."""
+    cue = rf"\b(?:({'|'.join(NOUN_CUES)})|(?:{'|'.join(VERB_CUES)}))\b"
+    scoped = rf"(?s){cue}(?=(.*?)(?:{CLAUSE_ENDS}|\z))"
+    words = lambda c: F.size(F.regexp_extract_all(c, F.lit(WORD), 0))
+    low = F.lower(F.coalesce(text, F.lit("")))
+
+    def span(cue: Column, i: Column, before: Column) -> Column:
+        noun, clause = cue["noun"] != "", cue["clause"]
+        clause = F.when(noun, clause).otherwise(F.regexp_extract(clause, r"(?s)^(.*?)(?:\band\b|\z)", 1))
+        clause = F.when(clause.contains(",") & ~clause.rlike(r"\b(?:or|nor)\b"), F.substring_index(clause, ",", 1)).otherwise(clause)
+        reach = lambda n: F.regexp_extract(clause, rf"^(?:\s*\S+){{0,{n}}}", 0)
+        start = F.aggregate(F.slice(before, F.lit(1), i + 1), F.lit(1), lambda x, y: x + y)
+        end = start + words(F.when(noun, reach(NOUN_REACH)).otherwise(reach(VERB_REACH)))
+        return F.named_struct(F.lit("start"), start.cast("long"), F.lit("end"), end.cast("long"))
+
+    pair = lambda noun, clause: F.named_struct(F.lit("noun"), noun, F.lit("clause"), clause)
+    found = F.zip_with(F.regexp_extract_all(low, F.lit(scoped), 1), F.regexp_extract_all(low, F.lit(scoped), 2), pair)
+    before = F.zip_with(F.split(low, cue, -1), F.regexp_extract_all(low, F.lit(cue), 0), lambda gap, c: words(gap) + F.coalesce(words(c), F.lit(0)))
+    spans = F.get(F.transform(F.array(F.named_struct(F.lit("f"), found, F.lit("b"), before)), lambda x: F.transform(x["f"], lambda c, i: span(c, i, x["b"]))), F.lit(0))
+    return F.filter(spans, lambda x: x["end"] > x["start"])
+
+
+def negated(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, start, end): the spans of `negations`."""
+    return docs.select(F.col(doc).alias("doc"), F.explode(negations(F.col(text))).alias("s")).select("doc", "s.start", "s.end")
+
+
+def phrase_hits(docs: DataFrame, vocabulary: DataFrame, doc: str, text: str, only_affirmed: bool = False) -> DataFrame:
+    """(doc, ordinal, label, term, weight, …, at): places where a term of the vocabulary, or its plural, is in the lower-cased text, between characters other than a-z and
+    digits. at counts words, from 1.
+
+    Every word brings what follows it, as far as the longest term reaches, and is joined with the first words of the terms; so the work is one row a word,
+    none is shuffled while the vocabulary is small, and terms may be of any length and hold any punctuation (but before their first letter
+    or digit). `only_affirmed` leaves out what the text denies (see `negations`)."""
+    terms = vocabulary.withColumn("_term", F.regexp_replace(F.lower("term"), "^[^a-z0-9]+", "")).where("_term <> ''")
+    terms = terms.withColumn("_first", F.regexp_extract("_term", WORD, 0))
+    longest = terms.agg(F.max(F.length("_term"))).first()[0] or 0
+    ahead = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(rf"(?s)(?<![a-z0-9])(?=[a-z0-9])(?=(.{{1,{longest + 3}}}))"), 1)
+    denied = [negations(F.col(text)).alias("_denied")] if only_affirmed else []
+    # The spans are made before the words are rows, once a text.
+    texts = docs.select(F.col(doc).alias("doc"), *denied, ahead.alias("_words"))
+    rows = texts.select(*(c for c in texts.columns if c != "_words"), F.posexplode("_words").alias("_i", "_ahead")).withColumn("_first", F.regexp_extract("_ahead", f"^{WORD}", 0))
+    # A term's last word may stand in its plural, which is then the first word of a one-word term.
+    single = F.col("_first") == F.col("_term")
+    forms = terms.withColumn("_first", F.explode(F.when(single, F.array("_first", F.concat("_first", F.lit("s")), F.concat("_first", F.lit("es")))).otherwise(F.array("_first"))))
+    hits = rows.join(forms, "_first").where(F.startswith("_ahead", "_term") & ~F.substr("_ahead", F.length("_term") + 1).rlike("^(?!(?:e?s)?(?:[^a-z0-9]|$))"))
+    at = (F.col("_i") + 1).cast("long")
+    if only_affirmed:
+        hits = hits.where(~F.exists("_denied", lambda s: (at >= s["start"]) & (at < s["end"])))
+    return hits.select("doc", *vocabulary.columns, at.alias("at"))
 
 
 def affirmed(hits: DataFrame, spans: DataFrame) -> DataFrame:

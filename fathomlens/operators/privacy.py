@@ -1,46 +1,173 @@
 """Privacy layer: entities, span-exact redaction with numbered tokens, audit, self-check, pseudonyms.
 
-All of it is column expressions, so a document never leaves its row and nothing shuffles before counts are taken."""
+Identifiers with a shape are taken out by column expressions, so a document never leaves its row. What needs a vocabulary
+(whether a word is ordinary) is looked up by a join of the few words that may be asked for. Names without a shape are in `names`."""
 
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import mask_value
+from ..functions.vocabulary import FUNCTION_WORDS, NO_ORGANISATIONS, SECURITY_ACRONYMS, TECH_PREFIXES
 
 #: Stands for what must survive while patterns run; no pattern matches it.
 HOLD = "\x02"
+#: Around the number of an entity while patterns run.
+MARK = "\x01"
+_ENTITY = "array<struct<label:string,value:string>>"
 
 
 @dataclass(frozen=True)
 class Shape:
-    """A kind of identifier: the label of its tokens and its pattern (common to Java and RE2, without groups)."""
+    """A kind of identifier: the label of its tokens and its pattern.
+
+    With `group`, only what that group matches is taken out. `keep` (match, value, known words) tells what is no identifier, `clean`
+    makes the value of what was matched, `label_of` the label of a match where there are several."""
 
     label: str
     pattern: str
+    group: int = 0
+    keep: Callable[[Column, Column, Column], Column] | None = field(default=None, compare=False)
+    clean: Callable[[Column], Column] | None = field(default=None, compare=False)
+    label_of: Callable[[Column], Column] | None = field(default=None, compare=False)
 
 
-# Shapes in the order in which they are taken out. What an earlier one took, a later one doesn't see.
-SHAPES = [
-    Shape("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z]"),
-    Shape("URL", r"https?://[^\s<>\"]+"),
-    Shape("IP", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
-    Shape("MAC", r"\b[0-9A-Fa-f]{2}:[0-9A-Fa-f]{2}:[0-9A-Fa-f]{2}:[0-9A-Fa-f]{2}:[0-9A-Fa-f]{2}:[0-9A-Fa-f]{2}\b"),
-    Shape("IBAN", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b"),
-    Shape("CREDIT_CARD", r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b"),
-    Shape("PHONE", r"\+[0-9]{1,3} ?\(?[0-9]{2,4}\)?[ -][0-9]{3}[ -][0-9]{3,4}\b"),
-    Shape("SECRET", r"\b(?:AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36})\b"),
-]
-#: What identifies no one and is kept: CVE ids, technique ids, file hashes, tokens of an earlier pass.
-PROTECTED = r"\[[A-Z_]+_REDACTED(?:_[0-9]+)?\]|\bCVE-[0-9]{4}-[0-9]{4,7}\b|\bT[0-9]{4}(?:\.[0-9]{3})?\b|\b[0-9a-f]{64}\b|\b[0-9a-f]{40}\b|\b[0-9a-f]{32}\b"
+def _isin(value: Column, words: list[str]) -> Column:
+    return F.array_contains(F.array(*map(F.lit, dict.fromkeys(words))), value)
+
+
+def _term(word: Column, known: Column) -> Column:
+    """Whether a lower-cased word is a word of the trade or of the vocabulary."""
+    return _isin(word, TECH_PREFIXES) | F.array_contains(known, word)
+
+
+def _short_forms(value: Column) -> Column:
+    """Whether a value, or each part of it, is a short form of the trade."""
+    parts = F.split(F.upper(value), "[- ]+")
+    return _isin(F.upper(value), SECURITY_ACRONYMS) | F.forall(parts, lambda p: _isin(p, SECURITY_ACRONYMS))
+
+
+def _no_host(match: Column, value: Column, known: Column) -> Column:
+    """What has letters and digits without naming a machine: terms, versions, years. Machines have a zero before their number, a prefix that is no word, or three parts and a number."""
+    parts = F.split(value, "-")
+    prefix = F.lower(F.regexp_extract(value, "^[A-Za-z]+", 0))
+    padded = F.exists(parts, lambda p: F.regexp_extract(p, "[0-9]+", 0).rlike("^0[0-9]"))
+    machine = padded | ~_term(prefix, known) | ((F.size(parts) >= 3) & F.element_at(parts, -1).rlike("^[0-9]+$"))
+    term = ~value.rlike("[0-9]") | _short_forms(value) | F.array_contains(known, F.lower(value)) | (F.length(prefix) < 2) | _isin(prefix, TECH_PREFIXES)
+    return term | F.exists(parts, lambda p: p.rlike("^(19|20)[0-9][0-9]$")) | ~machine
+
+
+def _no_account(match: Column, value: Column, known: Column) -> Column:
+    return value.contains(MARK) | value.contains(HOLD) | _term(F.lower(value), known)
+
+
+_ARTICLE = r"(?i)^(the|a|an|our|its|their|this|that)\s+"
+
+
+def _body(value: Column) -> Column:
+    """The name without an article; empty where nothing else is left."""
+    return F.trim(F.regexp_replace(F.concat(value, F.lit(" ")), _ARTICLE, ""))
+
+
+def _no_organisation(match: Column, value: Column, known: Column) -> Column:
+    function = F.lower(F.regexp_replace(F.trim(match), _ARTICLE, ""))
+    named = [f"{x} {y}" for x in NO_ORGANISATIONS for y in ("centre", "center")] + ["incident response centre"]
+    return _isin(function, named) | (value == "") | _isin(F.lower(value), FUNCTION_WORDS)
+
+
+def _described(match: Column, value: Column, known: Column) -> Column:
+    """Form values that describe: only lower-cased vocabulary words, or neither words nor digits."""
+    words = F.regexp_extract_all(value, F.lit("([A-Za-z][A-Za-z0-9'-]*)"), 1)
+    plain = F.forall(words, lambda w: w.rlike("^[a-z]") & F.array_contains(known, w))
+    return (value == "") | F.when(F.size(words) == 0, ~value.rlike("[0-9]")).otherwise(plain)
+
 
+# The labels of form fields, by what they name.
+FIELDS = {
+    "ORG": "organisation organization company client customer vendor supplier partner victim entity institution employer affected_organisation affected_organization subsidiary",
+    "PERSON": "name full_name employee user analyst reporter contact owner author prepared_by reported_by approved_by assigned_to escalated_to investigated_by reviewed_by requested_by submitted_by handled_by responder",
+    "LOCATION": "location site branch city country region office facility plant address building",
+    "HOSTNAME": "hostname host device asset machine computer workstation server endpoint system_name",
+    "ACCOUNT": "account username user_name user_id login",
+    "REFERENCE": "reference ref ticket case case_id incident_id report_id tracking_id",
+}
+_LABELS = {name.replace("_", " "): label for label, names in FIELDS.items() for name in names.split()}
 
-def _found(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
+
+def _field_label(match: Column) -> Column:
+    name = F.regexp_extract(F.lower(match), r"^[ \t]*(?:[-*•][ \t]*)?([a-z ]*[a-z])", 1)
+    return F.coalesce(*[F.when(_isin(name, [n for n, x in _LABELS.items() if x == label]), F.lit(label)) for label in FIELDS], F.lit("ORG"))
+
+
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_DOT = r"(?:\.|\[\.\])"
+_ALONE = r"(?<![\w.\-@/\\])"
+_NAME_ENDS = r"(?![\w\-@]|\.[A-Za-z0-9])"
+_PART = r"(?:[A-Z][a-z]*(?:[-'][A-Z][a-z]+)+|[A-Z][a-z]+)"
+_PERSON = rf"({_PART}(?:\s+{_PART}){{0,2}})"
+_FOREIGN = r"[\p{L}&&[^A-Za-z\u00C0-\u024F]]"
+_LAST_LABELS = (
+    "com net org gov edu mil int info biz xyz top onion io co me tv app dev cloud health bank shop online site live sa ae qa kw bh om eg jo lb ma tn tr uk de fr nl se no fi dk es it pl ch at be "
+    "ie pt gr cz ro ru cn jp kr in pk id my sg au nz ca mx br ar za ng ke local internal corp lan intranet home arpa example test invalid localdomain"
+).replace(" ", "|")
+_BODIES = "Inc LLC Ltd Limited Corp Corporation Company Co\\. GmbH PLC LLP Bank Group Holdings Centre Center Hospital Clinic Authority Ministry University College Institute Agency Foundation Association Council Commission Trust".replace(" ", "|")
+_HEADS = (
+    "Ministry University Bank Authority College Institute Agency Council Commission Department Hospital Municipality Government City State Province Republic Kingdom Embassy Chamber Society "
+    "Organisation Organization Association Foundation Office"
+).replace(" ", "|")
+_INTRODUCED = "service account|user account|admin account|administrator account|domain account|local account|account|username|user name|user id|userid|login name|logon name|logged in as|signed in as|logged on as"
+_ROLES = "employee|user|staff member|victim|attacker|contractor|reported by|escalated to|assigned to|investigated by|approved by|contacted|notified"
+
+# Shapes in the order in which they are taken out. What an earlier one took, a later one doesn't see.
+SHAPES = [
+    Shape("FOREIGN_TEXT", rf"{_FOREIGN}+(?:[\s،؛؟.,:;!?()\-–—\"'«»/٠-٩]*{_FOREIGN}+)*", label_of=lambda m: F.when(m.rlike("^[\u0600-\u08FF\uFB50-\uFFFF]"), "ARABIC_TEXT").otherwise("FOREIGN_TEXT")),
+    Shape("SECRET", r"\b(?:AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9_\-]{20,}|gh[pousr]_[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_\-]{10,}(?:\.[A-Za-z0-9_\-]{10,}){2})\b"),
+    Shape("EMAIL", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"),
+    Shape("URL", r"(?i)\bhttps?://[^\s<>\"')\]]+"),
+    Shape("URL", r"(?i)\bhxxps?(?::|\[:\])//[^\s<>\"')\]]+"),
+    Shape("IP", rf"\b(?:{_OCTET}{_DOT}){{3}}{_OCTET}(?:/\d{{1,2}})?\b"),
+    Shape("IP", r"(?i)\b(?:[A-F0-9]{1,4}:){5}[A-F0-9:]{2,}\b"),
+    Shape("IP", r"(?i)(?<![\w:.])(?:[A-F0-9]{1,4}:){1,7}(?::[A-F0-9]{1,4}){1,7}(?![\w:])"),
+    Shape("MAC", r"(?i)\b(?:[0-9A-F]{2}[:\-]){5}[0-9A-F]{2}\b"),
+    Shape("IBAN", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b"),
+    Shape("CREDIT_CARD", r"\b(?:\d{4}[ \-]?){3}\d{3,4}\b"),
+    Shape("NATIONAL_ID", r"\b[12]\d{9}\b"),
+    Shape("PHONE", r"(?:\+\d{1,3}[ \-]?)?(?:\(?0\)?)?\d{2,4}[ \-]?\d{3}[ \-]?\d{4}\b"),
+    Shape("USER_PATH", r"(?i)[A-Z]:\\Users\\[^\\\s\"']+"),
+    Shape("USER_PATH", r"(?i)/(?:home|Users)/[A-Z0-9._\-]+"),
+    Shape("ACCOUNT", r"\b[A-Za-z0-9\-]{2,30}\\[A-Za-z0-9._\-]{2,30}\b"),
+    Shape("REFERENCE", r"\b(?:IR|INC|INCIDENT|CASE|TKT|TICKET|REF|SR|CHG|PRB|RITM|SEC|CR|REQ)[-_#]?\d{2,}(?:[-_/]\d+)*\b"),
+    Shape("HOSTNAME", r"\b[A-Z]{2,}(?:-[A-Z0-9]{1,10}){1,3}\b", keep=lambda m, v, known: _short_forms(v)),
+    Shape("DOMAIN", rf"(?i)\b(?:[A-Z0-9](?:[A-Z0-9\-]{{0,61}}[A-Z0-9])?{_DOT})+(?:{_LAST_LABELS})\b"),
+    Shape("HOSTNAME", rf"{_ALONE}[A-Za-z][A-Za-z0-9]{{1,14}}(?:-[A-Za-z0-9]{{1,14}}){{1,4}}{_NAME_ENDS}", keep=_no_host),
+    Shape("HOSTNAME", rf"{_ALONE}[A-Za-z]{{2,10}}\d{{2,4}}[a-z]?{_NAME_ENDS}", keep=_no_host),
+    Shape("ACCOUNT", rf"{_ALONE}(?i:svc|srv|adm|admin|sa|sys|bkp|ops)[_.][A-Za-z0-9][A-Za-z0-9_.\-]{{1,24}}(?![\w@])"),
+    Shape("ACCOUNT", rf"\b(?i:{_INTRODUCED})\s+(?i:named\s+|called\s+|name\s+)?[\"'“]?([A-Za-z][A-Za-z0-9._\-]{{2,30}})", 1, keep=_no_account),
+    Shape("PERSON", rf"\b(?:Mr|Mrs|Ms|Dr|Eng|Engineer|Analyst|Manager|Director|Officer|CISO|CTO|CEO)\.?[:,]?\s+{_PERSON}", 1),
+    Shape("PERSON", rf"\b(?i:{_ROLES})[:,]?\s+{_PERSON}\b", 1),
+    Shape("ORG", rf"\b([A-Z][A-Za-z0-9&.\-]*(?:\s+[A-Z][A-Za-z0-9&.\-]*){{0,3}})\s+(?:{_BODIES})\b", 1, keep=_no_organisation, clean=_body),
+    Shape("ORG", rf"\b(?:{_HEADS})\s+of\s+((?:the\s+)?[A-Z][A-Za-z0-9&.\-]*(?:\s+(?:and\s+|&\s+)?[A-Z][A-Za-z0-9&.\-]*){{0,3}})", 1, keep=_no_organisation, clean=_body),
+    Shape("FIELD", rf"(?im)^[ \t]*(?:[-*•][ \t]*)?(?:{'|'.join(sorted(_LABELS, key=len, reverse=True))})[ \t]*[:：][ \t]*([^\n,;(\x01\x02\[]{{2,80}})", 1, keep=_described, clean=F.trim, label_of=_field_label),
+]
+#: What identifies no one and is kept: tokens of an earlier pass, CVE and technique ids, file hashes, registry paths.
+PROTECTED = (
+    r"\[[A-Z_]+_REDACTED(?:_[0-9]+)?\]|(?i:\bCVE-[0-9]{4}-[0-9]{4,7}\b)|\bT[0-9]{4}(?:\.[0-9]{3})?\b|(?i:\b[0-9a-f]{64}\b|\b[0-9a-f]{40}\b|\b[0-9a-f]{32}\b)"
+    r"|(?i:\b(?:HKLM|HKCU|HKCR|HKU|HKEY_[A-Z_]+)\\[\w\\\-]+)"
+)
+
+
+def shapes_of(*labels: str) -> list[Shape]:
+    """The shapes of some labels."""
+    return [s for s in SHAPES if s.label in labels]
+
+
+def _found(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), group)
 
 
 def _let(value: Column, body) -> Column:
@@ -55,44 +182,105 @@ def _join(gaps: Column, found: Column) -> Column:
     return F.array_join(F.zip_with(gaps, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
-def _step(shape: Shape):
-    """From (t, entities) to (t, entities) with one shape's values taken out of t, by position."""
+def _step(shape: Shape, known: Column):
+    """From (t, entities) to (t, entities) with one shape's values taken out of t, by position, and marked by the entity's number."""
+
+    def match(full: Column, value: Column) -> Column:
+        clean = shape.clean(value) if shape.clean else value
+        label = shape.label_of(full) if shape.label_of else F.lit(shape.label)
+        keep = shape.keep(full, clean, known) if shape.keep else F.lit(False)
+        return F.struct(full.alias("full"), F.struct(label.alias("label"), clean.alias("value")).alias("entity"), keep.alias("keep"))
+
+    def matched(found: Column, t: Column) -> Column:
+        if not shape.group:
+            return F.transform(found, lambda x: match(x, x))
+        return F.zip_with(found, _found(t, shape.pattern, shape.group), match)
+
+    def rewritten(t: Column, matches: Column, entities: Column) -> Column:
+        def instead(m: Column) -> Column:
+            token = F.concat(F.lit(MARK), F.array_position(entities, m["entity"]).cast("string"), F.lit(MARK))
+            value = m["entity"]["value"]
+            if shape.label == "FIELD":  # the value ends the match, and its words may be in the label
+                start = F.regexp_instr(m["full"], F.lit("[:：]"))
+                return F.when(m["keep"], m["full"]).otherwise(F.concat(F.substr(m["full"], F.lit(1), start), F.replace(F.substr(m["full"], start + 1), value, token)))
+            return F.when(m["keep"], m["full"]).otherwise(F.replace(m["full"], value, token) if shape.group else token)
+
+        return F.struct(_join(F.split(t, shape.pattern, -1), F.transform(matches, instead)).alias("t"), entities.alias("entities"))
 
-    def rewritten(state: Column, found: Column, values: Column) -> Column:
-        def token(x: Column) -> Column:
-            numbered = F.concat(F.lit(f"[{shape.label}_REDACTED_"), F.array_position(values, x).cast("string"), F.lit("]"))
-            return F.when(F.size(values) == 1, F.lit(f"[{shape.label}_REDACTED]")).otherwise(numbered)
+    def step(state: Column) -> Column:
+        def taken(matches: Column) -> Column:
+            new = F.transform(F.filter(matches, lambda m: ~m["keep"]), lambda m: m["entity"])
+            more = F.concat(state["entities"], F.array_except(new, state["entities"]))
+            return _let(more, lambda entities: rewritten(state["t"], matches, entities))
 
-        def entity(x: Column) -> Column:
-            return F.struct(F.lit(shape.label).alias("label"), x.alias("value"), F.array_position(values, x).cast("long").alias("number"), token(x).alias("token"))
+        return _let(_found(state["t"], shape.pattern), lambda found: F.when(F.size(found) == 0, state).otherwise(_let(matched(found, state["t"]), taken)))
 
-        text = _join(F.split(state["t"], shape.pattern, -1), F.transform(found, token))
-        return F.struct(text.alias("t"), F.concat(state["entities"], F.transform(values, entity)).alias("entities"))
+    return step
 
-    return lambda state: _let(_found(state["t"], shape.pattern), lambda found: _let(F.array_distinct(found), lambda values: rewritten(state, found, values)))
 
+def _held(text: Column) -> Column:
+    """The text with what is protected as HOLD."""
+    return F.array_join(F.split(text, PROTECTED, -1), HOLD)
 
-def redacted(text: Column, shapes: list[Shape] = SHAPES) -> Column:
-    """struct<t, entities>: the text with all shapes taken out, protected ones kept."""
 
-    def of(t: Column) -> Column:
-        none = F.array().cast("array<struct<label:string,value:string,number:bigint,token:string>>")
-        state = F.struct(F.array_join(F.split(t, PROTECTED, -1), HOLD).alias("t"), none.alias("entities"))
-        for s in shapes:
-            state = _let(state, _step(s))
-        return _let(state, lambda x: F.struct(_join(F.split(x["t"], HOLD, -1), _found(t, PROTECTED)).alias("t"), x["entities"].alias("entities")))
+def marked(docs: DataFrame, text: str, shapes: list[Shape] = SHAPES, known: str | None = None, state: str = "_state") -> DataFrame:
+    """`docs` with `state`: struct<t, entities>, the text with every identifier as MARK number MARK and what is protected as HOLD, and the entities by number, from 1.
 
-    return _let(F.coalesce(text, F.lit("")), of)
+    known: column with an array of the vocabulary's words in the text, lower-cased (see `vocabulary_words`). Each shape is a projection of its
+    own: one expression for all would be too deep to be analysed."""
+    words = F.lit(None) if known is None else F.col(known)
+    words = F.coalesce(words.cast("array<string>"), F.array().cast("array<string>"))
+    docs = docs.withColumn(state, F.struct(_held(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.array().cast(_ENTITY).alias("entities")))
+    for s in shapes:
+        docs = docs.withColumn(state, _step(s, words)(F.col(state)))
+    return docs
 
 
-def redact(docs: DataFrame, text: str = "text", shapes: list[Shape] = SHAPES) -> DataFrame:
+def numbered(entities: Column) -> Column:
+    """array<struct<label, value, number, token>>: numbered within their label; the only one of a label stays bare."""
+
+    def one(e: Column, i: Column) -> Column:
+        same = lambda x: x["label"] == e["label"]
+        number = F.size(F.filter(F.slice(entities, F.lit(1), i + 1), same)).cast("long")
+        token = F.when(F.size(F.filter(entities, same)) == 1, F.concat(F.lit("["), e["label"], F.lit("_REDACTED]")))
+        token = token.otherwise(F.concat(F.lit("["), e["label"], F.lit("_REDACTED_"), number.cast("string"), F.lit("]")))
+        return F.struct(e["label"].alias("label"), e["value"].alias("value"), number.alias("number"), token.alias("token"))
+
+    return F.transform(entities, one)
+
+
+def finished(text: Column, t: Column, tokens: Column) -> Column:
+    """`t` with tokens for marks, and what `text` holds at the places of HOLD."""
+    pattern = f"{MARK}([0-9]+){MARK}"
+    shown = F.transform(_found(t, pattern, 1), lambda n: F.element_at(tokens, n.cast("int"))["token"])
+    named = _join(F.split(t, pattern, -1), shown)
+    return _let(named, lambda x: _join(F.split(x, HOLD, -1), _found(text, PROTECTED)))
+
+
+def vocabulary_words(docs: DataFrame, doc: str, text: str, lexicon: DataFrame) -> DataFrame:
+    """(doc, known): the ordinary and public words of `lexicon` (see `names.flags`) among those that shapes ask for: letters before digits, names with
+    hyphens and digits, words after an account's introduction, form values."""
+    from .names import flags
+
+    t = F.lower(F.coalesce(F.col(text), F.lit("")))
+    hosts = _found(t, r"[a-z][a-z0-9]*(?:-[a-z0-9]+)*[0-9][a-z0-9-]*")
+    values = F.flatten(F.transform(_found(t, SHAPES[-1].pattern, 1), lambda v: _found(v, "[a-z][a-z0-9'-]*")))
+    asked = F.concat(hosts, F.transform(hosts, lambda h: F.regexp_extract(h, "^[a-z]+", 0)), _found(t, rf"\b(?:{_INTRODUCED})\s+(?:named\s+|called\s+|name\s+)?[\"'“]?([a-z][a-z0-9._\-]{{2,30}})", 1), values)
+    words = docs.select(F.col(doc).alias("doc"), F.explode(F.array_distinct(asked)).alias("word"))
+    known = words.join(flags(words.select("word").distinct(), lexicon).where("ordinary or public").select("word"), "word")
+    return known.groupBy("doc").agg(F.collect_set("word").alias("known"))
+
+
+def redact(docs: DataFrame, text: str = "text", shapes: list[Shape] = SHAPES, known: str | None = None) -> DataFrame:
     """`docs` with sanitized and entities: array<struct<label, value, number, token>>.
 
-    A value always gets the same token. Tokens of a label are numbered in order of first place, unless there is only
-    one, which stays bare. Protected shapes survive. Null texts give null and no entities. Idempotent."""
+    A value always gets the same token. Tokens of a label are numbered in the order in which the shapes take them out, unless there is only
+    one, which stays bare. Protected shapes survive. Null texts give null and no entities. Idempotent. `known`: a column of `docs` with the words that
+    `vocabulary_words` finds; without it no word counts as ordinary, so more is taken out."""
     own = [F.col(c) for c in docs.columns if c not in ("sanitized", "entities")]
-    df = docs.withColumn("_r", redacted(F.col(text), shapes))
-    return df.select(*own, F.when(F.col(text).isNotNull(), F.col("_r.t")).alias("sanitized"), F.col("_r.entities").alias("entities"))
+    df = marked(docs, text, shapes, known).withColumn("_tokens", numbered(F.col("_state.entities")))
+    shown = finished(F.col(text), F.col("_state.t"), F.col("_tokens"))
+    return df.select(*own, F.when(F.col(text).isNotNull(), shown).alias("sanitized"), F.col("_tokens").alias("entities"))
 
 
 def entity_counts(redacted: DataFrame, doc: str) -> DataFrame:
@@ -106,9 +294,12 @@ def audit_rows(redacted: DataFrame, doc: str) -> DataFrame:
     return rows.select(doc, F.col("e.token").alias("token"), F.col("e.label").alias("label"), mask_value(F.col("e.value")).alias("preview"))
 
 
-def self_check(sanitized: DataFrame, shapes: list[Shape] = SHAPES) -> DataFrame:
-    """`sanitized` with residuals: identifiers that a second run still finds in the sanitized text; clean means none."""
-    return sanitized.withColumn("residuals", F.transform(redacted(F.col("sanitized"), shapes)["entities"], lambda e: e["value"]))
+def self_check(sanitized: DataFrame, shapes: list[Shape] = SHAPES, known: str | None = None) -> DataFrame:
+    """`sanitized` with residuals: identifiers that a second run still finds in the sanitized text; clean means none.
+
+    The second run knows the same shapes, so it finds what a replacement has laid bare, and no other kind of identifier."""
+    again = marked(sanitized, "sanitized", shapes, known)
+    return again.withColumn("residuals", F.transform("_state.entities", lambda e: e["value"])).drop("_state")
 
 
 def gate(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -129,31 +320,13 @@ def pseudonym(name: Column, key: bytes) -> Column:
 
 
 def unify_aliases(names: DataFrame) -> DataFrame:
-    """(doc, name, owner): a single word that is part of exactly one full name of its document shares that name's token.
-
-    names (doc, name, label); other names own themselves."""
-    own = names.select("doc", "name").distinct()
-    full = own.where(F.col("name").contains(" ")).select("doc", F.col("name").alias("full"), F.explode(F.split("name", " ")).alias("name")).distinct()
-    one = full.groupBy("doc", "name").agg(F.count("*").alias("n"), F.min("full").alias("full")).where("n = 1")
-    return own.join(one, ["doc", "name"], "left").select("doc", "name", F.coalesce("full", "name").alias("owner"))
-
-
-def name_spans(docs: DataFrame, doc: str, text: str, ordinary: DataFrame) -> DataFrame:
-    """(doc, name, start, words): runs of capitalised words that are no ordinary words, with ordinary capitalised neighbours inside a sentence.
-
-    ordinary (word): lower-cased vocabulary. A capitalised word at the start of a sentence counts only if it is not ordinary; any other
-    ordinary capitalised word joins a name that it touches, and so on along the run. Words are joined with the vocabulary, runs
-    are islands over word places; both follow the number of capitalised words."""
-    from pyspark.sql import Window
-
-    marked = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[.!?\n]+", " | ")
-    words = F.regexp_extract_all(marked, F.lit(r"(\p{L}[\p{L}'-]*|\|)"), 1)
-    rows = docs.select(F.col(doc).alias("doc"), F.posexplode(F.concat(F.array(F.lit("|")), words)).alias("at", "word"))
-    # A run is broken by every word that is not capitalised, stops included: only these break marks need numbering.
-    capital = F.col("word").rlike(r"^\p{Lu}")
-    order = Window.partitionBy("doc").orderBy("at")
-    rows = rows.withColumn("starts", F.lag("word").over(order) == "|").withColumn("run", F.sum(F.when(capital, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.where(capital).join(ordinary.select(F.col("word").alias("_w"), F.lit(True).alias("known")), F.lower("word") == F.col("_w"), "left").drop("_w")
-    rows = rows.withColumn("known", F.coalesce("known", F.lit(False))).where("not (starts and known)")
-    runs = rows.groupBy("doc", "run").agg(F.max(~F.col("known")).alias("named"), F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w")).where("named")
-    return runs.select("doc", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("name"), F.get("w", F.lit(0))["at"].cast("long").alias("start"), F.size("w").cast("long").alias("words"))
+    """(doc, name, owner, label): a single word that is part of exactly one full name of its document shares that name's token.
+
+    names (doc, name[, label]); other names own themselves. A name that is read in several ways has the strongest label of PERSON, ORG, NAME; an
+    alias takes that of its owner."""
+    names = names if "label" in names.columns else names.withColumn("label", F.lit("NAME"))
+    rank = F.when(F.col("label") == "PERSON", 2).when(F.col("label") == "ORG", 1).otherwise(0)
+    own = names.groupBy("doc", "name").agg(F.max_by("label", rank).alias("label"))
+    full = own.where(F.col("name").contains(" ")).select("doc", F.col("name").alias("full"), F.col("label").alias("full_label"), F.explode(F.split("name", " ")).alias("name")).distinct()
+    one = full.groupBy("doc", "name").agg(F.count("*").alias("n"), F.min("full").alias("full"), F.min("full_label").alias("full_label")).where("n = 1")
+    return own.join(one, ["doc", "name"], "left").select("doc", "name", F.coalesce("full", "name").alias("owner"), F.coalesce("full_label", "label").alias("label"))

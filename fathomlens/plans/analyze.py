@@ -30,10 +30,9 @@ def fingerprints(reports: DataFrame, knowledge: Knowledge, doc: str = "doc_id",
     has the type unknown, no techniques and severity low."""
     checked = privacy.self_check(privacy.redact(reports.select(F.col(doc).alias("doc"), F.col(text).alias("text"))))
     checked = staged(checked.select("doc", "sanitized", "residuals"))  # matching and assembly read it several times
-    spans = fingerprint.negated(checked, "doc", "sanitized", list(knowledge.cues))
     columns = ["ordinal", "label", "term", "weight"]
     both = knowledge.vocabulary.select(*columns, F.lit("type").alias("kind")).union(knowledge.techniques.select(*columns, F.lit("technique")))
-    hits = fingerprint.affirmed(fingerprint.phrase_hits(checked, both, "doc", "sanitized"), spans)
+    hits = staged(fingerprint.phrase_hits(checked, both, "doc", "sanitized", only_affirmed=True))
     types = fingerprint.classify(fingerprint.label_scores(hits.where("kind = 'type'")))
     found = hits.where("kind = 'technique'")
     facts = fingerprint.technique_facts(found.select("doc", F.col("label").alias("technique"), F.lit("phrase").alias("source"), F.col("term").alias("evidence"), F.col("at").alias("ord")))

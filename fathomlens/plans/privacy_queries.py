@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import indicators, privacy
+from ..operators import catalog, indicators, names, privacy
+from ..sources.sinks import staged
 from .registry import query, table
 
 _KEY = b"a key for tests of this library"
 _ID = "CAST(doc_id AS BIGINT) AS doc_id"
-_NESTED = {s.label: s.pattern for s in privacy.SHAPES}
-_COUNTED = ["EMAIL", "URL", "IP"]
+#: The first shape of each label, and its pattern for SQL.
+_SHAPE = {s.label: s for s in reversed(privacy.SHAPES)}
+_NESTED = {label: s.pattern.replace("'", "''") for label, s in _SHAPE.items()}
 
 
 def docs(spark, d):
@@ -77,10 +79,68 @@ def _distinct(pattern: str) -> str:
     return f"list_filter(regexp_extract_all(text, '{pattern}'), lambda x, i: list_position(regexp_extract_all(text, '{pattern}'), x) = i)"
 
 
-@query("prv03_redact_emails", f"SELECT doc_id, CASE WHEN len(v) = 0 THEN text ELSE list_reduce(list_transform(range(1, len(g) + 1), lambda i: g[i] || CASE WHEN i > len(m) THEN '' WHEN len(v) = 1 THEN '[EMAIL_REDACTED]' ELSE '[EMAIL_REDACTED_' || list_position(v, m[i]) || ']' END), lambda a, b: a || b) END AS sanitized FROM (SELECT doc_id, text, {_distinct(_NESTED['EMAIL'])} AS v, regexp_extract_all(text, '{_NESTED['EMAIL']}') AS m, regexp_split_to_array(text, '{_NESTED['EMAIL']}') AS g FROM documents)")
-def redact_emails(spark, d):
-    shape = [s for s in privacy.SHAPES if s.label == "EMAIL"]
-    return privacy.redact(docs(spark, d), shapes=shape).select("doc_id", "sanitized")
+#: Identifiers of every shape that SQL's patterns can say, behind every document's text; they depend on the document.
+_MORE = r""" key sk-abcdefghijklmnopqrst', CAST(doc_id % 10 AS VARCHAR), ', hxxps://evil[.]com/p', CAST(doc_id % 3 AS VARCHAR), ' from 10[.]0[.]0[.]1 and 10.0.0.', CAST(doc_id % 250 AS VARCHAR), '/24, mac 00:1b:44:11:3A-B7 FE80:0:0:0:0:1:2:', CAST(doc_id % 9 AS VARCHAR), '
+IBAN SA0380000000608010167519, card 4111 1111 1111 1111, id 1', CAST(100000000 + doc_id AS VARCHAR), ', tel +966 50 123 4567; C:\\Users\\u', CAST(doc_id % 5 AS VARCHAR), '\\x /home/someone/y CORP\\user', CAST(doc_id % 4 AS VARCHAR), ' INC-20', CAST(doc_id % 100 AS VARCHAR), '-7 end"""
+_MORE_SQL = f"(SELECT doc_id, concat(text, '{_MORE}') AS text FROM documents)"
+
+
+def _with_identifiers(spark, d):
+    return table(spark, d, "documents").selectExpr("doc_id", "concat(text, '" + _MORE.replace("\\", "\\\\").replace("VARCHAR", "STRING") + "') AS text")
+
+
+def _redact_sql(label: str, pattern: str) -> str:
+    """Every match replaced by its token, by position."""
+    pattern = pattern.replace("'", "''")
+    token = f"CASE WHEN i > len(m) THEN '' WHEN len(v) = 1 THEN '[{label}_REDACTED]' ELSE '[{label}_REDACTED_' || list_position(v, m[i]) || ']' END"
+    parts = f"SELECT doc_id, text, {_distinct(pattern)} AS v, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS g FROM {_MORE_SQL}"
+    return f"SELECT doc_id, CASE WHEN len(v) = 0 THEN text ELSE list_reduce(list_transform(range(1, len(g) + 1), lambda i: g[i] || {token}), lambda a, b: a || b) END AS sanitized FROM ({parts})"
+
+
+def _register_shapes() -> None:
+    seen: dict[str, int] = {}
+    for shape in privacy.SHAPES:
+        if shape.group or shape.keep or shape.label_of or "(?<" in shape.pattern or shape.label == "DOMAIN":
+            continue  # lookbehind, guards and groups: see the other prv queries
+        seen[shape.label] = n = seen.get(shape.label, 0) + 1
+        name = f"prv03_redact_{shape.label.lower()}{n if n > 1 else ''}"
+        query(name, _redact_sql(shape.label, shape.pattern))(lambda spark, d, shape=shape: privacy.redact(_with_identifiers(spark, d), shapes=[shape]).select("doc_id", "sanitized"))
+
+
+_register_shapes()
+
+
+@query("prv02_foreign_script", "SELECT doc_id, concat(CASE doc_id % 3 WHEN 0 THEN '[ARABIC_TEXT_REDACTED]) ' WHEN 1 THEN '[FOREIGN_TEXT_REDACTED] ' ELSE 'é ' END, text) AS sanitized FROM documents")
+def foreign_script(spark, d):
+    t = F.when(F.col("doc_id") % 3 == 0, "مرحبا، بالعالم (Привет) ").when(F.col("doc_id") % 3 == 1, "Привет, 世界 ").otherwise("é ")
+    return privacy.redact(docs(spark, d).select("doc_id", F.concat(t, "text").alias("text")), shapes=privacy.shapes_of("FOREIGN_TEXT")).select("doc_id", "sanitized")
+
+
+#: Values that look like machines, with what becomes of them; n is a number of two digits.
+_HOSTS = [("'fin-ws-0' || n", True), ("'dc0' || n", True), ("'qxz' || n", True), ("'sha-' || n", False), ("'phase-' || n", False), ("'qxz-2021-' || n", False), ("'MFA-' || n", True), ("'phase-x-' || n", True), ("'EDR-XDR'", False), ("'rundll' || n", False)]
+
+
+@query("prv04_host_guard", "SELECT p_partkey, CASE WHEN guarded THEN concat('on [HOSTNAME_REDACTED] and ', p_name) ELSE concat('on ', value, ' and ', p_name) END AS sanitized FROM (SELECT p_partkey, p_name, " + ", ".join(f"CASE p_partkey % {len(_HOSTS)} " + " ".join(f"WHEN {i} THEN {x[k] if k == 0 else str(x[k]).upper()}" for i, x in enumerate(_HOSTS)) + f" END AS {name}" for k, name in ((0, "value"), (1, "guarded"))) + " FROM (SELECT p_partkey, p_name, CAST(10 + p_partkey % 90 AS VARCHAR) AS n FROM part))")
+def host_guard(spark, d):
+    value = "CASE p_partkey % {} {} END".format(len(_HOSTS), " ".join(f"WHEN {i} THEN {x}" for i, (x, _) in enumerate(_HOSTS)))
+    rows = table(spark, d, "part").selectExpr("p_partkey", "p_name", "CAST(10 + p_partkey % 90 AS STRING) AS n").selectExpr("p_partkey", f"concat('on ', {value}, ' and ', p_name) AS text", "array('phase', 'rundll') AS known")
+    return privacy.redact(rows, shapes=privacy.shapes_of("HOSTNAME"), known="known").select("p_partkey", "sanitized")
+
+
+@query("prv05_organisation_and_account_guards", "SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN concat('At the Security Operations Centre of ', lower(s_name)) WHEN 1 THEN concat('at [ORG_REDACTED] Bank near ', lower(s_name)) WHEN 2 THEN concat('Ministry of [ORG_REDACTED] saw ', lower(s_name)) WHEN 3 THEN concat('the account was closed for ', lower(s_name)) ELSE concat('the account [ACCOUNT_REDACTED], ', lower(s_name)) END AS sanitized FROM supplier")
+def organisation_guards(spark, d):
+    text = "CASE s_suppkey % 5 WHEN 0 THEN 'At the Security Operations Centre of ' WHEN 1 THEN 'at Zor Lane Bank near ' WHEN 2 THEN 'Ministry of Zor and Lane saw ' WHEN 3 THEN 'the account was closed for ' ELSE 'the account jdoe, ' END"
+    rows = table(spark, d, "supplier").selectExpr("s_suppkey", f"concat({text}, lower(s_name)) AS text", "array('was') AS known")
+    introduced = [s for s in privacy.shapes_of("ORG", "ACCOUNT") if s.group]
+    return privacy.redact(rows, shapes=introduced, known="known").select("s_suppkey", "sanitized")
+
+
+@query("prv06_form_fields", "SELECT s_suppkey, concat('- Location : [LOCATION_REDACTED]', chr(10), 'Company: ', CASE WHEN s_suppkey % 2 = 0 THEN '[ORG_REDACTED]' ELSE 'not known' END, chr(10), 'Status: ', s_name, chr(10), 'CASE ID: [REFERENCE_REDACTED], open', chr(10), 'User: [PERSON_REDACTED]') AS sanitized FROM supplier")
+def form_fields(spark, d):
+    text = "concat('- Location : ', s_address, '\n', 'Company: ', CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'not known' END, '\n', 'Status: ', s_name, '\n', 'CASE ID: ', s_suppkey, '/7, open', '\n', 'User: user ', s_suppkey)"
+    clean = table(spark, d, "supplier").withColumn("s_address", F.concat(F.lit("Street "), F.regexp_replace("s_name", "[^A-Za-z0-9]", " ")))
+    rows = clean.selectExpr("s_suppkey", f"{text} AS text", "array('not', 'known') AS known")
+    return privacy.redact(rows, shapes=privacy.shapes_of("FIELD"), known="known").select("s_suppkey", "sanitized")
 
 
 _HASHES = "regexp_extract_all(text, '\\b[0-9a-f]{64}\\b|\\b[0-9a-f]{40}\\b|\\b[0-9a-f]{32}\\b')"
@@ -99,18 +159,18 @@ def redact_all(spark, d):
 
 @query("prv09_token_numbering", f"SELECT doc_id, v[i] AS value, i AS number FROM (SELECT doc_id, {_distinct(_NESTED['IP'])} AS v, unnest(range(1, len({_distinct(_NESTED['IP'])}) + 1)) AS i FROM documents)")
 def token_numbering(spark, d):
-    out = privacy.redact(docs(spark, d), shapes=[s for s in privacy.SHAPES if s.label == "IP"])
+    out = privacy.redact(docs(spark, d), shapes=[_SHAPE["IP"]])
     return out.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.value", "e.number")
 
 
 @query("prv11_entity_counts", " UNION ALL ".join(f"SELECT doc_id, '{s}' AS label, CAST(len(list_distinct(regexp_extract_all(text, '{_NESTED[s]}'))) AS BIGINT) AS n FROM documents WHERE regexp_matches(text, '{_NESTED[s]}')" for s in ("EMAIL", "IP")))
 def entity_counts(spark, d):
-    return privacy.entity_counts(privacy.redact(docs(spark, d), shapes=[s for s in privacy.SHAPES if s.label in ("EMAIL", "IP")]), "doc_id")
+    return privacy.entity_counts(privacy.redact(docs(spark, d), shapes=[_SHAPE["EMAIL"], _SHAPE["IP"]]), "doc_id")
 
 
 @query("prv12_audit_masking", f"SELECT doc_id, left(x, 2) || repeat('*', CAST(length(x) - 4 AS INTEGER)) || right(x, 2) AS preview FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{_NESTED['EMAIL']}'))) AS x FROM documents)")
 def audit_masking(spark, d):
-    return privacy.audit_rows(privacy.redact(docs(spark, d), shapes=[s for s in privacy.SHAPES if s.label == "EMAIL"]), "doc_id").select("doc_id", "preview")
+    return privacy.audit_rows(privacy.redact(docs(spark, d), shapes=[_SHAPE["EMAIL"]]), "doc_id").select("doc_id", "preview")
 
 
 @query("prv13_self_check", "SELECT doc_id, 0::BIGINT AS residuals FROM documents")
@@ -120,7 +180,7 @@ def self_check(spark, d):
 
 @query("prv14_gate", f"SELECT 'accepted' AS part, count(*) AS n FROM documents WHERE NOT regexp_matches(text, '{_NESTED['IP']}') UNION ALL SELECT 'quarantined', count(*) FROM documents WHERE regexp_matches(text, '{_NESTED['IP']}')")
 def gate(spark, d):
-    ip = [s for s in privacy.SHAPES if s.label == "IP"]
+    ip = [_SHAPE["IP"]]
     raw = docs(spark, d).select("doc_id", F.col("text").alias("sanitized"), F.array().cast("array<struct<label:string,value:string,number:bigint,token:string>>").alias("entities"))
     yes, no = privacy.gate(privacy.self_check(raw, ip))
     return yes.agg(F.count("*").alias("n")).select(F.lit("accepted").alias("part"), "n").union(no.agg(F.count("*").alias("n")).select(F.lit("quarantined"), "n"))
@@ -137,18 +197,38 @@ def pseudonyms(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", privacy.pseudonym(padded, _KEY).alias("contributor_ref"))
 
 
-@query("prv08_alias_unification", "WITH own AS (SELECT DISTINCT l_orderkey AS doc, p_type AS name FROM lineitem JOIN part ON l_partkey = p_partkey UNION SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey UNION SELECT DISTINCT l_orderkey, p_brand || ' ' || l_returnflag FROM lineitem JOIN part ON l_partkey = p_partkey), full_names AS (SELECT DISTINCT doc, name AS full_name, unnest(string_split(name, ' ')) AS name FROM own WHERE contains(name, ' ')), one AS (SELECT doc, name, min(full_name) AS full_name FROM full_names GROUP BY 1, 2 HAVING count(*) = 1) SELECT own.doc, own.name, coalesce(one.full_name, own.name) AS owner FROM own LEFT JOIN one USING (doc, name)", ctes=False)
+_NAMED = "SELECT l_orderkey AS doc, concat('B', CAST(l_partkey % 30 AS VARCHAR(9))) AS name, CASE l_linenumber % 3 WHEN 0 THEN 'NAME' WHEN 1 THEN 'ORG' ELSE 'PERSON' END AS label FROM {lineitem} UNION ALL SELECT l_orderkey, concat('B', CAST(l_partkey % 30 AS VARCHAR(9)), ' ', l_returnflag), CASE l_suppkey % 2 WHEN 0 THEN 'NAME' ELSE 'PERSON' END FROM {lineitem} WHERE l_linenumber < 4"
+_RANK = "CASE label WHEN 'PERSON' THEN 2 WHEN 'ORG' THEN 1 ELSE 0 END"
+
+
+@query("prv08_alias_unification", f"WITH own AS MATERIALIZED (SELECT doc, name, CASE max({_RANK}) WHEN 2 THEN 'PERSON' WHEN 1 THEN 'ORG' ELSE 'NAME' END AS label FROM ({_NAMED.format(lineitem='lineitem')}) GROUP BY 1, 2), one AS MATERIALIZED (SELECT doc, split_part(name, ' ', 1) AS name, min(name) AS full_name, min(label) AS full_label FROM own WHERE contains(name, ' ') GROUP BY 1, 2 HAVING count(*) = 1) SELECT own.doc, own.name, coalesce(one.full_name, own.name) AS owner, coalesce(one.full_label, own.label) AS label FROM own LEFT JOIN one ON own.doc = one.doc AND own.name = one.name", ctes=False)
 def alias_unification(spark, d):
-    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    names = F.explode(F.array("p_type", "p_brand", F.concat("p_brand", F.lit(" "), "l_returnflag")))
-    return privacy.unify_aliases(rows.select(F.col("l_orderkey").alias("doc"), names.alias("name")))
+    return privacy.unify_aliases(spark.sql(_NAMED, lineitem=table(spark, d, "lineitem")))
+
+
+def _lexicon(spark, d):
+    """Words that documents use often in lower case are ordinary; colours and materials of parts are public; nations are companies."""
+    from .search_queries import frequent_words
+
+    part = table(spark, d, "part").select(F.explode(F.split(F.lower("p_type"), " ")).alias("word")).distinct()
+    return names.lexicon_of(ordinary=frequent_words(docs(spark, d)), public=part, company=table(spark, d, "nation").select(F.lower("n_name").alias("word")))
 
 
 @query("prv07_name_spans")
 def name_spans(spark, d):
-    from .search_queries import frequent_words
+    return names.names(docs(spark, d), "doc_id", "text", _lexicon(spark, d)).select("doc", "at", "until", "name", "label")
+
+
+@query("prv07_sanitized_names")
+def sanitized_names(spark, d):
+    """Shapes and names together, over whole documents."""
+    return names.sanitize(docs(spark, d), _lexicon(spark, d), stage=staged).select("doc_id", "sanitized", F.size("entities").alias("n_entities"))
+
 
-    return privacy.name_spans(docs(spark, d), "doc_id", "text", frequent_words(docs(spark, d)))
+@query("prv17_sanitized_actions", f"SELECT incident_id, position, CASE WHEN a = 0 THEN concat(trim(action), ' on [IP_REDACTED]') ELSE concat(trim(action), ' by [EMAIL_REDACTED]') END AS action FROM (SELECT *, position % 2 AS a FROM actions WHERE position % 3 <> 1)")
+def sanitized_actions(spark, d):
+    note = F.when(F.col("position") % 3 == 1, F.lit("  ")).when(F.col("position") % 2 == 0, F.concat("action", F.lit(" on 10.0.0.1"))).otherwise(F.concat("action", F.lit(" by a@x.com")))
+    return catalog.shareable_actions(table(spark, d, "actions").withColumn("action", note)).select("incident_id", "position", "action")
 
 
 _ALL = "regexp_extract_all(lower(text), '{}')"
@@ -190,5 +270,5 @@ def ioc_summary(spark, d):
 
 @query("ioc07_redacted_profile", f"SELECT doc_id, string_agg(label || ':' || n, ',' ORDER BY n DESC, label) AS line FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{s}' AS label, len(list_distinct(regexp_extract_all(text, '{_NESTED[s]}'))) AS n FROM documents WHERE regexp_matches(text, '{_NESTED[s]}')" for s in ("EMAIL", "IP")) + ") GROUP BY 1")
 def redacted_profile(spark, d):
-    shapes = [s for s in privacy.SHAPES if s.label in ("EMAIL", "IP")]
+    shapes = [_SHAPE["EMAIL"], _SHAPE["IP"]]
     return indicators.redacted_profile(privacy.entity_counts(privacy.redact(docs(spark, d), shapes=shapes), "doc_id"), "doc_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation, fingerprint, learning, memory
 from .privacy_queries import _sql_tokens, docs
+from ..sources.sinks import staged
 from .registry import query, table
 
 # Sparse search in SQL: the same steps over the same tokens.
@@ -136,11 +137,13 @@ def softmax(spark, d):
 
 # Fingerprint vocabulary for the driver's texts: words and phrases that occur there. Fixed values.
 TERMS = [(1, "licensing", "license", 3), (2, "licensing", "mit license", 4), (3, "licensing", "apache license", 4), (4, "licensing", "general public license", 4), (5, "phishing", "the", 1), (6, "phishing", "work", 2), (7, "release", "released under", 5), (8, "release", "version 3", 2), (9, "exposed_service", "licensed under", 3)]
-CUES = ["not", "no", "without", "of"]
 _TERMS_SQL = ", ".join(f"({o}, '{a}', '{t}', {w})" for o, a, t, w in TERMS)
-_WORDS = "words AS (SELECT doc_id AS doc, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)"
-_HITS = f"vocab(ordinal, label, term, weight) AS (VALUES {_TERMS_SQL}), {_WORDS}, wp AS (SELECT doc, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS spot FROM words), pos AS (SELECT doc, spot, word AS w1, lead(word) OVER o AS w2, lead(word, 2) OVER o AS w3, lead(word, 3) OVER o AS w4 FROM wp WINDOW o AS (PARTITION BY doc ORDER BY spot)), grams AS (SELECT doc, spot, w1 AS gram FROM pos UNION ALL SELECT doc, spot, w1 || ' ' || w2 FROM pos WHERE w2 IS NOT NULL UNION ALL SELECT doc, spot, w1 || ' ' || w2 || ' ' || w3 FROM pos WHERE w3 IS NOT NULL UNION ALL SELECT doc, spot, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM pos WHERE w4 IS NOT NULL), hits AS (SELECT doc, spot, ordinal, label, term, weight FROM grams JOIN vocab ON gram IN (term, term || 's', term || 'es'))"
-_SPANS = f"cw AS (SELECT doc_id AS doc, regexp_extract_all(regexp_replace(lower(text), '[.!?;\\n]', ' | ', 'g'), '[a-z0-9]+|\\|') AS w FROM documents), cpos AS (SELECT doc, w, unnest(range(1, len(w) + 1)) AS i FROM cw), cues AS (SELECT doc, w[i + 1:i + 8] AS ahead, i + 1 - len(list_filter(w[1:i], lambda x: x = '|')) AS start FROM cpos WHERE w[i] IN ({', '.join(repr(c) for c in CUES)})), spans AS (SELECT doc, start, start + coalesce(list_position(ahead, '|') - 1, len(ahead)) AS stop FROM cues WHERE coalesce(list_position(ahead, '|') - 1, len(ahead)) > 0)"
+#: Pieces of a text: a word and what follows it up to the next.
+_HITS = f"vocab(ordinal, label, term, weight) AS (VALUES {_TERMS_SQL}), pieces AS (SELECT doc_id AS doc, regexp_extract_all(lower(text), '[a-z0-9]+[^a-z0-9]*') AS w FROM documents), wp AS (SELECT doc, unnest(w) AS piece, unnest(range(1, len(w) + 1)) AS spot FROM pieces), pos AS (SELECT doc, spot, piece AS p1, lead(piece) OVER o AS p2, lead(piece, 2) OVER o AS p3, lead(piece, 3) OVER o AS p4 FROM wp WINDOW o AS (PARTITION BY doc ORDER BY spot)), said AS (SELECT doc, spot, p1 AS gram FROM pos UNION ALL SELECT doc, spot, p1 || p2 FROM pos WHERE p2 IS NOT NULL UNION ALL SELECT doc, spot, p1 || p2 || p3 FROM pos WHERE p3 IS NOT NULL UNION ALL SELECT doc, spot, p1 || p2 || p3 || p4 FROM pos WHERE p4 IS NOT NULL), grams AS (SELECT doc, spot, regexp_replace(gram, '[^a-z0-9]+$', '') AS gram FROM said), hits AS (SELECT doc, spot, ordinal, label, term, weight FROM grams JOIN vocab ON gram IN (term, term || 's', term || 'es'))"
+_CUE = "|".join(fingerprint.NOUN_CUES + fingerprint.VERB_CUES).replace("'", "''")
+_ENDS = fingerprint.CLAUSE_ENDS
+#: Letters but a-z as _, which is part of a word for RE2's borders too. What follows a cue is put together from the pieces behind it.
+_SPANS = f"low AS (SELECT doc_id AS doc, regexp_replace(lower(text), '[^\\P{{L}}a-z]', '_', 'g') AS t FROM documents), cut AS (SELECT doc, regexp_split_to_array(t, '\\b(?:{_CUE})\\b') AS g, regexp_extract_all(t, '\\b(?:{_CUE})\\b') AS c FROM low), cues AS (SELECT doc, c[i] AS cue, list_reduce(list_transform(range(i + 1, len(g) + 1), lambda k: g[k] || coalesce(c[k], '')), lambda a, b: a || b) AS rest, CAST(list_sum(list_transform(range(1, i + 1), lambda k: len(regexp_extract_all(g[k] || ' ' || c[k], '[a-z0-9]+')))) AS BIGINT) + 1 AS start FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM cut)), clauses AS (SELECT doc, start, cue, regexp_extract(rest, '(?s)^(.*?)(?:{_ENDS}|\\z)', 1) AS clause FROM cues), verbs AS (SELECT doc, start, cue IN ({', '.join(repr(x) for x in fingerprint.NOUN_CUES)}) AS noun, CASE WHEN noun THEN clause ELSE regexp_extract(clause, '(?s)^(.*?)(?:\\band\\b|\\z)', 1) END AS clause FROM clauses), commas AS (SELECT doc, start, noun, CASE WHEN contains(clause, ',') AND NOT regexp_matches(clause, '\\b(?:or|nor)\\b') THEN split_part(clause, ',', 1) ELSE clause END AS clause FROM verbs), spans AS (SELECT doc, start, start + len(regexp_extract_all(CASE WHEN noun THEN regexp_extract(clause, '^(?:\\s*\\S+){{0,{fingerprint.NOUN_REACH}}}') ELSE regexp_extract(clause, '^(?:\\s*\\S+){{0,{fingerprint.VERB_REACH}}}') END, '[a-z0-9]+')) AS stop FROM commas QUALIFY stop > start)".replace("QUALIFY stop", "WHERE stop")
 _AFFIRMED = f"{_HITS}, {_SPANS}, good AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc = h.doc AND h.spot >= s.start AND h.spot < s.stop))"
 _LABELS = f"{_AFFIRMED}, once AS (SELECT doc, label, term, max(weight) AS weight, min(ordinal) AS ordinal FROM good GROUP BY 1, 2, 3), labels_ AS (SELECT doc, label, CAST(sum(weight) AS BIGINT) AS score, count(*) AS terms, min(ordinal) AS ordinal FROM once GROUP BY 1, 2)"
 
@@ -154,11 +157,16 @@ def _hits(spark, d):
 
 
 def _affirmed(spark, d):
-    return fingerprint.affirmed(_hits(spark, d), fingerprint.negated(docs(spark, d), "doc_id", "text", CUES))
+    return fingerprint.affirmed(_hits(spark, d), fingerprint.negated(docs(spark, d), "doc_id", "text"))
+
+
+def _told(spark, d):
+    """Affirmed hits in one pass."""
+    return fingerprint.phrase_hits(docs(spark, d), vocabulary(spark), "doc_id", "text", only_affirmed=True)
 
 
 def _labels(spark, d):
-    return fingerprint.label_scores(_affirmed(spark, d))
+    return fingerprint.label_scores(_told(spark, d))
 
 
 @query("txt01_phrase_hits", f"WITH {_HITS} SELECT doc, spot, CAST(ordinal AS BIGINT) AS ordinal FROM hits", ctes=False)
@@ -168,7 +176,7 @@ def phrase_hits(spark, d):
 
 @query("txt02_negated_spans", f"WITH {_SPANS} SELECT doc, start, stop AS \"end\" FROM spans", ctes=False)
 def negated(spark, d):
-    return fingerprint.negated(docs(spark, d), "doc_id", "text", CUES)
+    return fingerprint.negated(docs(spark, d), "doc_id", "text")
 
 
 @query("txt03_affirmed_hits", f"WITH {_AFFIRMED} SELECT doc, spot, CAST(ordinal AS BIGINT) AS ordinal FROM good", ctes=False)
@@ -183,7 +191,7 @@ def label_scores(spark, d):
 
 @query("dna03_decisive_marker", f"WITH {_AFFIRMED} SELECT doc, arg_min(label, ordinal) AS label FROM good WHERE ordinal IN (2, 4, 7) GROUP BY 1", ctes=False)
 def decisive(spark, d):
-    return _affirmed(spark, d).where("ordinal in (2, 4, 7)").groupBy("doc").agg(F.min_by("label", "ordinal").alias("label"))
+    return _told(spark, d).where("ordinal in (2, 4, 7)").groupBy("doc").agg(F.min_by("label", "ordinal").alias("label"))
 
 
 _BEST = "arg_max(label, score * 1000 - ordinal)"
@@ -191,7 +199,8 @@ _BEST = "arg_max(label, score * 1000 - ordinal)"
 
 @query("dna04_classify", f"WITH {_LABELS}, sign AS (SELECT doc, arg_min(label, ordinal) AS sign FROM good WHERE ordinal IN (2, 4, 7) GROUP BY 1) SELECT doc, coalesce(any_value(sign), {_BEST} FILTER (WHERE label NOT IN ('phishing', 'exposed_service') AND score >= 4), {_BEST}) AS attack_type, coalesce({_BEST} FILTER (WHERE label IN ('phishing', 'exposed_service')), 'unknown') AS initial_vector FROM labels_ LEFT JOIN sign USING (doc) GROUP BY doc", ctes=False)
 def classify(spark, d):
-    return fingerprint.classify(_labels(spark, d), _affirmed(spark, d).where("ordinal in (2, 4, 7)").select("doc", "ordinal", "label"))
+    told = staged(_told(spark, d))
+    return fingerprint.classify(fingerprint.label_scores(told), told.where("ordinal in (2, 4, 7)").select("doc", "ordinal", "label"))
 
 
 @query("dna06_technique_hints", "SELECT incident_id AS doc, label, CAST(sum(score) AS BIGINT) AS score FROM (SELECT incident_id, coalesce(attack_type, 'unknown') AS label, 2 AS score FROM incidents UNION ALL SELECT incident_id, CASE WHEN CAST(substr(technique, 2, 4) AS INTEGER) % 2 = 0 THEN 'ransomware' ELSE 'phishing' END, CASE WHEN ord > 3 THEN 1 ELSE 3 END FROM (SELECT DISTINCT incident_id, technique, ord FROM facts) WHERE CAST(substr(technique, 4, 2) AS INTEGER) < 20) GROUP BY 1, 2")
