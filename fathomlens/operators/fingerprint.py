@@ -194,3 +194,21 @@ def violations(attack: Column, severity_: Column, confidence: Column, evidence:
 def merge_enrichment(own: Column, extra: Column) -> Column:
     """The rules' value where there is one; enrichment only adds."""
     return F.coalesce(F.nullif(own, F.lit("unknown")), extra, F.lit("unknown"))
+
+
+def family_bonus(scores: DataFrame, hits: DataFrame, label: str = "ransomware", bonus: int = 4) -> DataFrame:
+    """Scores (doc, label, score) with `bonus` more for `label` where a text names a catalogued family: once, however many; hits (doc) of their names."""
+    more = hits.select("doc").distinct().select("doc", F.lit(label).alias("label"), F.lit(bonus).cast("long").alias("score"))
+    return scores.select("doc", "label", "score").union(more).groupBy("doc", "label").agg(F.sum("score").alias("score"))
+
+
+def title(attack: Column, vector: Column) -> Column:
+    """The title under which an incident is shared: its type, and its way in where that is known and another."""
+    entry = F.coalesce(vector, F.lit("unknown"))
+    via = F.when(~entry.isin("unknown", "") & (entry != attack), F.concat(F.lit(" via "), F.replace(entry, F.lit("_"), F.lit(" ")))).otherwise("")
+    return F.concat(F.initcap(F.replace(attack, F.lit("_"), F.lit(" "))), via)
+
+
+def dated_title(attack: Column, day: Column) -> Column:
+    """The title of an incident that has none: its type and the day."""
+    return F.concat(F.initcap(F.replace(attack, F.lit("_"), F.lit(" "))), F.lit(" ("), F.date_format(day, "yyyy-MM-dd"), F.lit(")"))

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # File extensions and protocols that are reported.
-EXTENSIONS = ["exe", "dll", "ps1", "bat", "vbs", "js", "docm", "xlsm", "lnk", "iso", "zip", "rar", "7z", "jar", "hta"]
-PROTOCOLS = ["http", "https", "smb", "rdp", "ssh", "ftp", "dns", "ldap", "smtp", "tcp", "udp"]
+EXTENSIONS = (
+    "locked encrypted crypt crypted locky wcry wncry ryk conti lockbit akira basta phobos djvu cerber zepto onion exe dll ps1 vbs js jar hta lnk iso img scr bat cmd msi docm xlsm pptm"
+).split()
+PROTOCOLS = "smb rdp ssh ftp sftp tftp http https dns ldap kerberos winrm wmi telnet smtp imap pop3 snmp icmp tls ssl vnc nfs".split()
 HASHES = {"sha256": 64, "sha1": 40, "md5": 32}
 
 
@@ -26,7 +28,7 @@ def _kind(name: str, values: Column) -> Column:
 
 def extensions(text: Column) -> Column:
     found = _all(F.lower(text), r"\.(?:" + "|".join(EXTENSIONS) + r")\b")
-    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.substring(x, 2, 9))))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.substr(x, F.lit(2)))))
 
 
 def protocols(text: Column) -> Column:
@@ -36,7 +38,7 @@ def protocols(text: Column) -> Column:
 def ports(text: Column) -> Column:
     """Distinct ports from "port N" and "tcp/N", 1 to 65535, ascending."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    found = F.concat(F.regexp_extract_all(low, F.lit(r"\bport ([0-9]{1,5})\b"), 1), F.regexp_extract_all(low, F.lit(r"\b(?:tcp|udp)/([0-9]{1,5})\b"), 1))
+    found = F.concat(F.regexp_extract_all(low, F.lit(r"\bport ([0-9]{1,5})\b"), 1), F.regexp_extract_all(low, F.lit(r"\b(?:tcp|udp)[/:]([0-9]{1,5})\b"), 1))
     return F.array_sort(F.array_distinct(F.filter(F.transform(found, lambda x: x.cast("int")), lambda x: x.between(1, 65535))))
 
 

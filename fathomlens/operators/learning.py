@@ -72,3 +72,20 @@ def quantise(vector: Column) -> Column:
 
 def dequantise(vector: Column) -> Column:
     return F.transform(vector, lambda x: x / F.lit(127.0))
+
+
+def per_report_cap(suggestions: DataFrame, floor: float = 0.7, most: int = 5) -> DataFrame:
+    """Suggestions (doc, technique, vote, sentences) of a report: of one with several sentences, the `most` strongest from `floor`; of one sentence, all."""
+    order = Window.partitionBy("doc").orderBy(F.desc("vote"), "technique")
+    several = F.col("sentences") > 1
+    rows = suggestions.where(~several | (F.col("vote") >= floor)).withColumn("place", F.row_number().over(order).cast("long"))
+    return rows.where(~several | (F.col("place") <= most))
+
+
+def align_vectors(examples: DataFrame, stored: DataFrame, embedded: DataFrame | None = None) -> DataFrame:
+    """`examples` (key, …) with unit vectors v: the stored one of the key (key, v), else the freshly embedded one (key, v), else null."""
+    known = examples.join(stored.groupBy("key").agg(F.first("v").alias("v")), "key", "left")
+    if embedded is not None:
+        known = known.join(embedded.groupBy("key").agg(F.first("v").alias("_fresh")), "key", "left").withColumn("v", F.coalesce("v", "_fresh")).drop("_fresh")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return known.withColumn("_norm", norm).withColumn("v", F.transform("v", lambda x: x.cast("double") / F.col("_norm"))).drop("_norm")

@@ -59,12 +59,26 @@ def top_k(scores: DataFrame, k: int, floor: float = 0.0, score: str = "score", t
     return rows.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= k)
 
 
+def padded(best: DataFrame, queries: DataFrame, memory: DataFrame, k: int) -> DataFrame:
+    """`best` (query, doc, score, place from top_k) filled up to k rows a query by documents with score 0, smallest ids first.
+
+    A document that shares nothing with a query is still eligible. Where fewer than k have a score, `best` holds them all, so the first 2 k ids of
+    `memory` (doc) are enough; queries (query)."""
+    few = queries.select("query").distinct().join(best.groupBy("query").agg(F.count("*").alias("n")), "query", "left").withColumn("n", F.coalesce("n", F.lit(0))).where(F.col("n") < k)
+    first = memory.select("doc").distinct().orderBy("doc").limit(2 * k).agg(F.array_sort(F.collect_list("doc")).alias("docs"))
+    rest = few.join(first).select("query", "n", F.explode("docs").alias("doc")).join(best.select("query", "doc"), ["query", "doc"], "left_anti")
+    place = F.col("n") + F.row_number().over(Window.partitionBy("query").orderBy("doc"))
+    filled = rest.select("query", "doc", F.lit(0.0).alias("score"), place.cast("long").alias("place")).where(F.col("place") <= k)
+    return best.select("query", "doc", "score", "place").unionByName(filled)
+
+
 def dense_scores(queries: DataFrame, memory: DataFrame, dimension: int) -> DataFrame:
     """(query, doc, score) with score = (1 + cosine) / 2, rounded to 4 places; a query is not its own candidate.
 
-    queries (query, v) and memory (doc, v) hold vectors of one dimension. A stated query set meets all rows: queries are
+    queries (query, v) and memory (doc, v) hold vectors of `dimension` components; others, and null ones, have no score. A stated query set meets all rows: queries are
     broadcast in blocks of about BLOCK, however many there are, and a compiled expression, unrolled over the dimension, scores each pair."""
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    queries, memory = (rows.where(F.size("v") == dimension) for rows in (queries, memory))
     blocks = -(-queries.count() // BLOCK) or 1
     q = queries.select("query", F.col("v").alias("a"), norm("v").alias("na"))
     m = memory.select("doc", F.col("v").alias("b"), norm("v").alias("nb"))

@@ -6,6 +6,7 @@ Identifiers with a shape are taken out by column expressions, so a document neve
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -26,7 +27,7 @@ _ENTITY = "array<struct<label:string,value:string>>"
 class Shape:
     """A kind of identifier: the label of its tokens and its pattern.
 
-    With `group`, only what that group matches is taken out. `keep` (match, value, known words) tells what is no identifier, `clean`
+    A text without `needs` has none of the kind. With `group`, only what that group matches is taken out. `keep` (match, value, known words) tells what is no identifier, `clean`
     makes the value of what was matched, `label_of` the label of a match where there are several."""
 
     label: str
@@ -35,10 +36,12 @@ class Shape:
     keep: Callable[[Column, Column, Column], Column] | None = field(default=None, compare=False)
     clean: Callable[[Column], Column] | None = field(default=None, compare=False)
     label_of: Callable[[Column], Column] | None = field(default=None, compare=False)
+    needs: str = ""
 
 
 def _isin(value: Column, words: list[str]) -> Column:
-    return F.array_contains(F.array(*map(F.lit, dict.fromkeys(words))), value)
+    """Whether the value is one of the words, which are one literal to the planner."""
+    return F.rlike(value, F.lit(rf"^(?:{'|'.join(map(re.escape, dict.fromkeys(words)))})\z"))
 
 
 def _term(word: Column, known: Column) -> Column:
@@ -127,20 +130,20 @@ _ROLES = "employee|user|staff member|victim|attacker|contractor|reported by|esca
 SHAPES = [
     Shape("FOREIGN_TEXT", rf"{_FOREIGN}+(?:[\s،؛؟.,:;!?()\-–—\"'«»/٠-٩]*{_FOREIGN}+)*", label_of=lambda m: F.when(m.rlike("^[\u0600-\u08FF\uFB50-\uFFFF]"), "ARABIC_TEXT").otherwise("FOREIGN_TEXT")),
     Shape("SECRET", r"\b(?:AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9_\-]{20,}|gh[pousr]_[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_\-]{10,}(?:\.[A-Za-z0-9_\-]{10,}){2})\b"),
-    Shape("EMAIL", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"),
-    Shape("URL", r"(?i)\bhttps?://[^\s<>\"')\]]+"),
-    Shape("URL", r"(?i)\bhxxps?(?::|\[:\])//[^\s<>\"')\]]+"),
+    Shape("EMAIL", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", needs='@'),
+    Shape("URL", r"(?i)\bhttps?://[^\s<>\"')\]]+", needs='://'),
+    Shape("URL", r"(?i)\bhxxps?(?::|\[:\])//[^\s<>\"')\]]+", needs='//'),
     Shape("IP", rf"\b(?:{_OCTET}{_DOT}){{3}}{_OCTET}(?:/\d{{1,2}})?\b"),
-    Shape("IP", r"(?i)\b(?:[A-F0-9]{1,4}:){5}[A-F0-9:]{2,}\b"),
-    Shape("IP", r"(?i)(?<![\w:.])(?:[A-F0-9]{1,4}:){1,7}(?::[A-F0-9]{1,4}){1,7}(?![\w:])"),
+    Shape("IP", r"(?i)\b(?:[A-F0-9]{1,4}:){5}[A-F0-9:]{2,}\b", needs=':'),
+    Shape("IP", r"(?i)(?<![\w:.])(?:[A-F0-9]{1,4}:){1,7}(?::[A-F0-9]{1,4}){1,7}(?![\w:])", needs='::'),
     Shape("MAC", r"(?i)\b(?:[0-9A-F]{2}[:\-]){5}[0-9A-F]{2}\b"),
     Shape("IBAN", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b"),
     Shape("CREDIT_CARD", r"\b(?:\d{4}[ \-]?){3}\d{3,4}\b"),
     Shape("NATIONAL_ID", r"\b[12]\d{9}\b"),
     Shape("PHONE", r"(?:\+\d{1,3}[ \-]?)?(?:\(?0\)?)?\d{2,4}[ \-]?\d{3}[ \-]?\d{4}\b"),
-    Shape("USER_PATH", r"(?i)[A-Z]:\\Users\\[^\\\s\"']+"),
-    Shape("USER_PATH", r"(?i)/(?:home|Users)/[A-Z0-9._\-]+"),
-    Shape("ACCOUNT", r"\b[A-Za-z0-9\-]{2,30}\\[A-Za-z0-9._\-]{2,30}\b"),
+    Shape("USER_PATH", r"(?i)[A-Z]:\\Users\\[^\\\s\"']+", needs='\\'),
+    Shape("USER_PATH", r"(?i)/(?:home|Users)/[A-Z0-9._\-]+", needs='/'),
+    Shape("ACCOUNT", r"\b[A-Za-z0-9\-]{2,30}\\[A-Za-z0-9._\-]{2,30}\b", needs='\\'),
     Shape("REFERENCE", r"\b(?:IR|INC|INCIDENT|CASE|TKT|TICKET|REF|SR|CHG|PRB|RITM|SEC|CR|REQ)[-_#]?\d{2,}(?:[-_/]\d+)*\b"),
     Shape("HOSTNAME", r"\b[A-Z]{2,}(?:-[A-Z0-9]{1,10}){1,3}\b", keep=lambda m, v, known: _short_forms(v)),
     Shape("DOMAIN", rf"(?i)\b(?:[A-Z0-9](?:[A-Z0-9\-]{{0,61}}[A-Z0-9])?{_DOT})+(?:{_LAST_LABELS})\b"),
@@ -213,7 +216,8 @@ def _step(shape: Shape, known: Column):
             more = F.concat(state["entities"], F.array_except(new, state["entities"]))
             return _let(more, lambda entities: rewritten(state["t"], matches, entities))
 
-        return _let(_found(state["t"], shape.pattern), lambda found: F.when(F.size(found) == 0, state).otherwise(_let(matched(found, state["t"]), taken)))
+        some = _let(_found(state["t"], shape.pattern), lambda found: F.when(F.size(found) == 0, state).otherwise(_let(matched(found, state["t"]), taken)))
+        return F.when(state["t"].contains(shape.needs), some).otherwise(state) if shape.needs else some
 
     return step
 

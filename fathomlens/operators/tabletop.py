@@ -16,7 +16,7 @@ def injects(facts: DataFrame, prompts: DataFrame, per_tactic: int = 2) -> DataFr
     number = F.row_number().over(Window.partitionBy("doc", "rank").orderBy("technique"))
     few = rows.withColumn("_n", number).where(F.col("_n") <= per_tactic).groupBy("doc", "rank").agg(F.array_join(F.array_sort(F.collect_list("technique")), ",").alias("techniques"))
     place = F.row_number().over(Window.partitionBy("doc").orderBy("rank")).cast("long").alias("place")
-    return few.join(F.broadcast(prompts), "rank", "left").select("doc", place, "rank", "techniques", F.coalesce("prompt", F.lit("What do you know, and whom do you tell?")).alias("prompt"))
+    return few.join(prompts, "rank", "left").select("doc", place, "rank", "techniques", F.coalesce("prompt", F.lit("What do you know, and whom do you tell?")).alias("prompt"))
 
 
 def headline(facts: DataFrame, entry_rank: int) -> DataFrame:
@@ -51,3 +51,39 @@ def answers(questions: DataFrame, hits: DataFrame, titles: DataFrame, backend: s
 def check_citations(claimed: Column, retrieved: Column) -> tuple[Column, Column]:
     """(verified, unsupported) citations."""
     return F.array_intersect(claimed, retrieved), F.array_except(claimed, retrieved)
+
+
+def context(incidents: DataFrame, facts: DataFrame, actions: DataFrame, most: int = 8) -> DataFrame:
+    """(incident_id, context): each incident as compact text for a reader, with its first `most` techniques and actions.
+
+    incidents (incident_id, occurred_at as text, attack_type, initial_vector, severity), facts (incident_id, technique), actions (incident_id, position,
+    category, action, effectiveness)."""
+    first = lambda rows, *order: rows.withColumn("_n", F.row_number().over(Window.partitionBy("incident_id").orderBy(*order))).where(F.col("_n") <= most)
+    named = first(facts.select("incident_id", "technique").distinct(), "technique").groupBy("incident_id").agg(F.array_join(F.sort_array(F.collect_list("technique")), ", ").alias("_techniques"))
+    effect = F.when(F.col("effectiveness").isNull(), "").otherwise(F.concat(F.lit(" (effectiveness "), F.round(F.col("effectiveness") * 100).cast("long").cast("string"), F.lit("%)")))
+    line = F.concat(F.lit("    - ["), "category", F.lit("] "), "action", effect)
+    done = first(actions, "position", "action", "category").groupBy("incident_id").agg(F.sort_array(F.collect_list(F.struct("_n", line.alias("l")))).alias("_a"))
+    done = done.select("incident_id", F.array_join(F.transform("_a", lambda x: x["l"]), "\n").alias("_done"))
+    rows = incidents.join(named, "incident_id", "left").join(done, "incident_id", "left")
+    value = lambda c, other: F.coalesce(F.col(c), F.lit(other))
+    lines = [
+        F.concat(F.lit("INCIDENT "), F.col("incident_id").cast("string")),
+        F.concat(F.lit("  Date: "), value("occurred_at", "undated")),
+        F.concat(F.lit("  Type: "), value("attack_type", "unknown"), F.lit(" | Entry vector: "), value("initial_vector", "unknown"), F.lit(" | Severity: "), value("severity", "unknown")),
+        F.concat(F.lit("  Techniques: "), value("_techniques", "none recorded")),
+        F.lit("  Response actions taken:"),
+        value("_done", "    - none recorded"),
+    ]
+    return rows.select("incident_id", F.concat_ws("\n", *lines).alias("context"))
+
+
+def success_criteria(n_injects: Column, encrypted: Column, exfiltrated: Column, exploited: Column) -> Column:
+    """What an exercise must show: three criteria always, more for encrypted data, exfiltrated data and exploited CVEs (an array)."""
+    always = [
+        F.concat(F.lit("Each of the "), n_injects.cast("string"), F.lit(" phases is detected by a rule, or the gap is logged.")),
+        F.lit("Containment of the first affected asset is decided within the target time."),
+        F.lit("The way to a decision-maker is walked from end to end, out of hours too."),
+    ]
+    fix = F.concat(F.lit("The fix for "), F.array_join(exploited, ", "), F.lit(" is applied, or the risk is formally accepted."))
+    more = [F.when(encrypted, "A restore from backup is shown within the declared time."), F.when(exfiltrated, "Notification deadlines and their owner are named."), F.when(F.size(exploited) > 0, fix)]
+    return F.array_compact(F.array(*always, *more))

@@ -6,63 +6,105 @@ is collected in between. Vocabularies and knowledge are DataFrames that the call
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import actions, catalog, fingerprint, indicators, memory, overview, privacy
+from ..functions.text import CVE, TECHNIQUE, extract_ids
+from ..operators import actions, catalog, fingerprint, indicators, memory, names, overview, privacy
 from ..sources.sinks import staged
 
 
 @dataclass
 class Knowledge:
-    """vocabulary (ordinal, label, term, weight), techniques (ordinal, label = technique id, term, weight, rank), cues: negating words."""
+    """vocabulary (ordinal, label, term, weight): types and ways in. techniques (ordinal, label = technique id, term, weight, rank): phrases and, with rank of
+    the tactic, names. Optional: hints (family, label, weight), families (ordinal, term): names that mean ransomware, decisive (ordinal, label, term), impacts
+    (ordinal, label, term, weight), kev (cve, …): known exploited, lexicon (see operators.names) for names without a shape."""
 
     vocabulary: DataFrame
     techniques: DataFrame
-    cues: tuple[str, ...] = ("no", "not", "without", "never")
+    hints: DataFrame | None = None
+    families: DataFrame | None = None
+    decisive: DataFrame | None = None
+    impacts: DataFrame | None = None
+    kev: DataFrame | None = None
+    lexicon: DataFrame | None = None
+
+    def terms(self) -> DataFrame:
+        """All phrases that a report is searched for at once: (ordinal, label, term, weight, kind)."""
+        kinds = {"type": self.vocabulary, "technique": self.techniques, "family": self.families, "decisive": self.decisive, "impact": self.impacts}
+        column = lambda df, c, kind: F.col(c).cast(kind).alias(c) if c in df.columns else F.lit(None).cast(kind).alias(c)
+        each = [df.select(column(df, "ordinal", "int"), column(df, "label", "string"), "term", column(df, "weight", "int"), F.lit(k).alias("kind")) for k, df in kinds.items() if df is not None]
+        return reduce(DataFrame.union, each)
 
 
 def fingerprints(reports: DataFrame, knowledge: Knowledge, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, sanitized, clean, attack_type, initial_vector, severity, techniques, tactics, embedding_text) of every report.
-
-    Text is sanitised and checked first; everything else is taken from the sanitised text. A report without any hit
-    has the type unknown, no techniques and severity low."""
-    checked = privacy.self_check(privacy.redact(reports.select(F.col(doc).alias("doc"), F.col(text).alias("text"))))
-    checked = staged(checked.select("doc", "sanitized", "residuals"))  # matching and assembly read it several times
-    columns = ["ordinal", "label", "term", "weight"]
-    both = knowledge.vocabulary.select(*columns, F.lit("type").alias("kind")).union(knowledge.techniques.select(*columns, F.lit("technique")))
-    hits = staged(fingerprint.phrase_hits(checked, both, "doc", "sanitized", only_affirmed=True))
-    types = fingerprint.classify(fingerprint.label_scores(hits.where("kind = 'type'")))
-    found = hits.where("kind = 'technique'")
-    facts = fingerprint.technique_facts(found.select("doc", F.col("label").alias("technique"), F.lit("phrase").alias("source"), F.col("term").alias("evidence"), F.col("at").alias("ord")))
+    """(doc, sanitized, clean, attack_type, initial_vector, severity, techniques, tactics, cves, impacts, title, embedding_text) of every report; `doc` must be unique.
+
+    Text is sanitised and checked first; everything else is taken from the sanitised text, which is searched once for all phrases. Techniques are those
+    named by id or by an affirmed phrase; their families, names of ransomware and decisive markers weigh in the type; severity counts impacts, known exploited
+    CVEs and techniques. A report without any hit has the type unknown, no techniques and severity low."""
+    rows = reports.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    if knowledge.lexicon is None:
+        safe = privacy.redact(rows)
+    else:
+        safe = names.sanitize(rows, knowledge.lexicon, "doc", "text", staged)
+    checked = staged(privacy.self_check(safe).select("doc", "sanitized", "residuals"))  # matching and assembly read it several times
+    hits = staged(fingerprint.phrase_hits(checked, knowledge.terms(), "doc", "sanitized", only_affirmed=True))
+    of = lambda kind: hits.where(F.col("kind") == kind)
+
+    named = checked.select("doc", F.posexplode(extract_ids(F.col("sanitized"), TECHNIQUE)).alias("ord", "technique"))
+    explicit = named.select("doc", "technique", F.lit("explicit").alias("source"), F.concat(F.lit("explicit id "), "technique").alias("evidence"), F.col("ord").cast("long").alias("ord"))
+    phrases = of("technique").select("doc", F.col("label").alias("technique"), F.lit("phrase").alias("source"), F.col("term").alias("evidence"), (F.col("at") + 1_000_000).alias("ord"))
+    facts = staged(fingerprint.technique_facts(explicit.unionByName(phrases)))
+
+    first = fingerprint.label_scores(of("type"))
+    scores = first.select("doc", "label", "score")
+    if knowledge.hints is not None:
+        scores = fingerprint.add_hints(scores, facts.select("doc", "technique", "confidence"), knowledge.hints)
+    if knowledge.families is not None:
+        scores = fingerprint.family_bonus(scores, of("family"))
+    # A label that only a hint or a family brings comes after those of phrases, by name.
+    scores = scores.join(first.select("doc", "label", "ordinal"), ["doc", "label"], "left").withColumn("ordinal", F.coalesce("ordinal", F.lit(1 << 30)))
+    marks = of("decisive").select("doc", "ordinal", "label") if knowledge.decisive is not None else None
+    types = fingerprint.classify(scores, marks)
     ranks = knowledge.techniques.groupBy(F.col("label").alias("technique")).agg(F.min("rank").alias("rank"))
-    names = F.array(*map(F.lit, fingerprint.TACTICS))
-    sets = facts.join(ranks, "technique").groupBy("doc").agg(F.array_sort(F.collect_set("technique")).alias("techniques"), F.array_sort(F.collect_set("rank")).alias("ranks"))
-    rows = checked.join(types, "doc", "left").join(sets, "doc", "left")
+    order = F.array(*map(F.lit, fingerprint.TACTICS))
+    sets = facts.join(ranks, "technique", "left").groupBy("doc").agg(F.array_sort(F.collect_set("technique")).alias("techniques"), F.array_sort(F.collect_set("rank")).alias("ranks"))
+    found = of("impact").groupBy("doc", "label").agg(F.max("weight").alias("weight"), F.count_distinct("term").alias("n"))
+    harm = found.groupBy("doc").agg(F.sum("weight").alias("harm"), F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "label"))), lambda x: x["label"]).alias("impacts"))
+
+    cves = checked.select("doc", extract_ids(F.col("sanitized"), CVE).alias("cves"))
+    rows = checked.join(cves, "doc").join(types, "doc", "left").join(sets, "doc", "left").join(harm, "doc", "left")
+    known = F.lit(False)
+    if knowledge.kev is not None:
+        exploited = fingerprint.enrich_cves(cves.select("doc", F.explode("cves").alias("cve")), knowledge.kev).groupBy("doc").agg(F.max("known_exploited").alias("exploited"))
+        rows, known = rows.join(exploited, "doc", "left"), F.coalesce("exploited", F.lit(False))
+    none = F.array().cast("array<string>")
     rows = rows.withColumns({
         "attack_type": F.coalesce("attack_type", F.lit("unknown")),
         "initial_vector": F.coalesce("initial_vector", F.lit("unknown")),
-        "techniques": F.coalesce("techniques", F.array().cast("array<string>")),
-        "ranks": F.coalesce("ranks", F.array().cast("array<int>")),
+        "techniques": F.coalesce("techniques", none),
+        "tactics": F.transform(F.coalesce("ranks", F.array().cast("array<int>")), lambda r: F.element_at(order, (r + 1).cast("int"))),
+        "impacts": F.coalesce("impacts", none),
+        "harm": F.coalesce("harm", F.lit(0)),
     })
-    weight = F.when(F.col("attack_type") == "unknown", 0).otherwise(3)
-    level = fingerprint.severity(weight, F.lit(False), F.size("techniques"), F.col("initial_vector") != "unknown")
-    tactics = F.transform("ranks", lambda r: F.element_at(names, (r + 1).cast("int")))
+    level = fingerprint.severity(F.col("harm"), known, F.size("techniques"), F.col("initial_vector") != "unknown")
     return rows.select(
-        "doc", "sanitized", (F.size("residuals") == 0).alias("clean"), "attack_type", "initial_vector", level.alias("severity"), "techniques", tactics.alias("tactics"),
-        fingerprint.embedding_text(F.col("attack_type"), F.col("initial_vector"), F.col("techniques"), tactics).alias("embedding_text"),
+        "doc", "sanitized", (F.size("residuals") == 0).alias("clean"), "attack_type", "initial_vector", level.alias("severity"), "techniques", "tactics", "cves", "impacts",
+        fingerprint.title(F.col("attack_type"), F.col("initial_vector")).alias("title"),
+        fingerprint.embedding_text(F.col("attack_type"), F.col("initial_vector"), F.col("techniques"), F.col("impacts")).alias("embedding_text"),
     )
 
 
 def similar(asked: DataFrame, stored: DataFrame, k: int = 5) -> DataFrame:
     """The k most similar stored fingerprints of each asked one by hybrid score: (query, doc, score, structure, hybrid, place, …)."""
     semantic = memory.tfidf_scores(asked.select("doc", "embedding_text"), stored.select("doc", "embedding_text"), "doc", "doc", "embedding_text").where("query <> doc")
-    a = asked.select(F.col("doc").alias("query"), *[F.col(c).alias(f"a_{c}") for c in ("techniques", "tactics", "attack_type", "initial_vector")])
+    a = asked.select(F.col("doc").alias("query"), *[F.col(c).alias(f"a_{c}") for c in ("techniques", "tactics", "attack_type", "initial_vector", "cves")])
     pairs = memory.top_k(semantic, max(3 * k, 10)).select("query", "doc").join(a, "query").join(stored, "doc")
     both = lambda c: (F.col(f"a_{c}"), F.col(c))
-    none = F.array().cast("array<string>")
-    structure = F.round(memory.structural_score(both("techniques"), both("tactics"), both("attack_type"), both("initial_vector"), (none, none)), 4)
+    structure = F.round(memory.structural_score(both("techniques"), both("tactics"), both("attack_type"), both("initial_vector"), both("cves")), 4)
     return memory.hybrid(semantic, pairs.select("query", "doc", structure.alias("structure")), k)
 
 

@@ -242,7 +242,7 @@ def ioc_hashes(spark, d):
 _PORTED = "concat(text, ' port ', CAST(doc_id % 70000 AS VARCHAR), ' tcp/', CAST(doc_id % 9 AS VARCHAR))"
 
 
-@query("ioc05_ports", f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(list_concat(regexp_extract_all(lower(t), '\\bport ([0-9]{{1,5}})\\b', 1), regexp_extract_all(lower(t), '\\b(?:tcp|udp)/([0-9]{{1,5}})\\b', 1)), lambda x: CAST(x AS INTEGER)), lambda x: x BETWEEN 1 AND 65535))), ',') AS ports FROM (SELECT doc_id, {_PORTED} AS t FROM documents)")
+@query("ioc05_ports", f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(list_concat(regexp_extract_all(lower(t), '\\bport ([0-9]{{1,5}})\\b', 1), regexp_extract_all(lower(t), '\\b(?:tcp|udp)[/:]([0-9]{{1,5}})\\b', 1)), lambda x: CAST(x AS INTEGER)), lambda x: x BETWEEN 1 AND 65535))), ',') AS ports FROM (SELECT doc_id, {_PORTED} AS t FROM documents)")
 def ioc_ports(spark, d):
     t = F.concat("text", F.lit(" port "), (F.col("doc_id") % 70000).cast("string"), F.lit(" tcp/"), (F.col("doc_id") % 9).cast("string"))
     return docs(spark, d).select("doc_id", F.array_join(F.transform(indicators.ports(t), lambda x: x.cast("string")), ",").alias("ports"))

@@ -9,12 +9,12 @@ from ..operators import actions as act
 from ..operators import memory, resemblance, tabletop
 from .registry import query, table
 
-# Each incident whose id ends in 1 asks; its matches are the next four incidents, less similar one by one.
-_MATCHES = "m AS (SELECT q.incident_id AS query, i.incident_id, 1 / (1 + (i.incident_id - q.incident_id) * 0.37::DOUBLE) AS similarity, i.incident_id - q.incident_id AS place FROM incidents q JOIN (SELECT incident_id FROM incidents) i ON i.incident_id BETWEEN q.incident_id + 1 AND q.incident_id + 4 WHERE q.incident_id % 10 = 1)"
+# Every incident asks; its matches are the next four incidents, less similar one by one.
+_MATCHES = "m AS (SELECT q.incident_id AS query, i.incident_id, 1 / (1 + (i.incident_id - q.incident_id) * 0.37::DOUBLE) AS similarity, i.incident_id - q.incident_id AS place FROM incidents q JOIN (SELECT incident_id FROM incidents) i ON i.incident_id BETWEEN q.incident_id + 1 AND q.incident_id + 4)"
 
 
 def _matches(spark, d):
-    asked = table(spark, d, "incidents").where("incident_id % 10 = 1").select(F.col("incident_id").alias("query"))
+    asked = table(spark, d, "incidents").select(F.col("incident_id").alias("query"))
     near = asked.select("query", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("place"))
     near = near.select("query", (F.col("query") + F.col("place")).alias("incident_id"), (1 / (1 + F.col("place") * 0.37)).alias("similarity"), F.col("place").cast("long").alias("place"))
     return near.join(table(spark, d, "incidents").select("incident_id"), "incident_id", "left_semi")
@@ -63,18 +63,18 @@ def parent_fallback(spark, d):
     return own.join(names, "technique", "left").withColumn("parent", family(F.col("technique"))).join(parents, "parent", "left").select("technique", F.coalesce("control", "inherited").alias("control"))
 
 
-_BASE = "base AS (SELECT DISTINCT 'T' || (1000 + p_partkey % 60) || CASE WHEN p_partkey % 7 = 0 THEN '.002' ELSE '' END AS technique, 'Action ' || (p_partkey % 40) AS action FROM part WHERE p_partkey % 3 = 0)"
+_BASE = "base AS (SELECT DISTINCT 'T' || (1000 + p_partkey % 60) || CASE WHEN p_partkey % 7 = 0 THEN '.002' ELSE '' END AS technique, 'Action ' || (p_partkey % 40) AS action FROM part)"
 
 
 def _baseline(spark, d):
     k = F.col("p_partkey")
     technique = F.concat(F.lit("T"), (k % 60 + 1000).cast("string"), F.when(k % 7 == 0, ".002").otherwise(""))
-    return table(spark, d, "part").where(k % 3 == 0).select(technique.alias("technique"), F.concat(F.lit("Action "), (k % 40).cast("string")).alias("action")).distinct()
+    return table(spark, d, "part").select(technique.alias("technique"), F.concat(F.lit("Action "), (k % 40).cast("string")).alias("action")).distinct()
 
 
-@query("jn10_gap_fill", f"WITH {_ROLL}, {_BASE}, seen AS (SELECT DISTINCT incident_id AS query, technique FROM facts WHERE incident_id % 10 = 1), s AS (SELECT technique, query, action FROM seen JOIN base USING (technique) UNION ALL SELECT s.technique, s.query, b.action FROM seen s JOIN base b ON b.technique = split_part(s.technique, '.', 1) WHERE contains(s.technique, '.') AND s.technique NOT IN (SELECT technique FROM base)) SELECT query, min(technique) AS for_technique, arg_min(action, technique || action) AS action FROM s WHERE NOT EXISTS (SELECT 1 FROM top t WHERE t.query = s.query AND lower(trim(t.action)) = lower(s.action)) GROUP BY query, lower(action)")
+@query("jn10_gap_fill", f"WITH {_ROLL}, {_BASE}, seen AS (SELECT DISTINCT incident_id AS query, technique FROM facts), s AS (SELECT technique, query, action FROM seen JOIN base USING (technique) UNION ALL SELECT s.technique, s.query, b.action FROM seen s JOIN base b ON b.technique = split_part(s.technique, '.', 1) WHERE contains(s.technique, '.') AND s.technique NOT IN (SELECT technique FROM base)) SELECT query, min(technique) AS for_technique, arg_min(action, technique || action) AS action FROM s WHERE NOT EXISTS (SELECT 1 FROM top t WHERE t.query = s.query AND lower(trim(t.action)) = lower(s.action)) GROUP BY query, lower(action)")
 def gap_fill(spark, d):
-    return act.gap_fill(_observed(spark, d).where("query % 10 = 1"), _baseline(spark, d), _rolled(spark, d))
+    return act.gap_fill(_observed(spark, d), _baseline(spark, d), _rolled(spark, d))
 
 
 _PHASE = "CASE category WHEN 'detect' THEN 1 WHEN 'contain' THEN 2 WHEN 'eradicate' THEN 3 WHEN 'recover' THEN 4 WHEN 'harden' THEN 5 ELSE 99 END"
@@ -112,14 +112,14 @@ def top_two_actions(spark, d):
     return memory.top_k(rows, 2).select(F.col("query").alias("incident_id"), F.col("doc").alias("position"), "place")
 
 
-_NEXT = f"{_MATCHES}, far AS (SELECT incident_id AS query, max(rank) AS far FROM facts WHERE incident_id % 10 = 1 AND ord <= 2 GROUP BY 1), later AS (SELECT m.query, f.rank, 'stage ' || f.rank AS stage, count(DISTINCT f.incident_id) AS n FROM m JOIN facts f USING (incident_id) JOIN far ON far.query = m.query WHERE f.rank > far.far GROUP BY 1, 2), few AS (SELECT * FROM later QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, rank) <= 4)"
+_NEXT = f"{_MATCHES}, far AS (SELECT incident_id AS query, max(rank) AS far FROM facts WHERE ord <= 2 GROUP BY 1), later AS (SELECT m.query, f.rank, 'stage ' || f.rank AS stage, count(DISTINCT f.incident_id) AS n FROM m JOIN facts f USING (incident_id) JOIN far ON far.query = m.query WHERE f.rank > far.far GROUP BY 1, 2), few AS (SELECT * FROM later QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, rank) <= 4)"
 
 
 @query("agg15_next_steps", f"WITH {_NEXT} SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank) AS place FROM few")
 def next_steps(spark, d):
     facts = table(spark, d, "facts")
     stages = _matches(spark, d).select("query", "incident_id").join(facts, "incident_id").select("query", "incident_id", "rank", F.concat(F.lit("stage "), F.col("rank").cast("string")).alias("stage"))
-    return act.next_steps(facts.where("incident_id % 10 = 1 and ord <= 2").select(F.col("incident_id").alias("query"), "rank"), stages)
+    return act.next_steps(facts.where("ord <= 2").select(F.col("incident_id").alias("query"), "rank"), stages)
 
 
 @query("agg16_stage_examples", f"WITH {_MATCHES}, e AS (SELECT m.query, f.rank, f.technique, min(m.place * 100 + f.ord) AS o FROM m JOIN facts f USING (incident_id) GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY m.query, f.rank ORDER BY o, f.technique) <= 3) SELECT query, rank, string_agg(technique, ',' ORDER BY o, technique) AS examples FROM e GROUP BY 1, 2")
@@ -128,16 +128,18 @@ def stage_examples(spark, d):
     return act.examples(rows, ["query", "rank"], "technique", ["place", "ord"])
 
 
-_PROFILES = "profiles AS (SELECT DISTINCT l_suppkey AS profile, 'T' || (1000 + l_partkey % 60) AS technique FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 5 = 0), df AS (SELECT technique, ln(((SELECT count(DISTINCT profile) FROM profiles) + 1.0::DOUBLE) / (count(*) + 1)) + 1 AS weight FROM profiles GROUP BY 1)"
+_PROFILES = "profiles AS (SELECT DISTINCT l_suppkey % 172 AS profile, 'T' || (1000 + (l_suppkey % 172 * 7 + l_linenumber * 11) % 60) AS technique FROM lineitem), df AS (SELECT technique, ln(((SELECT count(DISTINCT profile) FROM profiles) + 1.0::DOUBLE) / (count(*) + 1)) + 1 AS weight FROM profiles GROUP BY 1)"
 
 
 def _profiles(spark, d):
-    rows = table(spark, d, "lineitem").where("l_linenumber = 1 and l_partkey % 5 = 0")
-    return rows.select(F.col("l_suppkey").alias("profile"), F.concat(F.lit("T"), (F.col("l_partkey") % 60 + 1000).cast("string")).alias("technique")).distinct()
+    """Profiles of published groups, of which there are few."""
+    group = F.col("l_suppkey") % 172
+    technique = F.concat(F.lit("T"), ((group * 7 + F.col("l_linenumber") * 11) % 60 + 1000).cast("string"))
+    return table(spark, d, "lineitem").select(group.alias("profile"), technique.alias("technique")).distinct()
 
 
 def _families(spark, d):
-    return table(spark, d, "facts").where("incident_id % 4 = 1").select(F.col("incident_id").alias("query"), family(F.col("technique")).alias("technique"))
+    return table(spark, d, "facts").select(F.col("incident_id").alias("query"), family(F.col("technique")).alias("technique"))
 
 
 @query("rnk10_specificity", f"WITH {_PROFILES} SELECT technique, round(weight, 6) AS weight FROM df", ctes=False)
@@ -145,7 +147,7 @@ def specificity(spark, d):
     return resemblance.specificity(_profiles(spark, d)).withColumn("weight", F.round("weight", 6))
 
 
-_RESEMBLE = f"{_PROFILES}, seen AS (SELECT s.query, s.technique, coalesce(df.weight, 1.0::DOUBLE) AS weight FROM (SELECT DISTINCT incident_id AS query, split_part(technique, '.', 1) AS technique FROM facts WHERE incident_id % 4 = 1) s LEFT JOIN df USING (technique)), hit AS (SELECT query, profile, count(*) AS shared, sum(weight) AS part FROM seen JOIN profiles USING (technique) GROUP BY 1, 2 HAVING count(*) >= 2), cov AS (SELECT query, profile, shared, round(part / whole, 4) AS coverage FROM hit JOIN (SELECT query, sum(weight) AS whole FROM seen GROUP BY 1) USING (query)), near AS (SELECT query, profile, shared, coverage, CASE WHEN coverage >= 0.75 THEN 'notable' WHEN coverage >= 0.5 THEN 'moderate' ELSE 'weak' END AS band, row_number() OVER (PARTITION BY query ORDER BY coverage DESC, shared DESC, profile) AS place FROM cov WHERE coverage >= 0.30 QUALIFY place <= 3)"
+_RESEMBLE = f"{_PROFILES}, seen AS (SELECT s.query, s.technique, coalesce(df.weight, 1.0::DOUBLE) AS weight FROM (SELECT DISTINCT incident_id AS query, split_part(technique, '.', 1) AS technique FROM facts) s LEFT JOIN df USING (technique)), hit AS (SELECT query, profile, count(*) AS shared, sum(weight) AS part FROM seen JOIN profiles USING (technique) GROUP BY 1, 2 HAVING count(*) >= 2), cov AS (SELECT query, profile, shared, round(part / whole, 4) AS coverage FROM hit JOIN (SELECT query, sum(weight) AS whole FROM seen GROUP BY 1) USING (query)), near AS (SELECT query, profile, shared, coverage, CASE WHEN coverage >= 0.75 THEN 'notable' WHEN coverage >= 0.5 THEN 'moderate' ELSE 'weak' END AS band, row_number() OVER (PARTITION BY query ORDER BY coverage DESC, shared DESC, profile) AS place FROM cov WHERE coverage >= 0.30 QUALIFY place <= 3)"
 
 
 @query("rnk10_resemblance", f"WITH {_RESEMBLE} SELECT * FROM near")
@@ -200,10 +202,31 @@ def answers(spark, d):
     return tabletop.answers(asked, memory.top_k(_scores(spark, d), 6), titles)
 
 
-@query("qa03_citation_check", "SELECT incident_id, coalesce(array_to_string(list_sort(list(DISTINCT technique) FILTER (WHERE ord <= 3 AND technique IN (SELECT technique FROM facts WHERE ord > 3))), ','), '') AS verified, CAST(coalesce(len(list(DISTINCT technique) FILTER (WHERE ord <= 3 AND technique NOT IN (SELECT technique FROM facts WHERE ord > 3))), 0) AS BIGINT) AS unsupported FROM facts WHERE ord <= 3 GROUP BY 1")
+_CLAIMS = "SELECT query, list_sort(list(DISTINCT technique)) AS retrieved FROM m JOIN facts USING (incident_id) GROUP BY 1"
+
+
+@query("qa03_citation_check", f"WITH {_MATCHES}, r AS ({_CLAIMS}), c AS (SELECT incident_id AS query, list(DISTINCT technique) AS claimed FROM facts GROUP BY 1) SELECT query, array_to_string(list_sort(list_intersect(claimed, coalesce(retrieved, []))), ',') AS verified, CAST(len(claimed) - len(list_intersect(claimed, coalesce(retrieved, []))) AS BIGINT) AS unsupported FROM c LEFT JOIN r USING (query)")
 def citation_check(spark, d):
+    """Claims of each question against the rows that were retrieved for it."""
     facts = table(spark, d, "facts")
-    known = facts.where("ord > 3").agg(F.collect_set("technique").alias("known"))  # a closed vocabulary of technique ids
-    claims = facts.where("ord <= 3").groupBy("incident_id").agg(F.collect_set("technique").alias("claimed"))
-    yes, no = tabletop.check_citations(F.col("claimed"), F.col("known"))
-    return claims.join(known).select("incident_id", F.array_join(F.array_sort(yes), ",").alias("verified"), F.size(no).cast("long").alias("unsupported"))
+    found = _matches(spark, d).join(facts, "incident_id").groupBy("query").agg(F.collect_set("technique").alias("retrieved"))
+    claims = facts.groupBy(F.col("incident_id").alias("query")).agg(F.collect_set("technique").alias("claimed"))
+    yes, no = tabletop.check_citations(F.col("claimed"), F.coalesce("retrieved", F.array().cast("array<string>")))
+    return claims.join(found, "query", "left").select("query", F.array_join(F.array_sort(yes), ",").alias("verified"), F.size(no).cast("long").alias("unsupported"))
+
+
+_TOP_ACTIONS = "SELECT incident_id, string_agg('    - [' || category || '] ' || trim(action) || CASE WHEN effectiveness IS NULL THEN '' ELSE ' (effectiveness ' || CAST(round(effectiveness * 100) AS BIGINT) || '%)' END, chr(10) ORDER BY position, trim(action), category) AS done FROM (SELECT * FROM actions WHERE trim(action) <> '' QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY position, trim(action), category) <= 8) GROUP BY 1"
+_NAMES = "SELECT incident_id, string_agg(technique, ', ' ORDER BY technique) AS techniques FROM (SELECT DISTINCT incident_id, technique FROM facts QUALIFY dense_rank() OVER (PARTITION BY incident_id ORDER BY technique) <= 8) GROUP BY 1"
+
+
+@query("qa04_context", f"SELECT i.incident_id, 'INCIDENT ' || i.incident_id || chr(10) || '  Date: ' || coalesce(strftime(occurred_at, '%Y-%m-%d'), 'undated') || chr(10) || '  Type: ' || coalesce(attack_type, 'unknown') || ' | Entry vector: ' || initial_vector || ' | Severity: ' || coalesce(severity, 'unknown') || chr(10) || '  Techniques: ' || coalesce(techniques, 'none recorded') || chr(10) || '  Response actions taken:' || chr(10) || coalesce(done, '    - none recorded') AS context FROM incidents i LEFT JOIN ({_TOP_ACTIONS}) a USING (incident_id) LEFT JOIN ({_NAMES}) t USING (incident_id)")
+def context(spark, d):
+    incidents = table(spark, d, "incidents").withColumn("occurred_at", F.date_format("occurred_at", "yyyy-MM-dd"))
+    return tabletop.context(incidents, table(spark, d, "facts"), table(spark, d, "actions").withColumn("action", F.trim("action")).where("action <> ''"))
+
+
+@query("sim04_success_criteria", "SELECT incident_id AS doc, CAST(3 + CASE WHEN bool_or(rank = 13) THEN 1 ELSE 0 END + CASE WHEN bool_or(rank = 12) THEN 1 ELSE 0 END + CASE WHEN bool_or(rank = 5) THEN 1 ELSE 0 END AS INTEGER) AS criteria, 'Each of the ' || count(DISTINCT rank) || ' phases is detected by a rule, or the gap is logged.' AS first FROM facts GROUP BY 1")
+def success_criteria(spark, d):
+    rows = _doc_facts(spark, d).groupBy("doc").agg(F.count_distinct("rank").alias("n"), *[F.bool_or(F.col("rank") == r).alias(f"r{r}") for r in (5, 12, 13)])
+    found = rows.select("doc", tabletop.success_criteria(F.col("n"), F.col("r13"), F.col("r12"), F.when(F.col("r5"), F.array(F.lit("CVE-2024-0001"))).otherwise(F.array())).alias("c"))
+    return found.select("doc", F.size("c").alias("criteria"), F.get("c", F.lit(0)).alias("first"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, fingerprint, learning, memory
+from ..operators import evaluation, fingerprint, learning, memory, privacy
 from .privacy_queries import _sql_tokens, docs
 from ..sources.sinks import staged
 from .registry import query, table
@@ -292,43 +292,94 @@ def validation(spark, d):
     return table(spark, d, "incidents").select("incident_id", F.array_join(broken, "; ").alias("broken"))
 
 
-_SETS = "sets AS (SELECT incident_id, list_sort(list(DISTINCT technique)) AS t, list(DISTINCT rank) AS k FROM facts GROUP BY 1), inc AS (SELECT i.incident_id, attack_type, initial_vector, t, k FROM incidents i JOIN sets USING (incident_id)), pairs AS (SELECT a.incident_id AS query, b.incident_id AS doc, a.t AS ta, b.t AS tb, a.k AS ka, b.k AS kb, a.attack_type AS aa, b.attack_type AS ab, a.initial_vector AS va, b.initial_vector AS vb FROM inc a JOIN inc b ON a.incident_id % 1000 = 32 AND a.attack_type = b.attack_type AND a.incident_id <> b.incident_id)"
-_J = "CAST(len(list_intersect({0}, {1})) AS DOUBLE) / len(list_distinct(list_concat({0}, {1})))"
+# Incidents with an id divisible by 20 ask all others that share a technique with them; all other pairs of sets have nothing in common.
+_SETS = "sets AS (SELECT incident_id, list_sort(list(DISTINCT technique)) AS t, list(DISTINCT rank) AS k, list(DISTINCT rank) FILTER (WHERE rank % 7 = 5) AS c FROM facts GROUP BY 1), inc AS (SELECT i.incident_id, attack_type, initial_vector, t, k, coalesce(c, []) AS c FROM incidents i JOIN sets USING (incident_id)), near AS (SELECT DISTINCT a.incident_id AS query, b.incident_id AS doc FROM facts a JOIN facts b ON a.technique = b.technique AND a.incident_id <> b.incident_id WHERE a.incident_id % 20 = 0), pairs AS (SELECT query, doc, a.t AS ta, b.t AS tb, a.k AS ka, b.k AS kb, a.c AS ca, b.c AS cb, a.attack_type AS aa, b.attack_type AS ab, a.initial_vector AS va, b.initial_vector AS vb FROM near JOIN inc a ON a.incident_id = query JOIN inc b ON b.incident_id = doc)"
+_J = "coalesce(CAST(len(list_intersect({0}, {1})) AS DOUBLE) / nullif(len(list_distinct(list_concat({0}, {1}))), 0), 0)"
+
+
+def _sets(spark, d):
+    facts = table(spark, d, "facts").groupBy("incident_id").agg(F.array_sort(F.collect_set("technique")).alias("t"), F.collect_set("rank").alias("k"), F.collect_set(F.when(F.col("rank") % 7 == 5, F.col("rank"))).alias("c"))
+    return table(spark, d, "incidents").select("incident_id", "attack_type", "initial_vector").join(facts, "incident_id")
+
+
+def _paired(spark, d, near):
+    """Pairs (query, doc) with both sides' sets."""
+    rows = _sets(spark, d)
+    a = rows.select(F.col("incident_id").alias("query"), F.col("attack_type").alias("aa"), F.col("initial_vector").alias("va"), F.col("t").alias("ta"), F.col("k").alias("ka"), F.col("c").alias("ca"))
+    b = rows.select(F.col("incident_id").alias("doc"), F.col("attack_type").alias("ab"), F.col("initial_vector").alias("vb"), F.col("t").alias("tb"), F.col("k").alias("kb"), F.col("c").alias("cb"))
+    return near.join(a, "query").join(b, "doc")
 
 
 def _pairs(spark, d):
-    """Queries (a stated set) against the incidents of their type."""
-    sets = table(spark, d, "facts").groupBy("incident_id").agg(F.array_sort(F.collect_set("technique")).alias("t"), F.collect_set("rank").alias("k"))
-    rows = table(spark, d, "incidents").select("incident_id", "attack_type", "initial_vector").join(sets, "incident_id")
-    a = rows.where("incident_id % 1000 = 32").select(F.col("incident_id").alias("query"), F.col("attack_type").alias("aa"), F.col("initial_vector").alias("va"), F.col("t").alias("ta"), F.col("k").alias("ka"))
-    b = rows.select(F.col("incident_id").alias("doc"), F.col("attack_type").alias("ab"), F.col("initial_vector").alias("vb"), F.col("t").alias("tb"), F.col("k").alias("kb"))
-    return a.join(b, F.col("aa") == F.col("ab")).where("query <> doc")
+    seen = table(spark, d, "facts").select("incident_id", "technique").distinct()
+    asked = seen.where("incident_id % 20 = 0").withColumnRenamed("incident_id", "query")
+    near = asked.join(seen.withColumnRenamed("incident_id", "doc"), "technique").where("query <> doc").select("query", "doc").distinct()
+    return _paired(spark, d, near)
 
 
 def _structure(pairs):
-    none = F.array().cast("array<string>")
-    score = memory.structural_score((F.col("ta"), F.col("tb")), (F.col("ka"), F.col("kb")), (F.col("aa"), F.col("ab")), (F.col("va"), F.col("vb")), (none, none))
+    score = memory.structural_score((F.col("ta"), F.col("tb")), (F.col("ka"), F.col("kb")), (F.col("aa"), F.col("ab")), (F.col("va"), F.col("vb")), (F.col("ca"), F.col("cb")))
     return pairs.withColumn("structure", F.round(score, 6))
 
 
-@query("rnk07_jaccard", f"WITH {_SETS} SELECT query, doc, round({_J.format('ta', 'tb')}, 4) AS jaccard FROM pairs")
+@query("rnk07_jaccard", f"WITH {_SETS} SELECT query, count(*) AS pairs, max(round({_J.format('ta', 'tb')}, 4)) AS best, CAST(sum(CAST(round(round({_J.format('ta', 'tb')}, 4) * 10000) AS BIGINT)) AS BIGINT) AS total FROM pairs GROUP BY 1")
 def jaccard(spark, d):
-    return _pairs(spark, d).select("query", "doc", F.round(memory.jaccard(F.col("ta"), F.col("tb")), 4).alias("jaccard"))
+    rows = _pairs(spark, d).select("query", F.round(memory.jaccard(F.col("ta"), F.col("tb")), 4).alias("j"))
+    return rows.groupBy("query").agg(F.count("*").alias("pairs"), F.max("j").alias("best"), F.sum(F.round(F.col("j") * 10000).cast("long")).alias("total"))
 
 
-_STRUCT = f"round(0.45::DOUBLE * ({_J.format('ta', 'tb')}) + 0.20::DOUBLE * ({_J.format('ka', 'kb')}) + 0.18::DOUBLE + CASE WHEN va = vb AND va <> 'unknown' THEN 0.10::DOUBLE ELSE 0.0::DOUBLE END, 6)"
+_STRUCT = f"round(0.45::DOUBLE * ({_J.format('ta', 'tb')}) + 0.20::DOUBLE * ({_J.format('ka', 'kb')}) + CASE WHEN aa = ab THEN 0.18::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN va = vb AND va <> 'unknown' THEN 0.10::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN len(list_intersect(ca, cb)) > 0 THEN 0.07::DOUBLE ELSE 0.0::DOUBLE END, 6)"
 
 
-@query("rnk08_structural_score", f"WITH {_SETS} SELECT query, doc, {_STRUCT} AS structure, array_to_string(list_filter([CASE WHEN len(s) > 0 THEN 'shared techniques: ' || array_to_string(s[1:4], ', ') || CASE WHEN len(s) > 4 THEN ' (+' || (len(s) - 4) || ' more)' ELSE '' END END, 'same type: ' || aa, CASE WHEN va = vb AND va <> 'unknown' THEN 'same entry: ' || va END], lambda x: x IS NOT NULL), '; ') AS reasons FROM (SELECT *, list_sort(list_intersect(ta, tb)) AS s FROM pairs)")
+@query("rnk08_structural_score", f"WITH {_SETS}, s AS (SELECT *, {_STRUCT} AS structure FROM pairs), best AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY structure DESC, doc) AS place FROM s QUALIFY place <= 3) SELECT query, doc, structure, array_to_string(list_filter([CASE WHEN len(s) > 0 THEN 'shared techniques: ' || array_to_string(s[1:4], ', ') || CASE WHEN len(s) > 4 THEN ' (+' || (len(s) - 4) || ' more)' ELSE '' END END, CASE WHEN aa = ab THEN 'same type: ' || aa END, CASE WHEN va = vb AND va <> 'unknown' THEN 'same entry: ' || va END], lambda x: x IS NOT NULL), '; ') AS reasons FROM (SELECT *, list_sort(list_intersect(ta, tb)) AS s FROM best)")
 def structural_score(spark, d):
     why = memory.reasons((F.col("ta"), F.col("tb")), (F.col("aa"), F.col("ab")), (F.col("va"), F.col("vb")))
-    return _structure(_pairs(spark, d)).select("query", "doc", "structure", F.array_join(why, "; ").alias("reasons"))
+    best = memory.top_k(_structure(_pairs(spark, d)), 3, score="structure")
+    return best.select("query", "doc", "structure", F.array_join(why, "; ").alias("reasons"))
+
 
+# Vectors stand in for the incidents of their number; the recall searches all of them.
+_HYBRID = f"{_DENSE}, sets AS (SELECT incident_id, list(DISTINCT technique) AS t, list(DISTINCT rank) AS k, list(DISTINCT rank) FILTER (WHERE rank % 7 = 5) AS c FROM facts GROUP BY 1), inc AS (SELECT i.incident_id, attack_type, initial_vector, t, k, coalesce(c, []) AS c FROM incidents i JOIN sets USING (incident_id)), recalled AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS recall_place FROM dense QUALIFY recall_place <= 15), pairs AS (SELECT r.*, a.t AS ta, b.t AS tb, a.k AS ka, b.k AS kb, a.c AS ca, b.c AS cb, a.attack_type AS aa, b.attack_type AS ab, a.initial_vector AS va, b.initial_vector AS vb FROM recalled r JOIN inc a ON a.incident_id = query JOIN inc b ON b.incident_id = doc)"
 
-@query("rnk09_hybrid_search", f"WITH {_SETS}, s AS (SELECT query, doc, {_STRUCT} AS structure, round({_J.format('ta', 'tb')}, 4) AS score FROM pairs), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS recall_place FROM s QUALIFY recall_place <= 15), h AS (SELECT *, round(0.45::DOUBLE * score + 0.55::DOUBLE * structure, 4) AS hybrid FROM r) SELECT query, doc, score, structure, hybrid, recall_place, row_number() OVER (PARTITION BY query ORDER BY hybrid DESC, recall_place) AS place FROM h WHERE hybrid >= 0.25 QUALIFY place <= 5")
+
+@query("rnk09_hybrid_search", f"WITH {_HYBRID}, h AS (SELECT query, doc, score, {_STRUCT} AS structure, recall_place FROM pairs), g AS (SELECT *, round(0.45::DOUBLE * score + 0.55::DOUBLE * structure, 4) AS hybrid FROM h) SELECT query, doc, score, structure, hybrid, recall_place, row_number() OVER (PARTITION BY query ORDER BY hybrid DESC, recall_place) AS place FROM g WHERE hybrid >= 0.25 QUALIFY place <= 5")
 def hybrid_search(spark, d):
-    pairs = _structure(_pairs(spark, d)).withColumn("score", F.round(memory.jaccard(F.col("ta"), F.col("tb")), 4))
-    return memory.hybrid(pairs.select("query", "doc", "score"), pairs.select("query", "doc", "structure"), 5)
+    semantic = staged(memory.top_k(_dense(spark, d), 15).select("query", "doc", "score"))
+    return memory.hybrid(semantic, _structure(_paired(spark, d, semantic.select("query", "doc"))).select("query", "doc", "structure"), 5)
+
+
+@query("rnk03_zero_scores_are_eligible", f"WITH {_COUNTS}, {_ASKED}, every AS (SELECT item_id AS query, doc_id AS doc FROM (SELECT DISTINCT item_id FROM benchmark), documents) SELECT query, doc, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY query ORDER BY coalesce(score, 0) DESC, doc) AS place FROM every LEFT JOIN (SELECT * FROM scores WHERE score >= 0.2) USING (query, doc) QUALIFY place <= 5", ctes=False)
+def zero_scores(spark, d):
+    best = staged(memory.top_k(_scores(spark, d), 5, floor=0.2))
+    return memory.padded(best, table(spark, d, "benchmark").select(F.col("item_id").alias("query")), docs(spark, d).select(F.col("doc_id").alias("doc")), 5)
+
+
+@query("rnk15_per_report_cap", "SELECT incident_id AS doc, technique, vote, row_number() OVER (PARTITION BY incident_id ORDER BY vote DESC, technique) AS place FROM (SELECT incident_id, technique, max((rank + 4) / 18.0::DOUBLE) AS vote, any_value(n) AS n FROM facts JOIN (SELECT incident_id, count(DISTINCT ord) AS n FROM facts GROUP BY 1) USING (incident_id) GROUP BY 1, 2) WHERE n = 1 OR vote >= 0.7 QUALIFY place <= 5 OR n = 1")
+def per_report_cap(spark, d):
+    facts = table(spark, d, "facts").withColumnRenamed("incident_id", "doc")
+    sentences = facts.groupBy("doc").agg(F.count_distinct("ord").alias("sentences"))
+    rows = facts.groupBy("doc", "technique").agg(F.max((F.col("rank") + 4) / F.lit(18.0)).alias("vote")).join(sentences, "doc")
+    return learning.per_report_cap(rows).select("doc", "technique", "vote", "place")
+
+
+@query("dna05_family_bonus", f"WITH {_LABELS}, more AS (SELECT DISTINCT doc_id AS doc FROM documents WHERE regexp_matches(lower(text), '(?:^|[^a-z0-9])(?:gnu|apache)(?:e?s)?(?:$|[^a-z0-9])')) SELECT doc, label, CAST(sum(score) AS BIGINT) AS score FROM (SELECT doc, label, score FROM labels_ UNION ALL SELECT doc, 'ransomware', 4 FROM more) GROUP BY 1, 2", ctes=False)
+def family_bonus(spark, d):
+    names = spark.createDataFrame([(1, "gnu"), (2, "apache")], "ordinal int, term string")
+    return fingerprint.family_bonus(_labels(spark, d), fingerprint.phrase_hits(docs(spark, d), names, "doc_id", "text"))
+
+
+@query("dna18_titles", "SELECT incident_id, CASE coalesce(attack_type, 'unknown') WHEN 'data_breach' THEN 'Data Breach' WHEN 'supply-chain' THEN 'Supply-chain' ELSE upper(coalesce(attack_type, 'unknown')[1]) || coalesce(attack_type, 'unknown')[2:] END || CASE WHEN initial_vector NOT IN ('unknown', coalesce(attack_type, 'unknown')) THEN ' via ' || replace(initial_vector, '_', ' ') ELSE '' END AS title FROM incidents")
+def titles(spark, d):
+    return table(spark, d, "incidents").select("incident_id", fingerprint.title(F.coalesce("attack_type", F.lit("unknown")), F.col("initial_vector")).alias("title"))
+
+
+@query("jn15_vector_alignment", "SELECT vec_id, source, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS length FROM (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'stored' WHEN vec_id % 3 = 1 THEN 'fresh' ELSE 'none' END AS source, CASE WHEN vec_id % 3 < 2 THEN list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) END AS v FROM embeddings)")
+def vector_alignment(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", F.sha1(F.col("vec_id").cast("string")).alias("key"), F.col("embedding").alias("v"))
+    part = F.col("vec_id") % 3
+    aligned = learning.align_vectors(rows.select("vec_id", "key"), rows.where(part == 0).select("key", "v"), rows.where(part == 1).select("key", "v"))
+    source = F.when(part == 0, "stored").when(part == 1, "fresh").otherwise("none")
+    return aligned.select("vec_id", source.alias("source"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("length"))
 
 
 @query("evl01_wilson_by_label", "SELECT quality, k, n, round(((k / n) + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt((k / n) * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n), 4) AS low, round(((k / n) + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt((k / n) * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n), 4) AS high FROM (SELECT CAST(quality AS BIGINT) AS quality, CAST(sum(toxic) AS DOUBLE) AS k, CAST(count(*) AS DOUBLE) AS n FROM labels GROUP BY 1)")
@@ -356,21 +407,23 @@ def ranking_metrics(spark, d):
     return evaluation.ranking_metrics(ranked.join(labels, "query").withColumn("relevant", F.col("own") == F.col("label")))
 
 
-_IDENTIFIERS = "SELECT doc_id AS doc, unnest(string_split(left(text, 60), ' ')) AS identifier FROM documents"
+_EMAIL, _IP = privacy.shapes_of("EMAIL")[0], privacy.shapes_of("IP")[0]
+_IDENTIFIERS = f"SELECT DISTINCT doc_id AS doc, unnest(list_concat(regexp_extract_all(text, '{_EMAIL.pattern}'), regexp_extract_all(text, '{_IP.pattern}'))) AS identifier FROM documents"
 
 
-@query("evl05_leaks", f"SELECT i.doc, i.identifier FROM ({_IDENTIFIERS}) i JOIN documents d ON d.doc_id = i.doc WHERE length(identifier) > 3 AND contains(lower(right(text, 200)), lower(identifier))")
+@query("evl05_leaks", f"SELECT doc, identifier FROM (SELECT doc_id AS doc, lower(regexp_replace(text, '{_EMAIL.pattern}', '[EMAIL_REDACTED]', 'g')) AS out FROM documents) JOIN ({_IDENTIFIERS}) USING (doc) WHERE contains(out, lower(identifier))")
 def leaks(spark, d):
-    rows = docs(spark, d)
-    identifiers = rows.select(F.col("doc_id").alias("doc"), F.explode(F.split(F.left("text", F.lit(60)), " ")).alias("identifier")).where("length(identifier) > 3")
-    return evaluation.leaks(rows.select("doc_id", F.right("text", F.lit(200)).alias("tail")), identifiers, "doc_id", "tail")
+    """What a redaction of mail addresses alone leaves of the mail and network addresses of the whole texts."""
+    identifiers = privacy.redact(docs(spark, d), shapes=[_EMAIL, _IP]).select(F.col("doc_id").alias("doc"), F.explode("entities.value").alias("identifier"))
+    return evaluation.leaks(privacy.redact(docs(spark, d), shapes=[_EMAIL]), identifiers.distinct(), "doc_id", "sanitized")
 
 
-@query("evl05_leaks_whole_words", f"SELECT i.doc, i.identifier FROM ({_IDENTIFIERS}) i JOIN documents d ON d.doc_id = i.doc WHERE regexp_full_match(identifier, '[A-Za-z]{{4,}}') AND regexp_matches(lower(right(text, 200)), '(?:^|[^a-z0-9])' || lower(identifier) || '(?:$|[^a-z0-9])')")
+@query("evl05_leaks_whole_words", "SELECT doc_id AS doc, word AS identifier FROM documents JOIN (SELECT DISTINCT lower(source) AS word FROM documents WHERE source IS NOT NULL UNION SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) ON regexp_matches(lower(text), '(?:^|[^a-z0-9])' || word || '(?:$|[^a-z0-9])') AND (word = lower(source) OR word = lang)")
 def leaks_whole_words(spark, d):
-    rows = docs(spark, d)
-    identifiers = rows.select(F.col("doc_id").alias("doc"), F.explode(F.split(F.left("text", F.lit(60)), " ")).alias("identifier")).where(F.col("identifier").rlike("^[A-Za-z]{4,}$"))
-    return evaluation.leaks(rows.select("doc_id", F.right("text", F.lit(200)).alias("tail")), identifiers, "doc_id", "tail", whole_words=True)
+    """A document's source and language, as whole words of its whole text."""
+    rows = table(spark, d, "documents")
+    identifiers = rows.select(F.col("doc_id").alias("doc"), F.explode(F.array_compact(F.array(F.lower("source"), F.col("lang")))).alias("identifier")).distinct()
+    return evaluation.leaks(rows.select("doc_id", "text"), identifiers, "doc_id", "text", whole_words=True)
 
 
 @query("evl06_removal_rates", "SELECT event_type AS category, count(*) AS marked, count(*) FILTER (WHERE value <= 50) AS removed, round(CAST(count(*) FILTER (WHERE value <= 50) AS DOUBLE) / count(*), 4) AS rate FROM events GROUP BY 1")
