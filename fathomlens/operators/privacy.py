@@ -231,12 +231,12 @@ def marked(docs: DataFrame, text: str, shapes: list[Shape] = SHAPES, known: str
     """`docs` with `state`: struct<t, entities>, the text with every identifier as MARK number MARK and what is protected as HOLD, and the entities by number, from 1.
 
     known: column with an array of the vocabulary's words in the text, lower-cased (see `vocabulary_words`). Each shape is a projection of its
-    own: one expression for all would be too deep to be analysed."""
+    own: one expression for all would be too deep to be analysed. Each names the state once, as the optimiser may put them into one another."""
     words = F.lit(None) if known is None else F.col(known)
     words = F.coalesce(words.cast("array<string>"), F.array().cast("array<string>"))
     docs = docs.withColumn(state, F.struct(_held(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.array().cast(_ENTITY).alias("entities")))
     for s in shapes:
-        docs = docs.withColumn(state, _step(s, words)(F.col(state)))
+        docs = docs.withColumn(state, _let(F.col(state), _step(s, words)))
     return docs
 
 
@@ -282,9 +282,9 @@ def redact(docs: DataFrame, text: str = "text", shapes: list[Shape] = SHAPES, kn
     one, which stays bare. Protected shapes survive. Null texts give null and no entities. Idempotent. `known`: a column of `docs` with the words that
     `vocabulary_words` finds; without it no word counts as ordinary, so more is taken out."""
     own = [F.col(c) for c in docs.columns if c not in ("sanitized", "entities")]
-    df = marked(docs, text, shapes, known).withColumn("_tokens", numbered(F.col("_state.entities")))
-    shown = finished(F.col(text), F.col("_state.t"), F.col("_tokens"))
-    return df.select(*own, F.when(F.col(text).isNotNull(), shown).alias("sanitized"), F.col("_tokens").alias("entities"))
+    named = lambda s: _let(numbered(s["entities"]), lambda e: F.named_struct(F.lit("t"), finished(F.col(text), s["t"], e), F.lit("entities"), e))
+    df = marked(docs, text, shapes, known).withColumn("_r", _let(F.col("_state"), named))
+    return df.select(*own, F.when(F.col(text).isNotNull(), F.col("_r.t")).alias("sanitized"), F.col("_r.entities").alias("entities"))
 
 
 def entity_counts(redacted: DataFrame, doc: str) -> DataFrame:
