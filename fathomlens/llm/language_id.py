@@ -24,6 +24,8 @@ from .shared import held_out, mix, table, text_slices, tidy
 #: Bounds of the sample that the model is fitted on: documents of each language, of all languages, bytes of a document.
 TRAIN_DOCS, TRAIN_ALL, TRAIN_BYTES = 1500, 60_000, 1 << 15
 BUCKETS = 1 << 17
+#: Numbers of languages are broadcast up to so many.
+FEW = 50_000
 PENALTY, SMOOTH = 3.0, 0.5
 #: Expectation-maximisation ends for a document when no share moves by more than STILL, or after ROUNDS.
 STILL, ROUNDS = 1e-3, 100
@@ -72,6 +74,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     languages = sizes.count()
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0)))
+    if languages <= FEW:  # a row each; texts are never shuffled by language, which a few languages would put into a few tasks
+        sizes = F.broadcast(sizes)
     quota = min(float(TRAIN_DOCS), TRAIN_ALL / languages)
     drawn = F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(1 << 30)) < F.lit(quota) / F.col("n") * (1 << 30)
 
