@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomlens.functions import text as tx
-from fathomlens.operators import actions, evaluation, fingerprint, indicators, memory, overview, privacy, resemblance, tabletop
+from fathomlens.operators import actions, evaluation, fingerprint, indicators, memory, names, overview, privacy, resemblance, tabletop
 from fathomlens.plans import analyze
 from fathomlens.plans.pipeline_queries import knowledge
 from fathomlens.sources import corpora, reports, sinks
@@ -46,10 +46,48 @@ def test_pseudonym_is_hmac(spark):
     assert [r.p for r in got] == [want, want, None, None]
 
 
+def lexicon(spark):
+    words = lambda text: spark.createDataFrame([(x,) for x in text.split(",")], "word string")
+    return names.lexicon_of(
+        ordinary=words("paid,attacker,used,pipeline,colonial,file,mark,opened,attachment,control,access,management,our,people,technology,department,shut,down,privileged,report,network,phone,nothing,else"),
+        public=words("powershell,mimikatz,cobalt strike,cisco"), given=words("sara,mark,ahmed"), company=words("cisco"), sector=words("pipeline,bank"),
+    )
+
+
 def test_names(spark):
-    docs = spark.createDataFrame([(1, "The attackers phoned Maria Lopez. Later Acme Bank paid. Nothing else."), (2, None)], "id long, text string")
-    ordinary = spark.createDataFrame([(w,) for w in "the attackers phoned later bank paid nothing else".split()], "word string")
-    assert {(r.name, r.words) for r in privacy.name_spans(docs, "id", "text", ordinary).collect()} == {("Maria Lopez", 2), ("Acme Bank", 2)}
+    texts = [
+        "The attackers phoned Maria Lopez. Later Acme Bank paid. Nothing else.",
+        "Colonial Pipeline paid the attacker. Then Colonial shut down. Cisco's network was used by Sara Qahtani, and Mark opened the attachment with PowerShell and Cobalt Strike.",
+        "Privileged Access Management was used. Mark the file. Mark opened it. NOT the file II, Q3.",
+        "our Technology department saw Ahmed Al-Qahtani's file",
+        None,
+        "",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {}
+    for r in names.names(docs, "id", "text", lexicon(spark)).collect():
+        got.setdefault(r.doc, set()).add((r.name, r.label))
+    assert got == {
+        0: {("Maria Lopez", "NAME"), ("Acme", "NAME")},
+        1: {("Colonial Pipeline", "NAME"), ("Colonial", "NAME"), ("Cisco", "ORG"), ("Sara Qahtani", "PERSON"), ("Mark", "NAME")},
+        2: {("Mark", "PERSON")},
+        3: {("Ahmed Al-Qahtani", "PERSON")},
+    }
+    safe = {r.doc_id: r for r in names.sanitize(docs.withColumnRenamed("id", "doc_id"), lexicon(spark)).collect()}
+    assert safe[1].sanitized.startswith("[NAME_REDACTED_1] paid the attacker. Then [NAME_REDACTED_1] shut down. [ORG_REDACTED]'s network was used by [PERSON_REDACTED], and")
+    assert safe[3].sanitized == "our Technology department saw [PERSON_REDACTED]'s file"
+    assert safe[4].sanitized is None and safe[5].sanitized == "" and len(safe) == 6
+
+
+def test_every_shape_is_taken_out(spark):
+    text = (
+        "10[.]0[.]0[.]1 hxxp://evil.example/p 2001:db8::1 C:\\Users\\jdoe\\x CORP\\jsmith INC-20391 WKSTN-FIN-042 dc01 fileserver-01.corp.example svc_backup id 1234567890 sha-256\n"
+        "Reported by: Layla Al-Otaibi, status\nLocation: Riyadh\nthe Aseer Medical Centre, the Security Operations Centre"
+    )
+    out = privacy.redact(spark.createDataFrame([(text,)], "text string")).first()
+    for secret in ("10[.]0", "evil", "2001", "jdoe", "jsmith", "20391", "FIN", "dc01", "fileserver", "backup", "1234567890", "Layla", "Otaibi", "Riyadh", "Aseer"):
+        assert secret not in out.sanitized, secret
+    assert "sha-256" in out.sanitized and "the Security Operations Centre" in out.sanitized
 
 
 def test_search_is_metamorphic(spark):
@@ -162,7 +200,7 @@ def test_engine(spark):
     acts = spark.createDataFrame([(1, 0, "Reset", "contain", 0.9)], "incident_id long, position long, action string, category string, effectiveness double")
     engine = analyze.Engine(spark, knowledge(spark), stored, acts)
     one = stored.where("doc = 1").first()
-    assert one.clean and "[EMAIL_REDACTED]" in one.sanitized and one.attack_type == "licensing" and "T1010" in one.techniques
+    assert one.clean and "[EMAIL_REDACTED]" in one.sanitized and one.attack_type == "release" and "T1010" in one.techniques
     assert stored.where("doc = 3").first().attack_type == "unknown"
     near = engine.search(texts.where("doc_id = 2")).orderBy("place").collect()
     assert near[0].doc == 1 and all(r.doc != 2 for r in near)
