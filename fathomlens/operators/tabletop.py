@@ -62,7 +62,7 @@ def context(incidents: DataFrame, facts: DataFrame, actions: DataFrame, most: in
     named = first(facts.select("incident_id", "technique").distinct(), "technique").groupBy("incident_id").agg(F.array_join(F.sort_array(F.collect_list("technique")), ", ").alias("_techniques"))
     effect = F.when(F.col("effectiveness").isNull(), "").otherwise(F.concat(F.lit(" (effectiveness "), F.round(F.col("effectiveness") * 100).cast("long").cast("string"), F.lit("%)")))
     line = F.concat(F.lit("    - ["), "category", F.lit("] "), "action", effect)
-    done = first(actions, "position", "action", "category").groupBy("incident_id").agg(F.sort_array(F.collect_list(F.struct("_n", line.alias("l")))).alias("_a"))
+    done = first(actions, "position", "action", "category", "effectiveness").groupBy("incident_id").agg(F.sort_array(F.collect_list(F.struct("_n", line.alias("l")))).alias("_a"))
     done = done.select("incident_id", F.array_join(F.transform("_a", lambda x: x["l"]), "\n").alias("_done"))
     rows = incidents.join(named, "incident_id", "left").join(done, "incident_id", "left")
     value = lambda c, other: F.coalesce(F.col(c), F.lit(other))

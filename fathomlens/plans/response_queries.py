@@ -215,7 +215,7 @@ def citation_check(spark, d):
     return claims.join(found, "query", "left").select("query", F.array_join(F.array_sort(yes), ",").alias("verified"), F.size(no).cast("long").alias("unsupported"))
 
 
-_TOP_ACTIONS = "SELECT incident_id, string_agg('    - [' || category || '] ' || trim(action) || CASE WHEN effectiveness IS NULL THEN '' ELSE ' (effectiveness ' || CAST(round(effectiveness * 100) AS BIGINT) || '%)' END, chr(10) ORDER BY position, trim(action), category) AS done FROM (SELECT * FROM actions WHERE trim(action) <> '' QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY position, trim(action), category) <= 8) GROUP BY 1"
+_TOP_ACTIONS = "SELECT incident_id, string_agg('    - [' || category || '] ' || trim(action) || CASE WHEN effectiveness IS NULL THEN '' ELSE ' (effectiveness ' || CAST(round(effectiveness * 100) AS BIGINT) || '%)' END, chr(10) ORDER BY position, trim(action), category, effectiveness NULLS FIRST) AS done FROM (SELECT * FROM actions WHERE trim(action) <> '' QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY position, trim(action), category, effectiveness NULLS FIRST) <= 8) GROUP BY 1"
 _NAMES = "SELECT incident_id, string_agg(technique, ', ' ORDER BY technique) AS techniques FROM (SELECT DISTINCT incident_id, technique FROM facts QUALIFY dense_rank() OVER (PARTITION BY incident_id ORDER BY technique) <= 8) GROUP BY 1"
 
 
