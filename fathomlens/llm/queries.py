@@ -10,10 +10,13 @@ from .bpe import op9_bpe_encode_decode
 from .chat_format import END, ESCAPES, TEXT, TURN, op10_chat_format
 from .decontaminate import op3_benchmark_decontamination
 from .embedding_dedup import op5_embedding_near_dedup
+from .filter_audit import ORACLE as _OP13
+from .filter_audit import op13_filter_interaction_audit
 from .language_id import op2_language_id
 from .license_scan import op7_license_scan
 from .near_dedup import op4_minhash_near_dedup
 from .quality import op1_quality_classifier
+from .sentence_pieces import op12_sentencepiece_encode_decode
 from .token_counts import op6_token_counts
 from .url_filter import op8_url_filter
 
@@ -30,6 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filter,
         op9_bpe_encode_decode,
         op10_chat_format,
+        op12_sentencepiece_encode_decode,
+        op13_filter_interaction_audit,
     )
 }
 
@@ -75,4 +80,4 @@ _OP10 = f"""WITH t AS (
 )
 SELECT conv_id, n_turns, sha256(every) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a"""
 
-ORACLE_SQL: dict[str, str] = {"op4_minhash_near_dedup": _OP4, "op5_embedding_near_dedup": _OP5, "op10_chat_format": _OP10}
+ORACLE_SQL: dict[str, str] = {"op4_minhash_near_dedup": _OP4, "op5_embedding_near_dedup": _OP5, "op10_chat_format": _OP10, "op13_filter_interaction_audit": _OP13}

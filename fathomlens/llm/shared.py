@@ -60,6 +60,23 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return tidied
 
 
+#: A key with more than one HOT-th of all rows is dealt over several partitions.
+HOT = 4096
+
+
+def dealt(rows: DataFrame, keys: DataFrame, key: str, n: str, by: Column) -> tuple[DataFrame, DataFrame]:
+    """`rows` and `keys` with a column `deal` more, to be joined on `key` and `deal`: the rows of a frequent key are dealt
+    out by a hash of `by`, and its row in `keys`, which has the number `n` of its rows, is there once for each share.
+
+    At most HOT keys are frequent, which bounds what is broadcast to find their rows; a share is at most two HOT-ths of all rows."""
+    total = keys.agg(F.sum(n)).first()[0] or 0
+    shares = F.ceil(F.col(n) * HOT / F.lit(max(total, 1))).cast("int")
+    frequent = keys.where(F.col(n) * HOT > total).select(F.col(key).alias("frequent key"), shares.alias("shares"))
+    rows = rows.join(F.broadcast(frequent), F.col(key).eqNullSafe(F.col("frequent key")), "left")
+    rows = rows.withColumn("deal", F.pmod(F.xxhash64(by), F.coalesce("shares", F.lit(1))).cast("int")).drop("frequent key", "shares")
+    return rows, keys.withColumn("deal", F.explode(F.sequence(F.lit(0), F.greatest(shares, F.lit(1)) - 1)))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows that no model may learn a label from."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
