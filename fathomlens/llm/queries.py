@@ -19,6 +19,8 @@ from .quality import op1_quality_classifier
 from .sentence_pieces import op12_sentencepiece_encode_decode
 from .token_counts import op6_token_counts
 from .url_filter import op8_url_filter
+from .vector_codes import ORACLE as _OP11
+from .vector_codes import op11_vector_code_compression
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -33,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filter,
         op9_bpe_encode_decode,
         op10_chat_format,
+        op11_vector_code_compression,
         op12_sentencepiece_encode_decode,
         op13_filter_interaction_audit,
     )
@@ -80,4 +83,4 @@ _OP10 = f"""WITH t AS (
 )
 SELECT conv_id, n_turns, sha256(every) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a"""
 
-ORACLE_SQL: dict[str, str] = {"op4_minhash_near_dedup": _OP4, "op5_embedding_near_dedup": _OP5, "op10_chat_format": _OP10, "op13_filter_interaction_audit": _OP13}
+ORACLE_SQL: dict[str, str] = {"op4_minhash_near_dedup": _OP4, "op5_embedding_near_dedup": _OP5, "op10_chat_format": _OP10, "op11_vector_code_compression": _OP11, "op13_filter_interaction_audit": _OP13}

@@ -42,7 +42,7 @@ class CharacterMap:
 
     def __init__(self, blob: bytes):
         size = struct.unpack_from("<I", blob)[0] if blob else 0
-        self.units = array("I", blob[4 : 4 + size])
+        self.units = array("I", blob[4 : 4 + size] or bytes(1024))  # without rules, a root that leads nowhere
         self.targets = blob[4 + size :]
 
     def _offset(self, unit: int) -> int:
@@ -79,6 +79,9 @@ class CharacterMap:
             at = end
 
 
+_NO_MAP = CharacterMap(b"")
+
+
 class _Numbers(dict):
     """Numbers by first use; `fresh` has the keys that are new."""
 
@@ -177,25 +180,21 @@ class Pieces:
             out = text.replace(" ", SPACE)
             return (SPACE + out, np.concatenate((at[:1], at))) if self.prefix and text else (out, at)
         parts, places, end = [], [], 0
-        source = self.map.spans(text) if self.map else CharacterMap.spans(_NoMap, text)
-        first = True
-        for out, start, stop in source:
-            if self.squeeze:
-                if first and not out.strip(" "):
+        begun, spaced = False, self.squeeze
+        for out, start, stop in (self.map or _NO_MAP).spans(text):
+            if not begun:
+                if self.squeeze and out == " ":
                     continue  # white space before the text
-                if parts and parts[-1].endswith(SPACE):
-                    out = out.lstrip(" ")
-            if first:
-                first = False
+                begun = True
                 if self.prefix:
                     parts.append(SPACE)
                     places.append(start)
-                    out = out.lstrip(" ") if self.squeeze else out
-                end = start
+            out = out.lstrip(" ") if spaced else out
             if out:
                 parts.append(out.replace(" ", SPACE))
                 places += [start] * len(out)
-            end = stop if out else end
+                spaced = self.squeeze and out.endswith(" ")
+            end = stop
         if self.squeeze:  # white space behind it
             while parts and parts[-1].endswith(SPACE):
                 kept = parts[-1].rstrip(SPACE)
@@ -397,10 +396,6 @@ class Pieces:
         return "".join(out)
 
 
-class _NoMap:
-    longest = staticmethod(lambda data, at: None)
-
-
 def _each_byte(run: bytes) -> str:
     out, at = [], 0
     while at < len(run):
