@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that a search ignores, and the patterns of ids and sentence ends.
@@ -56,7 +58,7 @@ def is_arabic(text: Column) -> Column:
 
 def mask_subject(sentence: Column, name: Column, instead: str = "the actor") -> Column:
     """The sentence with a name of three letters or more replaced, whatever its case; the name is taken literally."""
-    quoted = F.concat(F.lit("(?i)\\Q"), name, F.lit("\\E"))
+    quoted = F.concat(F.lit("(?i)\\Q"), F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     return F.when(F.length(name) >= 3, F.regexp_replace(sentence, quoted, F.lit(instead))).otherwise(sentence)
 
 
@@ -69,3 +71,21 @@ def mask_value(value: Column) -> Column:
 def highlight_tokens(text: Column) -> Column:
     """Redaction tokens wrapped in a mark element."""
     return F.regexp_replace(text, r"(\[[A-Z_]+_REDACTED(?:_\d+)?\])", "<mark>$1</mark>")
+
+
+#: Bits of a word filter, whatever the number of words.
+FILTER_BITS = 1 << 16
+
+
+def word_filter(words: DataFrame) -> Callable[[Column], Column]:
+    """A test for words, to be used in a row before any join: true for every word of the only column of `words`, and for few others as long as there are under some FILTER_BITS / 4.
+
+    One hash into FILTER_BITS bits, set by Spark and held as longs in the plan."""
+    place = lambda word: F.pmod(F.xxhash64(word), F.lit(FILTER_BITS)).cast("int")
+    spots = words.select(place(F.col(words.columns[0])).alias("p")).distinct()
+    bits = spots.groupBy(F.shiftright("p", 6).alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(63))).alias("b"))
+    held = [0] * (FILTER_BITS // 64)
+    for r in bits.collect():  # at most FILTER_BITS / 64 rows
+        held[r.i] = r.b
+    field = F.from_json(F.lit(str(held)), "array<bigint>")
+    return lambda word: F.getbit(F.get(field, F.shiftright(place(word), 6)), place(word).bitwiseAND(63)) == 1

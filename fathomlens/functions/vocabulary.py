@@ -84,12 +84,6 @@ THREAT_ACTOR_WORDS = (
 UNIT_WORDS = "department departments team teams unit units division function functions directorate staff".split()
 #: Names of functions that end like an organisation's.
 NO_ORGANISATIONS = [
-    "security operations",
-    "network operations",
-    "operations",
-    "data",
-    "command",
-    "call",
-    "contact",
-    "service",
-]  # each before centre or center; and incident response centre
+    "security operations centre", "security operations center", "network operations centre", "network operations center", "operations centre", "operations center", "data centre", "data center",
+    "command centre", "command center", "call centre", "call center", "contact centre", "contact center", "service centre", "service center", "incident response centre",
+]

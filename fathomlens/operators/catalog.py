@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import privacy
+from . import names, privacy
 
 #: What leaves the store: neither raw text nor the contributor's pseudonym.
 WITHHELD = ("raw_text", "contributor_ref")
@@ -74,9 +74,17 @@ def reindexable(incidents: DataFrame) -> DataFrame:
     return incidents.where(F.coalesce("embedding_text", F.lit("")) != "").select("incident_id", "embedding_text")
 
 
-def shareable_actions(actions: DataFrame, texts: tuple[str, ...] = ("action", "notes")) -> DataFrame:
-    """Actions as they may be shared: their free texts trimmed and sanitised, those without an action left out."""
+def shareable_actions(actions: DataFrame, texts: tuple[str, ...] = ("action", "notes"), lexicon: DataFrame | None = None, staged=lambda df: df) -> DataFrame:
+    """Actions as they may be shared: their free texts trimmed and sanitised, those without an action left out.
+
+    With a lexicon (see `names`), names without a shape go too; each different text is looked at once."""
     shared = actions.where(F.trim("action") != "")
     for column in (c for c in texts if c in actions.columns):
-        shared = privacy.redact(shared.withColumn(column, F.trim(column)), column).drop("entities").drop(column).withColumnRenamed("sanitized", column)
+        shared = shared.withColumn(column, F.trim(column))
+        if lexicon is None:
+            shared = privacy.redact(shared, column).drop("entities").drop(column).withColumnRenamed("sanitized", column)
+            continue
+        different = staged(shared.select(F.sha2(column, 256).alias("_key"), F.col(column).alias("_text")).where("_text is not null").distinct())
+        safe = names.sanitize(different, lexicon, "_key", "_text", staged).select("_key", "sanitized")
+        shared = shared.withColumn("_key", F.sha2(column, 256)).join(safe, "_key", "left").withColumn(column, F.col("sanitized")).drop("_key", "sanitized")
     return shared.select(actions.columns)

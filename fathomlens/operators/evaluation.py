@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.negation import TOKEN
+from ..functions.text import word_filter
+
 
 def wilson(successes: Column, total: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Wilson interval, rounded to 4 places; (0, 0) of nothing."""
@@ -60,6 +63,29 @@ def leaks(outputs: DataFrame, identifiers: DataFrame, doc: str, text: str, whole
     return rows.where(F.rlike("_out", F.concat(F.lit(r"(?:^|[^a-z0-9])\Q"), low, F.lit(r"\E(?:$|[^a-z0-9])")))).drop("_out")
 
 
+def _plain_words(text: Column) -> Column:
+    """Runs of letters and digits of the lower-cased text, without redaction tokens."""
+    return F.regexp_extract_all(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), TOKEN, " ")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def residual_audit(outputs: DataFrame, values: DataFrame, doc: str, text: str, least: int = 4) -> DataFrame:
+    """(doc, value, at): where a value that was taken out anywhere still stands in any output, as the same run of words whatever is between them; at counts words, from 1.
+
+    Independent of what found the values: values (value) of the whole corpus are searched in every output at once, so a name that was taken out of one report and not
+    of another shows. Values under `least` characters are not searched for. A filter of first words, of a fixed size, picks in the row the places where a value may
+    begin; there, as many words as values have are joined with the values themselves, so a frequent first word makes no hot key."""
+    known = values.select(F.col("value"), _plain_words(F.col("value")).alias("words")).where((F.length("value") >= least) & (F.size("words") > 0)).distinct()
+    known = known.select("value", F.array_join("words", " ").alias("run"), F.size("words").alias("n"), F.get("words", F.lit(0)).alias("first"))
+    begins = word_filter(known.select("first"))
+    lengths = [r.n for r in known.select("n").distinct().orderBy("n").collect()]  # as many as the longest value has words
+    rows = outputs.select(F.col(doc).alias("doc"), _plain_words(F.col(text)).alias("words"))
+    spots = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda s: begins(s["w"]))
+    run = lambda i, n: F.struct(i.alias("i"), n.alias("n"), F.array_join(F.slice("words", i + 1, n), " ").alias("run"))
+    runs = F.flatten(F.transform(spots, lambda s: F.transform(F.filter(F.lit(lengths or [1]), lambda n: s["i"] + n <= F.size("words")), lambda n: run(s["i"], n))))
+    found = rows.select("doc", F.explode(runs).alias("r")).select("doc", "r.*").join(known.select("value", "run"), "run")
+    return found.select("doc", "value", (F.col("i") + 1).cast("long").alias("at"))
+
+
 def removal_rates(audited: DataFrame) -> DataFrame:
     """(category, marked, removed, rate) of (category, survived)."""
     sums = audited.groupBy("category").agg(F.count("*").alias("marked"), F.count_if(~F.col("survived")).alias("removed"))

@@ -8,50 +8,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import family
+from ..functions.negation import WORD, negations
+from ..functions.text import family, word_filter
 
 # Fixed values of the fingerprint format.
 VECTORS = ["phishing", "exposed_service", "stolen_credentials", "removable_media"]
 TACTICS = ["reconnaissance", "resource-development", "initial-access", "execution", "persistence", "privilege-escalation", "defense-evasion", "credential-access", "discovery", "lateral-movement", "collection", "command-and-control", "exfiltration", "impact"]
 CONFIDENCE = {"phrase": 0.75, "name": 0.85, "explicit": 0.95}
 OTHER_SOURCE = 0.55
-
-
-# What denies a thing (its scope is the phrase that follows) or an action (the rest of the clause), and what ends a clause.
-NOUN_CUES = ["no evidence of", "no sign of", "no signs of", "no indication of", "absence of", "lack of", "before any", "rather than", "instead of", "without", "neither", "none", "no"]
-VERB_CUES = (
-    "did not|does not|do not|was not|were not|is not|are not|has not|have not|had not|could not|would not|cannot|can not|failed to|unable to|didn't|doesn't|don't|wasn't|weren't|isn't|aren't|hasn't|"
-    "haven't|hadn't|couldn't|wouldn't|can't|never|not|nor"
-).split("|")
-CLAUSE_ENDS = r"[.;:!?\n]|\b(?:but|however|although|while|whereas|until|whose|which|who|where|because)\b"
-NOUN_REACH, VERB_REACH = 8, 12
-WORD = "[a-z0-9]+"
-
-
-def negations(text: Column) -> Column:
-    """array<struct<start, end>>: spans of words (runs of letters a-z and digits of the lower-cased text, counted from 1; end exclusive) that the text denies.
-
-    A span begins after its cue and ends with the clause; after a denied action also at the word and; at a comma, unless the clause is a list with
-    or or nor; and after NOUN_REACH or VERB_REACH words."""
-    cue = rf"\b(?:({'|'.join(NOUN_CUES)})|(?:{'|'.join(VERB_CUES)}))\b"
-    scoped = rf"(?s){cue}(?=(.*?)(?:{CLAUSE_ENDS}|\z))"
-    words = lambda c: F.size(F.regexp_extract_all(c, F.lit(WORD), 0))
-    low = F.lower(F.coalesce(text, F.lit("")))
-
-    def span(cue: Column, i: Column, before: Column) -> Column:
-        noun, clause = cue["noun"] != "", cue["clause"]
-        clause = F.when(noun, clause).otherwise(F.regexp_extract(clause, r"(?s)^(.*?)(?:\band\b|\z)", 1))
-        clause = F.when(clause.contains(",") & ~clause.rlike(r"\b(?:or|nor)\b"), F.substring_index(clause, ",", 1)).otherwise(clause)
-        reach = lambda n: F.regexp_extract(clause, rf"^(?:\s*\S+){{0,{n}}}", 0)
-        start = F.aggregate(F.slice(before, F.lit(1), i + 1), F.lit(1), lambda x, y: x + y)
-        end = start + words(F.when(noun, reach(NOUN_REACH)).otherwise(reach(VERB_REACH)))
-        return F.named_struct(F.lit("start"), start.cast("long"), F.lit("end"), end.cast("long"))
-
-    pair = lambda noun, clause: F.named_struct(F.lit("noun"), noun, F.lit("clause"), clause)
-    found = F.zip_with(F.regexp_extract_all(low, F.lit(scoped), 1), F.regexp_extract_all(low, F.lit(scoped), 2), pair)
-    before = F.zip_with(F.split(low, cue, -1), F.regexp_extract_all(low, F.lit(cue), 0), lambda gap, c: words(gap) + F.coalesce(words(c), F.lit(0)))
-    spans = F.get(F.transform(F.array(F.named_struct(F.lit("f"), found, F.lit("b"), before)), lambda x: F.transform(x["f"], lambda c, i: span(c, i, x["b"]))), F.lit(0))
-    return F.filter(spans, lambda x: x["end"] > x["start"])
+INFERRED = ["example", "llm"]
+LEAST_NAME = 8
+#: Official names that are everyday words of the trade.
+COMMON_NAMES = [
+    "credentials", "domains", "databases", "malware", "software", "tool", "hardware", "firmware", "exploits", "vulnerabilities", "server", "serverless", "proxy", "compression", "scripting",
+    "source", "impersonation", "botnet", "at", "trap", "dll", "dns", "ssh", "cdns", "whois", "add-ins", "confluence", "sharepoint", "multi-factor authentication",
+]
 
 
 def negated(docs: DataFrame, doc: str, text: str) -> DataFrame:
@@ -63,25 +34,28 @@ def phrase_hits(docs: DataFrame, vocabulary: DataFrame, doc: str, text: str, onl
     """(doc, ordinal, label, term, weight, …, at): places where a term of the vocabulary, or its plural, is in the lower-cased text, between characters other than a-z and
     digits. at counts words, from 1.
 
-    Every word brings what follows it, as far as the longest term reaches, and is joined with the first words of the terms; so the work is one row a word,
-    none is shuffled while the vocabulary is small, and terms may be of any length and hold any punctuation (but before their first letter
-    or digit). `only_affirmed` leaves out what the text denies (see `negations`)."""
+    A text is words with what stands behind each. A filter of bounded size, made of the terms' first words, picks the words that may begin a term, in the row; only these
+    become rows, with as many words behind them as the longest term has, and are joined with the first words of the terms. So few rows are made, none is shuffled while the
+    vocabulary is small, and terms may be of any length and hold any punctuation (but before their first letter or digit). `only_affirmed` leaves out what the text denies (see
+    `negations`)."""
     terms = vocabulary.withColumn("_term", F.regexp_replace(F.lower("term"), "^[^a-z0-9]+", "")).where("_term <> ''")
     terms = terms.withColumn("_first", F.regexp_extract("_term", WORD, 0))
-    longest = terms.agg(F.max(F.length("_term"))).first()[0] or 0
-    ahead = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(rf"(?s)(?<![a-z0-9])(?=[a-z0-9])(?=(.{{1,{longest + 3}}}))"), 1)
-    denied = [negations(F.col(text)).alias("_denied")] if only_affirmed else []
-    # The spans are made before the words are rows, once a text.
-    texts = docs.select(F.col(doc).alias("doc"), *denied, ahead.alias("_words"))
-    rows = texts.select(*(c for c in texts.columns if c != "_words"), F.posexplode("_words").alias("_i", "_ahead")).withColumn("_first", F.regexp_extract("_ahead", f"^{WORD}", 0))
     # A term's last word may stand in its plural, which is then the first word of a one-word term.
     single = F.col("_first") == F.col("_term")
     forms = terms.withColumn("_first", F.explode(F.when(single, F.array("_first", F.concat("_first", F.lit("s")), F.concat("_first", F.lit("es")))).otherwise(F.array("_first"))))
+    begins = word_filter(forms.select("_first"))
+    longest = terms.agg(F.max(F.size(F.regexp_extract_all("_term", F.lit(WORD), F.lit(0))))).first()[0] or 0
+    pieces = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(f"{WORD}[^a-z0-9]*"), F.lit(0))
+    denied = [negations(F.col(text)).alias("_denied")] if only_affirmed else []
+    # The spans are made before the words are rows, once a text.
+    texts = docs.select(F.col(doc).alias("doc"), *denied, pieces.alias("_pieces"))
+    words = F.transform("_pieces", lambda p, i: F.struct(i.alias("i"), F.regexp_extract(p, WORD, 0).alias("word")))
+    spots = F.transform(F.filter(words, lambda w: begins(w["word"])), lambda w: F.struct(w["i"].alias("i"), w["word"].alias("word"), F.array_join(F.slice("_pieces", w["i"] + 1, longest + 1), "").alias("ahead")))
+    rows = texts.select(*(c for c in texts.columns if c != "_pieces"), F.explode(spots).alias("_s")).select("*", F.col("_s.word").alias("_first"), F.col("_s.ahead").alias("_ahead"), (F.col("_s.i") + 1).cast("long").alias("_at"))
     hits = rows.join(forms, "_first").where(F.startswith("_ahead", "_term") & ~F.substr("_ahead", F.length("_term") + 1).rlike("^(?!(?:e?s)?(?:[^a-z0-9]|$))"))
-    at = (F.col("_i") + 1).cast("long")
     if only_affirmed:
-        hits = hits.where(~F.exists("_denied", lambda s: (at >= s["start"]) & (at < s["end"])))
-    return hits.select("doc", *vocabulary.columns, at.alias("at"))
+        hits = hits.where(~F.exists("_denied", lambda s: (F.col("_at") >= s["start"]) & (F.col("_at") < s["end"])))
+    return hits.select("doc", *vocabulary.columns, F.col("_at").alias("at"))
 
 
 def affirmed(hits: DataFrame, spans: DataFrame) -> DataFrame:
@@ -100,12 +74,12 @@ def classify(scores: DataFrame, decisive: DataFrame | None = None, least: int =
     """(doc, attack_type, initial_vector): outcome by decisive marker, else the best outcome from `least`, else the best of all.
 
     scores (doc, label, score, ordinal); labels of VECTORS are ways in, all others outcomes. Ties: the smallest ordinal. decisive
-    (doc, ordinal, label): markers found; the smallest ordinal decides."""
-    best = lambda cond: F.max_by(F.when(cond, F.col("label")), F.when(cond, F.struct("score", -F.col("ordinal"))))
+    (doc, ordinal, label): markers found; the smallest ordinal decides. Labels with the same ordinal: by name."""
+    best = lambda cond: F.min_by(F.when(cond, F.col("label")), F.when(cond, F.struct((-F.col("score")).alias("s"), "ordinal", "label")))
     way_in = F.col("label").isin(VECTORS)
     found = scores.groupBy("doc").agg(best(~way_in & (F.col("score") >= least)).alias("outcome"), best(F.lit(True)).alias("top"), best(way_in).alias("vector"))
     if decisive is not None:
-        found = found.join(decisive.groupBy("doc").agg(F.min_by("label", "ordinal").alias("sign")), "doc", "left")
+        found = found.join(decisive.groupBy("doc").agg(F.min_by("label", F.struct("ordinal", "label")).alias("sign")), "doc", "left")
     else:
         found = found.withColumn("sign", F.lit(None).cast("string"))
     return found.select("doc", F.coalesce("sign", "outcome", "top").alias("attack_type"), F.coalesce("vector", F.lit("unknown")).alias("initial_vector"))
@@ -119,22 +93,61 @@ def add_hints(scores: DataFrame, techniques: DataFrame, hints: DataFrame) -> Dat
     return scores.select("doc", "label", "score").union(more).groupBy("doc", "label").agg(F.sum("score").alias("score"))
 
 
+def confidence(sources: Column, n_evidence: Column) -> Column:
+    """Confidence of a mapping: that of its best source that quotes the report, .05 more if an inferred source (INFERRED) agrees; of inferred sources alone .60, of both
+    .65; .03 for each further piece of evidence, .98 at most."""
+    quoted = F.array_except(sources, F.array(*map(F.lit, INFERRED)))
+    inferred = F.size(sources) - F.size(quoted)
+    best = F.array_max(F.transform(quoted, lambda s: F.coalesce(*[F.when(s == n, F.lit(c)) for n, c in CONFIDENCE.items()], F.lit(OTHER_SOURCE))))
+    base = F.when(F.size(quoted) > 0, best + F.when(inferred > 0, 0.05).otherwise(0.0)).when(inferred > 1, 0.65).when(inferred > 0, 0.60).otherwise(OTHER_SOURCE)
+    return F.round(F.least(F.least(base, F.lit(0.98)) + 0.03 * (n_evidence - 1), F.lit(0.98)), 2)
+
+
 def technique_facts(facts: DataFrame) -> DataFrame:
     """(doc, technique, sources, evidence, n_evidence, confidence) of single facts (doc, technique, source, evidence, ord).
 
     A parent goes where a sub-technique of it was found, unless it was named explicitly. Evidence is distinct, in the order
-    of discovery. Confidence is that of the best source, .05 more if a second source agrees, .03 for each further piece of evidence, .98 at most."""
+    of discovery. See `confidence`."""
     subs = facts.where(F.col("technique").contains(".")).select("doc", family(F.col("technique")).alias("technique")).distinct().withColumn("sub", F.lit(True))
-    kept = facts.join(subs, ["doc", "technique"], "left").where("sub is null or source = 'explicit'").drop("sub")
+    named = facts.where("source = 'explicit'").select("doc", "technique").distinct().withColumn("named", F.lit(True))
+    kept = facts.join(subs, ["doc", "technique"], "left").join(named, ["doc", "technique"], "left").where("sub is null or named").drop("sub", "named")
     first = kept.groupBy("doc", "technique", "evidence").agg(F.min("ord").alias("ord"), F.collect_set("source").alias("sources"))
     rows = first.groupBy("doc", "technique").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"),
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "evidence"))), lambda x: x["evidence"]).alias("evidence"),
     )
-    base = F.array_max(F.transform("sources", lambda s: F.coalesce(*[F.when(s == n, F.lit(c)) for n, c in CONFIDENCE.items()], F.lit(OTHER_SOURCE))))
-    agree = F.when(F.size("sources") > 1, 0.05).otherwise(0.0)
-    confidence = F.round(F.least(base + agree + 0.03 * (F.size("evidence") - 1), F.lit(0.98)), 2)
-    return rows.select("doc", "technique", F.array_join("sources", ",").alias("sources"), F.array_join("evidence", " / ").alias("evidence"), F.size("evidence").cast("long").alias("n_evidence"), confidence.alias("confidence"))
+    evidence = F.filter("evidence", lambda e: e.isNotNull())
+    return rows.select("doc", "technique", F.array_join("sources", ",").alias("sources"), F.array_join(evidence, " / ").alias("evidence"), F.size(evidence).cast("long").alias("n_evidence"), confidence(F.col("sources"), F.size(evidence)).alias("confidence"))
+
+
+def with_suggestions(facts: DataFrame, suggestions: DataFrame, first_ord: int = 1 << 40) -> DataFrame:
+    """Facts with the suggestions (doc, technique, evidence, place) of a learned mapper, as source example.
+
+    Where a rule found a technique of the family already, a suggestion adds nothing, but its agreement (no evidence) if it is the same technique. Of two suggestions of
+    a family, the first by place stays."""
+    known = facts.select("doc", "technique").distinct()
+    families = known.select("doc", family(F.col("technique")).alias("family")).distinct()
+    rows = suggestions.withColumn("family", family(F.col("technique")))
+    order = Window.partitionBy("doc", "family").orderBy("place", "technique")
+    new = rows.join(families, ["doc", "family"], "left_anti").withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    place = (F.lit(first_ord) + F.col("place")).cast("long").alias("ord")
+    new = new.select("doc", "technique", F.lit("example").alias("source"), "evidence", place)
+    agreed = rows.join(known, ["doc", "technique"], "left_semi").select("doc", "technique", F.lit("example").alias("source"), F.lit(None).cast("string").alias("evidence"), place)
+    return facts.select("doc", "technique", "source", "evidence", "ord").unionByName(new).unionByName(agreed)
+
+
+def owned_names(techniques: DataFrame, aliases: DataFrame, least: int = LEAST_NAME, stop: list[str] = COMMON_NAMES) -> DataFrame:
+    """(ordinal, label, term, weight, source): one vocabulary of the curated phrases (aliases: ordinal, label, term, weight) and of the official names (techniques:
+    ordinal, technique, name), for `phrase_hits`.
+
+    Names under `least` characters and those that are everyday words of the trade are left out, and so are names that the curated phrases have given to another
+    technique: of several owners of a phrase, the last by ordinal. Names come after all phrases."""
+    owners = aliases.groupBy(F.lower("term").alias("phrase")).agg(F.max_by("label", F.struct("ordinal", "label")).alias("owner"))
+    names = techniques.where((F.length("name") >= least) & ~F.lower("name").isin(stop)).withColumn("phrase", F.lower("name"))
+    taken = (names["phrase"] == owners["phrase"]) & (names["technique"] != owners["owner"])
+    names = names.join(owners, taken, "left_anti")
+    own = aliases.select(F.col("ordinal").cast("long").alias("ordinal"), "label", "term", F.col("weight").cast("int").alias("weight"), F.lit("phrase").alias("source"))
+    return own.unionByName(names.select((F.col("ordinal") + (1 << 32)).cast("long").alias("ordinal"), F.col("technique").alias("label"), F.col("name").alias("term"), F.lit(0).cast("int").alias("weight"), F.lit("name").alias("source")))
 
 
 def tactic_order(tactics: Column) -> Column:

@@ -5,6 +5,8 @@ postings of the query's terms and nothing is compared pair by pair."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +51,75 @@ def tfidf_scores(queries: DataFrame, memory: DataFrame, query: str, doc: str, te
     vectors = document_vectors(counts, weights)
     asked = query_vectors(term_counts(queries, query, text), weights, total)
     sums = asked.withColumnRenamed("w", "q").join(vectors, "term").groupBy("query", "doc").agg(F.sum(F.col("q") * F.col("w")).alias("s"))
-    return sums.select("query", "doc", F.round(F.least(F.greatest("s", F.lit(0.0)), F.lit(1.0)), 4).alias("score"))
+    return sums.select("query", "doc", _rounded("s"))
+
+
+#: Postings in a block.
+POSTINGS = 128
+#: Scores are compared after rounding to 4 places, so bounds leave that much room.
+ROOM = 1e-4
+
+
+def posting_blocks(vectors: DataFrame, size: int = POSTINGS) -> DataFrame:
+    """(term, block, best, postings) of document vectors (doc, term, w): each term's postings by falling weight in blocks of about `size`, with each block's largest weight.
+
+    A frequent term is many blocks, each a key of its own, so no task gets a whole term: blocks are cut by ranges of weight, from the histogram of
+    each term's weights in steps of 1/1024, and a step that holds more is dealt out by id."""
+    step = F.least(F.floor(F.col("w") * 1024), F.lit(1023)).cast("int")
+    rows = vectors.withColumn("step", step)
+    steps = rows.groupBy("term", "step").agg(F.count("*").alias("n"))
+    falling = Window.partitionBy("term").orderBy(F.desc("step"))
+    cuts = steps.select("term", "step", F.floor((F.sum("n").over(falling) - F.col("n")) / size).alias("range"), F.ceil(F.col("n") / size).cast("int").alias("deals"))
+    dealt = rows.join(cuts, ["term", "step"]).withColumn("deal", F.pmod(F.xxhash64("doc"), F.col("deals")))
+    blocks = dealt.groupBy("term", "range", "deal").agg(F.max("w").alias("best"), F.collect_list(F.struct("doc", "w")).alias("postings"))
+    return blocks.select("term", F.struct("range", "deal").alias("block"), "best", "postings")
+
+
+def pruned_top_k(asked: DataFrame, vectors: DataFrame, k: int, staged: Callable[[DataFrame], DataFrame], blocks: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(best, read): the k best documents of each query (query, doc, score, place), as top_k of all scores gives them, and how many postings of each query were read (query, postings, all).
+
+    asked (query, term, q), vectors (doc, term, w), both not negative. First only the best block of each of a query's terms is read; the k-th best sum of these parts is a bound from below. A document
+    that is in none of the blocks read later adds less than the bound, as each term leaves unread only blocks under its share of it; so that is exact.
+    Of the documents met, those that could still reach the bound are scored in full. `staged` writes a DataFrame and reads it again."""
+    blocks = staged(posting_blocks(vectors)) if blocks is None else blocks
+    heads = blocks.select("term", "block", "best", F.size("postings").alias("n"))
+    wanted = staged(asked.join(heads, "term").withColumn("most", F.col("q") * F.col("best")))
+    terms = Window.partitionBy("query", "term").orderBy(F.desc("best"), "block")
+    first = wanted.withColumn("_n", F.row_number().over(terms)).where("_n = 1").drop("_n")
+
+    def sums(chosen: DataFrame) -> DataFrame:
+        rows = chosen.select("query", "term", "block", "q").join(blocks.select("term", "block", "postings"), ["term", "block"])
+        return rows.select("query", "q", F.explode("postings").alias("p")).groupBy("query", F.col("p.doc").alias("doc")).agg(F.sum(F.col("q") * F.col("p.w")).alias("part"))
+
+    kth = Window.partitionBy("query").orderBy(F.desc("part"), "doc")
+    bound = sums(first).withColumn("_n", F.row_number().over(kth)).where(F.col("_n") == k).select("query", (F.col("part") - ROOM).alias("bound"))
+    shares = first.groupBy("query").agg(F.sum("most").alias("whole"))
+    own = first.select("query", "term", F.col("most").alias("top"))
+    limits = staged(own.join(shares, "query").join(bound, "query", "left").select("query", "term", F.coalesce("bound", F.lit(0.0)).alias("bound"), (F.coalesce("bound", F.lit(0.0)) * F.col("top") / F.col("whole")).alias("share")))
+    chosen = wanted.join(limits, ["query", "term"])
+    read = F.col("most") >= F.col("share")
+    # what a document could add beyond the blocks that were read: for each term, its largest unread weight
+    rest = chosen.groupBy("query", "term").agg(F.coalesce(F.max(F.when(~read, F.col("most"))), F.lit(0.0)).alias("rest"), F.first("bound").alias("bound")).groupBy("query").agg(F.sum("rest").alias("rest"), F.max("bound").alias("bound"))
+    met = sums(chosen.where(read)).join(rest, "query").where(F.col("part") + F.col("rest") >= F.col("bound")).select("query", "doc")
+    full = met.join(asked, "query").join(vectors, ["doc", "term"]).groupBy("query", "doc").agg(F.sum(F.col("q") * F.col("w")).alias("s"))
+    best = top_k(full.select("query", "doc", _rounded("s")), k)
+    # both passes read a query's best blocks
+    counts = chosen.groupBy("query").agg((F.sum(F.when(read, F.col("n")).otherwise(0))).cast("long").alias("postings"), F.sum("n").cast("long").alias("all"))
+    return best, counts
+
+
+def _rounded(s: str) -> Column:
+    return F.round(F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)), 4).alias("score")
+
+
+def tfidf_search(queries: DataFrame, memory: DataFrame, query: str, doc: str, k: int, staged: Callable[[DataFrame], DataFrame], text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The k best of `tfidf_scores` by pruned postings, and the postings read: see `pruned_top_k`."""
+    total = F.lit(memory.count())
+    counts = staged(term_counts(memory, doc, text))
+    weights = staged(idf(counts, total))
+    vectors = staged(document_vectors(counts, weights))
+    asked = staged(query_vectors(term_counts(queries, query, text), weights, total).withColumnRenamed("w", "q"))
+    return pruned_top_k(asked, vectors, k, staged)
 
 
 def top_k(scores: DataFrame, k: int, floor: float = 0.0, score: str = "score", tie: str = "doc") -> DataFrame:

@@ -210,6 +210,13 @@ def sanitize(docs: DataFrame, lexicon: DataFrame, doc: str = "doc_id", text: str
     return rows.withColumn("sanitized", shown).select(*own, "sanitized", F.col("_tokens").alias("entities"))
 
 
+def self_check(sanitized: DataFrame, lexicon: DataFrame, doc: str = "doc_id", stage=lambda df: df) -> DataFrame:
+    """`sanitized` with residuals: what a second run of shapes and names, with the same vocabulary as the first, still finds in the sanitized text; see `privacy.self_check`."""
+    again = sanitize(sanitized.select(doc, F.col("sanitized").alias("_text")), lexicon, doc, "_text", stage)
+    found = again.select(doc, F.transform("entities", lambda e: e["value"]).alias("residuals"))
+    return sanitized.drop("residuals").join(found, doc)
+
+
 def lexicon_of(**words: DataFrame) -> DataFrame:
     """A lexicon from DataFrames (word) by flag: ordinary=…, public=…, given=…, company=…, sector=…"""
     each = [df.select(F.lower("word").alias("word"), *[F.lit(f == flag).alias(f) for f in FLAGS]) for flag, df in words.items()]

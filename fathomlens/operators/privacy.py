@@ -79,8 +79,7 @@ def _body(value: Column) -> Column:
 
 def _no_organisation(match: Column, value: Column, known: Column) -> Column:
     function = F.lower(F.regexp_replace(F.trim(match), _ARTICLE, ""))
-    named = [f"{x} {y}" for x in NO_ORGANISATIONS for y in ("centre", "center")] + ["incident response centre"]
-    return _isin(function, named) | (value == "") | _isin(F.lower(value), FUNCTION_WORDS)
+    return _isin(function, NO_ORGANISATIONS) | (value == "") | _isin(F.lower(value), FUNCTION_WORDS)
 
 
 def _described(match: Column, value: Column, known: Column) -> Column:
@@ -92,14 +91,14 @@ def _described(match: Column, value: Column, known: Column) -> Column:
 
 # The labels of form fields, by what they name.
 FIELDS = {
-    "ORG": "organisation organization company client customer vendor supplier partner victim entity institution employer affected_organisation affected_organization subsidiary",
-    "PERSON": "name full_name employee user analyst reporter contact owner author prepared_by reported_by approved_by assigned_to escalated_to investigated_by reviewed_by requested_by submitted_by handled_by responder",
-    "LOCATION": "location site branch city country region office facility plant address building",
-    "HOSTNAME": "hostname host device asset machine computer workstation server endpoint system_name",
-    "ACCOUNT": "account username user_name user_id login",
-    "REFERENCE": "reference ref ticket case case_id incident_id report_id tracking_id",
+    "ORG": ["organisation", "organization", "company", "client", "customer", "vendor", "supplier", "partner", "victim", "entity", "institution", "employer", "affected organisation", "affected organization", "subsidiary"],
+    "PERSON": ["name", "full name", "employee", "user", "analyst", "reporter", "contact", "owner", "author", "prepared by", "reported by", "approved by", "assigned to", "escalated to", "investigated by", "reviewed by", "requested by", "submitted by", "handled by", "responder"],
+    "LOCATION": ["location", "site", "branch", "city", "country", "region", "office", "facility", "plant", "address", "building"],
+    "HOSTNAME": ["hostname", "host", "device", "asset", "machine", "computer", "workstation", "server", "endpoint", "system name"],
+    "ACCOUNT": ["account", "username", "user name", "user id", "login"],
+    "REFERENCE": ["reference", "ref", "ticket", "case", "case id", "incident id", "report id", "tracking id"],
 }
-_LABELS = {name.replace("_", " "): label for label, names in FIELDS.items() for name in names.split()}
+_LABELS = {name: label for label, names in FIELDS.items() for name in names}
 
 
 def _field_label(match: Column) -> Column:
@@ -114,15 +113,20 @@ _NAME_ENDS = r"(?![\w\-@]|\.[A-Za-z0-9])"
 _PART = r"(?:[A-Z][a-z]*(?:[-'][A-Z][a-z]+)+|[A-Z][a-z]+)"
 _PERSON = rf"({_PART}(?:\s+{_PART}){{0,2}})"
 _FOREIGN = r"[\p{L}&&[^A-Za-z\u00C0-\u024F]]"
-_LAST_LABELS = (
-    "com net org gov edu mil int info biz xyz top onion io co me tv app dev cloud health bank shop online site live sa ae qa kw bh om eg jo lb ma tn tr uk de fr nl se no fi dk es it pl ch at be "
-    "ie pt gr cz ro ru cn jp kr in pk id my sg au nz ca mx br ar za ng ke local internal corp lan intranet home arpa example test invalid localdomain"
-).replace(" ", "|")
-_BODIES = "Inc LLC Ltd Limited Corp Corporation Company Co\\. GmbH PLC LLP Bank Group Holdings Centre Center Hospital Clinic Authority Ministry University College Institute Agency Foundation Association Council Commission Trust".replace(" ", "|")
-_HEADS = (
-    "Ministry University Bank Authority College Institute Agency Council Commission Department Hospital Municipality Government City State Province Republic Kingdom Embassy Chamber Society "
-    "Organisation Organization Association Foundation Office"
-).replace(" ", "|")
+_LAST_LABELS = [
+    "com", "net", "org", "gov", "edu", "mil", "int", "info", "biz", "xyz", "top", "onion", "io", "co", "me", "tv", "app", "dev", "cloud", "health", "bank", "shop", "online", "site",
+    "live", "sa", "ae", "qa", "kw", "bh", "om", "eg", "jo", "lb", "ma", "tn", "tr", "uk", "de", "fr", "nl", "se", "no", "fi", "dk", "es", "it", "pl", "ch", "at", "be", "ie", "pt",
+    "gr", "cz", "ro", "ru", "cn", "jp", "kr", "in", "pk", "id", "my", "sg", "au", "nz", "ca", "mx", "br", "ar", "za", "ng", "ke", "local", "internal", "corp", "lan", "intranet",
+    "home", "arpa", "example", "test", "invalid", "localdomain",
+]
+_BODIES = [
+    "Inc", "LLC", "Ltd", "Limited", "Corp", "Corporation", "Company", "Co\\.", "GmbH", "PLC", "LLP", "Bank", "Group", "Holdings", "Centre", "Center", "Hospital", "Clinic", "Authority",
+    "Ministry", "University", "College", "Institute", "Agency", "Foundation", "Association", "Council", "Commission", "Trust",
+]
+_HEADS = [
+    "Ministry", "University", "Bank", "Authority", "College", "Institute", "Agency", "Council", "Commission", "Department", "Hospital", "Municipality", "Government", "City", "State",
+    "Province", "Republic", "Kingdom", "Embassy", "Chamber", "Society", "Organisation", "Organization", "Association", "Foundation", "Office",
+]
 _INTRODUCED = "service account|user account|admin account|administrator account|domain account|local account|account|username|user name|user id|userid|login name|logon name|logged in as|signed in as|logged on as"
 _ROLES = "employee|user|staff member|victim|attacker|contractor|reported by|escalated to|assigned to|investigated by|approved by|contacted|notified"
 
@@ -146,15 +150,15 @@ SHAPES = [
     Shape("ACCOUNT", r"\b[A-Za-z0-9\-]{2,30}\\[A-Za-z0-9._\-]{2,30}\b", needs='\\'),
     Shape("REFERENCE", r"\b(?:IR|INC|INCIDENT|CASE|TKT|TICKET|REF|SR|CHG|PRB|RITM|SEC|CR|REQ)[-_#]?\d{2,}(?:[-_/]\d+)*\b"),
     Shape("HOSTNAME", r"\b[A-Z]{2,}(?:-[A-Z0-9]{1,10}){1,3}\b", keep=lambda m, v, known: _short_forms(v)),
-    Shape("DOMAIN", rf"(?i)\b(?:[A-Z0-9](?:[A-Z0-9\-]{{0,61}}[A-Z0-9])?{_DOT})+(?:{_LAST_LABELS})\b"),
+    Shape("DOMAIN", rf"(?i)\b(?:[A-Z0-9](?:[A-Z0-9\-]{{0,61}}[A-Z0-9])?{_DOT})+(?:{'|'.join(_LAST_LABELS)})\b"),
     Shape("HOSTNAME", rf"{_ALONE}[A-Za-z][A-Za-z0-9]{{1,14}}(?:-[A-Za-z0-9]{{1,14}}){{1,4}}{_NAME_ENDS}", keep=_no_host),
     Shape("HOSTNAME", rf"{_ALONE}[A-Za-z]{{2,10}}\d{{2,4}}[a-z]?{_NAME_ENDS}", keep=_no_host),
     Shape("ACCOUNT", rf"{_ALONE}(?i:svc|srv|adm|admin|sa|sys|bkp|ops)[_.][A-Za-z0-9][A-Za-z0-9_.\-]{{1,24}}(?![\w@])"),
     Shape("ACCOUNT", rf"\b(?i:{_INTRODUCED})\s+(?i:named\s+|called\s+|name\s+)?[\"'“]?([A-Za-z][A-Za-z0-9._\-]{{2,30}})", 1, keep=_no_account),
     Shape("PERSON", rf"\b(?:Mr|Mrs|Ms|Dr|Eng|Engineer|Analyst|Manager|Director|Officer|CISO|CTO|CEO)\.?[:,]?\s+{_PERSON}", 1),
     Shape("PERSON", rf"\b(?i:{_ROLES})[:,]?\s+{_PERSON}\b", 1),
-    Shape("ORG", rf"\b([A-Z][A-Za-z0-9&.\-]*(?:\s+[A-Z][A-Za-z0-9&.\-]*){{0,3}})\s+(?:{_BODIES})\b", 1, keep=_no_organisation, clean=_body),
-    Shape("ORG", rf"\b(?:{_HEADS})\s+of\s+((?:the\s+)?[A-Z][A-Za-z0-9&.\-]*(?:\s+(?:and\s+|&\s+)?[A-Z][A-Za-z0-9&.\-]*){{0,3}})", 1, keep=_no_organisation, clean=_body),
+    Shape("ORG", rf"\b([A-Z][A-Za-z0-9&.\-]*(?:\s+[A-Z][A-Za-z0-9&.\-]*){{0,3}})\s+(?:{'|'.join(_BODIES)})\b", 1, keep=_no_organisation, clean=_body),
+    Shape("ORG", rf"\b(?:{'|'.join(_HEADS)})\s+of\s+((?:the\s+)?[A-Z][A-Za-z0-9&.\-]*(?:\s+(?:and\s+|&\s+)?[A-Z][A-Za-z0-9&.\-]*){{0,3}})", 1, keep=_no_organisation, clean=_body),
     Shape("FIELD", rf"(?im)^[ \t]*(?:[-*•][ \t]*)?(?:{'|'.join(sorted(_LABELS, key=len, reverse=True))})[ \t]*[:：][ \t]*([^\n,;(\x01\x02\[]{{2,80}})", 1, keep=_described, clean=F.trim, label_of=_field_label),
 ]
 #: What identifies no one and is kept: tokens of an earlier pass, CVE and technique ids, file hashes, registry paths.
@@ -241,16 +245,24 @@ def marked(docs: DataFrame, text: str, shapes: list[Shape] = SHAPES, known: str
 
 
 def numbered(entities: Column) -> Column:
-    """array<struct<label, value, number, token>>: numbered within their label; the only one of a label stays bare."""
+    """array<struct<label, value, number, token>>: numbered within their label; the only one of a label stays bare. Sorted by label once, so long lists cost little more."""
+    by_label = F.array_sort(F.transform(entities, lambda e, i: F.struct(e["label"].alias("label"), i.alias("i"), e["value"].alias("value"))))
 
-    def one(e: Column, i: Column) -> Column:
-        same = lambda x: x["label"] == e["label"]
-        number = F.size(F.filter(F.slice(entities, F.lit(1), i + 1), same)).cast("long")
-        token = F.when(F.size(F.filter(entities, same)) == 1, F.concat(F.lit("["), e["label"], F.lit("_REDACTED]")))
-        token = token.otherwise(F.concat(F.lit("["), e["label"], F.lit("_REDACTED_"), number.cast("string"), F.lit("]")))
-        return F.struct(e["label"].alias("label"), e["value"].alias("value"), number.alias("number"), token.alias("token"))
+    def of(sorted_: Column, labels: Column) -> Column:
+        each = F.array_distinct(labels)
+        first = F.map_from_arrays(each, F.transform(each, lambda label: F.array_position(labels, label)))
+        count = F.map_from_arrays(each, F.transform(each, lambda label: F.size(F.filter(labels, lambda x: x == label))))
 
-    return F.transform(entities, one)
+        def one(e: Column, k: Column, bounds: Column) -> Column:
+            number = (k - bounds["first"][e["label"]] + 2).cast("long")
+            bare = F.concat(F.lit("["), e["label"], F.lit("_REDACTED]"))
+            token = F.when(bounds["count"][e["label"]] == 1, bare).otherwise(F.concat(F.lit("["), e["label"], F.lit("_REDACTED_"), number.cast("string"), F.lit("]")))
+            return F.struct(e["i"].alias("i"), F.struct(e["label"].alias("label"), e["value"].alias("value"), number.alias("number"), token.alias("token")).alias("e"))
+
+        bounds = F.struct(first.alias("first"), count.alias("count"))
+        return F.transform(F.array_sort(_let(bounds, lambda b: F.transform(sorted_, lambda e, k: one(e, k, b)))), lambda x: x["e"])
+
+    return _let(by_label, lambda s: _let(F.transform(s, lambda e: e["label"]), lambda labels: of(s, labels)))
 
 
 def finished(text: Column, t: Column, tokens: Column) -> Column:

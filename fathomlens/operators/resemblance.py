@@ -27,6 +27,6 @@ def resemblance(observed: DataFrame, profiles: DataFrame, k: int = 3, least_shar
 
 
 def campaigns_of(matched: DataFrame, campaigns: DataFrame, k: int = 5) -> DataFrame:
-    """The first k campaigns (campaign, group, ordinal) of any matched group (semi-join), by ordinal."""
+    """The first k campaigns (campaign, group, ordinal) of any matched group (semi-join), by ordinal, then campaign and group."""
     rows = campaigns.join(matched.select("group").distinct(), "group", "left_semi")
-    return rows.orderBy("ordinal", "campaign").limit(k)
+    return rows.orderBy("ordinal", "campaign", "group").limit(k)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import CVE, TECHNIQUE, extract_ids
-from ..operators import actions, catalog, fingerprint, indicators, memory, names, overview, privacy
+from ..operators import actions, catalog, fingerprint, indicators, mapper, memory, names, overview, privacy
 from ..sources.sinks import staged
 
 
@@ -20,7 +20,8 @@ from ..sources.sinks import staged
 class Knowledge:
     """vocabulary (ordinal, label, term, weight): types and ways in. techniques (ordinal, label = technique id, term, weight, rank): phrases and, with rank of
     the tactic, names. Optional: hints (family, label, weight), families (ordinal, term): names that mean ransomware, decisive (ordinal, label, term), impacts
-    (ordinal, label, term, weight), kev (cve, …): known exploited, lexicon (see operators.names) for names without a shape."""
+    (ordinal, label, term, weight), kev (cve, …): known exploited, lexicon (see operators.names) for names without a shape, examples: a fitted mapper (see
+    operators.mapper.fit), official (ordinal, technique, name): names of techniques, searched as far as no curated phrase has them (see fingerprint.owned_names)."""
 
     vocabulary: DataFrame
     techniques: DataFrame
@@ -30,15 +31,27 @@ class Knowledge:
     impacts: DataFrame | None = None
     kev: DataFrame | None = None
     lexicon: DataFrame | None = None
+    examples: mapper.ExampleIndex | None = None
+    official: DataFrame | None = None
 
     def terms(self) -> DataFrame:
-        """All phrases that a report is searched for at once: (ordinal, label, term, weight, kind)."""
-        kinds = {"type": self.vocabulary, "technique": self.techniques, "family": self.families, "decisive": self.decisive, "impact": self.impacts}
+        """All phrases that a report is searched for at once: (ordinal, label, term, weight, source, kind)."""
+        phrases = self.techniques if self.official is None else fingerprint.owned_names(self.official, self.techniques)
+        kinds = {"type": self.vocabulary, "technique": phrases, "family": self.families, "decisive": self.decisive, "impact": self.impacts}
         column = lambda df, c, kind: F.col(c).cast(kind).alias(c) if c in df.columns else F.lit(None).cast(kind).alias(c)
-        each = [df.select(column(df, "ordinal", "int"), column(df, "label", "string"), "term", column(df, "weight", "int"), F.lit(k).alias("kind")) for k, df in kinds.items() if df is not None]
+        each = [df.select(column(df, "ordinal", "long"), column(df, "label", "string"), "term", column(df, "weight", "int"), column(df, "source", "string"), F.lit(k).alias("kind")) for k, df in kinds.items() if df is not None]
         return reduce(DataFrame.union, each)
 
 
+def sanitized(rows: DataFrame, lexicon: DataFrame | None, doc: str = "doc", text: str = "text") -> DataFrame:
+    """`rows` with sanitized, entities, residuals and names_checked. With a lexicon, names are taken out too, and the check knows the same words; without one it
+    says nothing of names."""
+    if lexicon is None:
+        return privacy.self_check(privacy.redact(rows, text)).withColumn("names_checked", F.lit(False))
+    safe = staged(names.sanitize(rows, lexicon, doc, text, staged))
+    return names.self_check(safe, lexicon, doc, staged).withColumn("names_checked", F.lit(True))
+
+
 def fingerprints(reports: DataFrame, knowledge: Knowledge, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, sanitized, clean, attack_type, initial_vector, severity, techniques, tactics, cves, impacts, title, embedding_text) of every report; `doc` must be unique.
 
@@ -46,18 +59,18 @@ def fingerprints(reports: DataFrame, knowledge: Knowledge, doc: str = "doc_id",
     named by id or by an affirmed phrase; their families, names of ransomware and decisive markers weigh in the type; severity counts impacts, known exploited
     CVEs and techniques. A report without any hit has the type unknown, no techniques and severity low."""
     rows = reports.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
-    if knowledge.lexicon is None:
-        safe = privacy.redact(rows)
-    else:
-        safe = names.sanitize(rows, knowledge.lexicon, "doc", "text", staged)
-    checked = staged(privacy.self_check(safe).select("doc", "sanitized", "residuals"))  # matching and assembly read it several times
+    checked = staged(sanitized(rows, knowledge.lexicon).select("doc", "sanitized", "residuals"))  # matching and assembly read it several times
     hits = staged(fingerprint.phrase_hits(checked, knowledge.terms(), "doc", "sanitized", only_affirmed=True))
     of = lambda kind: hits.where(F.col("kind") == kind)
 
     named = checked.select("doc", F.posexplode(extract_ids(F.col("sanitized"), TECHNIQUE)).alias("ord", "technique"))
     explicit = named.select("doc", "technique", F.lit("explicit").alias("source"), F.concat(F.lit("explicit id "), "technique").alias("evidence"), F.col("ord").cast("long").alias("ord"))
-    phrases = of("technique").select("doc", F.col("label").alias("technique"), F.lit("phrase").alias("source"), F.col("term").alias("evidence"), (F.col("at") + 1_000_000).alias("ord"))
-    facts = staged(fingerprint.technique_facts(explicit.unionByName(phrases)))
+    phrases = of("technique").select("doc", F.col("label").alias("technique"), F.coalesce("source", F.lit("phrase")).alias("source"), F.col("term").alias("evidence"), (F.col("at") + 1_000_000).alias("ord"))
+    single = explicit.unionByName(phrases)
+    if knowledge.examples is not None:
+        single = staged(single)
+        single = fingerprint.with_suggestions(single, mapper.suggestions(checked, knowledge.examples, staged, "doc", "sanitized"))
+    facts = staged(fingerprint.technique_facts(single))
 
     first = fingerprint.label_scores(of("type"))
     scores = first.select("doc", "label", "score")
@@ -115,7 +128,7 @@ class Engine:
         self.spark, self.knowledge, self.incidents, self.actions = spark, knowledge, incidents, actions_
 
     def sanitize(self, reports: DataFrame) -> DataFrame:
-        return privacy.self_check(privacy.redact(reports))
+        return sanitized(reports, self.knowledge.lexicon, "doc_id")
 
     def analyze(self, reports: DataFrame) -> DataFrame:
         return fingerprints(reports, self.knowledge)

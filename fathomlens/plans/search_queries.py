@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, fingerprint, learning, memory, privacy
+from ..functions import negation
+from ..functions.text import SENTENCE_END
+from ..operators import evaluation, fingerprint, learning, mapper, memory, privacy
 from .privacy_queries import _sql_tokens, docs
 from ..sources.sinks import staged
 from .registry import query, table
@@ -51,7 +53,8 @@ def query_vectors(spark, d):
 
 @query("rnk03_tfidf_search", f"WITH {_COUNTS}, {_ASKED} {_TOP}5", ctes=False)
 def tfidf_search(spark, d):
-    return memory.top_k(_scores(spark, d), 5)
+    best, _ = memory.tfidf_search(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id", 5, staged)
+    return best
 
 
 @query("rnk05_threshold", f"WITH {_COUNTS}, {_ASKED} SELECT query, count(*) AS hits FROM scores WHERE score >= 0.25 GROUP BY 1", ctes=False)
@@ -140,10 +143,10 @@ TERMS = [(1, "licensing", "license", 3), (2, "licensing", "mit license", 4), (3,
 _TERMS_SQL = ", ".join(f"({o}, '{a}', '{t}', {w})" for o, a, t, w in TERMS)
 #: Pieces of a text: a word and what follows it up to the next.
 _HITS = f"vocab(ordinal, label, term, weight) AS (VALUES {_TERMS_SQL}), pieces AS (SELECT doc_id AS doc, regexp_extract_all(lower(text), '[a-z0-9]+[^a-z0-9]*') AS w FROM documents), wp AS (SELECT doc, unnest(w) AS piece, unnest(range(1, len(w) + 1)) AS spot FROM pieces), pos AS (SELECT doc, spot, piece AS p1, lead(piece) OVER o AS p2, lead(piece, 2) OVER o AS p3, lead(piece, 3) OVER o AS p4 FROM wp WINDOW o AS (PARTITION BY doc ORDER BY spot)), said AS (SELECT doc, spot, p1 AS gram FROM pos UNION ALL SELECT doc, spot, p1 || p2 FROM pos WHERE p2 IS NOT NULL UNION ALL SELECT doc, spot, p1 || p2 || p3 FROM pos WHERE p3 IS NOT NULL UNION ALL SELECT doc, spot, p1 || p2 || p3 || p4 FROM pos WHERE p4 IS NOT NULL), grams AS (SELECT doc, spot, regexp_replace(gram, '[^a-z0-9]+$', '') AS gram FROM said), hits AS (SELECT doc, spot, ordinal, label, term, weight FROM grams JOIN vocab ON gram IN (term, term || 's', term || 'es'))"
-_CUE = "|".join(fingerprint.NOUN_CUES + fingerprint.VERB_CUES).replace("'", "''")
-_ENDS = fingerprint.CLAUSE_ENDS
+_CUE = "|".join(negation.NOUN_CUES + negation.VERB_CUES).replace("'", "''")
+_ENDS = negation.CLAUSE_ENDS
 #: Letters but a-z as _, which is part of a word for RE2's borders too. What follows a cue is put together from the pieces behind it.
-_SPANS = f"low AS (SELECT doc_id AS doc, regexp_replace(lower(text), '[^\\P{{L}}a-z]', '_', 'g') AS t FROM documents), cut AS (SELECT doc, regexp_split_to_array(t, '\\b(?:{_CUE})\\b') AS g, regexp_extract_all(t, '\\b(?:{_CUE})\\b') AS c FROM low), cues AS (SELECT doc, c[i] AS cue, list_reduce(list_transform(range(i + 1, len(g) + 1), lambda k: g[k] || coalesce(c[k], '')), lambda a, b: a || b) AS rest, CAST(list_sum(list_transform(range(1, i + 1), lambda k: len(regexp_extract_all(g[k] || ' ' || c[k], '[a-z0-9]+')))) AS BIGINT) + 1 AS start FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM cut)), clauses AS (SELECT doc, start, cue, regexp_extract(rest, '(?s)^(.*?)(?:{_ENDS}|\\z)', 1) AS clause FROM cues), verbs AS (SELECT doc, start, cue IN ({', '.join(repr(x) for x in fingerprint.NOUN_CUES)}) AS noun, CASE WHEN noun THEN clause ELSE regexp_extract(clause, '(?s)^(.*?)(?:\\band\\b|\\z)', 1) END AS clause FROM clauses), commas AS (SELECT doc, start, noun, CASE WHEN contains(clause, ',') AND NOT regexp_matches(clause, '\\b(?:or|nor)\\b') THEN split_part(clause, ',', 1) ELSE clause END AS clause FROM verbs), spans AS (SELECT doc, start, start + len(regexp_extract_all(CASE WHEN noun THEN regexp_extract(clause, '^(?:\\s*\\S+){{0,{fingerprint.NOUN_REACH}}}') ELSE regexp_extract(clause, '^(?:\\s*\\S+){{0,{fingerprint.VERB_REACH}}}') END, '[a-z0-9]+')) AS stop FROM commas QUALIFY stop > start)".replace("QUALIFY stop", "WHERE stop")
+_SPANS = f"low AS (SELECT doc_id AS doc, regexp_replace(lower(text), '[^\\P{{L}}a-z]', '_', 'g') AS t FROM documents), cut AS (SELECT doc, regexp_split_to_array(t, '\\b(?:{_CUE})\\b') AS g, regexp_extract_all(t, '\\b(?:{_CUE})\\b') AS c FROM low), cues AS (SELECT doc, c[i] AS cue, list_reduce(list_transform(range(i + 1, len(g) + 1), lambda k: g[k] || coalesce(c[k], '')), lambda a, b: a || b) AS rest, CAST(list_sum(list_transform(range(1, i + 1), lambda k: len(regexp_extract_all(g[k] || ' ' || c[k], '[a-z0-9]+')))) AS BIGINT) + 1 AS start FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM cut)), clauses AS (SELECT doc, start, cue, regexp_extract(rest, '(?s)^(.*?)(?:{_ENDS}|\\z)', 1) AS clause FROM cues), verbs AS (SELECT doc, start, cue IN ({', '.join(repr(x) for x in negation.NOUN_CUES)}) AS noun, CASE WHEN noun THEN clause ELSE regexp_extract(clause, '(?s)^(.*?)(?:\\band\\b|\\z)', 1) END AS clause FROM clauses), commas AS (SELECT doc, start, noun, CASE WHEN contains(clause, ',') AND NOT regexp_matches(clause, '\\b(?:or|nor)\\b') THEN split_part(clause, ',', 1) ELSE clause END AS clause FROM verbs), spans AS (SELECT doc, start, start + len(regexp_extract_all(CASE WHEN noun THEN regexp_extract(clause, '^(?:\\s*\\S+){{0,{negation.NOUN_REACH}}}') ELSE regexp_extract(clause, '^(?:\\s*\\S+){{0,{negation.VERB_REACH}}}') END, '[a-z0-9]+')) AS stop FROM commas QUALIFY stop > start)".replace("QUALIFY stop", "WHERE stop")
 _AFFIRMED = f"{_HITS}, {_SPANS}, good AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc = h.doc AND h.spot >= s.start AND h.spot < s.stop))"
 _LABELS = f"{_AFFIRMED}, once AS (SELECT doc, label, term, max(weight) AS weight, min(ordinal) AS ordinal FROM good GROUP BY 1, 2, 3), labels_ AS (SELECT doc, label, CAST(sum(weight) AS BIGINT) AS score, count(*) AS terms, min(ordinal) AS ordinal FROM once GROUP BY 1, 2)"
 
@@ -203,6 +206,63 @@ def classify(spark, d):
     return fingerprint.classify(fingerprint.label_scores(told), told.where("ordinal in (2, 4, 7)").select("doc", "ordinal", "label"))
 
 
+# Learned mapping. Sentences of the benchmark stand in for labelled examples, and documents for reports.
+_PARTS = "list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?;])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n+'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: len(string_split(x, ' ')) >= 4)"
+_WORDS = f"list_filter({_sql_tokens('sentence')}, lambda x: length(x) > 1)"
+_PAIRS = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+_EXAMPLES = f"ex AS (SELECT item_id * 1000 + i AS ordinal, 'T' || (1000 + (item_id + i) % 7) || '.00' || (1 + i % 3) AS technique, p[i + 1] AS sentence FROM (SELECT item_id, p, unnest(range(len(p))) AS i FROM (SELECT item_id, {_PARTS} AS p FROM benchmark)))"
+_GRAM = f"eg AS (SELECT ordinal, unnest({_PAIRS}) AS term FROM (SELECT ordinal, {_WORDS} AS w FROM ex)), ec AS (SELECT ordinal, term, count(*) AS n FROM eg GROUP BY 1, 2), ew AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM ex)) / (1 + count(*))) + 1 AS idf FROM ec GROUP BY 1 HAVING count(*) >= 2), er AS (SELECT ordinal, term, (1 + ln(n)) * idf AS w FROM ec JOIN ew USING (term)), ev AS (SELECT ordinal, term, w / sqrt(sum(w * w) OVER (PARTITION BY ordinal)) AS w FROM er)"
+_TOLD = f"sent AS (SELECT doc_id AS doc, i AS position, p[i + 1] AS sentence FROM (SELECT doc_id, p, unnest(range(len(p))) AS i FROM (SELECT doc_id, {_PARTS} AS p FROM documents))), sg AS (SELECT doc, position, unnest({_PAIRS}) AS term FROM (SELECT doc, position, {_WORDS} AS w FROM sent)), sr AS (SELECT doc, position, term, (1 + ln(count(*))) * any_value(idf) AS w FROM sg JOIN ew USING (term) GROUP BY 1, 2, 3), sv AS (SELECT doc, position, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc, position)) AS q FROM sr), sims AS (SELECT doc, position, ordinal, round(least(sum(q * w), 1), 4) AS similarity FROM sv JOIN ev USING (term) GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY doc, position ORDER BY round(least(sum(q * w), 1), 4) DESC, ordinal) <= 10), ballot AS (SELECT doc, position, technique AS label, round(sum(similarity), 4) AS vote, max(similarity) AS best, arg_min(ordinal, ordinal - similarity * 1000000000) AS ordinal FROM sims JOIN ex USING (ordinal) GROUP BY 1, 2, 3)"
+
+
+def examples(spark, d) -> DataFrame:
+    rows = table(spark, d, "benchmark").select("item_id", F.posexplode(F.filter(F.transform(F.split("text", SENTENCE_END), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: F.size(F.split(s, " ")) >= 4)).alias("i", "sentence"))
+    technique = F.concat(F.lit("T"), ((F.col("item_id") + F.col("i")) % 7 + 1000).cast("string"), F.lit(".00"), (F.col("i") % 3 + 1).cast("string"))
+    return rows.select((F.col("item_id") * 1000 + F.col("i")).alias("ordinal"), technique.alias("technique"), F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("source"), F.lit("").alias("name"), "sentence")
+
+
+def _ballot(spark, d) -> DataFrame:
+    """Votes of the nearest examples on every sentence of the documents as they are, denied clauses included."""
+    index = mapper.fit(examples(spark, d), staged, classify=False)
+    parts = F.filter(F.transform(F.split("text", SENTENCE_END), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: F.size(F.split(s, " ")) >= 4)
+    told = docs(spark, d).select("doc_id", F.posexplode(parts).alias("position", "sentence")).select(F.struct(F.col("doc_id").alias("doc"), F.col("position").cast("long").alias("position")).alias("query"), "sentence")
+    return mapper.votes_of(mapper.neighbours(staged(told), index, staged))
+
+
+@query("rnk12_ranked_votes", f"WITH {_EXAMPLES}, {_GRAM}, {_TOLD} SELECT doc, position, label, vote, best, row_number() OVER (PARTITION BY doc, position ORDER BY vote DESC, label) AS place FROM ballot QUALIFY place <= 3", ctes=False)
+def ranked_votes(spark, d):
+    return _ballot(spark, d).where("place <= 3").select("query.doc", "query.position", "label", "vote", "best", "place")
+
+
+@query("rnk12_agreed_votes", f"WITH {_EXAMPLES}, {_GRAM}, {_TOLD}, won AS (SELECT * FROM ballot QUALIFY row_number() OVER (PARTITION BY doc, position ORDER BY vote DESC, label DESC) = 1) SELECT doc, position, label AS technique, vote AS score, ordinal FROM won WHERE vote >= 2 AND best >= 0.35", ctes=False)
+def agreed_votes(spark, d):
+    return mapper.agreed(_ballot(spark, d)).select("query.doc", "query.position", "technique", "score", "ordinal")
+
+
+@query("dna07_learned_suggestions")
+def learned_suggestions(spark, d):
+    """What every document's affirmed sentences resemble, by votes and model."""
+    index = mapper.fit(examples(spark, d), staged)
+    return mapper.suggestions(docs(spark, d), index, staged)
+
+
+_NAMES = "names(ordinal, technique, name) AS (VALUES (1, 'T2001', 'Released under'), (2, 'T2002', 'License'), (3, 'T2003', 'MIT License'), (4, 'T2004', 'proxy'), (5, 'T2005', 'General Public License')), aliases AS (SELECT ordinal, CASE ordinal WHEN 2 THEN 'T2003' ELSE 'T1' || ordinal END AS label, term FROM vocab), owner AS (SELECT term, arg_max(label, ordinal) AS label FROM aliases GROUP BY 1), own AS (SELECT n.technique AS label, lower(name) AS term FROM names n LEFT JOIN owner o ON o.term = lower(name) WHERE length(name) >= 8 AND name <> 'proxy' AND coalesce(o.label, n.technique) = n.technique), both_ AS (SELECT label, term, 'phrase' AS source FROM aliases UNION ALL SELECT label, term, 'name' FROM own)"
+
+
+@query("dna07_owned_names", f"WITH {_HITS}, {_NAMES} SELECT doc, label, source, count(*) AS n FROM grams JOIN both_ ON gram IN (term, term || 's', term || 'es') GROUP BY 1, 2, 3", ctes=False)
+def owned_names(spark, d):
+    names = spark.createDataFrame([(1, "T2001", "Released under"), (2, "T2002", "License"), (3, "T2003", "MIT License"), (4, "T2004", "proxy"), (5, "T2005", "General Public License")], "ordinal int, technique string, name string")
+    aliases = vocabulary(spark).withColumn("label", F.when(F.col("ordinal") == 2, "T2003").otherwise(F.concat(F.lit("T1"), F.col("ordinal").cast("string"))))
+    hits = fingerprint.phrase_hits(docs(spark, d), fingerprint.owned_names(names, aliases), "doc_id", "text")
+    return hits.groupBy("doc", "label", "source").agg(F.count("*").alias("n"))
+
+
+@query("rnk03_postings_read")
+def postings_read(spark, d):
+    """How many postings of each query the pruned search read, of all that it has."""
+    return memory.tfidf_search(table(spark, d, "benchmark"), table(spark, d, "documents"), "item_id", "doc_id", 5, staged)[1]
+
+
 @query("dna06_technique_hints", "SELECT incident_id AS doc, label, CAST(sum(score) AS BIGINT) AS score FROM (SELECT incident_id, coalesce(attack_type, 'unknown') AS label, 2 AS score FROM incidents UNION ALL SELECT incident_id, CASE WHEN CAST(substr(technique, 2, 4) AS INTEGER) % 2 = 0 THEN 'ransomware' ELSE 'phishing' END, CASE WHEN ord > 3 THEN 1 ELSE 3 END FROM (SELECT DISTINCT incident_id, technique, ord FROM facts) WHERE CAST(substr(technique, 4, 2) AS INTEGER) < 20) GROUP BY 1, 2")
 def technique_hints(spark, d):
     seen = table(spark, d, "facts").select(F.col("incident_id").alias("doc"), "technique", F.when(F.col("ord") > 3, 0.5).otherwise(0.9).alias("confidence"), "ord").distinct()
@@ -212,7 +272,7 @@ def technique_hints(spark, d):
     return fingerprint.add_hints(base, seen.drop("ord"), hints)
 
 
-_FACTS = "f AS (SELECT incident_id AS doc, technique, CASE rank % 3 WHEN 0 THEN 'phrase' WHEN 1 THEN 'explicit' ELSE 'example' END AS source, 'ev' || rank AS evidence, ord FROM facts), kept AS (SELECT * FROM f a WHERE source = 'explicit' OR contains(technique, '.') OR NOT EXISTS (SELECT 1 FROM f b WHERE b.doc = a.doc AND contains(b.technique, '.') AND split_part(b.technique, '.', 1) = a.technique)), g AS (SELECT doc, technique, count(DISTINCT evidence) AS n_evidence, count(DISTINCT source) AS n_sources, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, max(CASE source WHEN 'phrase' THEN 0.75::DOUBLE WHEN 'explicit' THEN 0.95::DOUBLE ELSE 0.55::DOUBLE END) AS base FROM kept GROUP BY 1, 2), e AS (SELECT doc, technique, string_agg(evidence, ' / ' ORDER BY o, evidence) AS evidence FROM (SELECT doc, technique, evidence, min(ord) AS o FROM kept GROUP BY 1, 2, 3) GROUP BY 1, 2)"
+_FACTS = "f AS (SELECT incident_id AS doc, technique, CASE rank % 3 WHEN 0 THEN 'phrase' WHEN 1 THEN 'explicit' ELSE 'example' END AS source, 'ev' || rank AS evidence, ord FROM facts), kept AS (SELECT * FROM f a WHERE contains(technique, '.') OR EXISTS (SELECT 1 FROM f c WHERE c.doc = a.doc AND c.technique = a.technique AND c.source = 'explicit') OR NOT EXISTS (SELECT 1 FROM f b WHERE b.doc = a.doc AND contains(b.technique, '.') AND split_part(b.technique, '.', 1) = a.technique)), g AS (SELECT doc, technique, count(DISTINCT evidence) AS n_evidence, count(DISTINCT source) AS n_sources, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, coalesce(max(CASE source WHEN 'phrase' THEN 0.75::DOUBLE WHEN 'explicit' THEN 0.95::DOUBLE END) + CASE WHEN bool_or(source = 'example') THEN 0.05::DOUBLE ELSE 0 END, 0.60::DOUBLE) AS base FROM kept GROUP BY 1, 2), e AS (SELECT doc, technique, string_agg(evidence, ' / ' ORDER BY o, evidence) AS evidence FROM (SELECT doc, technique, evidence, min(ord) AS o FROM kept GROUP BY 1, 2, 3) GROUP BY 1, 2)"
 
 
 def _facts(spark, d):
@@ -221,7 +281,7 @@ def _facts(spark, d):
     return rows.select(F.col("incident_id").alias("doc"), "technique", source.alias("source"), F.concat(F.lit("ev"), F.col("rank").cast("string")).alias("evidence"), "ord")
 
 
-@query("dna07_technique_facts", f"WITH {_FACTS} SELECT doc, technique, sources, evidence, n_evidence, round(least(base + CASE WHEN n_sources > 1 THEN 0.05::DOUBLE ELSE 0 END + 0.03::DOUBLE * (n_evidence - 1), 0.98::DOUBLE), 2) AS confidence FROM g JOIN e USING (doc, technique)")
+@query("dna07_technique_facts", f"WITH {_FACTS} SELECT doc, technique, sources, evidence, n_evidence, round(least(least(base, 0.98::DOUBLE) + 0.03::DOUBLE * (n_evidence - 1), 0.98::DOUBLE), 2) AS confidence FROM g JOIN e USING (doc, technique)")
 def technique_facts(spark, d):
     return fingerprint.technique_facts(_facts(spark, d))
 
@@ -426,6 +486,17 @@ def leaks_whole_words(spark, d):
     return evaluation.leaks(rows.select("doc_id", "text"), identifiers, "doc_id", "text", whole_words=True)
 
 
+_RUN = "array_to_string(regexp_extract_all(lower({0}), '[\\pL\\pN]+'), ' ')"
+
+
+@query("evl05_residual_audit", f"WITH out_ AS (SELECT doc_id AS doc, ' ' || {_RUN.format(f"regexp_replace(text, '{_EMAIL.pattern}', ' ', 'g')")} || ' ' AS t FROM documents), known AS (SELECT DISTINCT identifier AS value, ' ' || {_RUN.format('identifier')} || ' ' AS run FROM ({_IDENTIFIERS})) SELECT doc, value, count(*) AS n FROM (SELECT doc, value, unnest(range(1, len(string_split(t, run)))) FROM (SELECT doc, value, replace(t, ' ', '  ') AS t, replace(run, ' ', '  ')[2:-2] AS run FROM out_ JOIN known ON contains(t, run))) GROUP BY 1, 2", ctes=False)
+def residual_audit(spark, d):
+    """Mail and network addresses of any document that a redaction of mail addresses alone leaves in any."""
+    values = privacy.redact(docs(spark, d), shapes=[_EMAIL, _IP]).select(F.explode("entities.value").alias("value"))
+    found = evaluation.residual_audit(privacy.redact(docs(spark, d), shapes=[_EMAIL]), values, "doc_id", "sanitized")
+    return found.groupBy("doc", "value").agg(F.count("*").alias("n"))
+
+
 @query("evl06_removal_rates", "SELECT event_type AS category, count(*) AS marked, count(*) FILTER (WHERE value <= 50) AS removed, round(CAST(count(*) FILTER (WHERE value <= 50) AS DOUBLE) / count(*), 4) AS rate FROM events GROUP BY 1")
 def removal_rates(spark, d):
     return evaluation.removal_rates(table(spark, d, "events").select(F.col("event_type").alias("category"), (F.col("value") > 50).alias("survived")).withColumn("survived", F.coalesce("survived", F.lit(True))))
