@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.negation import TOKEN
 from ..functions.text import word_filter
@@ -86,6 +89,45 @@ def residual_audit(outputs: DataFrame, values: DataFrame, doc: str, text: str, l
     return found.select("doc", "value", (F.col("i") + 1).cast("long").alias("at"))
 
 
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda x: x.getField(name)
+
+
+def _told(path: str) -> Callable[[Column], Column]:
+    return lambda x: F.struct(F.lit(path).alias("path"), x.alias("text"))
+
+
+def leaves(schema: T.StructType) -> dict[str, Column]:
+    """Every leaf of a schema as a column array<string>, by its path: fields of structs, elements of arrays, keys and values of maps, however nested."""
+
+    def walk(name: str, column: Column, kind: T.DataType) -> Iterator[tuple[str, Column]]:
+        """`column` is an array of values of `kind`."""
+        if isinstance(kind, T.StructType):
+            for f in kind.fields:
+                yield from walk(f"{name}.{f.name}", F.transform(column, _field(f.name)), f.dataType)
+        elif isinstance(kind, T.ArrayType):
+            yield from walk(f"{name}[]", F.flatten(F.filter(column, lambda x: x.isNotNull())), kind.elementType)
+        elif isinstance(kind, T.MapType):
+            filled = F.filter(column, lambda x: x.isNotNull())
+            yield from walk(f"{name}{{key}}", F.flatten(F.transform(filled, F.map_keys)), kind.keyType)
+            yield from walk(f"{name}{{value}}", F.flatten(F.transform(filled, F.map_values)), kind.valueType)
+        else:
+            yield name, F.transform(column, lambda x: x.cast("string"))
+
+    return {path: c for f in schema.fields for path, c in walk(f.name, F.array(F.col(f"`{f.name}`")), f.dataType)}
+
+
+def exposures(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """(key, path, value): every place of any column, however nested, that holds one of `values` (value), whatever its case, as whole words; the key column is not looked at.
+
+    Rows become their leaves in one projection; see `residual_audit` for the search."""
+    found = leaves(T.StructType([f for f in rows.schema.fields if f.name != key]))
+    each = F.flatten(F.array(*(F.transform(F.coalesce(c, F.array().cast("array<string>")), _told(path)) for path, c in found.items())))
+    texts = rows.select(F.col(f"`{key}`").alias("key"), F.explode(each).alias("leaf")).select(F.struct("key", "leaf.path").alias("at"), "leaf.text").where("text is not null")
+    hits = residual_audit(texts, values, "at", "text", least=1)
+    return hits.select(F.col("doc.key").alias(key), F.col("doc.path").alias("path"), "value").distinct()
+
+
 def removal_rates(audited: DataFrame) -> DataFrame:
     """(category, marked, removed, rate) of (category, survived)."""
     sums = audited.groupBy("category").agg(F.count("*").alias("marked"), F.count_if(~F.col("survived")).alias("removed"))

@@ -26,7 +26,12 @@ def term_counts(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
 def idf(counts: DataFrame, documents: Column) -> DataFrame:
     """(term, df, idf) with idf = ln((N + 1) / (df + 1)) + 1 over distinct (doc, term)."""
-    return counts.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log((documents + 1) / (F.col("df") + 1)) + 1)
+    return weighted(counts.groupBy("term").agg(F.count("*").alias("df")), documents)
+
+
+def weighted(frequencies: DataFrame, documents: Column) -> DataFrame:
+    """(term, df, idf) of known document frequencies (term, df)."""
+    return frequencies.withColumn("idf", F.log((documents + 1) / (F.col("df") + 1)) + 1)
 
 
 def document_vectors(counts: DataFrame, weights: DataFrame) -> DataFrame:
@@ -160,6 +165,62 @@ def dense_scores(queries: DataFrame, memory: DataFrame, dimension: int) -> DataF
     return pairs.select("query", "doc", F.round((1 + dot / (F.col("na") * F.col("nb"))) / 2, 4).alias("score"))
 
 
+#: Pivots of a dense search, width of the rings around each, and vectors in a block of a ring, about.
+PIVOTS, RING, RING_BLOCK = 64, 0.05, 4096
+
+
+def _dot(a: str, b: str, dimension: int) -> Column:
+    terms = [F.get(a, F.lit(i)) * F.get(b, F.lit(i)) for i in range(dimension)]
+    return sum(terms[1:], terms[0])
+
+
+def _units(rows: DataFrame, key: str, dimension: int, name: str) -> DataFrame:
+    """(key, name): vectors of length 1 of the rows (key, v) whose vector has `dimension` components and isn't zero."""
+    rows = rows.where(F.size("v") == dimension).withColumn("_v", F.transform("v", lambda x: x.cast("double")))
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
+    return rows.withColumn("_n", norm).where("_n > 0").select(key, F.transform("_v", lambda x: x / F.col("_n")).alias(name))
+
+
+def dense_top_k(queries: DataFrame, memory: DataFrame, k: int, dimension: int, staged: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(best, scored): the k best of `dense_scores` for each query, as top_k gives them (query, doc, score, place), and how many vectors each query was compared with (query, scored, all).
+
+    PIVOTS vectors of the memory, chosen by a hash, cut it into rings: of each vector's nearest pivot, by distance. The k-th best of the two nearest
+    pivots' vectors is a bound; by the triangle inequality only rings that are as far from the pivot as the query, give or take the bound, can hold anything better,
+    and of these only vectors in that range are scored. Exact, whatever the vectors; how much is left out depends on them. Rings are dealt out in blocks, so many copies
+    of a vector are no hot task. Null and zero vectors and those of another dimension have no score."""
+    m = staged(_units(memory.select("doc", "v"), "doc", dimension, "b"))
+    q = staged(_units(queries.select("query", "v"), "query", dimension, "a"))
+    pivots = F.broadcast(staged(m.orderBy(F.xxhash64("doc"), "doc").limit(PIVOTS).select(F.col("doc").alias("pivot"), F.col("b").alias("p"))))
+    apart = lambda x: F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * _dot(x, "p", dimension)))
+    near = F.min(F.struct(F.col("far"), F.col("pivot")))
+    homes = m.join(pivots).select("doc", "b", "pivot", apart("b").alias("far")).groupBy("doc").agg(near.alias("home"), F.any_value("b").alias("b"))
+    homes = staged(homes.select("doc", "b", "home.pivot", "home.far", F.floor(F.col("home.far") / RING).cast("int").alias("ring")))
+    # at most PIVOTS * 2 / RING rows
+    rings = staged(homes.groupBy("pivot", "ring").agg(F.min("far").alias("low"), F.max("far").alias("high"), F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / RING_BLOCK).cast("int")))
+    block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block")
+    cells = staged(homes.join(F.broadcast(rings.select("pivot", "ring", "blocks")), ["pivot", "ring"]).select("pivot", "ring", block, "doc", "b", "far"))
+    to = staged(q.join(pivots).select("query", "pivot", apart("a").alias("way")))
+
+    def scores(chosen: DataFrame) -> DataFrame:
+        """chosen (query, pivot, ring, blocks, least, most) -> (query, doc, cosine) of the vectors in the range."""
+        dealt = chosen.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks").join(q, "query")
+        pairs = dealt.join(cells, ["pivot", "ring", "block"]).where((F.col("far") >= F.col("least")) & (F.col("far") <= F.col("most")) & (F.col("query") != F.col("doc")))
+        return pairs.select("query", "doc", _dot("a", "b", dimension).alias("cosine"))
+
+    nearest = to.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy("way", "pivot"))).where("_n <= 2")
+    first = scores(nearest.join(F.broadcast(rings), "pivot").select("query", "pivot", "ring", "blocks", F.lit(0.0).alias("least"), F.lit(3.0).alias("most")))
+    kth = first.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "doc"))).where(F.col("_n") == k)
+    # scores are compared after rounding to 4 places
+    bound = staged(kth.select("query", F.sqrt(2 - 2 * F.col("cosine") + 5 * ROOM).alias("bound")))
+    asked = to.join(bound, "query", "left").withColumn("bound", F.coalesce("bound", F.lit(3.0)))
+    chosen = asked.join(F.broadcast(rings), "pivot").where((F.col("low") <= F.col("way") + F.col("bound")) & (F.col("high") >= F.col("way") - F.col("bound")))
+    scored = staged(scores(chosen.select("query", "pivot", "ring", "blocks", (F.col("way") - F.col("bound")).alias("least"), (F.col("way") + F.col("bound")).alias("most"))))
+    best = top_k(scored.select("query", "doc", F.round((1 + F.col("cosine")) / 2, 4).alias("score")), k)
+    every = F.lit(m.count())
+    counts = q.select("query").join(scored.groupBy("query").agg(F.count("*").alias("scored")), "query", "left").select("query", F.coalesce("scored", F.lit(0)).alias("scored"), every.cast("long").alias("all"))
+    return best, counts
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all distinct elements; 0 if either set is empty."""
     both = F.size(F.array_intersect(a, b))

@@ -213,6 +213,66 @@ def _bundle(spark, d):
     return part.union(supplier).union(edges)
 
 
+def _threats(spark, d):
+    """Threat-knowledge objects: nations are groups, suppliers malware and tools, regions campaigns; line items say who uses what, and in which words."""
+    code = lambda letter, key: F.array(F.struct(F.lit(corpora.SOURCE).alias("source_name"), F.concat(F.lit(letter), key.cast("string")).alias("external_id")))
+    ref = lambda kind, key: F.concat(F.lit(kind + "--"), key.cast("string"))
+    n, s, r, k = F.col("n_nationkey"), F.col("s_suppkey"), F.col("r_regionkey"), F.col("p_partkey") % 60
+    node = lambda df, kind, key, letter, number, name, text, revoked, old: df.select(ref(kind, key).alias("id"), F.lit(kind).alias("type"), name.alias("name"), text.alias("description"), revoked.alias("revoked"), old.alias("x_mitre_deprecated"), code(letter, number).alias("external_references")).distinct()
+    no, label = F.lit(False), F.concat(F.lit("technique "), k.cast("string"))
+    suppliers = table(spark, d, "supplier")
+    parts = [
+        node(table(spark, d, "part"), "attack-pattern", k, "T", k + 1000, label, label, k % 9 == 0, k % 13 == 1),
+        node(table(spark, d, "nation"), "intrusion-set", n, "G", n, F.col("n_name"), F.repeat(F.col("n_name"), F.lit(100)), n % 11 == 0, n % 13 == 5),
+        node(suppliers.where(s % 2 == 0), "malware", s, "S", s, F.col("s_name"), F.col("s_name"), no, s % 17 == 0),
+        node(suppliers.where(s % 2 == 1), "tool", s, "S", s, F.col("s_name"), F.col("s_name"), no, s % 17 == 0),
+        node(table(spark, d, "region"), "campaign", r, "C", r, F.col("r_name"), F.col("r_name"), no, no),
+    ]
+    lines = table(spark, d, "lineitem")
+    told = F.concat(F.lit("[Thing](https://x.org/a) used <code>"), F.lower("l_linestatus"), F.lit("</code>  to act(Citation: some one) "), F.when(F.col("l_linenumber") > 2, F.lower("l_returnflag")).otherwise(""))
+    used = F.col("l_partkey") % 60
+    edge = lambda df, kind, left, right, text, gone: df.select(F.lit("relationship").alias("type"), F.lit(kind).alias("relationship_type"), left.alias("source_ref"), right.alias("target_ref"), text.alias("description"), gone.alias("revoked"))
+    gone = F.col("l_linenumber") == 7
+    malware = F.when(F.col("l_suppkey") % 2 == 0, ref("malware", F.col("l_suppkey"))).otherwise(ref("tool", F.col("l_suppkey")))
+    parts += [
+        edge(lines, "uses", ref("intrusion-set", F.col("l_suppkey") % 25), ref("attack-pattern", used), told, gone),
+        edge(lines, "uses", malware, ref("attack-pattern", used), F.when(F.col("l_linenumber") < 4, "too short").otherwise(told), gone),
+        edge(lines.where("l_suppkey % 10 = 3"), "uses", ref("campaign", F.col("l_suppkey") % 4), ref("attack-pattern", used), told, gone),
+        edge(table(spark, d, "nation").where("n_regionkey < 3"), "attributed-to", ref("campaign", F.col("n_regionkey")), ref("intrusion-set", n), F.lit(None).cast("string"), F.lit(False)),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+_TECH = "tech AS (SELECT DISTINCT k, 'T' || (1000 + k) AS technique FROM (SELECT p_partkey % 60 AS k FROM part) WHERE k % 9 <> 0 AND k % 13 <> 1), used AS (SELECT l_suppkey AS s, technique, l_linenumber, l_linestatus, l_returnflag FROM lineitem JOIN tech ON k = l_partkey % 60 WHERE l_linenumber <> 7)"
+_LISTED = "string_agg(DISTINCT technique, ',' ORDER BY technique)"
+
+
+@query("src09_groups", f"WITH {_TECH} SELECT 'G' || n_nationkey AS code, n_name AS name, CASE WHEN length(repeat(n_name, 100)) <= 400 THEN repeat(n_name, 100) ELSE left(repeat(n_name, 100), 400) || '...' END AS description, {_LISTED} AS techniques FROM nation JOIN used ON s % 25 = n_nationkey WHERE n_nationkey % 11 <> 0 AND n_nationkey % 13 <> 5 GROUP BY n_nationkey, n_name")
+def bundle_groups(spark, d):
+    return corpora.groups(_threats(spark, d)).select("code", "name", "description", F.array_join("techniques", ",").alias("techniques"))
+
+
+@query("src09_software", f"WITH {_TECH} SELECT 'S' || s_suppkey AS code, CASE WHEN s_suppkey % 2 = 0 THEN 'malware' ELSE 'tool' END AS kind, {_LISTED} AS techniques FROM supplier JOIN used ON s = s_suppkey WHERE s_suppkey % 17 <> 0 GROUP BY s_suppkey")
+def bundle_software(spark, d):
+    return corpora.software(_threats(spark, d)).select("code", "kind", F.array_join("techniques", ",").alias("techniques"))
+
+
+@query("src09_campaigns", f"WITH {_TECH} SELECT 'C' || r_regionkey AS code, r_name AS name, replace(o.ref, 'intrusion-set--', 'G') AS attributed_to, n.n_name AS attributed_to_name, coalesce(t.techniques, '') AS techniques FROM region LEFT JOIN (SELECT n_regionkey, max('intrusion-set--' || n_nationkey) AS ref FROM nation WHERE n_regionkey < 3 GROUP BY 1) o ON o.n_regionkey = r_regionkey LEFT JOIN nation n ON 'intrusion-set--' || n.n_nationkey = o.ref LEFT JOIN (SELECT s % 4 AS c, {_LISTED} AS techniques FROM used WHERE s % 10 = 3 GROUP BY 1) t ON t.c = r_regionkey")
+def bundle_campaigns(spark, d):
+    return corpora.campaigns(_threats(spark, d)).select("code", "name", "attributed_to", "attributed_to_name", F.array_join("techniques", ",").alias("techniques"))
+
+
+_SAID = "trim('Thing used ' || lower(l_linestatus) || ' to act ' || CASE WHEN l_linenumber > 2 THEN lower(l_returnflag) ELSE '' END)"
+
+
+@query("src12_bundle_examples", f"WITH {_TECH}, said AS (SELECT DISTINCT technique, 'G' || n_nationkey AS source, n_name AS name, {_SAID} AS sentence FROM used JOIN nation ON n_nationkey = s % 25 WHERE n_nationkey % 11 <> 0 AND n_nationkey % 13 <> 5 UNION ALL SELECT DISTINCT technique, 'S' || s_suppkey, s_name, {_SAID} FROM used JOIN supplier ON s_suppkey = s WHERE s_suppkey % 17 <> 0 AND l_linenumber >= 4 UNION ALL SELECT DISTINCT technique, 'C' || r_regionkey, r_name, {_SAID} FROM used JOIN region ON r_regionkey = s % 4 WHERE s % 10 = 3) SELECT row_number() OVER (ORDER BY technique, source, name, sentence) AS ordinal, * FROM said")
+def bundle_examples(spark, d):
+    return corpora.bundle_examples(_threats(spark, d))
+
+
 @query("src11_keyed_catalogue", "SELECT user_id AS cve, event_type AS vendor FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def keyed_catalogue(spark, d):
     return corpora.keyed(table(spark, d, "events").select(F.col("user_id").alias("cve"), F.col("event_type").alias("vendor"), F.col("event_id").alias("ordinal")), "cve", "ordinal")

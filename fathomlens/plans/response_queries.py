@@ -128,12 +128,12 @@ def stage_examples(spark, d):
     return act.examples(rows, ["query", "rank"], "technique", ["place", "ord"])
 
 
-_PROFILES = "profiles AS (SELECT DISTINCT l_suppkey % 172 AS profile, 'T' || (1000 + (l_suppkey % 172 * 7 + l_linenumber * 11) % 60) AS technique FROM lineitem), df AS (SELECT technique, ln(((SELECT count(DISTINCT profile) FROM profiles) + 1.0::DOUBLE) / (count(*) + 1)) + 1 AS weight FROM profiles GROUP BY 1)"
+_PROFILES = "profiles AS (SELECT DISTINCT l_suppkey AS profile, 'T' || (1000 + (l_suppkey * 7 + l_linenumber * 11) % 60) AS technique FROM lineitem), df AS (SELECT technique, ln(((SELECT count(DISTINCT profile) FROM profiles) + 1.0::DOUBLE) / (count(*) + 1)) + 1 AS weight FROM profiles GROUP BY 1)"
 
 
 def _profiles(spark, d):
-    """Profiles of published groups, of which there are few."""
-    group = F.col("l_suppkey") % 172
+    """Profiles of published groups: one for each supplier."""
+    group = F.col("l_suppkey")
     technique = F.concat(F.lit("T"), ((group * 7 + F.col("l_linenumber") * 11) % 60 + 1000).cast("string"))
     return table(spark, d, "lineitem").select(group.alias("profile"), technique.alias("technique")).distinct()
 

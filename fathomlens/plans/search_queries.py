@@ -81,7 +81,18 @@ def _neighbours(spark, d) -> DataFrame:
 
 @query("rnk04_dense_search", f"WITH {_DENSE} SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS place FROM dense QUALIFY place <= 5", ctes=False)
 def dense_search(spark, d):
-    return memory.top_k(_dense(spark, d), 5)
+    return _nearest(spark, d, 5)[0]
+
+
+def _nearest(spark, d, k):
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    return memory.dense_top_k(rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query"), rows.withColumnRenamed("vec_id", "doc"), k, 64, staged)
+
+
+@query("rnk04_vectors_scored")
+def vectors_scored(spark, d):
+    """How many vectors each query was compared with in full, of all."""
+    return _nearest(spark, d, 5)[1]
 
 
 _VOTES = f"{_DENSE}, near AS (SELECT * FROM dense QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) <= 10), votes AS (SELECT query, label, round(sum(score), 4) AS vote, count(*) AS votes FROM near GROUP BY 1, 2)"
@@ -404,7 +415,7 @@ _HYBRID = f"{_DENSE}, sets AS (SELECT incident_id, list(DISTINCT technique) AS t
 
 @query("rnk09_hybrid_search", f"WITH {_HYBRID}, h AS (SELECT query, doc, score, {_STRUCT} AS structure, recall_place FROM pairs), g AS (SELECT *, round(0.45::DOUBLE * score + 0.55::DOUBLE * structure, 4) AS hybrid FROM h) SELECT query, doc, score, structure, hybrid, recall_place, row_number() OVER (PARTITION BY query ORDER BY hybrid DESC, recall_place) AS place FROM g WHERE hybrid >= 0.25 QUALIFY place <= 5")
 def hybrid_search(spark, d):
-    semantic = staged(memory.top_k(_dense(spark, d), 15).select("query", "doc", "score"))
+    semantic = staged(_nearest(spark, d, 15)[0].select("query", "doc", "score"))
     return memory.hybrid(semantic, _structure(_paired(spark, d, semantic.select("query", "doc"))).select("query", "doc", "structure"), 5)
 
 
@@ -514,10 +525,13 @@ def held_out_split(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")).withColumn("held_out", evaluation.held_out(F.col("source")))
 
 
-@query("evl09_exposure_scan", "SELECT o_orderkey AS incident_id FROM orders WHERE contains(concat(o_orderstatus, '|', o_orderpriority), 'URGENT')")
+@query("evl09_exposure_scan", "SELECT o_orderkey AS incident_id, 'nested.a[].m{value}' AS path, 'urgent' AS value FROM orders WHERE contains(o_orderpriority, 'URGENT')")
 def exposure_scan(spark, d):
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("incident_id"), F.to_json(F.struct("o_orderstatus", F.struct("o_orderpriority").alias("nested"))).alias("everything"))
-    return rows.where(F.contains("everything", F.lit("URGENT"))).select("incident_id")
+    """All columns of the orders, some of them nested, against the names of nations and a word of a priority."""
+    rows = table(spark, d, "orders")
+    rows = rows.select(F.col("o_orderkey").alias("incident_id"), *(c for c in rows.columns if c not in ("o_orderkey", "o_orderpriority")), F.struct(F.array(F.struct(F.create_map(F.lit("kind"), "o_orderpriority").alias("m"))).alias("a")).alias("nested"))
+    values = table(spark, d, "nation").select(F.lower("n_name").alias("value")).union(spark.createDataFrame([("urgent",)], "value string"))
+    return evaluation.exposures(rows, values, "incident_id")
 
 
 @query("evl11_reuse_marking", "SELECT m.query, bool_or(a.category = 'contain') AS reused FROM (SELECT incident_id AS query, incident_id + 1 AS incident_id FROM incidents) m JOIN actions a USING (incident_id) GROUP BY 1")
