@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.round(F.avg(label_col)).cast("int").alias("label"))
     drawn = known.orderBy(F.xxhash64(F.lit(1), "id")).limit(TRAIN_DOCS)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
-    sample = texts.join(F.broadcast(drawn), "id").dropDuplicates(["id"])  # TRAIN_DOCS rows of two numbers
+    sample = texts.join(F.broadcast(drawn), "id").groupBy("id", "label").agg(F.min("text").alias("text"))  # TRAIN_DOCS rows of two numbers; of a repeated id, the least text
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([*frames, pd.DataFrame({"id": [], "label": [], "text": []})]).sort_values("id")

@@ -19,7 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, table
+from .quality import ACCEPT, QualityModel, fit, score_quality
+from .shared import cut, held_out, table
 
 #: Steps of the shares by which rare children that differ from the others are pooled.
 STEPS = 20
@@ -77,15 +78,22 @@ def segments_of(path: Column) -> Column:
 def templates(urls: DataFrame) -> DataFrame:
     """Templates of the shapes in `urls` (host, shape array<string>, n, bad, good): (host, shape, template, n, bad, good, purity), one row for each shape.
 
-    One pass for each level, up to the last at which two shapes still share a node: children of a node (host,
-    template so far) are generalised, then merged. A shape alone at its node keeps its other segments as they are."""
+    One pass for each level at which a node branches, up to the last at which two shapes still share one: what all shapes of a node (host, template so far) have in
+    common is passed over at once, as in a radix tree; then its children are generalised and merged. A shape alone at its node keeps its other segments as they
+    are. Passes grow with branchings on one path, not with segments."""
     node = ["host", "template"]
     smooth = lambda bad, labelled, prior: (bad + STRENGTH * prior) / (labelled + STRENGTH)
-    tree = cut(urls.withColumn("template", F.lit("")).withColumn("prior", F.lit(PRIOR)))
-    level, finished = 0, []
+    tree = cut(urls.withColumn("template", F.lit("")).withColumn("prior", F.lit(PRIOR)).withColumn("rest", F.col("shape")))
+    finished = []
     while True:
-        segment = F.get("shape", F.lit(level))
-        ends = F.size("shape") <= level
+        # The least and the greatest of a node's shapes have in common what all have.
+        edges = tree.groupBy(*node).agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+        differ = F.array_position(F.zip_with("low", "high", lambda a, b: F.coalesce(a == b, F.lit(False))), F.lit(False)).cast("int")
+        edges = edges.select(*node, F.when(differ == 0, F.size("low")).otherwise(differ - 1).alias("common"), "low")
+        passed = F.when(F.col("common") > 0, F.concat("template", F.lit("/"), F.array_join(F.slice("low", F.lit(1), F.col("common")), "/"))).otherwise(F.col("template"))
+        tree = cut(tree.join(edges, node).withColumns({"template": passed, "rest": F.slice("rest", F.col("common") + 1, F.size("rest"))}).drop("low", "common"))
+        segment = F.get("rest", F.lit(0))
+        ends = F.size("rest") == 0
         # What ends at a node is one more child of it.
         here = tree.groupBy(*node).agg(
             F.count("*").alias("shapes"), F.sum("bad").alias("node_bad"), F.sum(F.col("bad") + F.col("good")).alias("node_labelled"),
@@ -95,8 +103,8 @@ def templates(urls: DataFrame) -> DataFrame:
         done = ends | (F.col("shapes") == 1)
         before = smooth(F.col("node_bad") - F.col("end_bad"), F.col("node_labelled") - F.col("end_labelled"), F.col("prior"))
         purity = F.when(F.col("shapes") == 1, smooth(F.col("bad"), F.col("bad") + F.col("good"), F.col("prior"))).otherwise(smooth(F.col("end_bad"), F.col("end_labelled"), before))
-        rest = F.concat(F.lit("/"), F.array_join(F.slice("shape", level + 1, F.size("shape")), "/"))
-        finished.append(rows.where(done).select("host", "shape", F.when(F.size("shape") > level, F.concat("template", rest)).otherwise(F.col("template")).alias("template"), "n", "bad", "good", purity.alias("purity")))
+        whole = F.when(ends, F.col("template")).otherwise(F.concat("template", F.lit("/"), F.array_join("rest", "/")))
+        finished.append(rows.where(done).select("host", "shape", whole.alias("template"), "n", "bad", "good", purity.alias("purity")))
         tree = rows.where(~done).drop("shapes", "end_bad", "end_labelled")
         if tree.isEmpty():
             break
@@ -126,55 +134,51 @@ def templates(urls: DataFrame) -> DataFrame:
         tree = cut(
             tree.withColumn("segment", segment)
             .join(names, ["host", "template", "segment"])
-            .select("host", "shape", F.concat("template", F.lit("/"), "branch").alias("template"), "n", "bad", "good", smooth(F.col("node_bad") - F.col("branch_bad"), F.col("node_labelled") - F.col("branch_labelled"), F.col("prior")).alias("prior"))
+            .select("host", "shape", F.slice("rest", F.lit(2), F.size("rest")).alias("rest"), F.concat("template", F.lit("/"), "branch").alias("template"), "n", "bad", "good", smooth(F.col("node_bad") - F.col("branch_bad"), F.col("node_labelled") - F.col("branch_labelled"), F.col("prior")).alias("prior"))
         )
-        level += 1
     return cut(reduce(DataFrame.union, finished))
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, bad_words: tuple[str, ...] = (), id_col: str = "page_id", url_col: str = "url", sign: Column | None = None) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, template, purity, rule and verdict of each row of `pages`.
 
     verdict is the rule's; without a rule, block where the template is rejected, else allow. Purity is learned from
-    labelled pages: those in `labels` (id, bad 0 or 1), and, as weak labels, those that a rule allows (good) and those
-    whose host has a word of `bad_words` (bad) and what `sign` says of the page itself (1 bad, 0 good, null nothing). A block rule is a policy on a part of a site and says nothing on the
+    labelled pages: those in `labels` (id, bad 0 or 1) and those that a rule allows (good). A block rule is a policy on a part of a site and says nothing on the
     rest, so it labels none. A page labelled more than once counts as bad if one label says so. A null url, or one without
     ://, has an empty host and path and is allowed; repeated rows are judged alike; other columns are not looked at."""
     url = F.col(url_col)
-    rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), (F.lit(None) if sign is None else sign).cast("int").alias("sign"))
+    rows = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("shape", segments_of(F.col("path")))
-    signs = [F.when(F.col("fit.verdict") == "allow", 0), F.col("sign")]
-    if bad_words:
-        signs.append(F.when(F.arrays_overlap(F.split("host", r"[^a-z0-9]+"), F.array(*map(F.lit, bad_words))), 1))
+    bad = F.when(F.col("fit.verdict") == "allow", 0)
     if labels is not None:
         known = labels.groupBy(F.col(id_col).alias("page_id")).agg(F.max("bad").cast("int").alias("label"))
         rows = rows.join(known, "page_id", "left")
-        signs.append(F.col("label"))
-    rows = cut(rows.withColumn("bad", F.greatest(*signs)).select("page_id", "host", "path", "fit", "shape", "bad"))
+        bad = F.greatest(bad, F.col("label"))
+    rows = cut(rows.withColumn("bad", bad).select("page_id", "host", "path", "fit", "shape", "bad"))
     counts = rows.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"), F.sum(F.coalesce(1 - F.col("bad"), F.lit(0))).alias("good"))
-    tree = templates(counts)
-    found = tree.select("host", "shape", "template", "purity")
+    found = templates(counts).select("host", "shape", "template", "purity")
     verdict = F.coalesce(F.col("fit.verdict"), F.when((F.col("host") != "") & (F.col("purity") >= REJECT), "block").otherwise("allow"))
     return rows.join(found, ["host", "shape"], "left").select("page_id", "host", "path", "template", "purity", F.col("fit.rule").alias("rule"), verdict.alias("verdict"))
 
 
 RULES = [Rule.of("block", "com/en/"), Rule.of("allow", "example.com/en/7"), Rule.of("allow", "net/de/"), Rule.of("block", "example.net/de/8"), Rule.of("block", "org/es/")]
-#: Host words that mark a page as bad in the query's weak labels.
-BAD_WORDS = ("adult", "spam", "casino", "pills", "bets", "ads")
-#: A page of fewer words, or a smaller share of words with a letter, is bad.
-LEAST_WORDS, LEAST_LETTERS = 50, 0.8
 
 
-def page_sign(html: Column) -> Column:
-    """1 for a page with too little text or too few words among it, else 0; null without html.
-
-    The text is the first article's, or the whole page's without one, with tags as spaces."""
+def page_text(html: Column) -> Column:
+    """The text of a page's first article, or of the whole page without one, with tags as spaces; null without html."""
     article = F.regexp_extract(html, r"(?si)<article\b[^>]*>(.*?)</article>", 1)
-    text = F.regexp_replace(F.when(article != "", article).otherwise(html), r"<[^>]*>", " ")
-    words = F.filter(F.split(text, r"\s+"), lambda x: x != "")
-    named = F.filter(words, lambda x: x.rlike(r"\p{L}"))
-    return F.when(html.isNotNull(), ((F.size(words) < LEAST_WORDS) | (F.size(named) < LEAST_LETTERS * F.size(words))).cast("int"))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.when(article != "", article).otherwise(html), r"<[^>]*>", " "), r"\s+", " "))
+
+
+def content_labels(pages: DataFrame, model: QualityModel | None, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, bad) of the pages that a quality model is sure of: 1 where their text is poor, 0 where it is good, as sure as ACCEPT. Pages without html say nothing."""
+    rows = pages.where(F.col(html_col).isNotNull()).select(id_col, page_text(F.col(html_col)).alias("text"))
+    bad = F.when(F.col("score") <= 1 - ACCEPT, 1).when(F.col("score") >= ACCEPT, 0)
+    return score_quality(rows, model).select(id_col, bad.alias("bad")).where("bad is not null")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"), RULES, bad_words=BAD_WORDS, sign=page_sign(F.col("html")))
+    """Pages are labelled by their own text: the quality model is learned from documents, and no list of words is used."""
+    pages = table(spark, sf_dir, "pages")
+    model = fit(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
+    return judge_urls(pages, RULES, labels=content_labels(pages, model))

@@ -108,3 +108,37 @@ def test_the_tree_decides_within_a_host(spark):
     assert [got[i] for i in (0, 100, 106)] == ["block"] * 3 and [got[i] for i in (30, 101, 103, 104, 105)] == ["allow"] * 5
     assert all(0 <= r.purity <= 1 for r in out) and REJECT > PRIOR
     assert {r.verdict for r in judge_urls(pages, []).collect()} == {"allow"}  # without labels nothing is rejected
+
+
+def test_long_common_paths_are_passed_over_at_once(spark, monkeypatch):
+    """Two paths of 700 segments that differ at the end take two rounds, not 700."""
+    from fathomlens.llm import url_filter
+
+    written = []
+    monkeypatch.setattr(url_filter, "cut", lambda df, cut=url_filter.cut: written.append(1) or cut(df))
+    long = [f"s{i}" for i in range(699)]
+    rows = [("h", [*long, "a"], 3, 3, 0), ("h", [*long, "b"], 2, 0, 2), ("h", long, 1, 0, 0), ("g", ["x"], 1, 1, 0), ("g", [], 1, 0, 1)]
+    got = {(r.host, tuple(r.shape)): (r.template, round(r.purity, 9)) for r in templates(spark.createDataFrame(rows, "host string, shape array<string>, n long, bad long, good long")).collect()}
+    want = {(h, tuple(s)): (t, round(p, 9)) for h in "hg" for s, t, p in tree([r[1:] for r in rows if r[0] == h])}
+    assert got == want and len(written) < 16
+
+
+def test_pages_are_labelled_by_their_text(spark):
+    """Sections of a host whose pages say nothing go, those with prose stay, and no word of a host decides."""
+    from fathomlens.llm.quality import fit
+    from fathomlens.llm.url_filter import content_labels
+
+    rnd = random.Random(6)
+    words = [f"{a}{b}" for a in ("ta", "lo", "mi", "ren", "sha") for b in ("ver", "ling", "don", "per", "cot")]
+    prose = lambda: " ".join(rnd.choice(words) for _ in range(80)) + "."
+    junk = lambda: " ".join(["buy"] * 40 + ["###", "777"] * 15)
+    docs = spark.createDataFrame([(i, prose() if i % 2 else junk()) for i in range(160)], "doc_id long, text string")
+    model = fit(docs, spark.createDataFrame([(i, i % 2) for i in range(160)], "doc_id long, quality int"))
+    page = lambda text: f"<html><nav>menu</nav><article><p>{text}</p></article></html>"
+    rows = [(i, f"http://adult.net/docs/page-{i}x{i}", page(prose())) for i in range(20)] + [(100 + i, f"http://adult.net/shop/page-{i}x{i}", page(junk())) for i in range(20)]
+    rows += [(200, "http://adult.net/shop/other", None), (201, "http://adult.net/docs/other", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    labels = content_labels(pages, model)
+    assert {r.page_id: r.bad for r in labels.collect()} == {r[0]: int(r[0] >= 100) for r in rows[:40]}
+    got = {r.page_id: r.verdict for r in judge_urls(pages, [], labels=labels).collect()}
+    assert {got[i] for i in (*range(20), 201)} == {"allow"} and {got[i] for i in (*range(100, 120), 200)} == {"block"}
