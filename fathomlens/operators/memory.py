@@ -240,17 +240,73 @@ def structural_score(techniques: tuple[Column, Column], tactics: tuple[Column, C
     )
 
 
-def reasons(techniques: tuple[Column, Column], attack: tuple[Column, Column], vector: tuple[Column, Column]) -> Column:
-    """Why two incidents match, as texts; a list of more than four techniques is cut with its rest counted."""
+def reasons(techniques: tuple[Column, Column], tactics: tuple[Column, Column], attack: tuple[Column, Column], vector: tuple[Column, Column], cves: tuple[Column, Column]) -> Column:
+    """Why two incidents match, as texts: shared techniques (four named, the rest counted), two or more shared tactics, same type, same known way in, shared CVEs."""
     both = F.array_sort(F.array_intersect(*techniques))
     more = F.when(F.size(both) > 4, F.concat(F.lit(" (+"), (F.size(both) - 4).cast("string"), F.lit(" more)"))).otherwise("")
-    shared = F.when(F.size(both) > 0, F.concat(F.lit("shared techniques: "), F.array_join(F.slice(both, 1, 4), ", "), more))
-    same = F.when(attack[0] == attack[1], F.concat(F.lit("same type: "), attack[0]))
-    entry = F.when((vector[0] == vector[1]) & (vector[0] != "unknown"), F.concat(F.lit("same entry: "), vector[0]))
-    found = F.filter(F.array(shared, same, entry), lambda x: x.isNotNull())
+    first = lambda c, n: F.array_join(F.slice(c, 1, n), ", ")
+    shared = F.when(F.size(both) > 0, F.concat(F.size(both).cast("string"), F.lit(" shared ATT&CK technique(s): "), first(both, 4), more))
+    phases, holes = F.array_sort(F.array_intersect(*tactics)), F.array_sort(F.array_intersect(*cves))
+    chain = F.when(F.size(phases) >= 2, F.concat(F.lit("Overlapping kill-chain phases: "), first(phases.cast("array<string>"), 4)))
+    named = lambda c: F.replace(c, F.lit("_"), F.lit(" "))
+    same = F.when((attack[0] == attack[1]) & (attack[0] != ""), F.concat(F.lit("Same attack type: "), named(attack[0])))
+    entry = F.when((vector[0] == vector[1]) & ~vector[0].isin("", "unknown"), F.concat(F.lit("Same initial vector: "), named(vector[0])))
+    hole = F.when(F.size(holes) > 0, F.concat(F.lit("Same vulnerability exploited: "), first(holes.cast("array<string>"), 3)))
+    found = F.filter(F.array(shared, chain, same, entry, hole), lambda x: x.isNotNull())
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("similar overall behaviour")))
 
 
+#: The columns of a fingerprint that structural search compares.
+FINGERPRINT = ("techniques", "tactics", "attack_type", "initial_vector", "cves")
+
+
+def _beside() -> Column:
+    """structural_score of rows with both sides' columns, the query's named a_…"""
+    both = lambda c: (F.col(f"a_{c}"), F.col(c))
+    return structural_score(*(both(c) for c in FINGERPRINT))
+
+
+def structural_top_k(asked: DataFrame, stored: DataFrame, k: int, staged: Callable[[DataFrame], DataFrame], digits: int = 6) -> DataFrame:
+    """(query, doc, structure, place, both sides' columns): the k best stored fingerprints (doc, techniques, tactics, attack_type, initial_vector, cves) of each asked one (query, …) by structural_score, of all
+    that have anything in common; ties by doc. A query is not its own match.
+
+    What shares a technique is met by technique, and gives a bound. Everything else scores by the other four alone, so it is met by classes of equal ones:
+    a class that reaches the bound brings its k + 1 smallest ids, as its other members can't be better than these. Classes are met by type and way in where only both
+    together can reach the bound, else by one of them, else by tactic or CVE."""
+    own = ("tactics", "attack_type", "initial_vector", "cves")
+    stored = staged(stored.select("doc", F.array_distinct("techniques").alias("techniques"), F.array_sort(F.array_distinct("tactics")).alias("tactics"), "attack_type", "initial_vector", F.array_sort(F.array_distinct("cves")).alias("cves")))
+    asked = staged(asked.select("query", *(F.col(c).alias(f"a_{c}") for c in FINGERPRINT)))
+    score = lambda pairs: pairs.join(asked, "query").join(stored, "doc").withColumn("structure", F.round(_beside(), digits))
+    met = asked.select("query", F.explode("a_techniques").alias("t")).join(stored.select("doc", F.explode("techniques").alias("t")), "t").where("query <> doc").select("query", "doc").distinct()
+    sharing = staged(top_k(score(met).select("query", "doc", "structure"), k, score="structure"))
+    bound = sharing.where(F.col("place") == k).select("query", F.col("structure").alias("bound"))
+    open_ = staged(asked.join(bound, "query", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)) - 10.0**-digits))
+
+    member = F.row_number().over(Window.partitionBy(*own).orderBy("doc"))
+    members = staged(stored.select("doc", *own).withColumn("_n", member).where(F.col("_n") <= k + 1).withColumn("class", F.xxhash64(*own)).drop("_n"))
+    classes = staged(members.select("class", *own).distinct())
+    none = F.array().cast("array<string>")
+    by_rest = structural_score((none, none), *((F.col(f"a_{c}"), F.col(c)) for c in own))
+
+    def reach(most: float, *on: tuple[Column, Column]) -> DataFrame:
+        """(query, class) of queries whose bound is at most `most`, met where the columns of `on` are equal."""
+        left, right = open_.where(F.col("bound") <= most), classes
+        for i, (a, b) in enumerate(on):
+            left, right = left.withColumn(f"_l{i}", a), right.withColumn(f"_r{i}", b)
+        condition = [F.col(f"_l{i}") == F.col(f"_r{i}") for i in range(len(on))]
+        rows = left.join(right, condition)
+        return rows.withColumn("s", F.round(by_rest, digits)).where((F.col("s") >= F.col("bound")) & (F.col("s") > 0)).select("query", "class")
+
+    kind, entry = (F.col("a_attack_type"), F.col("attack_type")), (F.col("a_initial_vector"), F.col("initial_vector"))
+    near = [reach(1.0, kind, entry), reach(0.45, kind), reach(0.37, entry), reach(0.27, (F.explode("a_tactics"), F.explode("tactics"))), reach(0.27, (F.explode("a_cves"), F.explode("cves")))]
+    found = near[0]
+    for more in near[1:]:
+        found = found.union(more)
+    others = found.distinct().join(members.select("class", "doc"), "class").where("query <> doc").select("query", "doc")
+    rows = score(sharing.select("query", "doc").union(others).distinct()).where("structure > 0")
+    return top_k(rows, k, score="structure")
+
+
 def hybrid(semantic: DataFrame, structural: DataFrame, k: int, threshold: float = 0.25) -> DataFrame:
     """Two stages: recall of the max(3k, 10) semantically best, then .45 * semantic + .55 * structural, thresholded; the k best.
 

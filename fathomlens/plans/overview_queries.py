@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import catalog, overview
 from ..operators.overview import PHASES, SEVERITIES
-from ..sources import corpora
+from ..sources import corpora, store
+from ..sources.sinks import shared_folder
+from .privacy_queries import _sql_tokens
 from .registry import query, table
 
 _ORDER = ", ".join(f"({i}, '{s}')" for i, s in enumerate(SEVERITIES, 1))
@@ -273,6 +277,16 @@ def bundle_examples(spark, d):
     return corpora.bundle_examples(_threats(spark, d))
 
 
+@query("snk01_memory_after_deletion", f"SELECT term, count(*) AS df FROM (SELECT incident_id, unnest(list_distinct({_sql_tokens('embedding_text')})) AS term FROM incidents WHERE embedding_text <> '' AND incident_id % 9 <> 0) GROUP BY 1")
+def memory_after_deletion(spark, d):
+    """All incidents and actions are committed to a store, a ninth deleted; the memory's document frequencies follow without a rebuild."""
+    root = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    kept = store.Store(spark, root)
+    kept.add(table(spark, d, "incidents").select("incident_id", "embedding_text", "provenance"), table(spark, d, "actions"))
+    kept.delete(table(spark, d, "incidents").where("incident_id % 9 = 0").select("incident_id"))
+    return kept.frequencies()
+
+
 @query("src11_keyed_catalogue", "SELECT user_id AS cve, event_type AS vendor FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def keyed_catalogue(spark, d):
     return corpora.keyed(table(spark, d, "events").select(F.col("user_id").alias("cve"), F.col("event_type").alias("vendor"), F.col("event_id").alias("ordinal")), "cve", "ordinal")

@@ -8,6 +8,7 @@ from ..functions.text import family
 from ..operators import actions as act
 from ..operators import memory, resemblance, tabletop
 from .registry import query, table
+from .search_queries import _ASKED, _COUNTS, _TOP, _scores
 
 # Every incident asks; its matches are the next four incidents, less similar one by one.
 _MATCHES = "m AS (SELECT q.incident_id AS query, i.incident_id, 1 / (1 + (i.incident_id - q.incident_id) * 0.37::DOUBLE) AS similarity, i.incident_id - q.incident_id AS place FROM incidents q JOIN (SELECT incident_id FROM incidents) i ON i.incident_id BETWEEN q.incident_id + 1 AND q.incident_id + 4)"
@@ -193,10 +194,8 @@ def durations(spark, d):
     return _doc_facts(spark, d).groupBy("doc").agg(F.count_distinct("rank").alias("n")).select("doc", tabletop.duration(F.col("n")).alias("minutes"))
 
 
-@query("qa02_answers")
+@query("qa02_answers", f"WITH {_COUNTS}, {_ASKED}, best AS ({_TOP}6), told AS (SELECT query, count(*) AS sources, string_agg('- document ' || doc || ' (' || lang || ')', chr(10) ORDER BY place) AS digest FROM best JOIN documents ON doc_id = doc WHERE score >= 0.10 GROUP BY 1) SELECT item_id AS query, coalesce(sources, 0) AS sources, coalesce(digest, 'The memory holds nothing on this.') AS answer FROM benchmark LEFT JOIN told ON query = item_id", ctes=False)
 def answers(spark, d):
-    from .search_queries import _scores
-
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query"))
     titles = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.concat(F.lit("document "), F.col("doc_id").cast("string"), F.lit(" ("), "lang", F.lit(")")).alias("title"))
     return tabletop.answers(asked, memory.top_k(_scores(spark, d), 6), titles)

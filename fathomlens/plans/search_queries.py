@@ -137,9 +137,9 @@ def quantised(spark, d):
     return rows.select("vec_id", F.array_max("q").cast("long").alias("high"), F.array_min("q").cast("long").alias("low"))
 
 
-@query("mlo02_gram_vectors")
+@query("mlo02_gram_vectors", f"WITH g AS (SELECT doc, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM (SELECT item_id AS doc, {_sql_tokens('text')} AS w FROM benchmark)), c AS (SELECT doc, term, count(*) AS n FROM g GROUP BY 1, 2), i AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM benchmark)) / (1 + count(*))) + 1 AS idf FROM c GROUP BY 1 HAVING count(*) >= 2), r AS (SELECT doc, term, (1 + ln(n)) * idf AS w FROM c JOIN i USING (term)) SELECT doc, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc)), 6) AS w FROM r", ctes=False)
 def gram_vectors(spark, d):
-    return learning.gram_vectors(table(spark, d, "benchmark"), "item_id", "text")
+    return learning.gram_vectors(table(spark, d, "benchmark"), "item_id", "text").withColumn("w", F.round("w", 6))
 
 
 @query("mlo03_softmax_classifier")
@@ -363,7 +363,7 @@ def validation(spark, d):
     return table(spark, d, "incidents").select("incident_id", F.array_join(broken, "; ").alias("broken"))
 
 
-# Incidents with an id divisible by 20 ask all others that share a technique with them; all other pairs of sets have nothing in common.
+# Incidents with an id divisible by 20 ask all others that share a technique with them; the technique sets of all other pairs have nothing in common.
 _SETS = "sets AS (SELECT incident_id, list_sort(list(DISTINCT technique)) AS t, list(DISTINCT rank) AS k, list(DISTINCT rank) FILTER (WHERE rank % 7 = 5) AS c FROM facts GROUP BY 1), inc AS (SELECT i.incident_id, attack_type, initial_vector, t, k, coalesce(c, []) AS c FROM incidents i JOIN sets USING (incident_id)), near AS (SELECT DISTINCT a.incident_id AS query, b.incident_id AS doc FROM facts a JOIN facts b ON a.technique = b.technique AND a.incident_id <> b.incident_id WHERE a.incident_id % 20 = 0), pairs AS (SELECT query, doc, a.t AS ta, b.t AS tb, a.k AS ka, b.k AS kb, a.c AS ca, b.c AS cb, a.attack_type AS aa, b.attack_type AS ab, a.initial_vector AS va, b.initial_vector AS vb FROM near JOIN inc a ON a.incident_id = query JOIN inc b ON b.incident_id = doc)"
 _J = "coalesce(CAST(len(list_intersect({0}, {1})) AS DOUBLE) / nullif(len(list_distinct(list_concat({0}, {1}))), 0), 0)"
 
@@ -402,10 +402,15 @@ def jaccard(spark, d):
 _STRUCT = f"round(0.45::DOUBLE * ({_J.format('ta', 'tb')}) + 0.20::DOUBLE * ({_J.format('ka', 'kb')}) + CASE WHEN aa = ab THEN 0.18::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN va = vb AND va <> 'unknown' THEN 0.10::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN len(list_intersect(ca, cb)) > 0 THEN 0.07::DOUBLE ELSE 0.0::DOUBLE END, 6)"
 
 
-@query("rnk08_structural_score", f"WITH {_SETS}, s AS (SELECT *, {_STRUCT} AS structure FROM pairs), best AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY structure DESC, doc) AS place FROM s QUALIFY place <= 3) SELECT query, doc, structure, array_to_string(list_filter([CASE WHEN len(s) > 0 THEN 'shared techniques: ' || array_to_string(s[1:4], ', ') || CASE WHEN len(s) > 4 THEN ' (+' || (len(s) - 4) || ' more)' ELSE '' END END, CASE WHEN aa = ab THEN 'same type: ' || aa END, CASE WHEN va = vb AND va <> 'unknown' THEN 'same entry: ' || va END], lambda x: x IS NOT NULL), '; ') AS reasons FROM (SELECT *, list_sort(list_intersect(ta, tb)) AS s FROM best)")
+_ALIKE = "alike AS (SELECT i.incident_id, attack_type, initial_vector, t, CAST(m AS BIGINT) AS m, CAST(m & 4128 AS BIGINT) AS c FROM incidents i JOIN (SELECT incident_id, list_sort(list(DISTINCT technique)) AS t, bit_or(1 << rank) AS m FROM facts GROUP BY 1) USING (incident_id)), every AS (SELECT a.incident_id AS query, b.incident_id AS doc, a.t AS ta, b.t AS tb, a.m & b.m AS k, a.c & b.c AS c, a.attack_type = b.attack_type AS same, a.attack_type AS kind, a.initial_vector = b.initial_vector AND a.initial_vector <> 'unknown' AS entry, a.initial_vector AS way, CAST(bit_count(a.m & b.m) AS DOUBLE) / bit_count(a.m | b.m) AS jk, len(list_intersect(a.t, b.t)) AS n FROM alike a JOIN alike b ON a.incident_id <> b.incident_id WHERE a.incident_id % 20 = 0), scored AS (SELECT *, round(0.45::DOUBLE * (CAST(n AS DOUBLE) / (len(ta) + len(tb) - n)) + 0.20::DOUBLE * jk + CASE WHEN same THEN 0.18::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN entry THEN 0.10::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN c > 0 THEN 0.07::DOUBLE ELSE 0.0::DOUBLE END, 6) AS structure FROM every), best AS (SELECT *, list_sort(list_intersect(ta, tb)) AS s, list_transform(list_filter(range(14), lambda x: k & (1 << x) > 0), lambda x: CAST(x AS VARCHAR)) AS p, list_transform(list_filter(range(14), lambda x: c & (1 << x) > 0), lambda x: CAST(x AS VARCHAR)) AS h FROM (SELECT * FROM scored WHERE structure > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY structure DESC, doc) <= 3))"
+
+
+@query("rnk08_structural_score", f"WITH {_ALIKE} SELECT query, doc, structure, array_to_string(list_filter([CASE WHEN n > 0 THEN n || ' shared ATT&CK technique(s): ' || array_to_string(s[1:4], ', ') || CASE WHEN n > 4 THEN ' (+' || (n - 4) || ' more)' ELSE '' END END, CASE WHEN len(p) >= 2 THEN 'Overlapping kill-chain phases: ' || array_to_string(p[1:4], ', ') END, CASE WHEN same THEN 'Same attack type: ' || replace(kind, '_', ' ') END, CASE WHEN entry THEN 'Same initial vector: ' || replace(way, '_', ' ') END, CASE WHEN len(h) > 0 THEN 'Same vulnerability exploited: ' || array_to_string(h[1:3], ', ') END], lambda x: x IS NOT NULL), '; ') AS reasons FROM best")
 def structural_score(spark, d):
-    why = memory.reasons((F.col("ta"), F.col("tb")), (F.col("aa"), F.col("ab")), (F.col("va"), F.col("vb")))
-    best = memory.top_k(_structure(_pairs(spark, d)), 3, score="structure")
+    """Incidents with an id divisible by 20 ask all others."""
+    rows = _sets(spark, d).select(F.col("incident_id").alias("doc"), F.col("t").alias("techniques"), F.col("k").alias("tactics"), "attack_type", "initial_vector", F.col("c").alias("cves"))
+    best = memory.structural_top_k(rows.where("doc % 20 = 0").withColumnRenamed("doc", "query"), rows, 3, staged)
+    why = memory.reasons(*((F.col(f"a_{c}"), F.col(c)) for c in memory.FINGERPRINT))
     return best.select("query", "doc", "structure", F.array_join(why, "; ").alias("reasons"))
 
 
@@ -520,7 +525,11 @@ def preservation(spark, d):
     return evaluation.preserved(raw, changed, "incident_id", ["attack_type", "initial_vector"])
 
 
-@query("evl08_held_out_split")
+#: CRC-32 of a text, byte by byte and bit by bit.
+_CRC = "xor(list_reduce(list_concat([4294967295], list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+
+
+@query("evl08_held_out_split", f"SELECT source, count(*) AS n, {_CRC.format('source')} % 5 = 0 AS held_out FROM documents GROUP BY 1", ctes=False)
 def held_out_split(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n")).withColumn("held_out", evaluation.held_out(F.col("source")))
 
