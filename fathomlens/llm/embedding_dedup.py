@@ -6,8 +6,8 @@ filed. A query visits cells in the order of the sum of its squared distances to
 words (the multi-sequence order). How many cells it visits is measured: brute force over a sample of queries
 against all rows gives the rank of the cell of every true partner, and the
 visits are the least number at which the mean recall of the queries that have partners reaches TARGET. Samples
-grow until ENOUGH queries have partners. Where even the largest has fewer, nothing is estimated: the grid is made coarser
-and a query visits every cell that can hold a partner at all (its half-spaces are near enough), which finds all.
+grow until ENOUGH queries have partners. Where even the largest has fewer, partners are made: at the least cosine, the hardest to find, in random
+directions. So the visits follow from the data and the threshold alone, and never become all cells because partners are rare.
 
 Visits and filed vectors meet by cell, in blocks of bounded size, so a cell with a third of all
 vectors is spread over many tasks. A task returns counts of links and, instead of all
@@ -31,6 +31,8 @@ from .shared import components, cut, key_runs, long_lists, table, tidy
 #: how many queries with partners are enough.
 TRAIN, PROBES, ENOUGH = 16_384, (256, 2048, 16_384), 100
 TARGET = 0.995
+#: Queries whose id is divisible by UNSEEN measure the recall, a bounded sample of them as of the others; how many partners are made.
+UNSEEN, LEAST_RECALL, MADE = 20, 0.9, 2048
 CELL = 16
 BLOCK = 2048
 _SLACK = 1e-12
@@ -80,20 +82,6 @@ class MultiIndex:
         cells = near_a[:, i] * self.k + near_b[:, j]
         return np.take_along_axis(cells, np.argsort(sums, 1, kind="stable")[:, :count], 1)
 
-    def reaching(self, rows: np.ndarray, least: float) -> list[np.ndarray]:
-        """All cells of each row in which a vector of cosine `least` or more can be filed.
-
-        What is filed at word i lies on i's side of the plane between i and the row's nearest word, so its distance from
-        the row is that of the plane at least; both halves' squares add up to 2 - 2 * cosine."""
-        bounds = []
-        for near, words in zip(self.sides(rows), (self.one, self.two), strict=True):
-            first = near.argmin(1)
-            apart = np.sqrt(np.maximum(distances(words, words), 0))[first]
-            gap = near - near.min(1, keepdims=True)
-            bounds.append(np.where(apart > 1e-6, gap / (2 * np.maximum(apart, 1e-6)), 0) ** 2)
-        most = 2 - 2 * least + 1e-9
-        return [np.flatnonzero(a[:, None] + b[None, :] <= most) for a, b in zip(*bounds, strict=True)]
-
     def ranks(self, rows: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """Place of each of the `cells` in the order of the row beside it."""
         a, b = self.sides(rows)
@@ -172,7 +160,7 @@ def _meet(least: float, size: int):
 
 
 def near_embeddings(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """One row for each row of `vectors`: vec_id, n_links, component_id, kept, and recall, the measured one of the index (1 where it finds all).
+    """One row for each row of `vectors`: vec_id, n_links, component_id, kept, and recall: the share of their partners that queries which had no part in choosing the visits find (1 where they have none).
 
     Two vectors are linked if found and their cosine, in double precision, is `least` or more (exact but for
     rounding of 1e-12). n_links counts the other rows linked directly, copies included. Vectors that are null, empty, zero, or
@@ -204,7 +192,7 @@ def _of_one_size(rows: DataFrame, size: int, least: float) -> DataFrame:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 unit = _unit(_matrix(part.column(0)))
-                visits = list(sent.value.visits(unit, count)) if count else sent.value.reaching(unit, least)
+                visits = list(sent.value.visits(unit, count))
                 ends = np.concatenate(([0], np.cumsum([len(x) for x in visits]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(visits)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sent.value.cell(unit)), lists], ["embedding", "rep", "copies", "home", "visits"])
@@ -233,31 +221,54 @@ def _of_one_size(rows: DataFrame, size: int, least: float) -> DataFrame:
 
 
 def _fit(classes: DataFrame, size: int, least: float) -> tuple[MultiIndex, int, float]:
-    """(index, cells to visit or 0 for all that can hold a partner, recall on the measured queries).
+    """(index, cells to visit, recall on other queries).
 
-    Codebooks come from at most TRAIN vectors, the visits from queries compared with all rows by brute
-    force in the tasks, which return counts by query and rank."""
+    Codebooks come from at most TRAIN vectors, the visits from queries compared with all rows by brute force in the tasks, which return counts by query and
+    rank. Where too few of these have partners, made ones at the least cosine, in random directions, take their place (see `_made`); nothing then depends on how many
+    partners there are. The recall is measured on queries whose id is divisible by UNSEEN, which had no part in either; if it is below LEAST_RECALL, they are
+    heeded too."""
     total = classes.count()
-    rank = F.xxhash64(F.lit(5), "rep")
-    ordered = lambda n: classes.where(F.pmod(rank, F.lit(1 << 20)) < math.ceil(2 * n / total * (1 << 20))).orderBy(rank).limit(n)
-    sample = _unit(_matrix(ordered(TRAIN).select("embedding").toArrow().column(0)))
+    rank, unseen = F.xxhash64(F.lit(5), "rep"), F.col("rep") % UNSEEN == 0
+    ordered = lambda rows, n: rows.where(F.pmod(rank, F.lit(1 << 20)) < math.ceil(2 * n / total * (1 << 20))).orderBy(rank).limit(n)
+    sample = _unit(_matrix(ordered(classes, TRAIN).select("embedding").toArrow().column(0)))
     k = int(np.clip(round(math.sqrt(total / CELL)), 2, max(2, len(sample) // 8)))
     index = MultiIndex(sample, k)
     for probes in PROBES:
-        ranks, share = _measure(classes, index, ordered(probes).select("rep", "embedding").toArrow(), least)
+        ranks, share = _measure(classes, index, ordered(classes.where(~unseen), probes).select("rep", "embedding").toArrow(), least)
         if probes >= total or share.sum() >= ENOUGH - 0.5:
             break
-    else:
-        # Cells of about a block, as a query may visit most of them.
-        return MultiIndex(sample, int(np.clip(round(math.sqrt(total / BLOCK)), 2, k))), 0, 1.0
-    if not len(ranks):  # every row was asked, and none has a partner
-        return index, 1, 1.0
-    order = np.argsort(ranks)
-    reached = share[order].cumsum() / share.sum()
-    # A few cells more than measured, as the queries are a sample.
-    need = int(ranks[order][min(np.searchsorted(reached, TARGET), len(order) - 1)]) + 1
-    count = min(max(4, need + need // 4), k * k)
-    return index, count, float(share[ranks < count].sum() / share.sum())
+    if share.sum() < ENOUGH - 0.5:
+        made, weight = _made(index, sample[:MADE], least)
+        ranks, share = np.concatenate((ranks, made)), np.concatenate((share, weight))
+
+    def need(ranks: np.ndarray, share: np.ndarray) -> int:
+        order = np.argsort(ranks)
+        reached = share[order].cumsum() / share.sum()
+        found = int(ranks[order][min(np.searchsorted(reached, TARGET), len(order) - 1)]) + 1
+        return min(max(4, found + found // 4), k * k)  # a few cells more than measured, as the queries are a sample
+
+    count = need(ranks, share)
+    ranks, share = _measure(classes, index, ordered(classes.where(unseen), PROBES[-1]).select("rep", "embedding").toArrow(), least)
+    recall = lambda: float(share[ranks < count].sum() / share.sum()) if len(ranks) else 1.0
+    if recall() < LEAST_RECALL:
+        count = max(count, need(ranks, share))
+    return index, count, recall()
+
+
+def _made(index: MultiIndex, rows: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(ranks, weights) of one made partner for each row, of cosine `least`: the rank at which the pair is seen from either side."""
+    rng = np.random.default_rng(7)
+    beside = rng.normal(size=rows.shape)
+    beside -= (beside * rows).sum(1, keepdims=True) * rows
+    size = np.sqrt((beside**2).sum(1, keepdims=True))
+    rows, beside = rows[size[:, 0] > 1e-9], (beside / np.maximum(size, 1e-9))[size[:, 0] > 1e-9]  # vectors of one component have no other direction
+    partners = _unit(least * rows + math.sqrt(1 - least * least) * beside) if len(rows) else rows
+    if not len(rows):
+        return np.zeros(1, np.int64), np.ones(1)
+    parts = np.array_split(np.arange(len(rows)), len(rows) // 512 + 1)
+    there = np.concatenate([index.ranks(rows[p], index.cell(partners[p])) for p in parts])
+    back = np.concatenate([index.ranks(partners[p], index.cell(rows[p])) for p in parts])
+    return np.minimum(there, back), np.ones(len(rows))
 
 
 def _measure(classes: DataFrame, index: MultiIndex, asked: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -303,4 +314,4 @@ def _ranks_once(index: MultiIndex, rows: np.ndarray, keys: np.ndarray) -> np.nda
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_embeddings(table(spark, sf_dir, "embeddings")).drop("recall")
+    return near_embeddings(table(spark, sf_dir, "embeddings"))

@@ -62,7 +62,7 @@ _OP5 = f"""WITH RECURSIVE v AS (
 ), links AS (
     SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.9
 ), {_REACH}
-SELECT v.vec_id, coalesce(l.n, 0) AS n_links, least(v.vec_id, coalesce(c.low, v.vec_id)) AS component_id, v.vec_id <= coalesce(c.low, v.vec_id) AS kept
+SELECT v.vec_id, coalesce(l.n, 0) AS n_links, least(v.vec_id, coalesce(c.low, v.vec_id)) AS component_id, v.vec_id <= coalesce(c.low, v.vec_id) AS kept, 1.0::DOUBLE AS recall
 FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY 1) l ON l.a = v.vec_id LEFT JOIN (SELECT node, min(other) AS low FROM reach GROUP BY 1) c ON c.node = v.vec_id"""
 
 
