@@ -21,6 +21,15 @@ from fathomlens.llm.shared import cut, held_out, table
 
 #: A document goes if its largest language share is below this.
 LEAST_SHARE = 0.5
+#: Rows that a Python worker is given at once, where the session has Spark's default: with texts of some KB, 10000 rows are tens of MB in the executor and again in each worker.
+BATCH_ROWS = 1000
+_ROWS_AT_ONCE = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Set BATCH_ROWS for the session, unless the caller has set a number."""
+    if spark.conf.get(_ROWS_AT_ONCE) == "10000":
+        spark.conf.set(_ROWS_AT_ONCE, BATCH_ROWS)
 
 
 def _filtered(docs: DataFrame, added: tuple[str, ...], judge: Callable[[DataFrame], DataFrame], keep: Column) -> DataFrame:
@@ -34,6 +43,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Keeps documents in a learned language that has half of their words or more.
 
     Null and empty texts and those without a letter have no language and go; so do all if no row has a lang to learn from."""
+    _small_batches(spark)
     model = language_id.fit(docs.where(~held_out(F.col("doc_id"))))
     keep = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SHARE)
     return _filtered(docs, ("lang_pred", "score", "languages"), lambda rows: language_id.predict_languages(rows, model), keep)
@@ -44,6 +54,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts get the score of a text without words (the model's bias), and go unless that is one of quality; nothing stays if
     nothing is labelled. Rows without an id are scored, but teach nothing."""
+    _small_batches(spark)
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
     model = quality.fit(docs, labels)
     return _filtered(docs, ("score", "predicted"), lambda rows: quality.score_quality(rows, model), F.col("predicted") == 1)
@@ -54,6 +65,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows without an id, and null, empty and blank texts are near nothing and stay. Different texts of one id belong together: they
     stay or go as one document. Of rows that repeat an id and a text, the first by its columns as JSON stays."""
+    _small_batches(spark)
     judged = near_duplicates(docs, k=5, percent=80).where("doc_id is not null").groupBy("doc_id")
     judged = cut(judged.agg(F.max(~F.col("kept")).alias("gone"), F.count("*").alias("n")).where("gone or n > 1"))
     ids = judged.select(F.col("doc_id").alias("judged id"), "gone", "n")
@@ -71,6 +83,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that hold no passage of the benchmark. Null and empty texts hold none and stay."""
+    _small_batches(spark)
     benchmark = table(spark, sf_dir, "benchmark")
     return _filtered(docs, ("matches",), lambda rows: benchmark_matches(rows, benchmark), F.size("matches") == 0)
 
@@ -79,6 +92,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_tokens, ids and decoded (the text that the ids stand for) of each document, with its other columns but the text.
 
     A null or empty text has no ids and an empty decoded text. The caller's columns of the three names give way."""
+    _small_batches(spark)
     rest = [c for c in docs.columns if c.lower() not in ("text", "n_tokens", "ids", "decoded")]
     coded = bpe_round_trip(docs.select(*rest, "text"), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select(*rest, F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
