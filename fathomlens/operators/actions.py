@@ -38,14 +38,15 @@ def coverage(observed: DataFrame, edges: DataFrame, limit: int = 10) -> DataFram
     """Controls by the number of observed techniques that they cover, for each query.
 
     observed (query, technique), edges (control, technique). A sub-technique without a control of its own is covered by
-    its parent's. Most first, ties by control."""
+    its parent's. Most first, ties by control. Which controls a technique has is settled once for each different technique; the observed rows meet it in one join."""
     seen = observed.distinct()
-    own = seen.join(edges, "technique").select("query", "technique", "control")
-    bare = seen.join(edges.select("technique").distinct(), "technique", "left_anti")
-    parents = bare.withColumn("parent", family(F.col("technique"))).where("parent <> technique")
-    inherited = parents.join(edges.withColumnRenamed("technique", "parent"), "parent").select("query", "technique", "control")
-    counts = own.union(inherited).groupBy("query", "control").agg(F.count_distinct("technique").alias("covers"), F.array_join(F.sort_array(F.collect_set("technique")), ",").alias("techniques"))
+    listed = edges.groupBy("technique").agg(F.collect_set("control").alias("controls"))
+    each = seen.select("technique").distinct().withColumn("parent", family(F.col("technique")))
+    inherited = listed.select(F.col("technique").alias("parent"), F.col("controls").alias("parents"))
+    known = each.join(listed, "technique", "left").join(inherited, "parent", "left").select("technique", F.coalesce("controls", "parents").alias("controls")).where("controls is not null")
+    counts = seen.join(known, "technique").select("query", "technique", F.explode("controls").alias("control")).groupBy("query", "control").agg(F.sort_array(F.collect_list("technique")).alias("t"))
     order = Window.partitionBy("query").orderBy(F.desc("covers"), "control")
+    counts = counts.select("query", "control", F.size("t").cast("long").alias("covers"), F.array_join("t", ",").alias("techniques"))
     return counts.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= limit)
 
 
@@ -85,6 +86,21 @@ def same_entry(query: DataFrame, matches: DataFrame, limit: int = 3) -> DataFram
     return rows.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= limit)
 
 
+def entry_details(matches: DataFrame, facts: DataFrame, actions: DataFrame, names: int = 6, best: int = 3) -> DataFrame:
+    """`matches` (…, incident_id) with chain, the incident's tactics in order, techniques, its first `names` by id, and worked, its `best` most effective actions (ties by position).
+
+    facts (incident_id, rank, tactic, technique), actions (incident_id, position, action, effectiveness). Each incident is looked up once, however many queries match it."""
+    needed = matches.select("incident_id").distinct()
+    own = facts.join(needed, "incident_id", "left_semi")
+    chain = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("rank", "tactic"))), lambda x: x["tactic"]), " > ").alias("chain")
+    told = own.groupBy("incident_id").agg(chain, F.array_join(F.slice(F.array_sort(F.collect_set("technique")), 1, names), ", ").alias("techniques"))
+    order = Window.partitionBy("incident_id").orderBy(F.desc(F.coalesce("effectiveness", F.lit(0.0))), "position", "action")
+    few = actions.join(needed, "incident_id", "left_semi").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= best)
+    worked = few.groupBy("incident_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "action"))), lambda x: x["action"]), "; ").alias("worked"))
+    rows = matches.join(told, "incident_id", "left").join(worked, "incident_id", "left")
+    return rows.withColumns({c: F.coalesce(c, F.lit("")) for c in ("chain", "techniques", "worked")})
+
+
 def next_steps(reached: DataFrame, stages: DataFrame, limit: int = 4) -> DataFrame:
     """Stages that similar incidents reached after the query's furthest one.
 

@@ -172,6 +172,43 @@ def signature(facts: DataFrame, doc: str, attack: str, rank: str, technique: str
     return rows.groupBy(doc, attack).agg(chain.alias("c")).select(doc, F.concat(F.upper(F.coalesce(attack, F.lit("unknown"))), F.lit(" | "), "c").alias("signature"))
 
 
+def signature_text(attack: Column, techniques: Column, impacts: Column, most: int = 6, harms: int = 4) -> Column:
+    """TYPE | tactic:technique > … | impact:a+b of techniques (array of structs confidence, technique, rank, tactic) and impacts.
+
+    The `most` surest techniques (ties by id) in kill-chain order; none: no-techniques; one without a tactic counts as unmapped and comes last."""
+    surest = F.slice(F.array_sort(F.transform(techniques, lambda t: F.struct((-t["confidence"]).alias("c"), t["technique"].alias("t"), t["rank"].alias("r"), t["tactic"].alias("n")))), 1, most)
+    order = F.array_sort(F.transform(surest, lambda t, i: F.struct(F.coalesce(t["r"], F.lit(1 << 30)).alias("r"), i.alias("i"), F.concat(F.coalesce(t["n"], F.lit("unmapped")), F.lit(":"), t["t"]).alias("step"))))
+    chain = F.array_join(F.transform(order, lambda t: t["step"]), " > ")
+    harm = F.array_join(F.slice(impacts, 1, harms), "+")
+    some = lambda text, none: F.when(text != "", text).otherwise(none)
+    return F.concat(F.upper(F.coalesce(attack, F.lit("unknown"))), F.lit(" | "), some(F.coalesce(chain, F.lit("")), "no-techniques"), F.lit(" | impact:"), some(F.coalesce(harm, F.lit("")), "none"))
+
+
+def enriched(own: dict[str, Column], extra: dict[str, Column], types: list[str], impacts: list[str]) -> dict[str, Column]:
+    """attack_type, initial_vector and impacts of the rules with what an enrichment adds: a type only where the rules have none and only a known one, the way in with it
+    where it is one, known impacts behind the rules' own."""
+    open_ = (F.coalesce(own["attack_type"], F.lit("unknown")) == "unknown") & F.coalesce(extra["attack_type"].isin(types), F.lit(False))
+    vector = F.coalesce(own["initial_vector"], F.lit("unknown"))
+    more = F.filter(F.coalesce(extra["impacts"], F.array().cast("array<string>")), lambda x: x.isin(impacts))
+    return {
+        "attack_type": F.when(open_, extra["attack_type"]).otherwise(F.coalesce(own["attack_type"], F.lit("unknown"))),
+        "initial_vector": F.when(open_ & (vector == "unknown") & extra["attack_type"].isin(VECTORS), extra["attack_type"]).otherwise(vector),
+        "impacts": F.array_distinct(F.concat(F.coalesce(own["impacts"], F.array().cast("array<string>")), more)),
+    }
+
+
+def broken_invariants(techniques: Column, impacts: Column, embedded: Column, known: list[str]) -> Column:
+    """What a stored fingerprint must never show, as texts: techniques (array of structs technique, evidence) with an id of another form or without evidence, unknown impacts, and
+    redaction tokens or mail addresses in the text that is vectorised."""
+    ids = F.transform(F.filter(techniques, lambda t: ~F.coalesce(t["technique"].rlike(r"^T\d{4}(?:\.\d{3})?\z"), F.lit(False))), lambda t: F.concat(F.lit("invalid technique id: "), F.coalesce(t["technique"], F.lit(""))))
+    bare = F.transform(F.filter(techniques, lambda t: F.coalesce(t["evidence"], F.lit("")) == ""), lambda t: F.concat(F.coalesce(t["technique"], F.lit("")), F.lit(" has no supporting evidence")))
+    harms = F.transform(F.filter(impacts, lambda x: ~x.isin(known)), lambda x: F.concat(F.lit("unknown impact: "), x))
+    text = F.coalesce(embedded, F.lit(""))
+    shown = F.when(text.contains("REDACTED"), F.array(F.lit("embedding_text contains redaction tokens"))).otherwise(F.array().cast("array<string>"))
+    mail = F.when(text.rlike(r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"), F.array(F.lit("embedding_text contains an email address"))).otherwise(F.array().cast("array<string>"))
+    return F.concat(ids, bare, harms, shown, mail)
+
+
 def embedding_text(attack: Column, vector: Column, techniques: Column, impacts: Column) -> Column:
     """The only text that is ever vectorised: labels of closed vocabularies in a fixed template."""
     return F.format_string("type %s; entry %s; techniques %s; impact %s", attack, vector, F.array_join(techniques, " "), F.array_join(impacts, " "))

@@ -7,11 +7,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import mask_value
 from ..functions.vocabulary import FUNCTION_WORDS, NO_ORGANISATIONS, SECURITY_ACRONYMS, TECH_PREFIXES
@@ -324,13 +327,18 @@ def gate(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where(clean), checked.where(~clean)
 
 
+@F.pandas_udf(T.StringType())
+def _canonical(names: pd.Series) -> pd.Series:
+    return names.map(lambda n: n if n is None else " ".join(unicodedata.normalize("NFKC", n).casefold().split()))
+
+
 def pseudonym(name: Column, key: bytes) -> Column:
-    """HMAC-SHA256 of the lower-cased name with single spaces, in hex; null where it is blank.
+    """HMAC-SHA256 of the name in its compatibility form (NFKC), without case and with single spaces, in hex; null where it is blank.
 
-    Built from SHA-2 as RFC 2104 says. Compatibility forms of letters are not unified."""
+    Built from SHA-2 as RFC 2104 says. Only the form of the name is made in Python: there is no expression for it."""
     key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
     inner, outer = (bytes(b ^ p for b in key) for p in (0x36, 0x5C))
-    clean = F.trim(F.regexp_replace(F.lower(name), r"\s+", " "))
+    clean = _canonical(name)
     first = F.unhex(F.sha2(F.concat(F.lit(inner), clean.cast("binary")), 256))
     return F.when(clean != "", F.sha2(F.concat(F.lit(outer), first), 256))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import family
 from .memory import FLOORS
 
 
@@ -31,6 +32,35 @@ def controls(techniques: Column, rules: list[tuple[list[str], str]], most: int =
     return F.when(F.size(found) > 0, F.slice(found, 1, most)).otherwise(F.array(F.lit(default)))
 
 
+# Which techniques call for which headline control, in this order.
+HEADLINE_RULES = [
+    (["T1566", "T1078", "T1110", "T1621"], "Phishing-resistant MFA"),
+    (["T1566", "T1204"], "URL filtering and attachment detonation"),
+    (["T1078", "T1621", "T1110"], "Identity monitoring and conditional access"),
+    (["T1486", "T1490", "T1485"], "Immutable offline backups with rehearsed restore"),
+    (["T1059", "T1027", "T1218"], "Script-block logging and application control"),
+    (["T1021", "T1550"], "Network segmentation and privileged access workstations"),
+    (["T1041", "T1567", "T1048"], "Egress filtering and DLP on outbound transfers"),
+    (["T1562", "T1070"], "EDR tamper protection and off-host log forwarding"),
+    (["T1190", "T1133"], "Patch SLAs for internet-facing services and WAF coverage"),
+]
+BASELINE_CONTROL = "Baseline logging, MFA and network segmentation"
+
+
+def headline_controls(techniques: Column) -> Column:
+    """At most four controls of HEADLINE_RULES that the techniques or their families call for, else BASELINE_CONTROL."""
+    return controls(F.array_distinct(F.concat(techniques, F.transform(techniques, family))), HEADLINE_RULES, default=BASELINE_CONTROL)
+
+
+def expected(injects: DataFrame, detections: DataFrame, responses: DataFrame, signal: str = "No rule known", source: str = "unknown", action: str = "Decide the next action and its owner") -> DataFrame:
+    """`injects` with the detection of each one's first technique (detections: technique, signal, source) and the response actions of its tactic (responses: rank, position, action), or the
+    defaults."""
+    first = injects.withColumn("technique", F.substring_index("techniques", ",", 1))
+    listed = responses.groupBy("rank").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "action"))), lambda x: x["action"]), "; ").alias("actions"))
+    rows = first.join(detections.groupBy("technique").agg(F.min_by(F.struct("signal", "source"), F.struct("signal", "source")).alias("d")), "technique", "left").join(listed, "rank", "left")
+    return rows.select(*injects.columns, F.coalesce("d.signal", F.lit(signal)).alias("signal"), F.coalesce("d.source", F.lit(source)).alias("source"), F.coalesce("actions", F.lit(action)).alias("actions"))
+
+
 def duration(n_injects: Column) -> Column:
     """Minutes: 30 and 10 for each inject, 120 at most."""
     return F.least(30 + 10 * n_injects, F.lit(120)).cast("long")

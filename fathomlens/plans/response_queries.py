@@ -229,3 +229,37 @@ def success_criteria(spark, d):
     rows = _doc_facts(spark, d).groupBy("doc").agg(F.count_distinct("rank").alias("n"), *[F.bool_or(F.col("rank") == r).alias(f"r{r}") for r in (5, 12, 13)])
     found = rows.select("doc", tabletop.success_criteria(F.col("n"), F.col("r13"), F.col("r12"), F.when(F.col("r5"), F.array(F.lit("CVE-2024-0001"))).otherwise(F.array())).alias("c"))
     return found.select("doc", F.size("c").alias("criteria"), F.get("c", F.lit(0)).alias("first"))
+
+
+_ALL = "array_to_string(CASE WHEN len(c) = 0 THEN ['{0}'] ELSE c[1:4] END, '; ')".format(tabletop.BASELINE_CONTROL)
+_CASES = ", ".join(f"CASE WHEN bool_or(f IN ({', '.join(repr(x) for x in t)})) THEN '{c}' END" for t, c in tabletop.HEADLINE_RULES)
+
+
+@query("sim03_nine_rules", f"SELECT doc, {_ALL} AS controls FROM (SELECT doc, list_filter([{_CASES}], lambda x: x IS NOT NULL) AS c FROM (SELECT incident_id AS doc, split_part(technique, '.', 1) AS f FROM facts) GROUP BY 1)")
+def nine_rules(spark, d):
+    sets = _doc_facts(spark, d).groupBy("doc").agg(F.collect_set("technique").alias("t"))
+    return sets.select("doc", F.array_join(tabletop.headline_controls(F.col("t")), "; ").alias("controls"))
+
+
+_FIRST = "SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY rank) AS place, rank, string_agg(technique, ',' ORDER BY technique) AS techniques, min(technique) AS technique FROM (SELECT DISTINCT incident_id AS doc, rank, technique FROM facts QUALIFY dense_rank() OVER (PARTITION BY doc, rank ORDER BY technique) <= 2) GROUP BY 1, 3"
+
+
+@query("sim01_expected_detections", f"WITH i AS ({_FIRST}) SELECT doc, place, techniques, CASE WHEN p_size IS NULL THEN 'No rule known' ELSE 'signal ' || p_size END AS signal, coalesce(p_brand, 'unknown') AS source, CASE WHEN rank % 3 = 0 THEN 'first ' || rank || '; second ' || rank ELSE 'Decide the next action and its owner' END AS actions FROM i LEFT JOIN (SELECT p_partkey, p_size, p_brand FROM part WHERE p_partkey < 60 AND p_partkey % 2 = 0) ON technique = 'T' || (1000 + p_partkey)")
+def expected_detections(spark, d):
+    known = table(spark, d, "part").where("p_partkey < 60 and p_partkey % 2 = 0")
+    known = known.select(F.concat(F.lit("T"), (F.col("p_partkey") + 1000).cast("string")).alias("technique"), F.concat(F.lit("signal "), F.col("p_size").cast("string")).alias("signal"), F.col("p_brand").alias("source"))
+    name = lambda n: F.concat(F.lit(f"{n} "), F.col("id").cast("string"))
+    responses = spark.range(0, 14, 3).select(F.col("id").alias("rank"), F.explode(F.array(F.struct(F.lit(2).alias("position"), name("second").alias("action")), F.struct(F.lit(1).alias("position"), name("first").alias("action")))).alias("r")).select("rank", "r.*")
+    rows = tabletop.expected(tabletop.injects(_doc_facts(spark, d), _prompts(spark)), known, responses)
+    return rows.select("doc", "place", "techniques", "signal", "source", "actions")
+
+
+_ENTRY = f"{_MATCHES}, v AS (SELECT incident_id, initial_vector FROM incidents), e AS (SELECT m.query, m.incident_id FROM m JOIN v a ON a.incident_id = m.incident_id JOIN v b ON b.incident_id = m.query AND b.initial_vector = a.initial_vector AND b.initial_vector <> 'unknown' QUALIFY row_number() OVER (PARTITION BY m.query ORDER BY m.similarity DESC, m.incident_id) <= 3)"
+
+
+@query("rnk17_entry_details", f"WITH {_ENTRY}, c AS (SELECT incident_id, string_agg('stage ' || rank, ' > ' ORDER BY rank) AS chain FROM (SELECT DISTINCT incident_id, rank FROM facts) GROUP BY 1), t AS (SELECT incident_id, string_agg(technique, ', ' ORDER BY technique) AS techniques FROM (SELECT DISTINCT incident_id, technique FROM facts QUALIFY dense_rank() OVER (PARTITION BY incident_id ORDER BY technique) <= 6) GROUP BY 1), w AS (SELECT incident_id, string_agg(trim(action), '; ' ORDER BY n) AS worked FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY coalesce(effectiveness, 0) DESC, position, trim(action)) AS n FROM actions QUALIFY n <= 3) GROUP BY 1) SELECT query, incident_id, coalesce(chain, '') AS chain, coalesce(techniques, '') AS techniques, coalesce(worked, '') AS worked FROM e LEFT JOIN c USING (incident_id) LEFT JOIN t USING (incident_id) LEFT JOIN w USING (incident_id)")
+def entry_details(spark, d):
+    vectors = table(spark, d, "incidents").select("incident_id", "initial_vector")
+    found = act.same_entry(vectors.withColumnRenamed("incident_id", "query"), _matches(spark, d).drop("place").join(vectors, "incident_id")).select("query", "incident_id")
+    facts = table(spark, d, "facts").withColumn("tactic", F.concat(F.lit("stage "), F.col("rank").cast("string")))
+    return act.entry_details(found, facts, table(spark, d, "actions").withColumn("action", F.trim("action")))

@@ -319,6 +319,37 @@ def signature(spark, d):
     return fingerprint.signature(rows, "incident_id", "attack_type", "rank", "technique")
 
 
+@query("dna12_signature_with_impacts", f"WITH f AS (SELECT incident_id, technique, min(rank) AS rank, max(ord) AS ord FROM facts GROUP BY 1, 2), g AS (SELECT incident_id, string_agg({_TACTIC} || ':' || technique, ' > ' ORDER BY rank, ord DESC, technique) AS chain FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY ord DESC, technique) <= 6) GROUP BY 1) SELECT incident_id, upper(coalesce(attack_type, 'unknown')) || ' | ' || coalesce(chain, 'no-techniques') || ' | impact:' || coalesce(severity, 'none') AS signature FROM incidents LEFT JOIN g USING (incident_id)")
+def signature_with_impacts(spark, d):
+    """The order of a line item stands in for its confidence."""
+    order = F.array(*map(F.lit, fingerprint.TACTICS))
+    rows = table(spark, d, "facts").groupBy("incident_id", "technique").agg(F.min("rank").alias("rank"), F.max("ord").alias("confidence"))
+    rows = rows.withColumn("tactic", F.element_at(order, (F.col("rank") + 1).cast("int"))).groupBy("incident_id").agg(F.collect_list(F.struct("confidence", "technique", "rank", "tactic")).alias("t"))
+    harm = F.when(F.col("severity").isNull(), F.array().cast("array<string>")).otherwise(F.array("severity"))
+    found = table(spark, d, "incidents").join(rows, "incident_id", "left")
+    return found.select("incident_id", fingerprint.signature_text(F.col("attack_type"), F.col("t"), harm).alias("signature"))
+
+
+@query("dna15_enriched_lists", "SELECT incident_id, CASE WHEN attack_type IS NULL AND incident_id % 3 < 2 THEN CASE incident_id % 3 WHEN 0 THEN 'phishing' ELSE 'ransomware' END ELSE coalesce(attack_type, 'unknown') END AS attack_type, CASE WHEN attack_type IS NULL AND incident_id % 3 = 0 AND initial_vector = 'unknown' THEN 'phishing' ELSE initial_vector END AS initial_vector, array_to_string(list_concat(CASE WHEN severity IS NULL THEN [] ELSE [severity] END, CASE WHEN coalesce(severity, '') = 'high' THEN [] ELSE ['high'] END), ',') AS impacts FROM incidents")
+def enriched_lists(spark, d):
+    rows = table(spark, d, "incidents")
+    kind = F.when(F.col("incident_id") % 3 == 0, "phishing").when(F.col("incident_id") % 3 == 1, "ransomware").otherwise("never heard of")
+    own = {"attack_type": F.col("attack_type"), "initial_vector": F.col("initial_vector"), "impacts": F.array_compact(F.array("severity"))}
+    more = fingerprint.enriched(own, {"attack_type": kind, "impacts": F.array(F.lit("high"), F.lit("odd one"))}, ["phishing", "ransomware"], ["high", "low"])
+    return rows.select("incident_id", more["attack_type"].alias("attack_type"), more["initial_vector"].alias("initial_vector"), F.array_join(more["impacts"], ",").alias("impacts"))
+
+
+@query("dna17_invariants", "SELECT incident_id, array_to_string(list_filter([CASE WHEN incident_id % 5 = 0 THEN 'invalid technique id: X' || incident_id END, CASE WHEN incident_id % 7 = 0 THEN 'T1001.002 has no supporting evidence' END, CASE WHEN severity = 'odd' THEN 'unknown impact: odd' END, CASE WHEN incident_id % 11 = 0 THEN 'embedding_text contains redaction tokens' END, CASE WHEN incident_id % 13 = 0 THEN 'embedding_text contains an email address' END], lambda x: x IS NOT NULL), '; ') AS broken FROM incidents")
+def invariants(spark, d):
+    n = F.col("incident_id")
+    told = lambda technique, evidence: F.struct(technique.alias("technique"), evidence.alias("evidence"))
+    first = told(F.when(n % 5 == 0, F.concat(F.lit("X"), n.cast("string"))).otherwise("T1059"), F.lit("seen"))
+    second = told(F.lit("T1001.002"), F.when(n % 7 != 0, "seen too"))
+    text = F.concat(F.col("embedding_text"), F.when(n % 11 == 0, " [ORG_REDACTED]").otherwise(""), F.when(n % 13 == 0, " to a@b.org").otherwise(""))
+    broken = fingerprint.broken_invariants(F.array(first, second), F.array_compact(F.array("severity")), text, ["low", "medium", "high", "critical"])
+    return table(spark, d, "incidents").select("incident_id", F.array_join(broken, "; ").alias("broken"))
+
+
 @query("dna13_embedding_text", "SELECT incident_id, 'type ' || coalesce(attack_type, 'unknown') || '; entry ' || initial_vector || '; techniques ' || t || '; impact ' || coalesce(severity, 'none') AS embedding_text FROM incidents JOIN (SELECT incident_id, string_agg(DISTINCT technique, ' ' ORDER BY technique) AS t FROM facts GROUP BY 1) USING (incident_id)")
 def embedding_text(spark, d):
     sets = table(spark, d, "facts").groupBy("incident_id").agg(F.array_sort(F.collect_set("technique")).alias("t"))
