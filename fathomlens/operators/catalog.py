@@ -74,10 +74,12 @@ def reindexable(incidents: DataFrame) -> DataFrame:
     return incidents.where(F.coalesce("embedding_text", F.lit("")) != "").select("incident_id", "embedding_text")
 
 
-def shareable_actions(actions: DataFrame, texts: tuple[str, ...] = ("action", "notes"), lexicon: DataFrame | None = None, staged=lambda df: df) -> DataFrame:
+def shareable_actions(actions: DataFrame, texts: tuple[str, ...] = ("action", "notes"), lexicon: DataFrame | None = None, staged=None) -> DataFrame:
     """Actions as they may be shared: their free texts trimmed and sanitised, those without an action left out.
 
-    With a lexicon (see `names`), names without a shape go too; each different text is looked at once."""
+    With a lexicon (see `names`), names without a shape go too; each different text is looked at once, and `staged` (see sources.sinks), which writes what is read twice, is needed."""
+    if lexicon is not None and staged is None:
+        raise ValueError("names are taken out with staged tables")
     shared = actions.where(F.trim("action") != "")
     for column in (c for c in texts if c in actions.columns):
         shared = shared.withColumn(column, F.trim(column))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomlens.functions import text as tx
-from fathomlens.operators import actions, evaluation, fingerprint, indicators, memory, names, overview, privacy, resemblance, tabletop
+from fathomlens.operators import actions, catalog, evaluation, fingerprint, indicators, memory, names, overview, privacy, resemblance, tabletop
 from fathomlens.plans import analyze
 from fathomlens.plans.pipeline_queries import knowledge
 from fathomlens.sources import corpora, reports, sinks
@@ -220,3 +220,31 @@ def test_streams(spark, tmp_path):
         query.stop()
     assert {(r.label, r.n) for r in spark.table("counts").collect()} == {("a", 3), ("unknown", 1)}
     assert spark.table("firsts").count() == 3
+
+
+def test_pseudonyms_of_one_name_in_several_forms(spark):
+    forms = ["Straße AG", "STRASSE  ag", " Ｓｔｒａsse AG", "ﬁrm", "firm"]
+    got = [r.p for r in spark.createDataFrame([(x,) for x in forms], "n string").select(privacy.pseudonym(F.col("n"), b"key").alias("p")).collect()]
+    assert len(set(got[:3])) == 1 and got[3] == got[4] != got[0]
+
+
+def test_many_entities_are_numbered_by_label(spark):
+    rows = spark.createDataFrame([([("IP", "a"), ("ORG", "x"), ("IP", "b"), ("IP", "c")],), ([],)], "e array<struct<label:string,value:string>>")
+    got = [[(x.value, x.number, x.token) for x in r.n] for r in rows.select(privacy.numbered(F.col("e")).alias("n")).collect()]
+    assert got == [[("a", 1, "[IP_REDACTED_1]"), ("x", 1, "[ORG_REDACTED]"), ("b", 2, "[IP_REDACTED_2]"), ("c", 3, "[IP_REDACTED_3]")], []]
+
+
+def test_self_check_knows_the_same_words_as_redaction(spark):
+    words = lambda text: spark.createDataFrame([(x,) for x in text.split()], "word string")
+    known = names.lexicon_of(ordinary=words("in phase the team saw rundll on monday and account was closed it later called from"), public=words("rundll32 phase-12"), given=words("layla"))
+    texts = ["In phase-12 the team saw rundll32 on monday, and the account was closed.", "Layla Alotaibi from Zorbank saw it. Later Layla called."]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    got = {r.doc: r for r in analyze.sanitized(rows, known).collect()}
+    assert got[0].sanitized == texts[0] and got[0].residuals == [] and got[0].names_checked
+    assert "Layla" not in got[1].sanitized and "Zorbank" not in got[1].sanitized and got[1].residuals == []
+    assert not analyze.sanitized(rows, None).first().names_checked
+    leak = names.self_check(rows.select("doc", F.col("text").alias("sanitized")), known, "doc", sinks.staged)
+    assert {r.doc: bool(r.residuals) for r in leak.collect()} == {0: False, 1: True}
+    acts = spark.createDataFrame([(1, " Call Layla Alotaibi ", None), (2, " ", "x")], "incident_id long, action string, notes string")
+    shared = catalog.shareable_actions(acts, lexicon=known, staged=sinks.staged).collect()
+    assert len(shared) == 1 and "Layla" not in shared[0].action
