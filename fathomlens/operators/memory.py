@@ -85,8 +85,9 @@ def pruned_top_k(asked: DataFrame, vectors: DataFrame, k: int, staged: Callable[
 
     asked (query, term, q), vectors (doc, term, w), both not negative. First only the best block of each of a query's terms is read; the k-th best sum of these parts is a bound from below. A document
     that is in none of the blocks read later adds less than the bound, as each term leaves unread only blocks under its share of it; so that is exact.
-    Of the documents met, those that could still reach the bound are scored in full. `staged` writes a DataFrame and reads it again."""
-    blocks = staged(posting_blocks(vectors)) if blocks is None else blocks
+    Of the documents met, those that could still reach the bound get what the blocks left out add to them; where every block was read, nothing is read again. `staged` writes a DataFrame and reads it again."""
+    if blocks is None:  # without an index that was kept, only the terms that are asked for
+        blocks = staged(posting_blocks(vectors.join(asked.select("term").distinct(), "term", "left_semi")))
     heads = blocks.select("term", "block", "best", F.size("postings").alias("n"))
     wanted = staged(asked.join(heads, "term").withColumn("most", F.col("q") * F.col("best")))
     terms = Window.partitionBy("query", "term").orderBy(F.desc("best"), "block")
@@ -105,8 +106,11 @@ def pruned_top_k(asked: DataFrame, vectors: DataFrame, k: int, staged: Callable[
     read = F.col("most") >= F.col("share")
     # what a document could add beyond the blocks that were read: for each term, its largest unread weight
     rest = chosen.groupBy("query", "term").agg(F.coalesce(F.max(F.when(~read, F.col("most"))), F.lit(0.0)).alias("rest"), F.first("bound").alias("bound")).groupBy("query").agg(F.sum("rest").alias("rest"), F.max("bound").alias("bound"))
-    met = sums(chosen.where(read)).join(rest, "query").where(F.col("part") + F.col("rest") >= F.col("bound")).select("query", "doc")
-    full = met.join(asked, "query").join(vectors, ["doc", "term"]).groupBy("query", "doc").agg(F.sum(F.col("q") * F.col("w")).alias("s"))
+    met = staged(sums(chosen.where(read)).join(rest, "query").where(F.col("part") + F.col("rest") >= F.col("bound")).select("query", "doc", "part", "rest"))
+    # what is missing of the documents that can still be among the best, from the blocks that were left out
+    left = chosen.where(~read).join(met.where("rest > 0").select("query").distinct(), "query", "left_semi")
+    more = sums(left).withColumnRenamed("part", "more")
+    full = met.join(more, ["query", "doc"], "left").select("query", "doc", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("s"))
     best = top_k(full.select("query", "doc", _rounded("s")), k)
     # both passes read a query's best blocks
     counts = chosen.groupBy("query").agg((F.sum(F.when(read, F.col("n")).otherwise(0))).cast("long").alias("postings"), F.sum("n").cast("long").alias("all"))
@@ -122,7 +126,7 @@ def tfidf_search(queries: DataFrame, memory: DataFrame, query: str, doc: str, k:
     total = F.lit(memory.count())
     counts = staged(term_counts(memory, doc, text))
     weights = staged(idf(counts, total))
-    vectors = staged(document_vectors(counts, weights))
+    vectors = document_vectors(counts, weights)
     asked = staged(query_vectors(term_counts(queries, query, text), weights, total).withColumnRenamed("w", "q"))
     return pruned_top_k(asked, vectors, k, staged)
 

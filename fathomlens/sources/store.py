@@ -107,6 +107,6 @@ class Store:
         if counts is None:
             return self.spark.createDataFrame([], "query long, doc long, score double, place long")
         weights = staged(memory.weighted(self.frequencies(), total))
-        vectors = staged(memory.document_vectors(counts.drop("batch"), weights))
+        vectors = memory.document_vectors(counts.drop("batch"), weights)
         asked = staged(memory.query_vectors(memory.term_counts(queries, query, text), weights, total).withColumnRenamed("w", "q"))
         return memory.pruned_top_k(asked, vectors, k, staged)[0]
