@@ -273,6 +273,8 @@ def _made(index: MultiIndex, rows: np.ndarray, least: float) -> tuple[np.ndarray
 
 def _measure(classes: DataFrame, index: MultiIndex, asked: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(ranks, for each the sum over queries of the share of their partners there); a query with partners sums to 1."""
+    if not asked.num_rows:
+        return np.zeros(0, np.int64), np.zeros(0)
     queries, ids = _unit(_matrix(asked.column(1))), asked.column(0).to_numpy()
     sent = classes.sparkSession.sparkContext.broadcast((index, queries, ids, index.cell(queries)))
 
