@@ -2,7 +2,7 @@
 
 Every change is a batch of tables in folders of its own; a manifest of one row, written last, is the commit. What a failed write leaves behind is in no
 manifest, so readers see the version before it. The memory is term counts by batch and changes of document frequencies, so adding and deleting
-need no rebuild. One writer at a time."""
+need no rebuild. Ids are met by sorted joins: their columns compress so well that Spark would take millions of them for small and broadcast them through the driver. One writer at a time."""
 
 from __future__ import annotations
 
@@ -46,7 +46,7 @@ class Store:
         if rows is None or gone is None:
             return rows
         # an id may be added again after it was deleted: a deletion names the batches before it
-        gone = gone.select(F.col("incident_id").alias("_id"), F.explode("from").alias("_batch"))
+        gone = gone.select(F.col("incident_id").alias("_id"), F.explode("from").alias("_batch")).hint("merge")
         return rows.join(gone, (F.col(key) == F.col("_id")) & (F.col("batch") == F.col("_batch")), "left_anti")
 
     def frequencies(self, version: int | None = None) -> DataFrame | None:
@@ -75,10 +75,10 @@ class Store:
         if ids.count() != n:
             raise ValueError("an incident has no id, or one that another has too")
         known = self.table("incidents")
-        if known is not None and not ids.join(known.select("incident_id"), "incident_id", "left_semi").isEmpty():
+        if known is not None and not ids.join(known.select("incident_id").hint("merge"), "incident_id", "left_semi").isEmpty():
             raise ValueError("an incident is in the store already")
         actions.withColumn("batch", F.lit(batch)).write.parquet(f"{self.root}/actions/{batch}")
-        if not self.spark.read.parquet(f"{self.root}/actions/{batch}").join(ids, "incident_id", "left_anti").isEmpty():
+        if not self.spark.read.parquet(f"{self.root}/actions/{batch}").join(ids.hint("merge"), "incident_id", "left_anti").isEmpty():
             raise ValueError("an action belongs to no new incident")
         text = rows.where(F.coalesce("embedding_text", F.lit("")) != "")
         terms = memory.term_counts(text, "incident_id", "embedding_text").withColumn("batch", F.lit(batch))
@@ -94,10 +94,10 @@ class Store:
         if known is None:
             return version
         batch = uuid.uuid4().hex
-        gone = known.join(ids.select("incident_id").distinct(), "incident_id", "left_semi")
+        gone = known.join(ids.select("incident_id").distinct().hint("merge"), "incident_id", "left_semi")
         gone.select("incident_id", F.array("batch").alias("from"), (F.coalesce("embedding_text", F.lit("")) != "").alias("told")).write.parquet(f"{self.root}/deleted/{batch}")
         gone = self.spark.read.parquet(f"{self.root}/deleted/{batch}")
-        terms = self.table("terms", key="doc").join(gone.select(F.col("incident_id").alias("doc")), "doc", "left_semi")
+        terms = self.table("terms", key="doc").join(gone.select(F.col("incident_id").alias("doc")).hint("merge"), "doc", "left_semi")
         terms.groupBy("term").agg((-F.count("*")).alias("change")).write.parquet(f"{self.root}/changes/{batch}")
         return self._commit(version, batches, [*deleted, batch], documents - gone.where("told").count())
 

@@ -61,6 +61,18 @@ def test_a_failed_write_leaves_the_version_before_it(spark, kept):
     assert kept.manifest()[0] == 1 and kept.table("actions").count() == 4
 
 
+def test_ids_are_not_broadcast(spark, kept, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plans = []
+    joined = DataFrame.join
+    monkeypatch.setattr(DataFrame, "join", lambda *a, **k: plans.append(joined(*a, **k)) or plans[-1])
+    kept.add(*some(spark, range(9)))
+    kept.delete(spark.createDataFrame([(3,)], "incident_id long"))
+    kept.add(*some(spark, [20]))
+    assert len(plans) >= 6 and not [p for p in plans if "Broadcast" in p._jdf.queryExecution().executedPlan().toString()]
+
+
 REFS = "array<struct<source_name:string,external_id:string>>"
 
 
