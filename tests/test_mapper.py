@@ -238,6 +238,22 @@ def test_pivots_give_the_same_and_score_less(spark):
     assert of(memory.dense_top_k(few.withColumnRenamed("doc", "query"), few, 7, 8, staged)[0]) == of(memory.top_k(memory.dense_scores(few.withColumnRenamed("doc", "query"), few, 8), 7))
 
 
+def test_cells_meet_queries_as_products(spark):
+    rnd = random.Random(7)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(4)], i % 3 or None) for i in range(700)]
+    rows += [(1000 + i, rows[0][1], 7) for i in range(300)] + [(9000, [float("nan")] * 4, 1), (9001, [float("inf"), 1.0, 1.0, 1.0], 1), (9002, [0.0] * 4, 1), (9003, None, 1)]
+    df = spark.createDataFrame(rows, "doc long, v array<double>, key long")
+    asked = df.where("doc % 20 = 0").select(F.col("doc").alias("query"), "v")
+    good = memory.dense_scores(asked.where("query < 9000"), df.where("doc < 9000"), 4)
+    of = lambda df: sorted((r.query, r.place, r.doc, r.score) for r in df.collect())
+    best, read = memory.dense_top_k(asked, df, 6, 4, staged)
+    assert of(best) == of(memory.top_k(good, 6)) and all(r.scored <= r["all"] == 1000 for r in read.collect())
+    want = learning.strongest(good.join(df.select("doc", "key"), "doc").withColumnRenamed("doc", "ordinal"), ["key"])
+    got = memory.dense_strongest(asked, df, 4, block=64)
+    assert got.count() <= 4 * -(-1004 // 64) * -(-52 // 64)
+    assert {tuple(r) for r in learning.strongest(got.withColumnRenamed("doc", "ordinal"), ["key"]).collect()} == {tuple(r) for r in want.collect()}
+
+
 def test_resemblance_by_rarest_pairs(spark):
     rnd = random.Random(6)
     techniques = [f"T{int(rnd.paretovariate(0.7)) % 60}" for _ in range(500)]
