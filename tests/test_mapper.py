@@ -254,6 +254,14 @@ def test_cells_meet_queries_as_products(spark):
     assert {tuple(r) for r in learning.strongest(got.withColumnRenamed("doc", "ordinal"), ["key"]).collect()} == {tuple(r) for r in want.collect()}
 
 
+def test_equal_profiles_are_met_once(spark):
+    profiles = spark.range(4000).select(F.col("id").alias("profile"), F.explode(F.array(F.lit("T1"), F.lit("T2"), F.concat(F.lit("U"), (F.col("id") % 2).cast("string")))).alias("technique"))
+    observed = spark.createDataFrame([(1, "T1"), (1, "T2"), (1, "U1"), (2, "T1"), (2, "X")], "query long, technique string")
+    found = resemblance.resemblance(observed, profiles)
+    assert [(r.query, r.profile, r.shared, r.place) for r in found.orderBy("place").collect()] == [(1, 1, 3, 1), (1, 3, 3, 2), (1, 5, 3, 3)]
+    assert "profiles" in found._jdf.queryExecution().analyzed().toString()
+
+
 def test_resemblance_by_rarest_pairs(spark):
     rnd = random.Random(6)
     techniques = [f"T{int(rnd.paretovariate(0.7)) % 60}" for _ in range(500)]
