@@ -163,5 +163,5 @@ def keyed(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
 
 def line_actions(docs: DataFrame, text: str) -> DataFrame:
     """One response action for each line of three characters or more, category contain."""
-    lines = docs.withColumn("action", F.explode(F.transform(F.split(text, "\n"), F.trim)))
+    lines = docs.withColumn("action", F.explode(F.transform(F.split(text, "\n"), lambda x: F.trim(x))))
     return lines.where(F.length("action") >= 3).withColumn("category", F.lit("contain"))

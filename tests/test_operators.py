@@ -248,3 +248,10 @@ def test_self_check_knows_the_same_words_as_redaction(spark):
     acts = spark.createDataFrame([(1, " Call Layla Alotaibi ", None), (2, " ", "x")], "incident_id long, action string, notes string")
     shared = catalog.shareable_actions(acts, lexicon=known, staged=sinks.staged).collect()
     assert len(shared) == 1 and "Layla" not in shared[0].action
+
+
+def test_lines_lose_blanks_and_nothing_else(spark):
+    from fathomlens.sources.corpora import line_actions
+
+    df = spark.createDataFrame([("0 zero 0\n call 1 \nport 2\n\nab\n  last 4",)], "text string")
+    assert [r.action for r in line_actions(df, "text").collect()] == ["0 zero 0", "call 1", "port 2", "last 4"]
