@@ -164,6 +164,8 @@ SHAPES = [
     Shape("ORG", rf"\b(?:{'|'.join(_HEADS)})\s+of\s+((?:the\s+)?[A-Z][A-Za-z0-9&.\-]*(?:\s+(?:and\s+|&\s+)?[A-Z][A-Za-z0-9&.\-]*){{0,3}})", 1, keep=_no_organisation, clean=_body),
     Shape("FIELD", rf"(?im)^[ \t]*(?:[-*•][ \t]*)?(?:{'|'.join(sorted(_LABELS, key=len, reverse=True))})[ \t]*[:：][ \t]*([^\n,;(\x01\x02\[]{{2,80}})", 1, keep=_described, clean=F.trim, label_of=_field_label),
 ]
+#: A pattern without any match, for a redaction that keeps nothing.
+NOTHING = "(?!)"
 #: What identifies no one and is kept: tokens of an earlier pass, CVE and technique ids, file hashes, registry paths.
 PROTECTED = (
     r"\[[A-Z_]+_REDACTED(?:_[0-9]+)?\]|(?i:\bCVE-[0-9]{4}-[0-9]{4,7}\b)|\bT[0-9]{4}(?:\.[0-9]{3})?\b|(?i:\b[0-9a-f]{64}\b|\b[0-9a-f]{40}\b|\b[0-9a-f]{32}\b)"
@@ -229,19 +231,19 @@ def _step(shape: Shape, known: Column):
     return step
 
 
-def _held(text: Column) -> Column:
+def _held(text: Column, protected: str) -> Column:
     """The text with what is protected as HOLD."""
-    return F.array_join(F.split(text, PROTECTED, -1), HOLD)
+    return F.array_join(F.split(text, protected, -1), HOLD)
 
 
-def marked(docs: DataFrame, text: str, shapes: list[Shape] = SHAPES, known: str | None = None, state: str = "_state") -> DataFrame:
+def marked(docs: DataFrame, text: str, shapes: list[Shape] = SHAPES, known: str | None = None, state: str = "_state", protected: str = PROTECTED) -> DataFrame:
     """`docs` with `state`: struct<t, entities>, the text with every identifier as MARK number MARK and what is protected as HOLD, and the entities by number, from 1.
 
     known: column with an array of the vocabulary's words in the text, lower-cased (see `vocabulary_words`). Each shape is a projection of its
     own: one expression for all would be too deep to be analysed. Each names the state once, as the optimiser may put them into one another."""
     words = F.lit(None) if known is None else F.col(known)
     words = F.coalesce(words.cast("array<string>"), F.array().cast("array<string>"))
-    docs = docs.withColumn(state, F.struct(_held(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.array().cast(_ENTITY).alias("entities")))
+    docs = docs.withColumn(state, F.struct(_held(F.coalesce(F.col(text), F.lit("")), protected).alias("t"), F.array().cast(_ENTITY).alias("entities")))
     for s in shapes:
         docs = docs.withColumn(state, _let(F.col(state), _step(s, words)))
     return docs
@@ -268,12 +270,12 @@ def numbered(entities: Column) -> Column:
     return _let(by_label, lambda s: _let(F.transform(s, lambda e: e["label"]), lambda labels: of(s, labels)))
 
 
-def finished(text: Column, t: Column, tokens: Column) -> Column:
+def finished(text: Column, t: Column, tokens: Column, protected: str = PROTECTED) -> Column:
     """`t` with tokens for marks, and what `text` holds at the places of HOLD."""
     pattern = f"{MARK}([0-9]+){MARK}"
     shown = F.transform(_found(t, pattern, 1), lambda n: F.element_at(tokens, n.cast("int"))["token"])
     named = _join(F.split(t, pattern, -1), shown)
-    return _let(named, lambda x: _join(F.split(x, HOLD, -1), _found(text, PROTECTED)))
+    return _let(named, lambda x: _join(F.split(x, HOLD, -1), _found(text, protected)))
 
 
 def vocabulary_words(docs: DataFrame, doc: str, text: str, lexicon: DataFrame) -> DataFrame:
@@ -290,15 +292,16 @@ def vocabulary_words(docs: DataFrame, doc: str, text: str, lexicon: DataFrame) -
     return known.groupBy("doc").agg(F.collect_set("word").alias("known"))
 
 
-def redact(docs: DataFrame, text: str = "text", shapes: list[Shape] = SHAPES, known: str | None = None) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", shapes: list[Shape] = SHAPES, known: str | None = None, protected: str = PROTECTED) -> DataFrame:
     """`docs` with sanitized and entities: array<struct<label, value, number, token>>.
 
     A value always gets the same token. Tokens of a label are numbered in the order in which the shapes take them out, unless there is only
     one, which stays bare. Protected shapes survive. Null texts give null and no entities. Idempotent. `known`: a column of `docs` with the words that
-    `vocabulary_words` finds; without it no word counts as ordinary, so more is taken out."""
+    `vocabulary_words` finds; without it no word counts as ordinary, so more is taken out.
+    `protected`: what survives; with NOTHING, a shape takes out all that it matches, inside hashes too."""
     own = [F.col(c) for c in docs.columns if c not in ("sanitized", "entities")]
-    named = lambda s: _let(numbered(s["entities"]), lambda e: F.named_struct(F.lit("t"), finished(F.col(text), s["t"], e), F.lit("entities"), e))
-    df = marked(docs, text, shapes, known).withColumn("_r", _let(F.col("_state"), named))
+    named = lambda s: _let(numbered(s["entities"]), lambda e: F.named_struct(F.lit("t"), finished(F.col(text), s["t"], e, protected), F.lit("entities"), e))
+    df = marked(docs, text, shapes, known, protected=protected).withColumn("_r", _let(F.col("_state"), named))
     return df.select(*own, F.when(F.col(text).isNotNull(), F.col("_r.t")).alias("sanitized"), F.col("_r.entities").alias("entities"))
 
 

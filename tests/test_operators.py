@@ -255,3 +255,20 @@ def test_lines_lose_blanks_and_nothing_else(spark):
 
     df = spark.createDataFrame([("0 zero 0\n call 1 \nport 2\n\nab\n  last 4",)], "text string")
     assert [r.action for r in line_actions(df, "text").collect()] == ["0 zero 0", "call 1", "port 2", "last 4"]
+
+
+def test_a_single_shape_takes_out_all_that_it_matches(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    digest = "be8a8e7152a5c568b612dc7f4042dd9566113270"
+    df = spark.createDataFrame([(1, f'token = "{digest}" und'), (2, "call 0555 123 4567")], "doc_id long, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in entry.queries()["prv03_redact_phone"](spark, str(tmp_path)).collect())
+    base = duckdb.connect()
+    base.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(base.sql(entry.oracle_sql()["prv03_redact_phone"]).fetchall()) and digest not in got[0][1]
+    from fathomlens.operators import privacy
+
+    assert digest in privacy.redact(df, shapes=privacy.shapes_of("PHONE")).where("doc_id = 1").first().sanitized
