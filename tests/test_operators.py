@@ -272,3 +272,27 @@ def test_a_single_shape_takes_out_all_that_it_matches(spark, tmp_path):
     from fathomlens.operators import privacy
 
     assert digest in privacy.redact(df, shapes=privacy.shapes_of("PHONE")).where("doc_id = 1").first().sanitized
+
+
+def test_shared_counts_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    sets = [sorted(rng.sample([f"T{i}" for i in range(30)], rng.choice([0, 1, 2, 3, 5, 11, 12, 13, 14]))) for _ in range(80)] * 2
+    asked = sets[:20]
+    want = {}
+    for a in {tuple(x) for x in asked}:
+        for b in sets:
+            n = len({*a} & {*b})
+            if n:
+                want[a, len(b), n] = want.get((a, len(b), n), 0) + 1
+    frame = lambda rows, name: spark.createDataFrame([(x,) for x in rows], f"{name} array<string>")
+    got = memory.shared_counts(frame(asked, "a"), frame(sets, "b")).collect()
+    assert {(tuple(r.a), r.size, r.shared): r.n for r in got} == want and len(got) == len(want)
+
+
+def test_counting_shared_sets_makes_no_row_of_a_pair(spark):
+    """Two techniques that all share: 1000 times 1000 pairs are one row."""
+    sets = spark.range(1000).select(F.array(F.lit("T1"), F.lit("T2")).alias("b"))
+    got = memory.shared_counts(sets.withColumnRenamed("b", "a"), sets)
+    assert [tuple(r) for r in got.collect()] == [(["T1", "T2"], 2, 2, 1000)]
