@@ -296,3 +296,27 @@ def test_counting_shared_sets_makes_no_row_of_a_pair(spark):
     sets = spark.range(1000).select(F.array(F.lit("T1"), F.lit("T2")).alias("b"))
     got = memory.shared_counts(sets.withColumnRenamed("b", "a"), sets)
     assert [tuple(r) for r in got.collect()] == [(["T1", "T2"], 2, 2, 1000)]
+
+
+
+def test_structural_search_in_blocks_equals_all_pairs(spark, monkeypatch):
+    """Copies, null and blank types, empty sets, blocks of few rows, ids that ask and aren't stored, and types that no stored row has."""
+    import random
+
+    monkeypatch.setattr(memory, "ALIKE_BLOCK", 16)
+    monkeypatch.setattr(memory, "ALIKE_PART", 5)
+    monkeypatch.setattr(memory, "ROWS", 3)
+    rng = random.Random(3)
+    some = lambda of, n: rng.sample(of, rng.randrange(min(n, len(of)) + 1))
+    one = lambda: (some([f"T{i}" for i in range(8)], 5), some(list(range(5)), 3), rng.choice([None, "", "a", "b", "c"]), rng.choice([None, "", "unknown", "x", "y"]), some(["C1", "C2"], 1))
+    rows = [one() for _ in range(120)]
+    rows += rows[:60]
+    schema = "techniques array<string>, tactics array<int>, attack_type string, initial_vector string, cves array<string>"
+    stored = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], f"doc long, {schema}")
+    asked = spark.createDataFrame([(i, *x) for i, x in enumerate(rows) if i % 4 == 0] + [(999, ["T1"], [], "zzz", "y", []), (998, [], [], None, None, [])], f"query long, {schema}")
+    pairs = asked.select("query", *(F.col(c).alias(f"a_{c}") for c in memory.FINGERPRINT)).join(stored).where("query <> doc").withColumn("structure", F.round(memory._beside(), 6))
+    want = sorted((r.query, r.doc, r.structure, r.place) for r in memory.top_k(pairs.where("structure > 0"), 3, score="structure").collect())
+    found = memory.structural_top_k(asked, stored, 3, sinks.staged)
+    assert sorted((r.query, r.doc, r.structure, r.place) for r in found.collect()) == want
+    assert memory.structural_top_k(asked.where("query = 998"), stored, 3, sinks.staged).count() == 0
+    assert memory.structural_top_k(asked, stored.where("doc < 0"), 3, sinks.staged).count() == 0
