@@ -38,16 +38,22 @@ def coverage(observed: DataFrame, edges: DataFrame, limit: int = 10) -> DataFram
     """Controls by the number of observed techniques that they cover, for each query.
 
     observed (query, technique), edges (control, technique). A sub-technique without a control of its own is covered by
-    its parent's. Most first, ties by control. Which controls a technique has is settled once for each different technique; the observed rows meet it in one join."""
-    seen = observed.distinct()
-    listed = edges.groupBy("technique").agg(F.collect_set("control").alias("controls"))
-    each = seen.select("technique").distinct().withColumn("parent", family(F.col("technique")))
+    its parent's. Most first, ties by control. Which controls a technique has is settled once for each different technique, of which there are a catalogue's; a query's
+    techniques are brought together once, and counted within its row, so no row of technique with control is made."""
+    listed = edges.groupBy("technique").agg(F.array_sort(F.collect_set("control")).alias("controls"))
+    each = observed.select("technique").distinct().withColumn("parent", family(F.col("technique")))
     inherited = listed.select(F.col("technique").alias("parent"), F.col("controls").alias("parents"))
     known = each.join(listed, "technique", "left").join(inherited, "parent", "left").select("technique", F.coalesce("controls", "parents").alias("controls")).where("controls is not null")
-    counts = seen.join(known, "technique").select("query", "technique", F.explode("controls").alias("control")).groupBy("query", "control").agg(F.sort_array(F.collect_list("technique")).alias("t"))
-    order = Window.partitionBy("query").orderBy(F.desc("covers"), "control")
-    counts = counts.select("query", "control", F.size("t").cast("long").alias("covers"), F.array_join("t", ",").alias("techniques"))
-    return counts.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= limit)
+    # one row: the different sets of controls; a technique names its own by place
+    sets = F.broadcast(known.agg(F.array_sort(F.collect_set("controls")).alias("sets")))
+    named = known.join(sets).select("technique", (F.array_position("sets", F.col("controls")) - 1).cast("int").alias("set"))
+    seen = observed.join(F.broadcast(named), "technique").groupBy("query").agg(F.array_sort(F.collect_set(F.struct("technique", "set"))).alias("t")).join(sets)
+    own = lambda x: F.get("sets", x["set"])
+    covered = lambda c: F.transform(F.filter("t", lambda x: F.array_contains(own(x), c)), lambda x: x["technique"])
+    counted = F.transform(F.array_distinct(F.flatten(F.transform("t", own))), lambda c: F.struct(c.alias("control"), covered(c).alias("t")))
+    ranked = F.slice(F.array_sort(F.transform(counted, lambda x: F.struct((-F.size(x["t"])).alias("n"), x["control"].alias("control"), x["t"].alias("t")))), 1, limit)
+    rows = seen.select("query", F.posexplode(ranked).alias("i", "c"))
+    return rows.select("query", "c.control", (-F.col("c.n")).cast("long").alias("covers"), F.array_join("c.t", ",").alias("techniques"), (F.col("i") + 1).cast("long").alias("place"))
 
 
 def gap_fill(observed: DataFrame, baseline: DataFrame, recalled: DataFrame) -> DataFrame:

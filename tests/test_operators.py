@@ -320,3 +320,18 @@ def test_structural_search_in_blocks_equals_all_pairs(spark, monkeypatch):
     assert sorted((r.query, r.doc, r.structure, r.place) for r in found.collect()) == want
     assert memory.structural_top_k(asked.where("query = 998"), stored, 3, sinks.staged).count() == 0
     assert memory.structural_top_k(asked, stored.where("doc < 0"), 3, sinks.staged).count() == 0
+
+
+def _moves(df):
+    """What a plan's shuffles that name a query go by; the plan is planned anew, without a run."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "Exchange hashpartitioning(query" in line]
+
+
+def test_coverage_moves_rows_to_their_query_once(spark):
+    seen = spark.createDataFrame([(1, "T1.001"), (1, "T1.001"), (1, "T2"), (1, "T3.001"), (2, "T9"), (3, "T2"), (3, None)], "query long, technique string")
+    edges = spark.createDataFrame([("M1", "T1"), ("M2", "T2"), ("M1", "T2"), ("M3", "T3.001"), ("M1", "T3"), ("M1", "T1")], "control string, technique string")
+    found = actions.coverage(seen, edges, limit=2)
+    assert len(_moves(found)) == 1
+    assert sorted((r.query, r.control, r.covers, r.techniques, r.place) for r in found.collect()) == [(1, "M1", 2, "T1.001,T2", 1), (1, "M2", 1, "T2", 2), (3, "M1", 1, "T2", 1), (3, "M2", 1, "T2", 2)]
+    assert actions.coverage(seen, edges.where("control is null")).count() == 0
