@@ -18,15 +18,16 @@ def roll_up(matches: DataFrame, actions: DataFrame, limit: int = 12) -> DataFram
     matches (query, incident_id, similarity, place), actions (incident_id, position, action, category, effectiveness).
     An action is known by its trimmed lower-cased text. Its score is the sum of similarity times effectiveness
     (UNRATED where unrated), raised by REUSE_BONUS for every further mention; the mean is over rated mentions. The first
-    spelling and category by (place, position) are shown. Ties by key."""
-    rows = matches.join(actions, "incident_id").withColumn("key", F.lower(F.trim("action"))).where("key <> ''")
+    spelling and category by (place, position) are shown. Ties by key. After the join the rows move once, to their query."""
+    rows = matches.join(actions, "incident_id").select("query", "incident_id", "similarity", "place", "position", F.trim("action").alias("action"), "category", "effectiveness").where("action <> ''")
+    rows = rows.repartition("query").withColumn("key", F.lower("action"))
     first = F.struct("place", "position")
     sums = rows.groupBy("query", "key").agg(
         F.sum(F.col("similarity") * F.coalesce("effectiveness", F.lit(UNRATED))).alias("weight"),
         F.count("*").alias("times_used"),
         F.round(F.avg("effectiveness"), 4).alias("mean"),
         F.count_distinct("incident_id").alias("sources"),
-        F.min_by(F.trim("action"), first).alias("action"),
+        F.min_by("action", first).alias("action"),
         F.min_by("category", first).alias("category"),
     )
     scored = sums.withColumn("score", F.round(F.col("weight") * (1 + REUSE_BONUS * (F.col("times_used") - 1)), 4))

@@ -335,3 +335,11 @@ def test_coverage_moves_rows_to_their_query_once(spark):
     assert len(_moves(found)) == 1
     assert sorted((r.query, r.control, r.covers, r.techniques, r.place) for r in found.collect()) == [(1, "M1", 2, "T1.001,T2", 1), (1, "M2", 1, "T2", 2), (3, "M1", 1, "T2", 1), (3, "M2", 1, "T2", 2)]
     assert actions.coverage(seen, edges.where("control is null")).count() == 0
+
+
+def test_roll_up_moves_rows_to_their_query_once(spark):
+    matches = spark.createDataFrame([(1, 7, 0.5, 1), (1, 8, 0.25, 2)], "query long, incident_id long, similarity double, place long")
+    rows = spark.createDataFrame([(7, 1, " Isolate ", "contain", 1.0), (8, 1, "isolate", "detect", None), (8, 2, " ", "detect", 1.0), (8, 3, None, "detect", 1.0)], "incident_id long, position long, action string, category string, effectiveness double")
+    found = actions.roll_up(matches, rows)
+    assert len(_moves(found)) == 1
+    assert [(r.key, r.times_used, r.sources, r.action, r.category, r.score) for r in found.collect()] == [("isolate", 2, 2, "Isolate", "contain", 0.7475)]
