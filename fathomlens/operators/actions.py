@@ -60,13 +60,16 @@ def coverage(observed: DataFrame, edges: DataFrame, limit: int = 10) -> DataFram
 def gap_fill(observed: DataFrame, baseline: DataFrame, recalled: DataFrame) -> DataFrame:
     """Baseline actions (technique, action) for observed techniques that no recalled action (query, action) names already.
 
-    A technique with its own entry doesn't take its parent's. An action is suggested once for each query, for the first technique by id."""
-    seen = observed.select("query", "technique").distinct()
-    own = seen.join(baseline, "technique")
-    bare = seen.join(baseline.select("technique").distinct(), "technique", "left_anti").withColumn("parent", family(F.col("technique"))).where("parent <> technique")
-    inherited = bare.join(baseline.withColumnRenamed("technique", "parent"), "parent").select("technique", "query", "action")
-    keyed = own.select("technique", "query", "action").union(inherited).withColumn("key", F.lower("action"))
-    new = keyed.join(recalled.select("query", F.lower(F.trim("action")).alias("key")).distinct(), ["query", "key"], "left_anti")
+    A technique with its own entry doesn't take its parent's. An action is suggested once for each query, for the first technique by id. What a technique suggests is
+    settled once for each different one, of which there are a catalogue's; techniques and recalled actions are brought together by query, and stay there."""
+    each = observed.select("technique").distinct()
+    bare = each.join(baseline.select("technique").distinct(), "technique", "left_anti").withColumn("parent", family(F.col("technique"))).where("parent <> technique")
+    inherited = bare.join(baseline.withColumnRenamed("technique", "parent"), "parent").select("technique", "action")
+    known = each.join(baseline, "technique").select("technique", "action").union(inherited).distinct()
+    seen = observed.groupBy("query").agg(F.collect_set("technique").alias("t"))
+    done = recalled.groupBy("query").agg(F.collect_set(F.lower(F.trim("action"))).alias("done"))
+    rows = seen.join(done, "query", "left").select("query", "done", F.explode("t").alias("technique")).join(F.broadcast(known), "technique").withColumn("key", F.lower("action"))
+    new = rows.where(F.col("done").isNull() | ~F.array_contains("done", F.col("key")))
     return new.groupBy("query", "key").agg(F.min("technique").alias("for_technique"), F.min_by("action", F.struct("technique", "action")).alias("action")).drop("key")
 
 

@@ -343,3 +343,12 @@ def test_roll_up_moves_rows_to_their_query_once(spark):
     found = actions.roll_up(matches, rows)
     assert len(_moves(found)) == 1
     assert [(r.key, r.times_used, r.sources, r.action, r.category, r.score) for r in found.collect()] == [("isolate", 2, 2, "Isolate", "contain", 0.7475)]
+
+
+def test_gap_fill_moves_rows_to_their_query_once(spark):
+    seen = spark.createDataFrame([(1, "T1.001"), (1, "T2"), (1, "T2"), (2, "T2"), (3, "T9")], "query long, technique string")
+    baseline = spark.createDataFrame([("T1", "Isolate"), ("T2", "isolate"), ("T2", "Reset")], "technique string, action string")
+    recalled = spark.createDataFrame([(2, " RESET "), (4, "Isolate")], "query long, action string")
+    found = actions.gap_fill(seen, baseline, recalled)
+    assert len(_moves(found)) == 2  # techniques, and recalled actions
+    assert sorted((r.query, r.for_technique, r.action) for r in found.collect()) == [(1, "T1.001", "Isolate"), (1, "T2", "Reset"), (2, "T2", "isolate")]
