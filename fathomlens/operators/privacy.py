@@ -10,6 +10,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,8 +31,9 @@ _ENTITY = "array<struct<label:string,value:string>>"
 class Shape:
     """A kind of identifier: the label of its tokens and its pattern.
 
-    A text without `needs` has none of the kind. With `group`, only what that group matches is taken out. `keep` (match, value, known words) tells what is no identifier, `clean`
-    makes the value of what was matched, `label_of` the label of a match where there are several."""
+    A text without any of `needs` has none of the kind, nor one without any of `said` once lower-cased, nor one without a match of `hint`, which is a part of every match that is
+    quick to look for; most texts are passed over by these. With `group`, only what that group matches is taken out. `keep` (match, value, known words) tells what is no
+    identifier, `clean` makes the value of what was matched, `label_of` the label of a match where there are several."""
 
     label: str
     pattern: str
@@ -39,7 +41,21 @@ class Shape:
     keep: Callable[[Column, Column, Column], Column] | None = field(default=None, compare=False)
     clean: Callable[[Column], Column] | None = field(default=None, compare=False)
     label_of: Callable[[Column], Column] | None = field(default=None, compare=False)
-    needs: str = ""
+    needs: str | tuple[str, ...] = ""
+    said: tuple[str, ...] = ()
+    hint: str = ""
+
+    def possible(self, text: Column) -> Column | None:
+        """Whether a text may hold one; None where nothing can be told."""
+        needs = (self.needs,) if isinstance(self.needs, str) else self.needs
+        lowered = _let(F.lower(text), lambda low: _any_of(low, list(self.said))) if self.said else None
+        tests = [F.rlike(text, F.lit(self.hint)) if self.hint else None, _any_of(text, [x for x in needs if x]), lowered]
+        tests = [t for t in tests if t is not None]
+        return reduce(Column.__and__, tests) if tests else None
+
+
+def _any_of(text: Column, words: list[str]) -> Column | None:
+    return reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in words]) if words else None
 
 
 def _isin(value: Column, words: list[str]) -> Column:
@@ -135,37 +151,39 @@ _ROLES = "employee|user|staff member|victim|attacker|contractor|reported by|esca
 
 # Shapes in the order in which they are taken out. What an earlier one took, a later one doesn't see.
 SHAPES = [
-    Shape("FOREIGN_TEXT", rf"{_FOREIGN}+(?:[\s،؛؟.,:;!?()\-–—\"'«»/٠-٩]*{_FOREIGN}+)*", label_of=lambda m: F.when(m.rlike("^[\u0600-\u08FF\uFB50-\uFFFF]"), "ARABIC_TEXT").otherwise("FOREIGN_TEXT")),
-    Shape("SECRET", r"\b(?:AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9_\-]{20,}|gh[pousr]_[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_\-]{10,}(?:\.[A-Za-z0-9_\-]{10,}){2})\b"),
+    Shape("FOREIGN_TEXT", rf"{_FOREIGN}+(?:[\s،؛؟.,:;!?()\-–—\"'«»/٠-٩]*{_FOREIGN}+)*", label_of=lambda m: F.when(m.rlike("^[\u0600-\u08FF\uFB50-\uFFFF]"), "ARABIC_TEXT").otherwise("FOREIGN_TEXT"), hint="[\u00AA\u00B5\u00BA\u0250-\U0010FFFF]"),
+    Shape("SECRET", r"\b(?:AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9_\-]{20,}|gh[pousr]_[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_\-]{10,}(?:\.[A-Za-z0-9_\-]{10,}){2})\b", needs=("AKIA", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "eyJ")),
     Shape("EMAIL", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b", needs='@'),
     Shape("URL", r"(?i)\bhttps?://[^\s<>\"')\]]+", needs='://'),
     Shape("URL", r"(?i)\bhxxps?(?::|\[:\])//[^\s<>\"')\]]+", needs='//'),
-    Shape("IP", rf"\b(?:{_OCTET}{_DOT}){{3}}{_OCTET}(?:/\d{{1,2}})?\b"),
-    Shape("IP", r"(?i)\b(?:[A-F0-9]{1,4}:){5}[A-F0-9:]{2,}\b", needs=':'),
+    Shape("IP", rf"\b(?:{_OCTET}{_DOT}){{3}}{_OCTET}(?:/\d{{1,2}})?\b", hint=r"[0-9](?:\.|\[\.\])[0-9]"),
+    Shape("IP", r"(?i)\b(?:[A-F0-9]{1,4}:){5}[A-F0-9:]{2,}\b", needs=':', hint=":[A-Fa-f0-9]{1,4}:"),
     Shape("IP", r"(?i)(?<![\w:.])(?:[A-F0-9]{1,4}:){1,7}(?::[A-F0-9]{1,4}){1,7}(?![\w:])", needs='::'),
-    Shape("MAC", r"(?i)\b(?:[0-9A-F]{2}[:\-]){5}[0-9A-F]{2}\b"),
-    Shape("IBAN", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b"),
-    Shape("CREDIT_CARD", r"\b(?:\d{4}[ \-]?){3}\d{3,4}\b"),
-    Shape("NATIONAL_ID", r"\b[12]\d{9}\b"),
-    Shape("PHONE", r"(?:\+\d{1,3}[ \-]?)?(?:\(?0\)?)?\d{2,4}[ \-]?\d{3}[ \-]?\d{4}\b"),
+    Shape("MAC", r"(?i)\b(?:[0-9A-F]{2}[:\-]){5}[0-9A-F]{2}\b", hint=r"[:\-][A-Fa-f0-9]{2}[:\-]"),
+    Shape("IBAN", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", hint="[0-9]{2}[A-Z0-9]{11}"),
+    Shape("CREDIT_CARD", r"\b(?:\d{4}[ \-]?){3}\d{3,4}\b", hint="[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}"),
+    Shape("NATIONAL_ID", r"\b[12]\d{9}\b", hint="[12][0-9]{9}"),
+    Shape("PHONE", r"(?:\+\d{1,3}[ \-]?)?(?:\(?0\)?)?\d{2,4}[ \-]?\d{3}[ \-]?\d{4}\b", hint="[0-9]{3}[ -]?[0-9]{4}"),
     Shape("USER_PATH", r"(?i)[A-Z]:\\Users\\[^\\\s\"']+", needs='\\'),
     Shape("USER_PATH", r"(?i)/(?:home|Users)/[A-Z0-9._\-]+", needs='/'),
     Shape("ACCOUNT", r"\b[A-Za-z0-9\-]{2,30}\\[A-Za-z0-9._\-]{2,30}\b", needs='\\'),
-    Shape("REFERENCE", r"\b(?:IR|INC|INCIDENT|CASE|TKT|TICKET|REF|SR|CHG|PRB|RITM|SEC|CR|REQ)[-_#]?\d{2,}(?:[-_/]\d+)*\b"),
-    Shape("HOSTNAME", r"\b[A-Z]{2,}(?:-[A-Z0-9]{1,10}){1,3}\b", keep=lambda m, v, known: _short_forms(v)),
-    Shape("DOMAIN", rf"(?i)\b(?:[A-Z0-9](?:[A-Z0-9\-]{{0,61}}[A-Z0-9])?{_DOT})+(?:{'|'.join(_LAST_LABELS)})\b"),
-    Shape("HOSTNAME", rf"{_ALONE}[A-Za-z][A-Za-z0-9]{{1,14}}(?:-[A-Za-z0-9]{{1,14}}){{1,4}}{_NAME_ENDS}", keep=_no_host),
-    Shape("HOSTNAME", rf"{_ALONE}[A-Za-z]{{2,10}}\d{{2,4}}[a-z]?{_NAME_ENDS}", keep=_no_host),
-    Shape("ACCOUNT", rf"{_ALONE}(?i:svc|srv|adm|admin|sa|sys|bkp|ops)[_.][A-Za-z0-9][A-Za-z0-9_.\-]{{1,24}}(?![\w@])"),
-    Shape("ACCOUNT", rf"\b(?i:{_INTRODUCED})\s+(?i:named\s+|called\s+|name\s+)?[\"'“]?([A-Za-z][A-Za-z0-9._\-]{{2,30}})", 1, keep=_no_account),
-    Shape("PERSON", rf"\b(?:Mr|Mrs|Ms|Dr|Eng|Engineer|Analyst|Manager|Director|Officer|CISO|CTO|CEO)\.?[:,]?\s+{_PERSON}", 1),
-    Shape("PERSON", rf"\b(?i:{_ROLES})[:,]?\s+{_PERSON}\b", 1),
+    Shape("REFERENCE", r"\b(?:IR|INC|INCIDENT|CASE|TKT|TICKET|REF|SR|CHG|PRB|RITM|SEC|CR|REQ)[-_#]?\d{2,}(?:[-_/]\d+)*\b", hint="[A-Z][-_#]?[0-9]{2}"),
+    Shape("HOSTNAME", r"\b[A-Z]{2,}(?:-[A-Z0-9]{1,10}){1,3}\b", keep=lambda m, v, known: _short_forms(v), hint="-[A-Z0-9]"),
+    Shape("DOMAIN", rf"(?i)\b(?:[A-Z0-9](?:[A-Z0-9\-]{{0,61}}[A-Z0-9])?{_DOT})+(?:{'|'.join(_LAST_LABELS)})\b", hint=r"\.\]?[A-Za-z]"),
+    Shape("HOSTNAME", rf"{_ALONE}[A-Za-z][A-Za-z0-9]{{1,14}}(?:-[A-Za-z0-9]{{1,14}}){{1,4}}{_NAME_ENDS}", keep=_no_host, needs="-", hint="-[A-Za-z0-9]"),
+    Shape("HOSTNAME", rf"{_ALONE}[A-Za-z]{{2,10}}\d{{2,4}}[a-z]?{_NAME_ENDS}", keep=_no_host, hint="[A-Za-z][0-9]{2}"),
+    Shape("ACCOUNT", rf"{_ALONE}(?i:svc|srv|adm|admin|sa|sys|bkp|ops)[_.][A-Za-z0-9][A-Za-z0-9_.\-]{{1,24}}(?![\w@])", hint="[_.][A-Za-z0-9]"),
+    Shape("ACCOUNT", rf"\b(?i:{_INTRODUCED})\s+(?i:named\s+|called\s+|name\s+)?[\"'“]?([A-Za-z][A-Za-z0-9._\-]{{2,30}})", 1, keep=_no_account, said=tuple(_INTRODUCED.split("|"))),
+    Shape("PERSON", rf"\b(?:Mr|Mrs|Ms|Dr|Eng|Engineer|Analyst|Manager|Director|Officer|CISO|CTO|CEO)\.?[:,]?\s+{_PERSON}", 1, needs=("Mr", "Ms", "Dr", "Eng", "Analyst", "Manager", "Director", "Officer", "CISO", "CTO", "CEO")),
+    Shape("PERSON", rf"\b(?i:{_ROLES})[:,]?\s+{_PERSON}\b", 1, said=tuple(_ROLES.split("|"))),
     Shape("ORG", rf"\b([A-Z][A-Za-z0-9&.\-]*(?:\s+[A-Z][A-Za-z0-9&.\-]*){{0,3}})\s+(?:{'|'.join(_BODIES)})\b", 1, keep=_no_organisation, clean=_body),
-    Shape("ORG", rf"\b(?:{'|'.join(_HEADS)})\s+of\s+((?:the\s+)?[A-Z][A-Za-z0-9&.\-]*(?:\s+(?:and\s+|&\s+)?[A-Z][A-Za-z0-9&.\-]*){{0,3}})", 1, keep=_no_organisation, clean=_body),
+    Shape("ORG", rf"\b(?:{'|'.join(_HEADS)})\s+of\s+((?:the\s+)?[A-Z][A-Za-z0-9&.\-]*(?:\s+(?:and\s+|&\s+)?[A-Z][A-Za-z0-9&.\-]*){{0,3}})", 1, keep=_no_organisation, clean=_body, needs=tuple(_HEADS), hint=r"of\s+(?:the\s+)?[A-Z]"),
     Shape("FIELD", rf"(?im)^[ \t]*(?:[-*•][ \t]*)?(?:{'|'.join(sorted(_LABELS, key=len, reverse=True))})[ \t]*[:：][ \t]*([^\n,;(\x01\x02\[]{{2,80}})", 1, keep=_described, clean=F.trim, label_of=_field_label),
 ]
 #: A pattern without any match, for a redaction that keeps nothing.
 NOTHING = "(?!)"
+#: A part of every match of PROTECTED, quick to look for: see `Shape`.
+_MAY_HOLD = (Shape("", "", needs="_REDACTED"), Shape("", "", said=("cve-",)), Shape("", "", needs="\\", said=("hk",)), Shape("", "", hint="T[0-9]{4}"), Shape("", "", hint="[0-9A-Fa-f]{32}"))
 #: What identifies no one and is kept: tokens of an earlier pass, CVE and technique ids, file hashes, registry paths.
 PROTECTED = (
     r"\[[A-Z_]+_REDACTED(?:_[0-9]+)?\]|(?i:\bCVE-[0-9]{4}-[0-9]{4,7}\b)|\bT[0-9]{4}(?:\.[0-9]{3})?\b|(?i:\b[0-9a-f]{64}\b|\b[0-9a-f]{40}\b|\b[0-9a-f]{32}\b)"
@@ -226,14 +244,18 @@ def _step(shape: Shape, known: Column):
             return _let(more, lambda entities: rewritten(state["t"], matches, entities))
 
         some = _let(_found(state["t"], shape.pattern), lambda found: F.when(F.size(found) == 0, state).otherwise(_let(matched(found, state["t"]), taken)))
-        return F.when(state["t"].contains(shape.needs), some).otherwise(state) if shape.needs else some
+        possible = shape.possible(state["t"])
+        return some if possible is None else F.when(possible, some).otherwise(state)
 
     return step
 
 
 def _held(text: Column, protected: str) -> Column:
     """The text with what is protected as HOLD."""
-    return F.array_join(F.split(text, protected, -1), HOLD)
+    held = F.array_join(F.split(text, protected, -1), HOLD)
+    if protected != PROTECTED:
+        return held
+    return F.when(reduce(Column.__or__, [s.possible(text) for s in _MAY_HOLD]), held).otherwise(text)
 
 
 def marked(docs: DataFrame, text: str, shapes: list[Shape] = SHAPES, known: str | None = None, state: str = "_state", protected: str = PROTECTED) -> DataFrame:
@@ -274,8 +296,8 @@ def finished(text: Column, t: Column, tokens: Column, protected: str = PROTECTED
     """`t` with tokens for marks, and what `text` holds at the places of HOLD."""
     pattern = f"{MARK}([0-9]+){MARK}"
     shown = F.transform(_found(t, pattern, 1), lambda n: F.element_at(tokens, n.cast("int"))["token"])
-    named = _join(F.split(t, pattern, -1), shown)
-    return _let(named, lambda x: _join(F.split(x, HOLD, -1), _found(text, protected)))
+    named = F.when(F.contains(t, F.lit(MARK)), _join(F.split(t, pattern, -1), shown)).otherwise(t)
+    return _let(named, lambda x: F.when(F.contains(x, F.lit(HOLD)), _join(F.split(x, HOLD, -1), _found(text, protected))).otherwise(x))
 
 
 def vocabulary_words(docs: DataFrame, doc: str, text: str, lexicon: DataFrame) -> DataFrame:
