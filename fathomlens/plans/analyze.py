@@ -113,7 +113,7 @@ def fingerprints(reports: DataFrame, knowledge: Knowledge, doc: str = "doc_id",
 
 def similar(asked: DataFrame, stored: DataFrame, k: int = 5) -> DataFrame:
     """The k most similar stored fingerprints of each asked one by hybrid score: (query, doc, score, structure, hybrid, place, …)."""
-    semantic = memory.tfidf_scores(asked.select("doc", "embedding_text"), stored.select("doc", "embedding_text"), "doc", "doc", "embedding_text").where("query <> doc")
+    semantic = memory.tfidf_scores(asked.select("doc", "embedding_text"), stored.select("doc", "embedding_text"), "doc", "doc", "embedding_text", staged).where("query <> doc")
     a = asked.select(F.col("doc").alias("query"), *[F.col(c).alias(f"a_{c}") for c in ("techniques", "tactics", "attack_type", "initial_vector", "cves")])
     pairs = memory.top_k(semantic, max(3 * k, 10)).select("query", "doc").join(a, "query").join(stored, "doc")
     both = lambda c: (F.col(f"a_{c}"), F.col(c))

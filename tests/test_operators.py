@@ -375,3 +375,20 @@ def test_protected_ids_are_seen_by_the_quick_test(spark):
     texts = ["[EMAIL_REDACTED_2] 10.0.0.1", "cVe-2024-12345 10.0.0.1", "T1059.001 10.0.0.1", "D41D8CD98F00B204E9800998ECF8427E 10.0.0.1", "hklm\\Software\\Run-1 10.0.0.1", "HKEY_LOCAL_MACHINE\\x 10.0.0.1"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     assert [r.sanitized for r in privacy.redact(rows).orderBy("i").collect()] == [t.replace("10.0.0.1", "[IP_REDACTED]") for t in texts]
+
+
+def test_sparse_vectors_are_the_same_whatever_is_held_by_every_task(spark):
+    """Terms are counted in their row, and only the counts of rare terms are shuffled to their weights."""
+    texts = ["alpha beta beta gamma", "beta delta-1 delta-1. ALPHA", "gamma", "", None, "the of", "zeta alpha zeta eta zeta beta"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    counts = memory.term_counts(rows, "id", "text")
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc, r.term, r.n, r.length) for r in counts.where("doc < 2").collect()} == {(0, "alpha", 1, 4), (0, "beta", 2, 4), (0, "gamma", 1, 4), (1, "beta", 1, 4), (1, "delta-1", 2, 4), (1, "alpha", 1, 4)}
+    weights = memory.idf(counts, F.lit(rows.count()))
+    shown = lambda df: sorted((r.doc, r.term, round(r.w, 9)) for r in df.collect())
+    want = shown(memory.document_vectors(counts, weights))
+    assert len(want) == 11
+    assert abs(sum(w * w for d, _, w in want if d == 6) - 1) < 1e-8
+    assert want == shown(memory.document_vectors(counts, weights, common=0)) == shown(memory.document_vectors(counts, weights, common=2))
+    only = spark.createDataFrame([("alpha",), ("zeta",), ("zeta",), ("none",)], "term string")
+    assert shown(memory.document_vectors(counts, weights, only, common=2)) == [x for x in want if x[1] in ("alpha", "zeta")]
