@@ -164,12 +164,10 @@ def severity(impact_weight: Column, known_exploited: Column, techniques: Column,
 
 
 def signature(facts: DataFrame, doc: str, attack: str, rank: str, technique: str, most: int = 6) -> DataFrame:
-    """(doc, signature): TYPE | rank:technique > … of the first `most` techniques by rank, then order of id."""
-    order = Window.partitionBy(doc).orderBy(rank, technique)
-    rows = facts.select(doc, attack, rank, technique).distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
-    step = F.concat(F.col(rank).cast("string"), F.lit(":"), technique)
-    chain = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", step.alias("s")))), lambda x: x["s"]), " > ")
-    return rows.groupBy(doc, attack).agg(chain.alias("c")).select(doc, F.concat(F.upper(F.coalesce(attack, F.lit("unknown"))), F.lit(" | "), "c").alias("signature"))
+    """(doc, signature): TYPE | rank:technique > … of the first `most` techniques by rank, then order of id. A document has one `attack`; its rows are brought together once."""
+    first = F.slice(F.array_sort(F.collect_set(F.struct(F.col(rank).alias("rank"), F.col(technique).alias("technique")))), 1, most)
+    chain = F.array_join(F.transform(first, lambda x: F.concat(x["rank"].cast("string"), F.lit(":"), x["technique"])), " > ")
+    return facts.groupBy(doc, attack).agg(chain.alias("c")).select(doc, F.concat(F.upper(F.coalesce(attack, F.lit("unknown"))), F.lit(" | "), "c").alias("signature"))
 
 
 def signature_text(attack: Column, techniques: Column, impacts: Column, most: int = 6, harms: int = 4) -> Column:

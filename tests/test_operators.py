@@ -390,5 +390,14 @@ def test_sparse_vectors_are_the_same_whatever_is_held_by_every_task(spark):
     assert len(want) == 11
     assert abs(sum(w * w for d, _, w in want if d == 6) - 1) < 1e-8
     assert want == shown(memory.document_vectors(counts, weights, common=0)) == shown(memory.document_vectors(counts, weights, common=2))
+    gone = weights.unionByName(spark.createDataFrame([("gone", 0, 1.0)], "term string, df long, idf double"))
+    assert want == shown(memory.document_vectors(counts, gone))
     only = spark.createDataFrame([("alpha",), ("zeta",), ("zeta",), ("none",)], "term string")
     assert shown(memory.document_vectors(counts, weights, only, common=2)) == [x for x in want if x[1] in ("alpha", "zeta")]
+
+
+def test_a_signature_sorts_no_rows_by_document_for_a_window(spark):
+    rows = [(1, "phishing", r, t) for r, t in [(2, "T3"), (1, "T9"), (2, "T1"), (2, "T3"), (10, "T0"), (3, "T5"), (4, "T6"), (5, "T7")]] + [(2, None, 0, "T1")]
+    out = fingerprint.signature(spark.createDataFrame(rows, "doc int, a string, r int, t string"), "doc", "a", "r", "t")
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    assert dict(out.collect()) == {1: "PHISHING | 1:T9 > 2:T1 > 2:T3 > 3:T5 > 4:T6 > 5:T7", 2: "UNKNOWN | 0:T1"}
