@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import actions
+from ..sources.sinks import staged
 from . import analyze
 from .privacy_queries import docs
 from .registry import query, table
@@ -42,6 +43,6 @@ _FOUND = f"{_HYBRID}, h AS (SELECT query, doc, score, {_STRUCT} AS structure, re
 
 @query("pln02_recall_of_actions", f"WITH {_ROLL.replace(_MATCHES, _FOUND)} SELECT query, key, times_used, sources, place, round(score, 2) AS score FROM top")
 def recall_of_actions(spark, d):
-    """Search, then the ranked actions of what was found."""
-    found = hybrid_search(spark, d).select("query", F.col("doc").alias("incident_id"), F.col("hybrid").alias("similarity"), "place")
-    return actions.roll_up(found, table(spark, d, "actions")).select("query", "key", "times_used", "sources", "place", F.round("score", 2).alias("score"))
+    """Search, then the ranked actions of what was found, which is written first: it is few rows beside all actions. Scores are rounded as SQL does, times a hundred."""
+    found = staged(hybrid_search(spark, d).select("query", F.col("doc").alias("incident_id"), F.col("hybrid").alias("similarity"), "place"))
+    return actions.roll_up(found, table(spark, d, "actions")).select("query", "key", "times_used", "sources", "place", (F.round(F.col("score") * 100) / 100).alias("score"))

@@ -3,6 +3,7 @@ import hmac
 import io
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -401,3 +402,23 @@ def test_a_signature_sorts_no_rows_by_document_for_a_window(spark):
     out = fingerprint.signature(spark.createDataFrame(rows, "doc int, a string, r int, t string"), "doc", "a", "r", "t")
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
     assert dict(out.collect()) == {1: "PHISHING | 1:T9 > 2:T1 > 2:T3 > 3:T5 > 4:T6 > 5:T7", 2: "UNKNOWN | 0:T1"}
+
+
+def test_recalled_actions_are_rounded_as_sql_does(spark, tmp_path):
+    import __spark_entry__
+    from fathomlens.plans import search_queries
+
+    vector = lambda x: [x, (1 - x * x) ** 0.5] + [0.0] * 62
+    spark.createDataFrame([(20, vector(1.0), 0), (3, vector(0.6712), 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.sql("SELECT o_orderkey, 6L AS o_custkey, DATE '2024-01-01' AS o_orderdate, '1-URGENT' AS o_orderpriority FROM VALUES (3L), (20L), (40L) AS t(o_orderkey)").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = "SELECT l_orderkey, 1 AS l_linenumber, l_partkey, 2L AS l_suppkey, 0.1D AS l_discount FROM VALUES (3L, 2L), (20L, 1L), (40L, 2L) AS t(l_orderkey, l_partkey)"
+    spark.sql(lines).write.parquet(f"{tmp_path}/lineitem.parquet")
+    # similarity .475 and effectiveness .6 give .285, which times a hundred is less than 28.5
+    got = __spark_entry__.queries()["pln02_recall_of_actions"](spark, str(tmp_path)).collect()
+    assert [(r.query, r.key, r.times_used, r.sources, r.place, r.score) for r in got] == [(20, "action 2", 1, 1, 1, 0.28)]
+    with duckdb.connect() as c:
+        for t in ("embeddings", "orders", "lineitem"):
+            c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+        assert c.execute(__spark_entry__.oracle_sql()["pln02_recall_of_actions"]).fetchall() == [tuple(r) for r in got]
+    # incidents that are in no pair are not brought together
+    assert [r.incident_id for r in search_queries._sets(spark, str(tmp_path), spark.sql("SELECT 3L AS incident_id")).collect()] == [3]
