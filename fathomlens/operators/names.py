@@ -1,7 +1,6 @@
 """Names without a shape: people, organisations and places, told by capital letters and a vocabulary.
 
-Tokens are rows (doc, at, word, …), so a long report is many rows, not one large value; vocabularies are joined, runs are windows
-over the tokens of a report. `lexicon` has a row for each word: (word, ordinary, public, given, company, sector booleans); words in lower case. Words of
+Words are read in their row; only those that may be names, capitalised ones, become rows (doc, at, word, …), of which runs are windows. Vocabularies are joined. `lexicon` has a row for each word: (word, ordinary, public, given, company, sector booleans); words in lower case. Words of
 several words are published names ("cobalt strike"). What it doesn't know counts as a name, so less vocabulary means more redaction."""
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as v
+from ..functions.text import word_filter
 from . import privacy
 
 _LETTER = "A-Za-z\\u00C0-\\u024F"
@@ -62,39 +62,67 @@ def flags(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     return out.select("word", *[(F.col(f) | (compound & F.coalesce(f"parts_{f}", none)) if f in each else F.col(f)).alias(f) for f in FLAGS])
 
 
-def tokens(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, at, word, before, after, next, initial, capital): the words of each text, without possessives, with the text around them, the word after, and
-    whether a sentence, a bullet, a cell or a heading begins or is there."""
+def _capital(token: Column) -> Column:
+    """Whether a token is capitalised; one that begins with a digit, if it has a capital letter."""
+    return token.rlike(r"^(?:\p{Lu}|[0-9].*\p{Lu})")
+
+
+#: What a capitalised word, and the word after it, is by the lists of `vocabulary`.
+_LISTS = {"function": v.FUNCTION_WORDS, "structure": v.STRUCTURE_WORDS, "generic": v.FUNCTION_WORDS + v.GENERIC_SUBJECTS, "number": v.NUMBER_WORDS, "head": v.TERM_HEADS, "acronym": [x.lower() for x in v.SECURITY_ACRONYMS]}
+_NEXT = {"next_actor": v.THREAT_ACTOR_WORDS, "next_does": v.PERSON_VERBS, "next_unit": v.UNIT_WORDS, "next_acts": v.ORG_VERBS}
+
+
+def tokens(docs: DataFrame, doc: str, text: str, lexicon: DataFrame) -> DataFrame:
+    """(doc, at, word, owns, after, initial, capital, grams, lists…): the capitalised words of each text, without possessives, with the gap after, whether a sentence, a bullet, a cell or a heading
+    begins or is there, and a boolean for each of the lists that it, or the word after it, is in (`_LISTS`, `_NEXT`, next_owned). Rows that aren't `capital` have grams (more, gram): what
+    stands, in two to five words, one of them capitalised, from a word on that begins a published name of `lexicon` as far as a filter can tell.
+
+    All other words stay in their row, as places in its arrays. A word never goes beyond its line, so words are found line by line, and whether the line is a heading."""
+    begins = word_filter(lexicon.where(F.col("word").contains(" ")).select(F.substring_index("word", " ", 1)))
+    bare = lambda w: F.when(F.endswith(w, F.lit("'s")) | F.endswith(w, F.lit("’s")), F.substr(w, F.lit(1), F.length(w) - 2)).otherwise(w)
+    long = lambda w: F.length(bare(w)) >= 2
     t = F.coalesce(F.col(text), F.lit(""))
-    words, gaps = F.regexp_extract_all(t, F.lit(TOKEN), 0), F.split(t, TOKEN, -1)
-    rest = lambda x: F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0)))
-    zipped = F.arrays_zip(words.alias("token"), gaps.alias("before"), rest(gaps).alias("after"), rest(words).alias("next"))
-    rows = docs.select(F.col(doc).alias("doc"), F.posexplode(zipped).alias("at", "z")).select("doc", "at", "z.*").where("token is not null")
-    rows = rows.withColumn("word", F.regexp_replace("token", "['’]s$", "")).withColumn("owns", F.col("token").rlike("['’]s$"))
-    capital = F.when(F.col("word").rlike("^[0-9]"), F.col("word").rlike(r"\p{Lu}")).otherwise(F.col("word").rlike(r"^\p{Lu}"))
-    rows = rows.withColumn("capital", capital)
-    order = Window.partitionBy("doc").orderBy("at")
-    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    rows = rows.withColumn("line", F.sum(breaks("before")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("doc", "line")
-    last = F.max_by("after", "at").over(whole)
-    headed = F.min(F.col("capital") | privacy._isin(F.lower("word"), v.FUNCTION_WORDS)).over(whole) & F.max("capital").over(whole) & (F.count("*").over(whole) <= 8)
-    heading = headed & ~F.regexp_extract(last, r"^[^\n]*", 0).rlike(r"[.!?]\s*$")
+    found = lambda x: F.regexp_extract_all(x, F.lit(TOKEN), 0)
+    rows = docs.select(F.col(doc).alias("doc"), F.split(t, TOKEN, -1).alias("_gaps"), F.split(t, "\n", -1).alias("_lines")).withColumn("_found", F.transform("_lines", found))
+
+    def headed(line: Column, words: Column) -> Column:
+        every = F.exists(words, _capital) & F.forall(words, lambda w: _capital(w) | _of(bare(w), v.FUNCTION_WORDS))
+        return F.array_repeat((F.size(words) <= 8) & every & ~line.rlike(r"[.!?]\s*$"), F.size(words))
+
+    rows = rows.select("doc", "_gaps", F.flatten("_found").alias("_words"), F.flatten(F.zip_with("_lines", "_found", headed)).alias("_headed"))
+    places = lambda test: F.array_compact(F.transform("_words", lambda w, i: F.when(test(w), i)))
+    rows = rows.select("*", places(lambda w: _capital(w) & long(w)).alias("_capital"), places(long).alias("_long"))
+    word, gap = (lambda i: F.get("_words", i)), (lambda i: F.get("_gaps", i))
+
+    def grams(j: Column) -> Column:
+        part = lambda i: F.when(i.isNotNull(), F.struct(F.lower(bare(word(i))).alias("word"), gap(i + 1).isin(" ", "-").alias("joined"), _capital(word(i)).alias("capital")))
+
+        def of(parts: Column) -> Column:
+            each = [F.get(parts, F.lit(k)) for k in range(5)]
+            out = []
+            for n in range(1, 5):
+                inside = reduce(Column.__and__, [x["joined"] for x in each[:n]]) & reduce(Column.__or__, [x["capital"] for x in each[: n + 1]])
+                out.append(F.when(each[n].isNotNull() & inside, F.struct(F.lit(n).alias("more"), F.concat_ws(" ", *[x["word"] for x in each[: n + 1]]).alias("gram"))))
+            return F.array_compact(F.array(*out))
+
+        return privacy._let(F.array(*[part(F.get("_long", j + k)) for k in range(5)]), of)
+
+    def told(i: Column, capital: bool, grams: Column) -> Column:
+        texts = {"token": word(i), "before": gap(i), "after": gap(i + 1), "next": F.coalesce(word(i + 1), F.lit(""))}
+        return F.struct(i.alias("at"), *[x.alias(c) for c, x in texts.items()], F.get("_headed", i).alias("heading"), F.lit(capital).alias("capital"), grams.cast("array<struct<more:int,gram:string>>").alias("grams"))
+
+    capitals = F.transform("_capital", lambda i: told(i, True, F.lit(None)))
+    named = F.transform("_long", lambda i, j: F.when(begins(F.lower(bare(word(i)))), told(i, False, grams(j))))
+    rows = rows.select("doc", F.explode(F.concat(capitals, F.filter(named, lambda x: F.size(x["grams"]) > 0))).alias("x")).select("doc", "x.*").withColumn("word", bare(F.col("token")))
     starts = F.col("before").rlike(_STARTS) | ((F.col("at") == 0) & F.col("before").rlike(f"^{_OPENERS}$"))
-    return rows.select("doc", "at", "token", "word", "owns", "before", "after", F.coalesce("next", F.lit("")).alias("next"), (starts | heading).alias("initial"), "capital").where(F.length("word") >= 2)
+    lists = [F.lower(of).isin(words).alias(c) for of, some in (("word", _LISTS), ("next", _NEXT)) for c, words in some.items()]
+    owns = (F.col("word") != F.col("token")).alias("owns")
+    return rows.select("doc", "at", "word", owns, "after", (starts | F.col("heading")).alias("initial"), "capital", "grams", *lists, F.col("next").rlike(_OWNED).alias("next_owned"))
 
 
 def published(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(doc, at): tokens that are part of a published name of two to five words, one of them capitalised."""
-    order = Window.partitionBy("doc").orderBy("at")
-    grams, inside = [], F.lit(True)
-    gram, capital = F.lower("word"), F.col("capital")
-    for n in range(1, 5):
-        inside = inside & F.lag("after", -(n - 1)).over(order).isin(" ", "-") if n > 1 else F.col("after").isin(" ", "-")
-        gram = F.concat(gram, F.lit(" "), F.lower(F.lead("word", n).over(order)))
-        capital = capital | F.lead("capital", n).over(order)
-        grams.append(F.when(inside & capital, F.struct(F.lit(n).alias("more"), gram.alias("gram"))))
-    found = rows.select("doc", "at", F.array_compact(F.array(*grams)).alias("g")).select("doc", "at", F.explode("g").alias("g")).select("doc", "at", "g.*")
+    found = rows.select("doc", "at", F.explode("grams").alias("g")).select("doc", "at", "g.*")
     names = lexicon.where(F.col("word").contains(" ")).select(F.col("word").alias("gram")).distinct()
     return found.join(names, "gram").select("doc", F.explode(F.sequence("at", F.col("at") + F.col("more"))).alias("at")).distinct()
 
@@ -110,16 +138,16 @@ def classified(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
     word is a name if it is no ordinary word, or an ambiguous given name before what a person does; another one unless it is an ordinary word in capitals or
     before a word for a unit."""
     known = flags(rows.where("capital").select(F.lower("word").alias("word")).distinct(), lexicon)
-    caps = rows.where("capital").join(published(rows, lexicon).withColumn("in_name", F.lit(True)), ["doc", "at"], "left").withColumn("key", F.lower("word"))
+    caps = rows.where("capital").drop("grams").join(published(rows, lexicon).withColumn("in_name", F.lit(True)), ["doc", "at"], "left").withColumn("key", F.lower("word"))
     caps = caps.join(known.withColumnRenamed("word", "key"), "key", "left").withColumns({f: F.coalesce(F.col(f), F.lit(False)) for f in (*FLAGS, "in_name")})
     roman = F.col("word").rlike("^(?=[IVXL])(?:XL|L?X{0,3})(?:IX|IV|V?I{0,3})$")
     caps = caps.withColumn("incidental", roman | ((F.length("word") <= 4) & F.col("word").rlike("[0-9]")))
-    actor = F.col("public") & (~F.col("ordinary") | _of("next", v.THREAT_ACTOR_WORDS))
+    actor = F.col("public") & (~F.col("ordinary") | F.col("next_actor"))
     # A word that is both a given name and an ordinary one is ambiguous; one that is only a given name is strong.
     strong = F.col("given") & ~F.col("ordinary")
-    first = F.when(~F.col("ordinary"), "NAME").when(F.col("given") & _of("next", v.PERSON_VERBS), "PERSON")
-    later = F.when(F.col("ordinary") & (_of("next", v.UNIT_WORDS) | F.col("word").rlike(r"^[^\p{Ll}]*$")), None).otherwise("NAME")
-    reads = F.when(F.col("incidental") | F.col("in_name") | _of("word", v.NUMBER_WORDS) | actor, None).when(strong, "PERSON").when(F.col("public"), None).when(F.col("initial"), first).otherwise(later)
+    first = F.when(~F.col("ordinary"), "NAME").when(F.col("given") & F.col("next_does"), "PERSON")
+    later = F.when(F.col("ordinary") & (F.col("next_unit") | F.col("word").rlike(r"^[^\p{Ll}]*$")), None).otherwise("NAME")
+    reads = F.when(F.col("incidental") | F.col("in_name") | F.col("number") | actor, None).when(strong, "PERSON").when(F.col("public"), None).when(F.col("initial"), first).otherwise(later)
     return caps.withColumn("reads", reads).drop("key")
 
 
@@ -128,17 +156,19 @@ def _neighbours(caps: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc").orderBy("at")
     lead = lambda c: F.lead(c).over(order)
     joined = F.coalesce(lead("at") == F.col("at") + 1, F.lit(False)) & F.col("after").isin(_BESIDE) & ~F.col("owns")
-    return caps.withColumns({"joined": joined, "following_sector": F.coalesce(lead("sector"), F.lit(False)), "following_public": F.coalesce(lead("public"), F.lit(False)), "following_next": lead("next"), "following_owns": lead("owns")})
+    return caps.withColumns({"joined": joined, "following_sector": F.coalesce(lead("sector"), F.lit(False)), "following_public": F.coalesce(lead("public"), F.lit(False)), "following_acts": lead("next_acts"), "following_owns": lead("owns")})
 
 
-def names(docs: DataFrame, doc: str, text: str, lexicon: DataFrame) -> DataFrame:
+def names(docs: DataFrame, doc: str, text: str, lexicon: DataFrame, stage=lambda df: df) -> DataFrame:
     """(doc, at, until, name, label): runs of tokens (from place at to until) of each text that name a person, an organisation or a place.
 
+    `stage` may write an intermediate table that is read several times (see sources.sinks.staged). The lexicon, too, is read several times, once at once, so it had better be a table.
+
     1. Tokens are read one by one (`classified`). 2. A run of ordinary or public words that ends in a head of technical terms is none. 3. An ordinary
     capitalised word before a name, or before a sector word, joins it, and so on from right to left. 4. The capitalised run that opens a sentence before
     what an organisation does is one, unless it is a plural, a tool or a section word; a company is one where something of its own follows. 5. What
     was read on good evidence is the same name everywhere in the text. 6. Neighbouring parts are one name; a given name makes it a person."""
-    rows = tokens(docs, doc, text)
+    rows = stage(tokens(docs, doc, text, lexicon))
     caps = _neighbours(classified(rows, lexicon))
     order = Window.partitionBy("doc").orderBy("at")
     back = Window.partitionBy("doc").orderBy(F.desc("at"))
@@ -146,26 +176,26 @@ def names(docs: DataFrame, doc: str, text: str, lexicon: DataFrame) -> DataFrame
     run = F.sum(F.when(F.coalesce(F.lag("joined").over(order), F.lit(False)), 0).otherwise(1)).over(order)
     caps = caps.withColumn("run", run)
     within = Window.partitionBy("doc", "run")
-    plain = (F.col("ordinary") | F.col("public") | _of("word", v.FUNCTION_WORDS)) & ~(F.col("given") & ~F.col("ordinary"))
-    term = (F.count("*").over(within) >= 2) & _of(F.max_by("word", "at").over(within), v.TERM_HEADS) & F.min(plain).over(within)
+    plain = (F.col("ordinary") | F.col("public") | F.col("function")) & ~(F.col("given") & ~F.col("ordinary"))
+    term = (F.count("*").over(within) >= 2) & F.max_by("head", "at").over(within) & F.min(plain).over(within)
     caps = caps.withColumn("term", term).withColumn("in_name", F.col("in_name") | F.col("term"))
     caps = caps.withColumn("reads", F.when(F.col("term") & (F.col("reads") == "NAME"), None).otherwise(F.col("reads")))
     caps = caps.withColumn("sure", F.col("reads").isNotNull() & ((F.col("reads") == "PERSON") | ~F.col("ordinary")))
     # 3. From right to left: within a stretch of words that can join, one joins if a name or a sector word is further right.
-    able = F.col("reads").isNull() & ~F.col("incidental") & ~F.col("in_name") & F.col("ordinary") & ~F.col("public") & F.col("joined") & ~_of("word", v.FUNCTION_WORDS + v.STRUCTURE_WORDS)
+    able = F.col("reads").isNull() & ~F.col("incidental") & ~F.col("in_name") & F.col("ordinary") & ~F.col("public") & F.col("joined") & ~F.col("function") & ~F.col("structure")
     caps = caps.withColumn("able", able).withColumn("stretch", F.sum(F.when(F.col("able"), 0).otherwise(1)).over(back))
     ahead = Window.partitionBy("doc", "stretch").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
     joins = F.col("able") & F.coalesce(F.max(F.col("reads").isNotNull() | F.col("sector")).over(ahead), F.lit(False))
-    evident = F.col("following_sector") & (_of("following_next", v.ORG_VERBS) | F.coalesce("following_owns", F.lit(False)))
+    evident = F.col("following_sector") & (F.coalesce("following_acts", F.lit(False)) | F.coalesce("following_owns", F.lit(False)))
     sure = F.col("sure") | (joins & (evident | F.coalesce(F.max("sure").over(ahead), F.lit(False))))
     caps = caps.withColumns({"reads": F.when(joins, "NAME").otherwise(F.col("reads")), "sure": sure})
     # 4. Subjects of sentences, and companies that own something.
     size, first, last = F.count("*").over(within), (lambda c: F.min_by(c, "at").over(within)), (lambda c: F.max_by(c, "at").over(within))
-    subject = first("initial") & _of(last("next"), v.ORG_VERBS) & ~last("owns") & ~_of(first("word"), v.FUNCTION_WORDS + v.GENERIC_SUBJECTS) & (size <= 4)
+    subject = first("initial") & last("next_acts") & ~last("owns") & ~first("generic") & (size <= 4)
     tool = last("public") & ~last("company")
     none = F.when(size == 1, (F.lower("word").endswith("s") & F.col("ordinary")) | tool).otherwise(tool & ~last("sector"))
-    part = ~_of("word", v.STRUCTURE_WORDS) & ~privacy._isin(F.upper("word"), v.SECURITY_ACRONYMS) & ~((size > 1) & F.col("sector")) & ~F.col("incidental")
-    owner = F.col("company") & F.col("owns") & F.col("next").rlike(_OWNED)
+    part = ~F.col("structure") & ~F.col("acronym") & ~((size > 1) & F.col("sector")) & ~F.col("incidental")
+    owner = F.col("company") & F.col("owns") & F.col("next_owned")
     organisation = (subject & ~none & part) | (owner & F.col("reads").isNull())
     caps = caps.withColumns({"sure": F.col("sure") | organisation, "reads": F.when(organisation, F.coalesce("reads", F.lit("ORG"))).otherwise(F.col("reads"))})
     # 5. The same word again.
@@ -188,7 +218,7 @@ def sanitize(docs: DataFrame, lexicon: DataFrame, doc: str = "doc_id", text: str
     known = privacy.vocabulary_words(docs, doc, text, lexicon)
     rows = docs.join(known.withColumnRenamed("doc", doc), doc, "left")
     rows = stage(privacy.marked(rows, text, known="known").drop("known"))
-    found = names(rows.select(F.col(doc).alias("doc"), F.col("_state.t").alias("t")), "doc", "t", lexicon)
+    found = names(rows.select(F.col(doc).alias("doc"), F.col("_state.t").alias("t")), "doc", "t", lexicon, stage)
     found = stage(found)
     owners = privacy.unify_aliases(found.select("doc", "name", "label")).withColumnRenamed("label", "owner_label")
     spans = found.join(owners, ["doc", "name"]).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("at", "until", F.col("owner_label").alias("label"), F.col("owner").alias("value"), "name"))).alias("_spans"))

@@ -422,3 +422,16 @@ def test_recalled_actions_are_rounded_as_sql_does(spark, tmp_path):
         assert c.execute(__spark_entry__.oracle_sql()["pln02_recall_of_actions"]).fetchall() == [tuple(r) for r in got]
     # incidents that are in no pair are not brought together
     assert [r.incident_id for r in search_queries._sets(spark, str(tmp_path), spark.sql("SELECT 3L AS incident_id")).collect()] == [3]
+
+
+def test_only_words_that_may_be_names_become_rows(spark):
+    text = "word " * 500 + "and Maria's file.\nCobalt a Strike\n\n" + "no more " * 500 + "\nat cobalt Strike"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string")
+    rows = names.tokens(docs, "id", "text", lexicon(spark)).collect()
+    capital = [(r.at, r.word, r.owns, r.after, r.initial) for r in sorted(rows, key=lambda r: r.at) if r.capital]
+    # a heading's words, and a possessive; one-letter words are no rows, but have a place
+    assert capital == [(501, "Maria", True, " ", False), (503, "Cobalt", False, " ", True), (505, "Strike", False, "\n\n", True), (1508, "Strike", False, "", False)]
+    assert len(rows) < 10
+    # published names skip one-letter words and take in words in lower case
+    found = sorted((r.doc, r.at) for r in names.published(names.tokens(docs, "id", "text", lexicon(spark)), lexicon(spark)).collect())
+    assert found == [(1, 503), (1, 504), (1, 1507), (1, 1508)]
