@@ -435,3 +435,16 @@ def test_only_words_that_may_be_names_become_rows(spark):
     # published names skip one-letter words and take in words in lower case
     found = sorted((r.doc, r.at) for r in names.published(names.tokens(docs, "id", "text", lexicon(spark)), lexicon(spark)).collect())
     assert found == [(1, 503), (1, 504), (1, 1507), (1, 1508)]
+
+
+def test_spans_of_a_batch_are_numbers():
+    import pyarrow as pa
+
+    from fathomlens.functions import negation
+
+    texts = pa.array(["no files lost. But seen", None, "", "plain", "it was not seen, no sign of it"] * 100)
+    (got,) = negation._negations.func(iter([texts]))
+    assert isinstance(got, pa.ListArray) and got.to_pylist() == [[{"start": a, "end": b} for a, b in negation.word_spans(t or "")] for t in texts.to_pylist()]
+    assert got[:5].to_pylist() == [[{"start": 2, "end": 4}], [], [], [], [{"start": 4, "end": 5}, {"start": 8, "end": 9}]]
+    (none,) = negation._negations.func(iter([pa.array([], pa.string())]))
+    assert len(none) == 0
