@@ -299,6 +299,32 @@ def test_counting_shared_sets_makes_no_row_of_a_pair(spark):
     assert [tuple(r) for r in got.collect()] == [(["T1", "T2"], 2, 2, 1000)]
 
 
+def test_sets_meet_in_buckets_that_are_dealt_out(spark, monkeypatch):
+    """No subset is a row: 300 stored sets of 11 shared techniques are 11 rows a bucket at most, not 2047 each; with buckets of few sets on both sides, numbers as elements and sets met pair by pair, counts are those of all pairs."""
+    import random
+
+    import pyarrow as pa
+
+    shared = list(range(11))
+    (out,) = [memory._shared_in_bucket(pa.table({"a": pa.array([shared] * 2, pa.list_(pa.int32())), "at": [0, 0]}), pa.table({"size": pa.array([11] * 300, pa.int32()), "rest": pa.array([shared[1:]] * 300, pa.list_(pa.int32())), "n": [1] * 300}))]
+    assert out.num_rows <= 22
+    monkeypatch.setattr(memory, "HELD_SETS", 7)
+    monkeypatch.setattr(memory, "ASKED_SETS", 3)
+    monkeypatch.setattr(memory, "LOOKED_UP", 16)
+    monkeypatch.setattr(memory, "SUBSETS", 4)
+    monkeypatch.setattr(memory, "ALIKE_PART", 5)
+    monkeypatch.setattr(memory, "ROWS", 3)
+    rng = random.Random(8)
+    sets = [sorted(rng.sample(range(12), rng.randrange(10))) for _ in range(60)]
+    want = {}
+    for a in {tuple(x) for x in sets[:15]}:
+        for b in sets:
+            if n := len({*a} & {*b}):
+                want[a, len(b), n] = want.get((a, len(b), n), 0) + 1
+    frame = lambda rows, name: spark.createDataFrame([(x,) for x in rows], f"{name} array<int>")
+    assert {(tuple(r.a), r.size, r.shared): r.n for r in memory.shared_counts(frame(sets[:15], "a"), frame(sets, "b")).collect()} == want
+
+
 
 def test_structural_search_in_blocks_equals_all_pairs(spark, monkeypatch):
     """Copies, null and blank types, empty sets, blocks of few rows, ids that ask and aren't stored, and types that no stored row has."""
