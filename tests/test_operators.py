@@ -349,6 +349,40 @@ def test_structural_search_in_blocks_equals_all_pairs(spark, monkeypatch):
     assert memory.structural_top_k(asked, stored.where("doc < 0"), 3, sinks.staged).count() == 0
 
 
+def test_structural_search_scores_only_what_can_be_among_the_best(monkeypatch):
+    """In a block of 3000 fingerprints few pairs are scored, and none is lost: few techniques, more than a mask of bits holds, sets found by one technique, empty ones."""
+    import random
+
+    import pyarrow as pa
+
+    def table(rows, a):
+        names = [a + c for c in ("techniques", "tactics", "cves", "kind", "way")]
+        columns = [pa.array([r[i] for r in rows], pa.list_(pa.string()) if i < 3 else pa.string()) for i in range(5)]
+        ids = pa.array(range(len(rows)), pa.int64())
+        more = {"q": ids, "bound": pa.array([0.0] * len(rows))} if a else {"class": ids, "n": pa.array([len(r[0]) for r in rows])}
+        return pa.table({**dict(zip(names, columns)), **more})
+
+    def score(a, b):
+        j = lambda x, y: len({*x} & {*y}) / (len({*x} | {*y}) or 1)
+        return 0.45 * j(a[0], b[0]) + 0.20 * j(a[1], b[1]) + 0.18 * (a[3] == b[3] != "") + 0.10 * (a[4] == b[4] not in ("", "unknown")) + 0.07 * bool({*a[2]} & {*b[2]})
+
+    rng = random.Random(4)
+    for values, paired, scored in ((40, 24, 1 << 19), (40, 3, 64), (1500, 24, 500)):
+        monkeypatch.setattr(memory, "PAIRED", paired)
+        monkeypatch.setattr(memory, "SCORED", scored)
+        one = lambda: ([f"T{i}" for i in rng.sample(range(values), rng.choice([0, 1, 2, 3, 4, 6]))], [str(i) for i in rng.sample(range(6), rng.randrange(4))], rng.choice([[], ["1"], ["2"]]), rng.choice(["", "a", "b"]), rng.choice(["unknown", "x", "y"]))  # noqa: E731,B023
+        rows = [one() for _ in range(3000 if values < 99 else 1500)]
+        asked = rows[:40]
+        pairs, plain = [], memory._Sets.shared
+        monkeypatch.setattr(memory._Sets, "shared", lambda self, i, other, j: (pairs.append(len(i)), plain(self, i, other, j))[1])  # noqa: B023
+        got = memory._best_alike(4)(table(asked, "a_"), table(rows, "")).to_pydict()
+        monkeypatch.setattr(memory._Sets, "shared", plain)
+        best = [sorted(((-int(score(a, b) * 1e6 + 0.5), j) for j, b in enumerate(rows) if score(a, b) > 0))[:4] for a in asked]
+        assert sorted(zip(got["query"], [-x for x in got["score"]], got["doc"])) == sorted((i, *x) for i, b in enumerate(best) for x in b)
+        if values == 40 and paired == 24:
+            assert sum(pairs) < 3 * 40 * 3000 / 2  # techniques, tactics and CVEs: under half of what all pairs are
+
+
 def _moves(df):
     """What a plan's shuffles that name a query go by; the plan is planned anew, without a run."""
     plan = df._jdf.queryExecution().executedPlan().toString()
