@@ -5,10 +5,14 @@ several words are published names ("cobalt strike"). What it doesn't know counts
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vocabulary as v
 from ..functions.text import word_filter
@@ -113,7 +117,8 @@ def tokens(docs: DataFrame, doc: str, text: str, lexicon: DataFrame) -> DataFram
 
     capitals = F.transform("_capital", lambda i: told(i, True, F.lit(None)))
     named = F.transform("_long", lambda i, j: F.when(begins(F.lower(bare(word(i)))), told(i, False, grams(j))))
-    rows = rows.select("doc", F.explode(F.concat(capitals, F.filter(named, lambda x: F.size(x["grams"]) > 0))).alias("x")).select("doc", "x.*").withColumn("word", bare(F.col("token")))
+    # explode_outer, as explode would have the optimiser make the array twice, to leave out rows without any
+    rows = rows.select("doc", F.explode_outer(F.concat(capitals, F.filter(named, lambda x: F.size(x["grams"]) > 0))).alias("x")).where("x is not null").select("doc", "x.*").withColumn("word", bare(F.col("token")))
     starts = F.col("before").rlike(_STARTS) | ((F.col("at") == 0) & F.col("before").rlike(f"^{_OPENERS}$"))
     lists = [F.lower(of).isin(words).alias(c) for of, some in (("word", _LISTS), ("next", _NEXT)) for c, words in some.items()]
     owns = (F.col("word") != F.col("token")).alias("owns")
@@ -210,12 +215,37 @@ def names(docs: DataFrame, doc: str, text: str, lexicon: DataFrame, stage=lambda
     return spans.select("doc", "at", "until", F.array_join(F.transform("parts", gap), "").alias("name"), label.alias("label"))
 
 
+_TOKENS = re.compile(TOKEN, re.ASCII)  # \w is ASCII in Java, too
+
+
+def marked_text(text: str, spans: list[dict]) -> str:
+    """The text with a mark in place of each span, from its token `at` to its token `until`; a possessive stays. Spans stand in order and apart."""
+    out, last, waiting = [], 0, iter(spans)
+    span = next(waiting, None)
+    for i, m in enumerate(_TOKENS.finditer(text)):
+        if span is None:
+            break
+        if i == span["at"]:
+            out.append(text[last : m.start()])
+        if i == span["until"]:
+            out += [span["mark"], m[0][-2:] if m[0].endswith(("'s", "’s")) else ""]
+            last, span = m.end(), next(waiting, None)
+    return "".join([*out, text[last:]])
+
+
+@F.arrow_udf(T.StringType())
+def _marked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """`marked_text` of each text; those without spans stay as they are."""
+    for texts, spans in batches:
+        yield pa.array([marked_text(t.as_py(), s.as_py()) if s.is_valid else t.as_py() for t, s in zip(texts, spans)], pa.string())
+
+
 def sanitize(docs: DataFrame, lexicon: DataFrame, doc: str = "doc_id", text: str = "text", stage=lambda df: df) -> DataFrame:
     """`docs` with sanitized and entities: shapes taken out first, then names; see `privacy.redact`.
 
     `doc` must be unique and not null. `stage` may write an intermediate table that is read twice (see sources.sinks.staged). An alias has the
     token of the full name; a name's token is numbered after those of the shapes."""
-    known = privacy.vocabulary_words(docs, doc, text, lexicon)
+    known = privacy.vocabulary_words(docs, doc, text, lexicon, stage)
     rows = docs.join(known.withColumnRenamed("doc", doc), doc, "left")
     rows = stage(privacy.marked(rows, text, known="known").drop("known"))
     found = names(rows.select(F.col(doc).alias("doc"), F.col("_state.t").alias("t")), "doc", "t", lexicon, stage)
@@ -226,16 +256,10 @@ def sanitize(docs: DataFrame, lexicon: DataFrame, doc: str = "doc_id", text: str
     entity = lambda s: F.struct(s["label"].alias("label"), s["value"].alias("value"))
     new = F.array_except(F.transform(F.coalesce("_spans", F.array().cast("array<struct<at:int,until:int,label:string,value:string,name:string>>")), entity), F.col("_state.entities"))
     rows = rows.withColumn("_all", F.concat("_state.entities", new)).withColumn("_tokens", privacy.numbered(F.col("_all")))
-    t = F.col("_state.t")
-    words, gaps = F.regexp_extract_all(t, F.lit(TOKEN), 0), F.split(t, TOKEN, -1)
     mark = lambda s: F.concat(F.lit(privacy.MARK), F.array_position("_all", entity(s)).cast("string"), F.lit(privacy.MARK))
-    # Pieces between spans: the tokens of a span and the gaps within give way to its mark.
-    bounds = F.concat(F.array(F.struct(F.lit(-1).alias("until"), F.lit("").alias("mark"))), F.transform("_spans", lambda s: F.struct(s["until"].alias("until"), F.concat(mark(s), F.regexp_extract(F.get("_words", s["until"]), "(['’]s)?$", 0)).alias("mark"))))
-    until = F.concat(F.transform("_spans", lambda s: s["at"]), F.array(F.size("_words")))
-    piece = lambda b, e: F.concat(b["mark"], F.array_join(F.slice(F.col("_pieces"), 2 * b["until"] + 3, 2 * (e - b["until"]) - 1), ""))
-    rows = rows.withColumn("_words", words).withColumn("_pieces", F.flatten(F.zip_with(gaps, words, lambda g, w: F.array(g, F.coalesce(w, F.lit(""))))))
-    named = F.when(F.col("_spans").isNull(), t).otherwise(F.array_join(F.zip_with(bounds, until, piece), ""))
-    shown = F.when(F.col(text).isNotNull(), privacy.finished(F.col(text), named, F.col("_tokens")))
+    marks = F.transform("_spans", lambda s: F.struct(s["at"].alias("at"), s["until"].alias("until"), mark(s).alias("mark")))
+    rows = rows.withColumn("_named", _marked(F.col("_state.t"), marks))
+    shown = F.when(F.col(text).isNotNull(), privacy.finished(F.col(text), F.col("_named"), F.col("_tokens")))
     own = [F.col(c) for c in docs.columns if c not in ("sanitized", "entities")]
     return rows.withColumn("sanitized", shown).select(*own, "sanitized", F.col("_tokens").alias("entities"))
 

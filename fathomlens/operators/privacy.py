@@ -300,16 +300,19 @@ def finished(text: Column, t: Column, tokens: Column, protected: str = PROTECTED
     return _let(named, lambda x: F.when(F.contains(x, F.lit(HOLD)), _join(F.split(x, HOLD, -1), _found(text, protected))).otherwise(x))
 
 
-def vocabulary_words(docs: DataFrame, doc: str, text: str, lexicon: DataFrame) -> DataFrame:
+def vocabulary_words(docs: DataFrame, doc: str, text: str, lexicon: DataFrame, stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(doc, known): the ordinary and public words of `lexicon` (see `names.flags`) among those that shapes ask for: letters before digits, names with
-    hyphens and digits, words after an account's introduction, form values."""
+    hyphens and digits, words after an account's introduction, form values. `stage` may write these few words, which are read several times, so that texts are searched once."""
     from .names import flags
 
     t = F.lower(F.coalesce(F.col(text), F.lit("")))
     hosts = _found(t, r"[a-z][a-z0-9]*(?:-[a-z0-9]+)*[0-9][a-z0-9-]*")
     values = F.flatten(F.transform(_found(t, SHAPES[-1].pattern, 1), lambda v: _found(v, "[a-z][a-z0-9'-]*")))
-    asked = F.concat(hosts, F.transform(hosts, lambda h: F.regexp_extract(h, "^[a-z]+", 0)), _found(t, rf"\b(?:{_INTRODUCED})\s+(?:named\s+|called\s+|name\s+)?[\"'“]?([a-z][a-z0-9._\-]{{2,30}})", 1), values)
-    words = docs.select(F.col(doc).alias("doc"), F.explode(F.array_distinct(asked)).alias("word"))
+    begun = lambda h: F.concat(h, F.transform(h, lambda x: F.regexp_extract(x, "^[a-z]+", 0)))
+    asked = F.concat(_let(hosts, begun), _found(t, rf"\b(?:{_INTRODUCED})\s+(?:named\s+|called\s+|name\s+)?[\"'“]?([a-z][a-z0-9._\-]{{2,30}})", 1), values)
+    # explode_outer, as explode would have the optimiser look for the words once more, to leave out rows without any
+    words = docs.select(F.col(doc).alias("doc"), F.explode_outer(F.array_distinct(asked)).alias("word"))
+    words = stage(words.where("word is not null"))
     known = words.join(flags(words.select("word").distinct(), lexicon).where("ordinary or public").select("word"), "word")
     return known.groupBy("doc").agg(F.collect_set("word").alias("known"))
 

@@ -508,3 +508,23 @@ def test_spans_of_a_batch_are_numbers():
     assert got[:5].to_pylist() == [[{"start": 2, "end": 4}], [], [], [], [{"start": 4, "end": 5}, {"start": 8, "end": 9}]]
     (none,) = negation._negations.func(iter([pa.array([], pa.string())]))
     assert len(none) == 0
+
+
+def test_names_are_marked_in_one_pass(spark):
+    """Tokens are the same for Python as for Spark, whatever the text holds, and a mark takes the place of a span's tokens but a possessive."""
+    texts = ["Al-Haj’s é Ünal-1x's", "v1.2abc 3abcd -4efgh _5abcd é6abcd x.7abcdef ٣abcd", "😀Bob😀 9Bobs\nİzmir ǅ ſt K", "", "O'Neil-Smith''s a- -b ’c", "日本Tokyo 12abc34 _Name a_B"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.regexp_extract_all("t", F.lit(names.TOKEN), 0).alias("w"))
+    assert {r.t: r.w for r in rows.collect()} == {t: names._TOKENS.findall(t) for t in texts}
+    spans = [{"at": 0, "until": 1, "mark": "<1>"}, {"at": 3, "until": 3, "mark": "<2>"}]
+    assert names.marked_text("- Al Haj's file, Bob.", spans) == "- <1>'s file, <2>."
+    assert names.marked_text("Al Haj", spans[:1]) == "<1>" and names.marked_text("none", []) == "none"
+
+
+def test_texts_are_searched_once_for_what_the_vocabulary_is_asked(spark):
+    docs = spark.createDataFrame([(1, "hosts alpha-12 and beta7, logged in as gamma"), (2, None)], "doc_id long, text string")
+    words = spark.createDataFrame([(w,) for w in ("alpha", "gamma", "delta")], "word string")
+    written = []
+    known = privacy.vocabulary_words(docs, "doc_id", "text", names.lexicon_of(ordinary=words), lambda df: written.append(df) or sinks.staged(df))
+    assert len(written) == 1 and "regexp_extract_all" in written[0]._jdf.queryExecution().analyzed().toString()
+    assert "regexp_extract_all" not in known._jdf.queryExecution().analyzed().toString()
+    assert [(r.doc, sorted(r.known)) for r in known.collect()] == [(1, ["alpha", "gamma"])]
